@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, if no --py-files ships it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in known.split(":"):
+        env["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; one of our own only where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,6 +52,7 @@ def map_texts(df: DataFrame, run: Callable[[list, list[list]], pa.RecordBatch],
     ``df`` has the text column first; the others follow in order.  Batches are
     cut by characters so that memory follows the longest text, not the rows.
     """
+    importable(df.sparkSession)
     columns = [text, *(c for c in df.columns if c != text)]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
