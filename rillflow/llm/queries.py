@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, sharding
+from . import bpe, mixing, quality, secrets, sharding
 from .common import table
 
 
@@ -26,10 +26,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op6_bpe": op6_bpe,
     "op7_sharding": op7_sharding,
     "op9_mixing": op9_mixing,
+    "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {}
