@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, quality, secrets, sharding
+from . import bpe, langid, mixing, pii, quality, secrets, sharding
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
 
@@ -37,6 +41,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_pii": op3_pii,
+    "op4_language": op4_language,
     "op6_bpe": op6_bpe,
     "op7_sharding": op7_sharding,
     "op9_mixing": op9_mixing,

@@ -52,10 +52,11 @@ class WordTable:
     ``buf`` holds all texts, each followed by a newline; ``start``/``end`` are
     the words' byte bounds in it, ``doc`` their text's number, ``first`` the
     number of each text's first word (one more entry than texts), ``at`` each
-    text's first byte (one more entry as well).
+    text's first byte (one more entry as well).  ``space`` marks the bytes
+    between words.
     """
 
-    def __init__(self, texts: list[str | None], lower: bool = False):
+    def __init__(self, texts: list[str | None], lower: bool = False, space: np.ndarray = IS_SPACE):
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         self.lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         self.buf = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
@@ -64,7 +65,7 @@ class WordTable:
         self.at = np.zeros(len(raw) + 1, np.int64)
         np.cumsum(self.lengths + 1, out=self.at[1:])
         inside = np.zeros(len(self.buf) + 2, np.int8)
-        inside[1:-1] = ~IS_SPACE[self.buf]
+        inside[1:-1] = ~space[self.buf]
         step = np.diff(inside)
         self.start = np.flatnonzero(step == 1)
         self.end = np.flatnonzero(step == -1)
