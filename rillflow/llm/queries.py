@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, pii, quality, secrets, sharding
+from . import bpe, langid, mixing, pii, quality, secrets, sharding, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_pii": op3_pii,
     "op4_language": op4_language,
+    "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op7_sharding": op7_sharding,
     "op9_mixing": op9_mixing,
