@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, pii, quality, secrets, sharding, toxicity
+from . import ann, bpe, langid, mixing, pii, quality, secrets, sharding, toxicity
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op7_sharding": op7_sharding,
+    "op8_neighbours": op8_neighbours,
     "op9_mixing": op9_mixing,
     "op10_secrets": op10_secrets,
 }
