@@ -101,7 +101,7 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 def sequence_hash(words: np.ndarray) -> np.ndarray:
     """One hash of a short sequence, told apart from windows by its length."""
-    return mix(np.array([np.sum(words * _WINDOW[: len(words)], dtype=np.uint64) + _WINDOW[-1] * U64(len(words) + 1)], np.uint64))
+    return mix(np.sum(words * _WINDOW[: len(words)], dtype=np.uint64, keepdims=True) + _WINDOW[-1:] * U64(len(words) + 1))
 
 
 def slices(lengths: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
