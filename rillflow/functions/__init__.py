@@ -1 +1 @@
-
+"""Column expressions and driver-side codecs."""

@@ -1 +1 @@
-
+"""Batch operators over transaction events."""

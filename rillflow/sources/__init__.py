@@ -1 +1 @@
-
+"""Readers: event tables, raw records, offsets, and the fixture generator."""
