@@ -54,7 +54,7 @@ class KeyedTable:
 
     def _read(self, manifest: dict[int, int], some: Sequence[int] | None = None) -> DataFrame | None:
         paths = [f"{self.path}/data/v={b}/_part={p}" for p, b in sorted(manifest.items()) if some is None or p in some]
-        return self.spark.read.option("basePath", f"{self.path}/data").parquet(*paths).drop("v", "_part") if paths else None
+        return self.spark.read.parquet(*paths) if paths else None
 
     def read(self) -> DataFrame | None:
         """All rows, or None before the first batch."""
@@ -64,20 +64,20 @@ class KeyedTable:
         """Merges a batch; of several rows of a key the one of largest ``order`` holds."""
         part = F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
         names = rows.columns
-        incoming = rows.withColumn("_batch", F.lit(1)).withColumn("_order", F.col(order).cast("long") if order else F.lit(0).cast("long"))
+        incoming = rows.withColumn("_batch_", F.lit(1)).withColumn("_order_", F.col(order).cast("long") if order else F.lit(0).cast("long"))
         touched = [r["p"] for r in rows.select(part.alias("p")).distinct().collect()]  # at most ``parts`` numbers
         if not touched:
             return
         before = self._manifest(below=batch)
         old = self._read(before, touched)
         if old is not None:
-            incoming = incoming.unionByName(old.withColumn("_batch", F.lit(0)).withColumn("_order", F.lit(0).cast("long")), allowMissingColumns=True)
-        latest = W.partitionBy(*self.keys).orderBy(F.desc("_batch"), F.desc("_order"))
-        merged = incoming.withColumn("_at", F.row_number().over(latest))
+            incoming = incoming.unionByName(old.withColumn("_batch_", F.lit(0)).withColumn("_order_", F.lit(0).cast("long")), allowMissingColumns=True)
+        latest = W.partitionBy(*self.keys).orderBy(F.desc("_batch_"), F.desc("_order_"))
+        merged = incoming.withColumn("_nth_", F.row_number().over(latest))
         for c in self.keep:
-            first = W.partitionBy(*self.keys).orderBy("_batch", "_order").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-            merged = merged.withColumn(f"_{c}", F.first(c, ignorenulls=True).over(first)).withColumn(c, F.col(f"_{c}")).drop(f"_{c}")
-        merged = merged.where("_at = 1").select(*names, part.alias("_part"))
+            first = W.partitionBy(*self.keys).orderBy("_batch_", "_order_").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+            merged = merged.withColumn(f"_first_{c}_", F.first(c, ignorenulls=True).over(first)).withColumn(c, F.col(f"_first_{c}_")).drop(f"_first_{c}_")
+        merged = merged.where("_nth_ = 1").select(*names, part.alias("_part"))
         merged.write.mode("overwrite").partitionBy("_part").parquet(f"{self.path}/data/v={batch}")
         manifest = before | dict.fromkeys(touched, batch)
         self.spark.createDataFrame(sorted(manifest.items()), "part int, batch long").coalesce(1).write.mode("overwrite").json(f"{self.path}/_manifest/v={batch}")
