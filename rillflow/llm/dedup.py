@@ -196,18 +196,24 @@ def _stars(members: DataFrame) -> DataFrame:
     return pairs.where(F.col("doc") != F.col("head")).where(_fits("n", "head_n")).select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
 
 
-def _across(rows: DataFrame, bucket: list[str]) -> DataFrame:
-    """Pairs of fitting sizes and different components in the same bucket (columns doc, n, component)."""
+def _across(rows: DataFrame, bucket: list[str], ranked: bool = False) -> DataFrame:
+    """Pairs of fitting sizes and different components in the same bucket (columns doc, n, component).
+
+    With ``ranked`` the bucket is a shingle and ``rank`` its place among the
+    doc's, rarest first.  Sets of sizes n and m that link share at least
+    85 (n + m) / 185 shingles, so one of those is among the first n - that + 1
+    and m - that + 1 of theirs.
+    """
     mixed = rows.groupBy(*bucket).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(*bucket)
     left = rows.join(mixed, bucket)
-    right = left.select(*bucket, *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "component")])
+    right = left.select(*bucket, *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "component", *["rank"] * ranked)])
     on = [left[c] == right[c] for c in bucket]
-    both = left.join(right, [*on, F.col("doc") < F.col("doc_b"), F.col("component") != F.col("component_b"), _fits("n", "n_b")])
+    both = left.join(right, [*on, F.col("doc") < F.col("doc_b"), F.col("component") != F.col("component_b"), _fits("n", "n_b"), *[F.expr(f"rank{x} <= n{x} + 1 - ceil({LINK} * (n + n_b) / {100 + LINK})") for x in ("", "_b") if ranked]])
     return both.select(F.col("doc").alias("a"), F.col("doc_b").alias("b")).distinct()
 
 
 def _prefixes(dense: DataFrame, sets: DataFrame) -> DataFrame:
-    """token, doc, n, component: the shingles, rarest among the dense first, of which two linked sets share one."""
+    """token, doc, n, component, rank: the shingles, rarest among the dense first, of which two linked sets share one."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [np.frombuffer(s, np.int64) for s in batch.column("set").to_pylist()]
@@ -218,7 +224,7 @@ def _prefixes(dense: DataFrame, sets: DataFrame) -> DataFrame:
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     ranked = tokens.join(often, "token").withColumn("rank", F.row_number().over(W.partitionBy("doc").orderBy("often", "token")))
     near = ranked.join(dense, "doc").where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * LINK / 100) + 1)
-    return cut(near.where("often > 1").select("token", "doc", "n", "component"))
+    return cut(near.where("often > 1").select("token", "doc", "n", "component", "rank"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -240,7 +246,7 @@ def groups(docs: DataFrame) -> DataFrame:
     mixed = labelled.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     dense = labelled.where(F.col("size") > FEW).join(mixed.select("band", "value"), ["band", "value"]).groupBy("doc").agg(F.max("n").alias("n"), F.max("component").alias("component"))
     sparse = _across(labelled.where(F.col("size") <= FEW), ["band", "value"])
-    more = cut(sparse.unionByName(_across(_prefixes(cut(dense), sets), ["token"])).distinct())
+    more = cut(sparse.unionByName(_across(_prefixes(cut(dense), sets), ["token"], ranked=True)).distinct())
     second = _links(more, classes, sets)
     labels = components(first.unionByName(second))
 
@@ -253,5 +259,5 @@ def groups(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows that stand for their component, with all columns; rows that repeat one of them go too."""
     kept = groups(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept")).select(*[docs[c] for c in docs.columns])
-    return found.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    found = docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept"), "left_semi")
+    return found.dropDuplicates(["doc_id"]).unionByName(docs.where(docs["doc_id"].isNull()))
