@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .wordtable import slices
@@ -46,25 +48,51 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_texts(df: DataFrame, run: Callable[[list, list[list]], pa.RecordBatch], schema: str, text: str = "text", most: int = 2_000_000) -> DataFrame:
+def _small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows that hold whole texts go to Python in batches of few rows, so that buffers on both sides stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
+def _parts(it: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        for i, j in slices(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist(), most):
+            yield batch.slice(i, j - i)
+
+
+def filter_texts(df: DataFrame, keep: Callable[[list], np.ndarray], text: str = "text", most: int = 1_000_000) -> DataFrame:
+    """The rows, with all their columns, whose texts ``keep`` marks; column names may clash or repeat."""
+    importable(df.sparkSession)
+    _small_batches(df.sparkSession)
+    names = df.columns
+    plain = [f"c{k}" for k in range(len(names))]
+    first = plain[names.index(text)]
+    order = [first, *(c for c in plain if c != first)]
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(it, most):
+            yield part.filter(pa.array(keep(part.column(0).to_pylist()), pa.bool_()))
+
+    renamed = df.toDF(*plain).select(*order)
+    return renamed.mapInArrow(batches, renamed.schema).select(*plain).toDF(*names)
+
+
+def map_texts(df: DataFrame, run: Callable[[list, list[list]], pa.RecordBatch], schema: str, text: str = "text", most: int = 1_000_000) -> DataFrame:
     """``run(texts, other columns)`` over slices of about ``most`` characters of the partitions' rows.
 
     ``df`` has the text column first; the others follow in order.  Batches are
     cut by characters so that memory follows the longest text, not the rows.
     """
     importable(df.sparkSession)
+    _small_batches(df.sparkSession)
     columns = [text, *(c for c in df.columns if c != text)]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            import pyarrow.compute as pc
-
-            lengths = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist()
-            for i, j in slices(lengths, most):
-                part = batch.slice(i, j - i)
-                out = run(part.column(0).to_pylist(), [part.column(k) for k in range(1, part.num_columns)])
-                if out.num_rows:
-                    yield out
+        for part in _parts(it, most):
+            out = run(part.column(0).to_pylist(), [part.column(k) for k in range(1, part.num_columns)])
+            if out.num_rows:
+                yield out
 
     return df.select(*columns).mapInArrow(batches, schema)
 

@@ -104,7 +104,7 @@ def sequence_hash(words: np.ndarray) -> np.ndarray:
     return mix(np.sum(words * _WINDOW[: len(words)], dtype=np.uint64, keepdims=True) + _WINDOW[-1:] * U64(len(words) + 1))
 
 
-def slices(lengths: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(lengths: list[int], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts together take about ``most`` characters; a longer text stands alone."""
     at, total = 0, 0
     for k, n in enumerate(lengths):
