@@ -237,7 +237,7 @@ def train(docs: DataFrame, path: str, per_language: int = DOCUMENTS_PER_LANGUAGE
         lang = np.array(other[0].to_pylist(), object)[doc] if len(doc) else np.zeros(0, object)
         words = [t.buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(begin, end, strict=True)]
         counted = pd.DataFrame({"lang": lang, "word": words}).groupby(["lang", "word"], sort=True).size()
-        return pa.RecordBatch.from_arrays([pa.array(counted.index.get_level_values(0), pa.string()), pa.array(counted.index.get_level_values(1), pa.string()), pa.array(counted.to_numpy(), pa.int64())], ["lang", "word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(counted.index.get_level_values(0).tolist(), pa.string()), pa.array(counted.index.get_level_values(1).tolist(), pa.string()), pa.array(counted.to_numpy(), pa.int64())], ["lang", "word", "n"])
 
     counted = map_texts(sample.select("text", "lang"), run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted["lang"].unique())

@@ -169,7 +169,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each row as often as the mix takes it, with all its columns.  Rows without words are left out."""
-    taken = mix(docs).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)).alias("_copies"))
-    names = docs.columns
-    joined = docs.join(taken.withColumnRenamed("doc_id", "_id"), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")))
-    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in names])
+    copies = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
+    taken = mix(docs).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max(copies).alias("_mix_copies")).where("_mix_copies > 0")
+    joined = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(F.col("_mix_id")))
+    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies")))).drop("_mix_id", "_mix_copies", "_mix_copy")

@@ -1,0 +1,30 @@
+import corpus_pipeline
+from rillflow.llm import quality, queries, secrets
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_stages_chain_and_decide(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    names, kept = docs.columns, {}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "secret_scans", "mixing", "bpe"]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SMALL)
+        out.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        kept[name] = docs
+        if k < 4:
+            assert docs.columns == names
+    judged = quality.judge(spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")).where("kept")
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    assert ids(kept["quality_rules"]) == ids(judged)
+    assert len(ids(kept["near_dedup"])) < len(ids(judged)) and ids(kept["near_dedup"]) == ids(kept["secret_scans"])
+    before = {r["doc_id"]: r["text"] for r in kept["near_dedup"].collect()}
+    assert all(r["text"] == secrets.masked(before[r["doc_id"]]) for r in kept["secret_scans"].collect())
+    assert ids(kept["bpe"]) == ids(kept["mixing"])
+    assert sorted(map(str, corpus_pipeline.run(spark, SMALL).collect())) == sorted(map(str, kept["bpe"].collect()))
+
+
+def test_every_operator_has_one_query():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert set(queries.ORACLES) <= set(queries.QUERIES)
