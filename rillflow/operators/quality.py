@@ -96,3 +96,28 @@ def compare_runs(prior: DataFrame, fresh: DataFrame, key: str = "requested_rate"
 def matching_metrics(metrics: DataFrame, id_: str = "id") -> DataFrame:
     """Metrics of lag, pending work, backlog or emission."""
     return metrics.where(F.lower(id_).rlike("lag|pending|backlog|emit"))
+
+
+def recovery(polls: DataFrame, value: str, at_ms: str, killed_ms: int, order: str = "poll", equal: int = 3) -> DataFrame:
+    """One row: when the value was first stable after a kill, and how long that took; nulls if it never was."""
+    after = drained(polls.where(F.col(at_ms) >= killed_ms), value, order, equal)
+    stable = F.max(at_ms)
+    return after.agg(F.lit(killed_ms).alias("kill_at_ms"), stable.alias("stabilized_at_ms"), (stable - killed_ms).alias("recovery_time_ms"))
+
+
+def level_report(samples: DataFrame, checkpoints: DataFrame, events: DataFrame, reconciled: DataFrame) -> DataFrame:
+    """One row with one struct a part: throughput, checkpoint durations, latency, reconciliation of a load level.
+
+    ``samples`` has at_ms and total, ``checkpoints`` ms, ``events`` received_at and event_time.
+    """
+    parts = {"throughput": throughput(samples, "at_ms", "total"), "checkpoints": duration_stats(checkpoints, "ms"), "latency": latency(events, "received_at", "event_time"), "reconciliation": reconciled}
+    rows = [df.select(F.struct(*df.columns).alias(name)) for name, df in parts.items()]
+    report = rows[0]
+    for row in rows[1:]:  # each has one row
+        report = report.join(F.broadcast(row), F.lit(True))
+    return report
+
+
+def sent_counts(records: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """One row: all records, and how many have each boolean column of ``kinds`` set."""
+    return records.agg(F.count("*").alias("sent"), *[F.count_if(F.col(k)).alias(k) for k in kinds])

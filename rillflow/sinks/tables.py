@@ -107,8 +107,17 @@ def kafka_rows(rows: DataFrame, key: str | None = None) -> DataFrame:
     return rows.select(F.col(key).cast("string").alias("key"), value) if key else rows.select(value)
 
 
-def bootstrap(spark: SparkSession, database: str = "analytics") -> None:
-    """Creates the tables that are missing; may run again."""
+def inspect(rows: DataFrame, prefix: str):
+    """A console writer of a stream, a line of JSON behind ``prefix`` each; not started yet."""
+    line = F.concat(F.lit(f"{prefix}: "), F.to_json(F.struct(*rows.columns)))
+    return rows.select(line.alias("line")).writeStream.format("console").option("truncate", "false").outputMode("append")
+
+
+def bootstrap(spark: SparkSession, database: str = "analytics", version: str = "2") -> None:
+    """Creates the tables that are missing and notes the version; may run again.
+
+    An events table of an older shape, without event_id, is dropped first.
+    """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     tables = {
         "events": "event_id STRING, user_id STRING, merchant_id STRING, amount BIGINT, currency STRING, transaction_type STRING, event_time TIMESTAMP, ingest_time TIMESTAMP, schema_version INT, received_at TIMESTAMP",
@@ -116,5 +125,10 @@ def bootstrap(spark: SparkSession, database: str = "analytics") -> None:
         "anomalies": "anomaly_id BIGINT, anomaly_type STRING, event_id STRING, user_id STRING, transaction_count BIGINT, velocity_window_seconds INT, velocity_threshold BIGINT, amount BIGINT, rolling_99th_percentile DOUBLE, history_size INT, detected_at TIMESTAMP",
         "schema_migrations": "version STRING, applied_at TIMESTAMP",
     }
+    if spark.catalog.tableExists(f"{database}.events") and "event_id" not in spark.table(f"{database}.events").columns:
+        spark.sql(f"DROP TABLE {database}.events")
     for name, columns in tables.items():
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
+    ledger = f"{database}.schema_migrations"
+    if spark.table(ledger).where(F.col("version") == version).isEmpty():
+        spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("applied_at")).write.insertInto(ledger)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.expressions import iso_ms, padded_id
 
@@ -18,6 +18,7 @@ CURRENCIES = ("NGN", "USD", "GBP", "EUR")
 BAD_CURRENCIES = ("ZZZ", "INVALID")
 TYPES = ("purchase", "transfer", "bill_payment", "cash_withdrawal")
 BAD_TYPES = ("chargeback_test", "unknown_type")
+CHUNK = 50_000
 DROPPABLE = ("merchant_id", "amount", "currency", "event_time")
 
 
@@ -30,6 +31,9 @@ class Profile:
     merchants: int = 100
     rate_per_second: float = 100.0
     zipf: bool = False
+    zipf_exponent: float = 1.2
+    burst: float = 0.0
+    burst_multiplier: float = 5.0
     duplicate: float = 0.0
     late: float = 0.0
     late_max_s: float = 120.0
@@ -40,9 +44,9 @@ class Profile:
     start_ms: int = 1_704_067_200_000
 
     def __post_init__(self) -> None:
-        if self.records < 0 or self.users < 1 or self.merchants < 1 or self.rate_per_second <= 0 or self.late_max_s < 0:
+        if self.records < 0 or self.users < 1 or self.merchants < 1 or self.rate_per_second <= 0 or self.late_max_s < 0 or self.zipf_exponent <= 0 or self.burst_multiplier < 1:
             raise ValueError("counts, pool sizes and the rate must be positive")
-        if any(not 0 <= x <= 1 for x in (self.duplicate, self.late, self.out_of_order, self.malformed)):
+        if any(not 0 <= x <= 1 for x in (self.burst, self.duplicate, self.late, self.out_of_order, self.malformed)):
             raise ValueError("rates lie between 0 and 1")
         if self.malformed_kind not in ("structural", "semantic"):
             raise ValueError("malformed_kind is structural or semantic")
@@ -64,13 +68,21 @@ def generate(spark: SparkSession, profile: Profile) -> DataFrame:
     p, u = profile, lambda salt: _uniform(profile.seed, salt)
     rows = spark.range(p.records).withColumnRenamed("id", "n")
     if p.zipf:
-        share = np.cumsum(1 / np.arange(1, p.users + 1) ** 1.2)
+        share = np.cumsum(1 / np.arange(1, p.users + 1) ** p.zipf_exponent)
         edges = F.array(*[F.lit(float(x)) for x in share / share[-1]])
         user = F.size(F.filter(edges, lambda e: e < u("user")))
     else:
         user = F.floor(u("user") * p.users).cast("int")
     back = F.when(u("late?") < p.late, min(1.0, p.late_max_s) + u("lag") * max(p.late_max_s - 1, 0)).otherwise(0.0)
-    at = F.lit(p.start_ms) + F.floor(F.col("n") * (1000 / p.rate_per_second))
+    if p.burst:  # intervals shrink at random; their running sum is taken in two levels
+        rows = rows.withColumn("chunk", F.floor(F.col("n") / CHUNK)).withColumn("wait", F.when(u("burst?") < p.burst, 1 / p.burst_multiplier).otherwise(1.0))
+        waits = rows.groupBy("chunk").agg(F.sum("wait").alias("wait"))
+        before = waits.select("chunk", F.coalesce(F.sum("wait").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
+        so_far = F.coalesce(F.sum("wait").over(W.partitionBy("chunk").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+        rows = rows.join(before, "chunk").select("n", (F.col("before") + so_far).alias("turn"))
+    else:
+        rows = rows.withColumn("turn", F.col("n").cast("double"))
+    at = F.lit(p.start_ms) + F.floor(F.col("turn") * (1000 / p.rate_per_second))
     normal = F.sqrt(-2 * F.log(u("a1"))) * F.cos(2 * np.pi * u("a2"))
     amount = F.least(F.greatest(F.round(F.exp(10.5 + 0.9 * normal)), F.lit(100.0)), F.lit(5_000_000.0)).cast("long")
     bad, wrong = u("bad?") < p.malformed, u("wrong")
