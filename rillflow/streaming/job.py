@@ -15,15 +15,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import dedup, eventtime, validate, windows
+from ..schema import DEDUP_TTL
 from ..sinks.tables import KeyedTable, append_batch, exists, read_appended
 from .stateful import anomalies
 
 
 class StreamJob:
-    """Sinks under ``out``: dead_letters, late, accepted and partials (appended by batch), events (upserted by id)."""
+    """Sinks under ``out``: dead_letters, late, accepted and partials (appended by batch), events (upserted by id).
 
-    def __init__(self, spark: SparkSession, out: str, strict: bool = True):
-        self.spark, self.out, self.strict = spark, out, strict
+    Ids are remembered for ``remember`` of wall-clock time, so that a batch
+    looks through a bounded stretch of history; an older repeat is still one
+    row of events.  None remembers all.
+    """
+
+    def __init__(self, spark: SparkSession, out: str, strict: bool = True, remember: str | None = DEDUP_TTL):
+        self.spark, self.out, self.strict, self.remember = spark, out, strict, remember
         self.events = KeyedTable(spark, f"{out}/events", ["event_id"], keep=["received_at"])
 
     def _before(self, name: str, batch: int) -> DataFrame | None:
@@ -37,6 +43,8 @@ class StreamJob:
             append_batch(validate.dead_letters(records, strict=self.strict), f"{self.out}/dead_letters", batch)
             events = validate.valid_events(records, strict=self.strict)
             seen = self._before("accepted", batch)
+            if seen is not None and self.remember:
+                seen = seen.where(F.col("received_at") >= F.current_timestamp() - F.expr(f"INTERVAL {self.remember}"))
             fresh = dedup.first_arrivals(events) if seen is None else dedup.new_arrivals(events, seen)
             fresh = fresh.withColumn("ts_ms", F.unix_millis("event_time")).withColumn("received_at", F.current_timestamp())
             tops = self._before("watermarks", batch)
