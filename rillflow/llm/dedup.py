@@ -9,7 +9,7 @@ as frequent as sets are alike.
 Equal sets are one class.  Bands of registers put classes into buckets.  Each
 bucket first meets its most typical member (one pair a member); what that
 links is contracted.  Then only pairs of different components meet: all in
-buckets of up to 32 members; in larger ones by an exact prefix filter, since
+buckets of up to 16 members; in larger ones by an exact prefix filter, since
 two sets alike enough share one of their rarest shingles.  Pairs of fitting
 sizes whose registers' joint likelihood is greatest near the threshold are
 confirmed on the full sets.
@@ -34,10 +34,10 @@ from .wordtable import U64, WordTable, mix, sequence_hash, window_hashes
 
 WIDTH = 5
 LINK = 85  # percent of the union that two linked sets share
-REGISTERS, BANDS, ROWS = 128, 20, 4
+REGISTERS, BANDS, ROWS = 256, 24, 5
 BASE, RATE, TOP = 1.001, 20.0, 65_535
-MARGIN = 0.13  # below the threshold, four standard errors of the estimate
-FEW = 32  # members of a bucket whose pairs are all tried
+MARGIN = 0.09  # below the threshold, four standard errors of the estimate
+FEW = 16  # members of a bucket whose pairs are all tried
 _DRAW = mix(np.arange(1, REGISTERS + 2, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 
 
