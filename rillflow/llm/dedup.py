@@ -37,6 +37,7 @@ LINK = 85  # percent of the union that two linked sets share
 REGISTERS, BANDS, ROWS = 256, 24, 5
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 MARGIN = 0.09  # below the threshold, four standard errors of the estimate
+LINKS_PER_TASK = 50_000
 FEW = 16  # members of a bucket whose pairs are all tried
 _DRAW = mix(np.arange(1, REGISTERS + 2, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 
@@ -174,19 +175,31 @@ def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """doc, component (its smallest reachable doc) of all docs that edges (a, b) name; labels fall, and jump along labels, until none changes."""
+    """doc, component (its smallest reachable doc) of all docs that edges (a, b) name; labels fall, and jump along labels, until none changes.
+
+    Tables of links are small beside the documents, so each step runs in as
+    many tasks as they need and no more.
+    """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("m")).select("doc", F.least("doc", "m").alias("component")))
+    parts = max(edges.sparkSession.sparkContext.defaultParallelism, math.ceil(both.count() / LINKS_PER_TASK))
+    few = lambda df: df.coalesce(parts)
+    labels = cut(few(both.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("m")).select("doc", F.least("doc", "m").alias("component"))))
     while True:
-        near = both.join(labels.select(F.col("doc").alias("b"), "component"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("component").alias("near"))
-        fallen = labels.join(near, "doc").select("doc", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        near = few(both.join(labels.select(F.col("doc").alias("b"), "component"), "b")).groupBy(F.col("a").alias("doc")).agg(F.min("component").alias("near"))
+        fallen = few(labels.join(near, "doc")).select("doc", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         ahead = labels.select(F.col("doc").alias("component"), F.col("component").alias("ahead"))
-        jumped = cut(fallen.join(ahead, "component", "left").select("doc", "was", F.least("component", F.coalesce("ahead", "component")).alias("component")))
+        jumped = cut(few(fallen.join(ahead, "component", "left").select("doc", "was", F.least("component", F.coalesce("ahead", "component")).alias("component"))))
         labels = jumped.select("doc", "component")
         if jumped.where("was <> component").isEmpty():
             return labels
 
 
+def _through(labels: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """Rows with the doc in column ``name`` replaced by its component."""
+    of = labels.select(F.col("doc").alias(name), F.col("component").alias("_component"))
+    return rows.join(of, name, "left").withColumn(name, F.coalesce("_component", name)).drop("_component")
+
+
 def _stars(members: DataFrame) -> DataFrame:
     """(a, b): each bucket's most typical member with each other one."""
     typical = members.groupBy("doc").agg(F.sum("size").alias("score"))
@@ -248,9 +261,9 @@ def groups(docs: DataFrame) -> DataFrame:
     sparse = _across(labelled.where(F.col("size") <= FEW), ["band", "value"])
     more = cut(sparse.unionByName(_across(_prefixes(cut(dense), sets), ["token"], ranked=True)).distinct())
     second = _links(more, classes, sets)
-    labels = components(first.unionByName(second))
+    merged = components(_through(labels, _through(labels, second, "a"), "b"))  # links between components
 
-    final = classes.join(labels, "doc", "left").select("key", F.coalesce("component", "doc").alias("component"))
+    final = _through(merged, _through(labels, classes.select("key", F.col("doc").alias("component")), "component"), "component")
     joined = sketched.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("key")).alias("key")).join(final, "key", "left")
     component = F.coalesce("component", "doc_id")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
