@@ -27,6 +27,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST_REPEATS = 1.5, 2
 SEED = 11
 KNAPSACK_WORDS = 200_000  # what the dynamic programme fits; larger budgets are first filled in proportion
+MOST_BROADCAST = 100_000  # sources; more are joined by exchange
 PARTS = 256  # into which the documents of one length and source are split for ranking
 
 
@@ -120,7 +121,8 @@ def _sized(docs: DataFrame) -> DataFrame:
 def _budgets(sized: DataFrame) -> pd.DataFrame:
     """One row a source: its size, target, copies of every document, words beyond those."""
     found = sized.groupBy("source").agg(F.sum("size").alias("source_size")).toPandas()
-    found["order"] = [(s is None, (s or "").encode("utf-8", "surrogatepass")) for s in found["source"]]
+    found["source"] = [s if isinstance(s, str) else None for s in found["source"].tolist()]
+    found["order"] = [(s is None, (s or "").encode("utf-8", "surrogatepass")) for s in found["source"].tolist()]
     found = found.sort_values("order", ignore_index=True).drop(columns="order")
     found["target"] = np.array(targets([int(x) for x in found["source_size"]]), np.float64)
     size = found["source_size"].to_numpy(np.int64)
@@ -140,13 +142,11 @@ def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row."""
     spark = docs.sparkSession
     sized = cut(_sized(docs).withColumn("draw", F.xxhash64("doc_id", F.lit(SEED))).withColumn("part", F.pmod("draw", F.lit(PARTS)).cast("int")))
-    budgets = spark.createDataFrame(
-        [tuple(None if x is None else x for x in row) for row in _budgets(sized)[["source", "source_size", "target", "copies", "budget"]].astype(object).itertuples(index=False)],
-        "source string, source_size long, target double, copies long, budget long",
-    )
+    rows = [(s, int(n), float(t), int(c), int(b)) for s, n, t, c, b in _budgets(sized)[["source", "source_size", "target", "copies", "budget"]].astype(object).itertuples(index=False)]
+    budgets = spark.createDataFrame(rows, "source string, source_size long, target double, copies long, budget long")
     parts = sized.where("size > 0").groupBy("source", "size", "part").agg(F.count("*").alias("n"))
     counts = parts.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    small = F.broadcast(budgets)  # one row a source, made on the driver
+    small = F.broadcast(budgets) if len(rows) <= MOST_BROADCAST else budgets  # one row a source
 
     def chosen(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("size")
