@@ -6,7 +6,6 @@ from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

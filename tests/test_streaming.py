@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from rillflow.operators import quality
 from rillflow.plans import batch
@@ -14,7 +14,7 @@ PROFILE = Profile(records=900, users=5, duplicate=0.1, late=0.1, out_of_order=0.
 
 @pytest.fixture(scope="module")
 def records(spark):
-    return generate(spark, PROFILE).withColumn("seq", F.row_number().over(__import__("pyspark").sql.Window.orderBy("seq", "raw")).cast("long")).persist()
+    return generate(spark, PROFILE).withColumn("seq", F.row_number().over(W.orderBy("seq", "raw")).cast("long")).persist()
 
 
 def rows(df, *names):
@@ -31,15 +31,8 @@ def test_generator_is_seeded_and_faulty(spark, records):
     assert batch.run(semantic).dead_letters.count() == 0
 
 
-def feed(spark, records, folder, parts):
-    for k in range(parts):
-        size = 1 + 1000 // parts
-        part = records.where(F.floor(F.col("seq") / size) == k)
-        part.coalesce(1).write.mode("overwrite").json(f"{folder}/in/{k:03d}")
-
-
-def stream(spark, folder, parts):
-    """One file a micro-batch, in order of arrival."""
+def stream(spark, folder):
+    """One file a micro-batch."""
     return spark.readStream.schema("raw string, seq long").option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(f"{folder}/in/*")
 
 
@@ -60,7 +53,7 @@ def test_stream_equals_batch_and_survives_a_restart(spark, records, tmp_path):
 
         runner = StreamJob(spark, f"{folder}/out")
         runner.process = process
-        return runner.start(stream(spark, folder, parts), f"{folder}/checkpoint")
+        return runner.start(stream(spark, folder), f"{folder}/checkpoint")
 
     for k in range(parts):  # files come one by one, so each is a batch of its own
         size = 1 + 1100 // parts
