@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schema import HISTORY_LEAST, HISTORY_ROWS, QUANTILE, VELOCITY_THRESHOLD, VELOCITY_WINDOW_MS
+from ..workers import importable
 
 RUN = 2048  # consecutive events of a user in one part
 CHUNK = 50_000  # arrivals in one part when events are numbered
@@ -111,6 +112,7 @@ def in_arrival_order(events: DataFrame, user: str = "user_id", time_ms: str = "t
     Rows of a user meet in one task and stream through it in order; only the
     current user's state is held.
     """
+    importable(events.sparkSession)
     rows = events.select(F.col("event_id").cast("string").alias("event_id"), F.col(user).cast("string").alias("user_id"), F.col(time_ms).alias("ts"), "amount", F.col(order).alias("o"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.anomaly import COLUMNS, DTYPES, SCHEMA, anomaly_rows, step
+from ..workers import importable
 
 STATE = "times array<long>, amounts array<long>"
 
 
 def anomalies(stream: DataFrame, user: str = "user_id", time_ms: str = "ts_ms", order: str = "seq") -> DataFrame:
     """Both anomalies of each user's events, a micro-batch's events in order of ``order``."""
+    importable(stream.sparkSession)
     rows = stream.select(F.col("event_id").cast("string").alias("event_id"), F.col(user).cast("string").alias("user_id"), F.col(time_ms).alias("ts"), "amount", F.col(order).alias("o"))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
