@@ -72,12 +72,14 @@ class KeyedTable:
         old = self._read(before, touched)
         if old is not None:
             incoming = incoming.unionByName(old.withColumn("_batch_", F.lit(0)).withColumn("_order_", F.lit(0).cast("long")), allowMissingColumns=True)
-        latest = W.partitionBy(*self.keys).orderBy(F.desc("_batch_"), F.desc("_order_"))
+        # one exchange by part serves both windows and leaves one file a part
+        incoming = incoming.withColumn("_part_", part).repartition(len(touched), "_part_")
+        latest = W.partitionBy("_part_", *self.keys).orderBy(F.desc("_batch_"), F.desc("_order_"))
         merged = incoming.withColumn("_nth_", F.row_number().over(latest))
         for c in self.keep:
-            first = W.partitionBy(*self.keys).orderBy("_batch_", "_order_").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+            first = W.partitionBy("_part_", *self.keys).orderBy("_batch_", "_order_").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
             merged = merged.withColumn(f"_first_{c}_", F.first(c, ignorenulls=True).over(first)).withColumn(c, F.col(f"_first_{c}_")).drop(f"_first_{c}_")
-        merged = merged.where("_nth_ = 1").select(*names, part.alias("_part"))
+        merged = merged.where("_nth_ = 1").select(*names, F.col("_part_").alias("_part"))
         merged.write.mode("overwrite").partitionBy("_part").parquet(f"{self.path}/data/v={batch}")
         manifest = before | dict.fromkeys(touched, batch)
         self.spark.createDataFrame(sorted(manifest.items()), "part int, batch long").coalesce(1).write.mode("overwrite").json(f"{self.path}/_manifest/v={batch}")
