@@ -9,8 +9,9 @@ how little the literal looks like a word or a placeholder.  A literal that
 scores enough and overlaps no other span is added with kind ``literal``; if the
 value came through a constant, the span is where the constant got it.
 
-Positions are code points, ends exclusive.  Work is linear in a text's length;
-a quoted string of over 1,024 characters is read as its parts.
+Positions are code points, ends exclusive.  Work is linear in a text's length:
+quoted strings of any length are read without going back, and once a quote is
+found to have no closing one, later quotes of its kind on the line aren't tried.
 
 Cases: a null or empty text has no spans; repeated rows are scanned as often
 as they occur; an empty table gives an empty result; a null doc_id is carried
@@ -23,6 +24,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -37,14 +39,15 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 LEAST_SCORE = 0.5
 MASK = "[SECRET]"
 
-TOKEN = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.){0,1024}"|'(?:[^'\\\n]|\\.){0,1024}')"""
-    r"""|(?P<op>:=|=>|==|!=|<=|>=|[=:+])"""
+STRING = {q: rf"{q}[^{q}\\]*+(?:\\.[^{q}\\]*+)*+{q}" for q in "\"'"}
+REST = (
+    r"""(?P<op>:=|=>|==|!=|<=|>=|[=:+])"""
     r"""|(?P<ref>\$\{?[A-Za-z_]\w*\}?)"""
     r"""|(?P<bare>[A-Za-z0-9_][\w./+=-]*)"""
-    r"""|(?P<gap>[ \t]+)|(?P<other>.)""",
-    re.S,
+    r"""|(?P<gap>[ \t]+)|(?P<other>.)"""
 )
+# by the kinds of quote that may still open a string
+TOKEN = {kinds: re.compile("|".join([*(["(?P<string>" + "|".join(STRING[q] for q in kinds) + ")"] if kinds else []), REST]), re.S) for kinds in ("\"'", '"', "'", "")}
 NAME = re.compile(r"[A-Za-z_][\w.-]*\Z")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -99,6 +102,22 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
     return pairs
 
 
+def tokens(line: str) -> Iterator[re.Match]:
+    """The line's tokens in order.
+
+    A quote without a closing one is ``other``.  Later quotes of its kind have
+    none either, as each of them was read as escaped on the way to the end.
+    """
+    at, kinds = 0, "\"'"
+    while at < len(line):
+        for m in TOKEN[kinds].finditer(line, at):
+            yield m
+            at = m.end()
+            if m.lastgroup == "other" and m[0] in kinds:
+                kinds = kinds.replace(m[0], "")
+                break
+
+
 def _line(line: str, at: int, pairs: list, constants: dict) -> None:
     name, target, value, joined = "", "", [], False
 
@@ -109,13 +128,13 @@ def _line(line: str, at: int, pairs: list, constants: dict) -> None:
             constants[target] = value
         target, value = "", []
 
-    for m in TOKEN.finditer(line):
+    for m in tokens(line):
         kind, token = m.lastgroup, m[0]
         if kind == "gap":
             continue
         if kind == "op":
             if token in ("=", ":", ":=", "=>"):
-                if name and (not value or name == line[value[-1][0] - at : value[-1][1] - at]):
+                if name and (not value or len(name) == value[-1][1] - value[-1][0] and name == line[value[-1][0] - at : value[-1][1] - at]):
                     if value:
                         value.pop()
                     close()
@@ -154,11 +173,13 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     base = base_spans(text)
     if "=" not in text and ":" not in text:
         return base
-    scored = {}
+    scored, looks = {}, {}  # looks: a literal is judged once, however many names lead to it
     for name, literals in assignments(text):
         if sensitive := sensitivity(name):
             for a, b, quoted in literals:
-                if sensitive * secrecy(text[a:b], quoted) >= LEAST_SCORE:
+                if (a, b, quoted) not in looks:
+                    looks[a, b, quoted] = secrecy(text[a:b], quoted)
+                if sensitive * looks[a, b, quoted] >= LEAST_SCORE:
                     scored[a, b] = True
     if not scored:
         return base
