@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.expressions import elapsed_ms
 
+CHUNKS = 64  # ranges in which ordered rows are numbered
+
 
 def ids(rows: DataFrame, id_: str = "event_id") -> DataFrame:
     """The distinct ids that are text or numbers; nulls are left out."""
@@ -44,18 +46,31 @@ def latency(rows: DataFrame, later: str, earlier: str, percents: Sequence[int] =
     return rows.agg(*[F.percentile(ms, p / 100).alias(f"p{p}_ms") for p in percents])
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """The value at place max(1, floor(n * share)) of an array in order; null if empty."""
-    at = F.greatest(F.lit(1), F.floor(F.size(values) * share)).cast("int")
-    return F.when(F.size(values) > 0, F.element_at(F.array_sort(values), at))
+def _chunked(rows: DataFrame, order: str, chunks: int = CHUNKS) -> DataFrame:
+    """Adds ``_chunk``, the number of the range of ``order`` that a row is in; equal rows are in one, nulls in the first."""
+    edges = rows.agg(F.percentile_approx(order, [k / chunks for k in range(1, chunks)], 100 * chunks)).first()[0] or []
+    above = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda edge: edge < F.col(order))) if edges else F.lit(0)
+    return rows.withColumn("_chunk", F.when(F.col(order).isNotNull(), above).otherwise(0))
 
 
-def duration_stats(rows: DataFrame, value: str) -> DataFrame:
-    """One row: n, minimum, mean, maximum and nearest-rank 95th percentile; nulls without rows.
+def nearest_rank(rows: DataFrame, value: str, share: float) -> DataFrame:
+    """One row, ``ranked``: the value at place max(1, floor(n * share)) of the n values in order; null if there are none.
 
-    For measurements of one run, whose values fit in a row.
+    Rows are first counted by value; counts are summed up inside ranges of
+    values and over the ranges' sums, so no task has to hold all of them.
     """
-    return rows.agg(F.count(value).alias("n"), F.min(value).alias("min_ms"), F.avg(value).alias("avg_ms"), F.max(value).alias("max_ms"), nearest_rank(F.collect_list(value), 0.95).alias("p95_ms"))
+    counted = _chunked(rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")), value)
+    before = W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    sums = counted.groupBy("_chunk").agg(F.sum("_n").alias("_sum")).select("_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    upto = F.col("_before") + F.sum("_n").over(W.partitionBy("_chunk").orderBy(value))
+    place = counted.agg(F.greatest(F.lit(1), F.floor(F.sum("_n") * share)).alias("_place"))
+    return counted.join(F.broadcast(sums), "_chunk").withColumn("_upto", upto).join(F.broadcast(place), F.expr("_upto >= _place")).agg(F.min(value).alias("ranked"))
+
+
+def duration_stats(rows: DataFrame, value: str) -> DataFrame:
+    """One row: n, minimum, mean, maximum and nearest-rank 95th percentile; nulls without rows."""
+    stats = rows.agg(F.count(value).alias("n"), F.min(value).alias("min_ms"), F.avg(value).alias("avg_ms"), F.max(value).alias("max_ms"))
+    return stats.join(F.broadcast(nearest_rank(rows, value, 0.95).withColumnRenamed("ranked", "p95_ms")), F.lit(True))
 
 
 def throughput(samples: DataFrame, at_ms: str, total: str) -> DataFrame:
@@ -65,19 +80,37 @@ def throughput(samples: DataFrame, at_ms: str, total: str) -> DataFrame:
     return samples.agg(delta.alias("delta"), (delta / seconds).alias("per_second"))
 
 
+def _with_earlier(rows: DataFrame, value: str, order: str, most: int) -> DataFrame:
+    """Adds ``_earlier_1`` to ``_earlier_most``: the value that many rows before in order of ``order``, null if there is none.
+
+    Two levels: the rows before in ranges of ``order``, and for a range's first
+    rows the last ones of the ranges before.
+    """
+    parts = _chunked(rows, order).withColumn("_nth", F.row_number().over(W.partitionBy("_chunk").orderBy(order)))
+    size = F.count("*").over(W.partitionBy("_chunk"))
+    ends = parts.withColumn("_left", size - F.col("_nth")).where(F.col("_left") < most)
+    ends = ends.groupBy("_chunk").agg(F.sort_array(F.collect_list(F.struct("_nth", F.col(value).alias("v")))).alias("_ends"))  # ``most`` rows a range
+    tails = ends.select("_chunk", F.flatten(F.collect_list("_ends").over(W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1))).alias("_tail"))
+    found = parts.join(F.broadcast(tails), "_chunk")
+    for k in range(1, most + 1):
+        at = F.size("_tail") - (k - F.col("_nth"))  # counted from 1
+        inside = F.lag(value, k).over(W.partitionBy("_chunk").orderBy(order))
+        found = found.withColumn(f"_earlier_{k}", F.when(F.col("_nth") > k, inside).when(at >= 1, F.get("_tail", at - 1)["v"]))
+    return found.drop("_chunk", "_nth", "_tail")
+
+
 def drained(polls: DataFrame, value: str, order: str = "poll", equal: int = 3) -> DataFrame:
     """The first poll at which the last ``equal`` polls agree; none if they never do."""
-    w = W.partitionBy(F.lit(0)).orderBy(order)  # polls of one run
     same = F.lit(True)
     for k in range(1, equal):
-        same = same & (F.col(value) == F.lag(value, k).over(w))
-    return polls.withColumn("stable", F.coalesce(same, F.lit(False))).where("stable").orderBy(order).limit(1).drop("stable")
+        same = same & (F.col(value) == F.col(f"_earlier_{k}"))
+    return _with_earlier(polls, value, order, equal - 1).where(same).orderBy(order).limit(1).select(*polls.columns)
 
 
 def first_growth(polls: DataFrame, value: str, order: str = "poll") -> DataFrame:
     """The first poll whose value is above the one before, with the difference."""
-    w = W.partitionBy(F.lit(0)).orderBy(order)
-    return polls.withColumn("growth", F.col(value) - F.lag(value).over(w)).where("growth > 0").orderBy(order).limit(1)
+    found = _with_earlier(polls, value, order, 1).withColumn("growth", F.col(value) - F.col("_earlier_1"))
+    return found.where("growth > 0").orderBy(order).limit(1).select(*polls.columns, "growth")
 
 
 def rates(summaries: DataFrame, value: str, at_ms: str) -> DataFrame:

@@ -55,3 +55,29 @@ def test_stats(spark):
     both = quality.compare_runs(spark.createDataFrame([(1, 2), (5, 6)], "requested_rate int, x int"), spark.createDataFrame([(1, 3)], "requested_rate int, x int"))
     assert sorted((r["requested_rate"], r["fresh_x"]) for r in both.collect()) == [(1, 3), (5, None)]
     assert quality.matching_metrics(spark.createDataFrame([("records-lag-max",), ("heap",)], "id string")).count() == 1
+
+
+def test_whole_tables_of_durations_and_polls(spark):
+    n = 20_000
+    polls = spark.range(n, numPartitions=7).select(F.col("id").alias("poll"), F.when(F.col("id") < 12_345, 2 * F.floor(F.col("id") / 2)).otherwise(12_345).alias("v"), (F.col("id") * 7919 % 4001).alias("ms"))
+    ms = sorted(k * 7919 % 4001 for k in range(n))
+    assert tuple(quality.duration_stats(polls, "ms").first()) == (n, ms[0], sum(ms) / n, ms[-1], ms[int(n * 0.95) - 1])
+    assert tuple(quality.drained(polls, "v").first()) == (12_347, 12_345, 12_347 * 7919 % 4001)
+    assert quality.drained(polls.where("poll < 12345"), "v").count() == 0
+    assert tuple(quality.first_growth(polls.where("poll >= 12344"), "v").first())[:2] == (12_345, 12_345)
+    assert quality.first_growth(polls.where("poll >= 12345"), "v").count() == 0
+    values = [None if k % 11 == 0 else k // 3 for k in range(1000)]
+    rows = spark.createDataFrame(list(enumerate(values)), "poll int, v int").repartition(5)
+    got = {r["poll"]: (r["_earlier_1"], r["_earlier_2"], r["_earlier_3"]) for r in quality._with_earlier(rows, "v", "poll", 3).collect()}
+    assert got == {k: tuple(values[k - j] if k >= j else None for j in (1, 2, 3)) for k in range(1000)}
+    few = rows.where("poll < 3")
+    assert {r["poll"]: r["_earlier_2"] for r in quality._with_earlier(few, "v", "poll", 2).collect()} == {0: None, 1: None, 2: values[0]}
+
+
+def test_no_task_holds_all_durations_or_polls(spark):
+    polls = spark.range(5000).select(F.col("id").alias("poll"), F.floor(F.col("id") / 3).alias("v"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan(quality.duration_stats(polls, "v"))
+    for found in (quality.drained(polls, "v"), quality.first_growth(polls, "v")):
+        windows = [line for line in plan(found).splitlines() if "Window [" in line and "lag(" in line]
+        assert windows and all(line.count("[_chunk#") for line in windows)
