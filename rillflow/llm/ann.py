@@ -12,7 +12,8 @@ farther than among all vectors, so recall on all is no less.
 Queries and vectors meet in blocks.  Equal vectors are one entry with their
 smallest ids, as larger ones can't be among the nearest.  Where the ball holds
 too few in a block, that block is searched in full, so no query lacks
-neighbours.
+neighbours; so are vectors of a length that the sample has too few of to learn
+codes from.
 
 Cases: vectors that are null, zero or hold a null or non-finite component take
 no part; those of another length are never compared; a vec_id's repeated equal
@@ -130,17 +131,17 @@ def _search(queries: pd.DataFrame, vectors: pd.DataFrame, models: dict[int, Rota
     length = vectors["vec"].map(len)
     for n, part in queries.groupby(queries["vec"].map(len)):
         own = vectors[length == n]
-        if not len(own) or n not in models:
+        if not len(own):
             continue
-        model, ids = models[n], own["ids"].tolist()
+        model, ids = models.get(n), own["ids"].tolist()
         raw = np.stack([np.frombuffer(v, "<f8") for v in own["vec"]])
         unit, size = _unit(own["vec"])
-        index = SubstringIndex(model.encode(unit))
+        index = SubstringIndex(model.encode(unit)) if model else None
         for k in range(0, len(part), BATCH):
             some = part.iloc[k : k + BATCH]
             q, q_size = _unit(some["vec"])
             q_raw = np.stack([np.frombuffer(v, "<f8") for v in some["vec"]])
-            found = index.within(model.encode(q), model.radius)
+            found = index.within(model.encode(q), model.radius) if model else np.ones((len(q), len(own)), bool)
             found[found.sum(axis=1) < nearest + 1] = True  # too few in this block: all of it
             for r, (query_id, rows) in enumerate(zip(some["vec_id"], found, strict=True)):
                 at = np.flatnonzero(rows)
@@ -164,8 +165,9 @@ def search(table: DataFrame, every: int = EVERY, nearest: int = NEAREST) -> Data
     models: dict[int, RotatedCodes] = {}
     sample = entries.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE_VECTORS).select("vec").toPandas()["vec"]
     lengths = sample.map(len)
-    for n in sorted(set(lengths)):
-        models[n] = RotatedCodes().fit(_unit(sample[lengths == n])[0])
+    for n, seen in sorted(lengths.value_counts().items()):
+        if seen > nearest + 1:  # rarer lengths are searched in full
+            models[n] = RotatedCodes().fit(_unit(sample[lengths == n])[0])
 
     blocks = max(1, math.ceil(entries.count() / BLOCK_VECTORS))
     chunks = max(1, math.ceil(queries.count() / BLOCK_QUERIES))

@@ -128,3 +128,19 @@ def test_probing_finds_the_whole_ball():
     for radius in (0, 60, 110, 128):
         want = np.stack([ann.distance(codes, q) <= radius for q in codes[:20]])
         assert (ann.SubstringIndex(codes).within(codes[:20], radius) == want).all()
+
+
+def test_vectors_of_lengths_the_sample_lacks_are_searched(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE_VECTORS", 20)
+    monkeypatch.setattr(ann, "BLOCK_VECTORS", 100)
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in rng.normal(size=16 if k % 50 > 1 or k < 100 else 4 + k // 200)]) for k in range(600)]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    for q, vec in rows[::50]:
+        if len(vec) < 16:
+            unit = lambda v: np.array(v) / np.linalg.norm(v)
+            want = sorted((i for i, v in rows if i != q and len(v) == len(vec)), key=lambda i: -unit(rows[i][1]) @ unit(vec))[:5]
+            assert [got[q][k] for k in sorted(got[q])] == want
+    assert set(got) == {q for q, _ in rows[::50]}
