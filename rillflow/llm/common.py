@@ -97,6 +97,22 @@ def map_texts(df: DataFrame, run: Callable[[list, list[list]], pa.RecordBatch],
     return df.select(*columns).mapInArrow(batches, schema)
 
 
+def with_rows(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """The rows with a number of their own in ``_row``, and whether that is every row's doc_id.
+
+    Else the first row of each doc_id has that id, and repeated and null ids
+    get numbers above all ids.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    if docs.groupBy(doc_id.alias("_id")).agg(F.count("*").alias("_n")).where("_id is null or _n > 1").isEmpty():
+        return docs.withColumn("_row", doc_id), True
+    rows = cut(docs.withColumn("_at", F.monotonically_increasing_id()))  # kept in files, as numbers may change when computed again
+    first = rows.where(doc_id.isNotNull()).groupBy(doc_id.alias("_id")).agg(F.min("_at").alias("_at"))
+    above = rows.agg((F.coalesce(F.greatest(F.max(doc_id), F.lit(-1)), F.lit(-1)) + 1).alias("_above"))
+    found = rows.join(first, "_at", "left").join(F.broadcast(above), F.lit(True))
+    return found.withColumn("_row", F.coalesce("_id", F.col("_above") + F.col("_at"))).select(*docs.columns, "_row"), False
+
+
 def ordered_documents(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, whatever else a table carries."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import cut, importable, map_texts, ordered_documents
+from .common import cut, importable, map_texts, ordered_documents, with_rows
 from .wordtable import U64, WordTable, mix, sequence_hash, window_hashes
 
 WIDTH = 5
@@ -270,7 +270,12 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows that stand for their component, with all columns; rows that repeat one of them go too."""
-    kept = groups(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept"), "left_semi")
-    return found.dropDuplicates(["doc_id"]).unionByName(docs.where(docs["doc_id"].isNull()))
+    """The rows that stand for their component, with all columns.
+
+    Rows with a null or repeated doc_id are judged by their texts as all
+    others; a row without words goes only if one of the same doc_id and text is there.
+    """
+    rows, by_id = with_rows(docs)
+    kept = groups(rows.select(F.col("_row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_kept"))
+    found = rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
+    return found if by_id else found.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(found.where("doc_id is null"))

@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import cut, map_texts
+from .common import cut, map_texts, with_rows
 from .wordtable import WordTable
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -170,6 +170,7 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each row as often as the mix takes it, with all its columns.  Rows without words are left out."""
     copies = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    taken = mix(docs).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max(copies).alias("_mix_copies")).where("_mix_copies > 0")
-    joined = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(F.col("_mix_id")))
-    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies")))).drop("_mix_id", "_mix_copies", "_mix_copy")
+    rows, _ = with_rows(docs)
+    taken = mix(rows.withColumn("doc_id", F.col("_row"))).select(F.col("doc_id").alias("_mix_id"), copies.alias("_mix_copies")).where("_mix_copies > 0")
+    joined = rows.join(taken, F.col("_row") == F.col("_mix_id"))
+    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies")))).drop("_row", "_mix_id", "_mix_copies", "_mix_copy")

@@ -77,6 +77,12 @@ def test_cases(spark, docs_of):
     assert set(kept[0].asDict()) == set(docs.columns)
 
 
+def test_rows_of_repeated_and_null_ids_go_by_text(spark, docs_of):
+    docs = docs_of((1, "a b c d e f g"), (1, "h i j k l m n"), (1, "h i j k l m n"), (2, "o p q r s t u"), (None, "o p q r s t u"), (None, "v w x y z a b"), (None, "v w x y z a b"), (3, ""), (3, ""), (None, None))
+    kept = sorted(((r["doc_id"], r["text"]) for r in dedup.one_of_each(docs.repartition(3)).collect()), key=str)
+    assert kept == sorted([(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "o p q r s t u"), (None, "v w x y z a b"), (3, ""), (None, None)], key=str)
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(1)
     pool = mix(rng.integers(0, 2**62, 3000).astype(np.uint64))

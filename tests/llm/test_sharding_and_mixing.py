@@ -98,6 +98,14 @@ def test_mix(spark, docs_of, monkeypatch):
     assert mixed.columns == docs.columns and mixed.count() == sum(r["taken"] // r["size"] for r in got if r["size"])
 
 
+def test_rows_of_repeated_and_null_ids_are_mixed_by_row(spark, docs_of):
+    rows = [(None if k % 2 else k // 3, "w " * (k % 7 + 1), None, "ab"[k % 3 > 0]) for k in range(120)]
+    docs = docs_of(*rows)
+    taken = sum(r["taken"] for r in mixing.mix(docs).collect())
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and sum(len(r["text"].split()) for r in mixed.collect()) == taken
+
+
 def test_mix_cases(spark, docs_of):
     docs = docs_of((1, None, None, None), (2, "", None, "a"), (None, "x y", None, "a"), (3, "x y", None, "a"), (3, "x y", None, "a"), (4, "w " * 300_000, None, "b"))
     got = mixing.mix(docs).collect()
