@@ -1,17 +1,23 @@
 """Secret scans: fixed patterns, and an assignment-aware lexer that adds spans to theirs.
 
 The lexer reads lines that hold an operator as source or configuration syntax:
-names, string and bare literals, ``=``, ``:``, ``:=``, ``=>`` and ``+``.  It
+names, string and bare literals, ``=``, ``:``, ``:=``, ``=>`` and ``+``, values
+in brackets and over several lines (after a backslash, an operator, in triple
+quotes, as a YAML block), calls and their keyword arguments, subscripts,
+elements and attributes, and name entries followed by value entries.  It
 yields pairs of a target name and the literals of its value, follows names
-that were given a literal earlier in the same text (also as ``$NAME`` and
-``${NAME}``), and scores a literal by how sensitive the target's name is times
-how little the literal looks like a word or a placeholder.  A literal that
+that were given a literal earlier in the same text (also as ``$NAME``,
+``${NAME}`` and in formatted strings), and scores a literal by how sensitive
+the target's name is times how little the literal looks like a word or a
+placeholder.  A name that is called or subscripted is no literal, nor is the
+first argument of a call that reads settings.  A literal that
 scores enough and overlaps no other span is added with kind ``literal``; if the
 value came through a constant, the span is where the constant got it.
 
 Positions are code points, ends exclusive.  Work is linear in a text's length:
 quoted strings of any length are read without going back, and once a quote is
-found to have no closing one, later quotes of its kind on the line aren't tried.
+found to have no closing one, later quotes of its kind on the line aren't tried;
+values that use other values share them.
 
 Cases: a null or empty text has no spans; repeated rows are scanned as often
 as they occur; an empty table gives an empty result; a null doc_id is carried
@@ -24,7 +30,6 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -39,15 +44,22 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 LEAST_SCORE = 0.5
 MASK = "[SECRET]"
 
-STRING = {q: rf"{q}[^{q}\\]*+(?:\\.[^{q}\\]*+)*+{q}" for q in "\"'"}
+STRING = {q: rf"{q}[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+{q}" for q in "\"'"}
 REST = (
     r"""(?P<op>:=|=>|==|!=|<=|>=|[=:+])"""
     r"""|(?P<ref>\$\{?[A-Za-z_]\w*\}?)"""
     r"""|(?P<bare>[A-Za-z0-9_][\w./+=-]*)"""
-    r"""|(?P<gap>[ \t]+)|(?P<other>.)"""
+    r"""|(?P<gap>[ \t\r]+)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<comma>,)|(?P<other>.)"""
 )
-# by the kinds of quote that may still open a string
-TOKEN = {kinds: re.compile("|".join([*(["(?P<string>" + "|".join(STRING[q] for q in kinds) + ")"] if kinds else []), REST]), re.S) for kinds in ("\"'", '"', "'", "")}
+PREFIX = r"(?:(?<![\w])[rRbBuUfF]{1,2}(?=[\"']))?"
+# by the kinds of quote that may still open a string on the line
+TOKEN = {
+    kinds: re.compile("|".join([r"(?P<triple>" + PREFIX + r"(?:\"\"\"|'''))", *([f"(?P<string>{PREFIX}(?:" + "|".join(STRING[q] for q in kinds) + "))"] if kinds else []), REST]), re.S)
+    for kinds in ("\"'", '"', "'", "")
+}
+BLOCK = re.compile(r"(?P<indent>[ \t]*)(?:- +)*[\"']?(?P<name>[A-Za-z_][\w.-]*)[\"']?[ \t]*:[ \t]+[|>][+-]?[0-9]?[+-]?[ \t]*(?:#.*)?\r?$")
+ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:[ \t\r\n][^<>]*+)?>([^<>]+)</([A-Za-z_][\w.:-]*)[ \t]*>")
+WORDY = re.compile(r"[A-Za-z_]*[a-z_](?:[./][A-Za-z_]+)+\Z")  # a path of plain names: a reference, not a literal
 NAME = re.compile(r"[A-Za-z_][\w.-]*\Z")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -57,6 +69,8 @@ SENSITIVE = {
     "credential": 0.9, "credentials": 0.9, "bearer": 0.9, "authorization": 0.8, "auth": 0.7, "cookie": 0.6, "session": 0.6, "salt": 0.6,
 }
 SENSITIVE_PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("secret", "key"): 1.0, ("signing", "key"): 1.0, ("encryption", "key"): 1.0, ("auth", "key"): 0.9, ("master", "key"): 0.9, ("connection", "string"): 0.8}
+READERS = frozenset("get getenv env getproperty lookup fetch read load require config".split())  # calls whose first argument names what they read
+NAMING, VALUING = frozenset(("name", "key", "id", "property")), frozenset(("value", "content", "default"))  # targets that hold a pair's name, and its value
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|null|none|nil|true|false|undefined|changeme|change_me|example\w*|sample\w*|your[\w.-]*|test|todo|redacted|secret|password|token|placeholder|dummy)$")
 
 
@@ -90,81 +104,325 @@ def secrecy(literal: str, quoted: bool) -> float:
     return min(1.0, score)
 
 
-def assignments(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
-    """(target name, literals of its value) in order; a literal is (start, end, quoted), constants followed."""
-    pairs: list[tuple[str, list[tuple[int, int, bool]]]] = []
-    constants: dict[str, list[tuple[int, int, bool]]] = {}
-    at = 0
-    for line in text.split("\n"):
-        if "=" in line or ":" in line:
-            _line(line, at, pairs, constants)
-        at += len(line) + 1
-    return pairs
+class Value:
+    """What a name was given: literals of its own as (start, end, quoted), and the values of names that it uses.
 
+    Uses are shared, never copied, so that a chain of names takes room in
+    proportion to its text.
+    """
 
-def tokens(line: str) -> Iterator[re.Match]:
-    """The line's tokens in order.
+    __slots__ = ("literals", "uses")
 
-    A quote without a closing one is ``other``.  Later quotes of its kind have
-    none either, as each of them was read as escaped on the way to the end.
-    """
-    at, kinds = 0, "\"'"
-    while at < len(line):
-        for m in TOKEN[kinds].finditer(line, at):
-            yield m
-            at = m.end()
-            if m.lastgroup == "other" and m[0] in kinds:
-                kinds = kinds.replace(m[0], "")
-                break
+    def __init__(self) -> None:
+        self.literals: list[tuple[int, int, bool]] = []
+        self.uses: list[Value] = []
+
+    def __bool__(self) -> bool:
+        return bool(self.literals or self.uses)
 
 
-def _line(line: str, at: int, pairs: list, constants: dict) -> None:
-    name, target, value, joined = "", "", [], False
+class Lexer:
+    """Reads a text line by line into pairs of a target name and its value.
 
-    def close() -> None:
-        nonlocal target, value
-        if target and value:
-            pairs.append((target, value))
-            constants[target] = value
-        target, value = "", []
+    A line's reading goes on to the next one inside brackets that belong to a
+    value, after a backslash, and after an operator that lacks its right side;
+    a blank line ends everything that is open.
+    """
 
-    for m in tokens(line):
-        kind, token = m.lastgroup, m[0]
+    def __init__(self, text: str):
+        self.text, self.pairs, self.constants = text, [], {}
+        self.no_triple: set[str] = set()
+        self._reset()
+        self.read()
+
+    def _reset(self) -> None:
+        self.name, self.target, self.value, self.joined = "", "", Value(), False
+        self.stack: list[tuple[str, str, str, Value]] = []  # bracket, kind, outer target and value
+        self.last: tuple[str, int, bool] = ("", 0, False)  # the token before, where it ends, whether it was taken as a literal
+        self.fresh = False  # a new line began after a complete value
+        self.named = ""  # what a naming target was given
+
+    def close(self) -> None:
+        if self.target and self.value:
+            self.pair(self.target, self.value)
+        self.target, self.value, self.joined = "", Value(), False
+
+    def pair(self, target: str, value: Value) -> None:
+        self.pairs.append((target, value))
+        self.constants[target] = value
+        part = target.rpartition(".")[2].lower()
+        if part in NAMING and len(value.literals) == 1 and not value.uses:
+            a, b, _ = value.literals[0]
+            self.named = self.text[a:b] if b - a < 200 and NAME.match(self.text[a:b]) else ""
+        elif part in VALUING and self.named:
+            self.pairs.append((self.named, value))
+            self.named = ""
+
+    def read(self) -> None:
+        text, at, n = self.text, 0, len(self.text)
+        while at < n:
+            end = text.find("\n", at)
+            end = n if end < 0 else end
+            open_ = bool(self.stack) or self.joined
+            line = text[at:end]
+            if "=" not in line and ":" not in line and not open_ and not (self.fresh and "+" in line):
+                if self.fresh or self.named:
+                    self.close()
+                    self.fresh = False
+                    if not line.strip():
+                        self.named = ""
+                at = end + 1
+                continue
+            if not line.strip():
+                self.close()
+                self._reset()
+                at = end + 1
+                continue
+            if ":" in line and ("|" in line or ">" in line) and (m := BLOCK.match(line)):
+                self.close()
+                self._reset()
+                at = self.block(m["name"], len(m["indent"]), end + 1)
+                continue
+            at = self.line(at, end)
+        self.close()
+
+    def block(self, name: str, indent: int, at: int) -> int:
+        """A block scalar: the lines below that are deeper than its key; returns where the next line begins."""
+        text, value = self.text, Value()
+        while at < len(text):
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            line = text[at:end]
+            body = line.strip()
+            if body:
+                if len(line) - len(line.lstrip(" \t")) <= indent:
+                    break
+                a = at + line.index(body)
+                value.literals.append((a, a + len(body), True))
+            at = end + 1
+        if value:
+            self.pair(name, value)
+        return at
+
+    def line(self, at: int, end: int) -> int:
+        """Reads one line, and what a triple quote that opens on it takes up; returns where the next line begins."""
+        text, kinds = self.text, "\"'"
+        waiting = self.target if self.joined and not self.stack else None
+        while at < end:
+            restart = False
+            for m in TOKEN[kinds].finditer(text, at, end):
+                kind, at = m.lastgroup, m.end()
+                if kind == "triple":
+                    quote = m[0][-3:]
+                    close = text.find(quote, at) if quote not in self.no_triple else -1
+                    if close < 0:
+                        self.no_triple.add(quote)
+                        self.token("other", m[0], m.start(), at)
+                        continue
+                    if "\n" in text[at:close]:
+                        self.lines(at, close)
+                    else:
+                        self.string(at, close, "f" in m[0].lower())
+                    at = close + 3
+                    if at > end:  # the rest of the line on which it ends
+                        end = text.find("\n", at)
+                        end = len(text) if end < 0 else end
+                    restart = True
+                    break
+                if kind == "string":
+                    prefix = len(m[0]) - len(m[0].lstrip("rRbBuUfF"))
+                    self.string(m.start() + prefix + 1, at - 1, "f" in m[0][:prefix].lower())
+                    continue
+                if kind == "other" and m[0] == "\\" and not text[at:end].strip():
+                    return end + 1  # goes on below, as it stands
+                self.token(kind, m[0], m.start(), at)
+                if kind == "other" and m[0] in kinds:  # unclosed: later quotes of its kind on the line were read as escaped
+                    kinds = kinds.replace(m[0], "")
+                    restart = True
+                    break
+            if not restart:
+                break
+        if not self.stack:
+            self.name = ""
+            if waiting is not None and self.joined and self.target == waiting and not self.value:
+                self.close()  # nothing came
+            self.fresh = not self.joined
+        return end + 1
+
+    def lines(self, a: int, b: int) -> None:
+        """A string over several lines: each is a literal."""
+        if self.target and self.joined:
+            for line in self.text[a:b].split("\n"):
+                body = line.strip(" \t\r\\")
+                if body:
+                    begin = a + line.index(body)
+                    self.value.literals.append((begin, begin + len(body), True))
+                a += len(line) + 1
+        self.joined, self.name, self.last = False, "", ("", b, False)
+
+    def string(self, a: int, b: int, formatted: bool) -> None:
+        if not formatted or "{" not in self.text[a:b]:
+            self.token("string", self.text[a:b], a, b)
+            return
+        if self.fresh:
+            self.close()
+            self.fresh = False
+        if not (self.target and self.joined):
+            return
+        at = a
+        while at < b:  # the literal parts between fields, and the constants that fields name
+            begin = self.text.find("{", at, b)
+            begin = b if begin < 0 else begin
+            if begin > at:
+                self.value.literals.append((at, begin, True))
+            close = self.text.find("}", begin, b)
+            close = b if close < 0 else close
+            known = self.constants.get(self.text[begin + 1 : close].strip()) if close - begin < 200 else None
+            if known is not None:
+                self.value.uses.append(known)
+            at = close + 1
+        self.joined = False
+        self.last = ("", b, False)
+
+    def take(self, inner: str, a: int, b: int, quoted: bool, ref: bool) -> None:
+        """A literal or a known name, as part of the open value."""
+        known = self.constants.get(inner.strip("${}")) if ref or not quoted or inner.startswith("$") else None
+        if known is not None:
+            self.value.uses.append(known)
+        elif inner and (quoted or not WORDY.match(inner)):
+            self.value.literals.append((a, b, quoted))
+            self.last = (inner, b, True)
+        self.joined = False
+
+    def token(self, kind: str, token: str, a: int, b: int) -> None:
         if kind == "gap":
-            continue
+            return
+        if self.fresh:  # only a plus sign takes up the value of the line before
+            if not (kind == "op" and token == "+"):
+                self.close()
+            self.fresh = False
+        before, self.last = self.last, ("", b, False)
         if kind == "op":
             if token in ("=", ":", ":=", "=>"):
-                if name and (not value or len(name) == value[-1][1] - value[-1][0] and name == line[value[-1][0] - at : value[-1][1] - at]):
-                    if value:
-                        value.pop()
-                    close()
-                    target, value = name, []
-                joined = True
+                if self.name:
+                    name, self.name = self.name, ""
+                    if before[2] and self.value.literals and self.value.literals[-1][1] == before[1] and before[0] == name:
+                        self.value.literals.pop()  # what looked like a value is the next name
+                    if self.stack and self.target == self.stack[-1][2] and self.value is self.stack[-1][3]:
+                        self.target, self.value = "", Value()  # the outer value goes on when the bracket closes
+                    else:
+                        self.close()
+                    self.target = name
+                self.joined = bool(self.target)
             else:
-                joined = token == "+" and bool(value)
-            name = ""
-            continue
-        if kind in ("string", "bare", "ref"):
-            quoted = kind == "string"
-            a, b = m.start() + quoted, m.end() - quoted
-            inner = line[a:b]
-            if kind == "bare" and "=" in inner and not (target and joined):  # name=value without spaces
+                self.joined = token == "+" and bool(self.value)
+            self.name = ""
+        elif kind in ("string", "bare", "ref"):
+            quoted, inner = kind == "string", token
+            if quoted and self.stack and self.target and before[2] and self.value.literals and self.value.literals[-1][1:] == (before[1], True):
+                self.joined = True  # strings side by side are one value
+            if kind == "bare" and "=" in inner and not (self.target and self.joined):  # name=value without spaces
                 left, _, right = inner.partition("=")
                 if NAME.match(left):
-                    close()
-                    target, joined, inner, a = left, True, right, a + len(left) + 1
-            if target and joined:
-                known = constants.get(inner.strip("${}")) if not quoted or inner.startswith("$") else None
-                value = value + (known if known is not None else [(at + a, at + b, quoted)] if inner else [])
-                joined = False
-                name = inner if NAME.match(inner) else ""
-            else:
-                close()
-                name = inner if NAME.match(inner) else ""
-        elif token not in "[](){}":
-            close()
-            name = ""
-    close()
+                    if self.stack and self.value is self.stack[-1][3]:
+                        self.target, self.value = "", Value()
+                    else:
+                        self.close()
+                    self.target, self.joined, inner, a = left, True, right, a + len(left) + 1
+                    if not inner:
+                        self.name = ""
+                        return
+            self.last = (inner, b, False)
+            if self.target and self.joined:
+                self.take(inner, a, b, quoted, kind == "ref")
+            elif not self.stack:
+                self.close()
+            self.name = inner if len(inner) < 200 and NAME.match(inner) else ""
+        elif kind == "open":
+            self.open(token, a, before)
+        elif kind == "close":
+            self.shut(token)
+        elif kind == "comma" and self.stack:
+            self.part()
+        elif kind == "other" and self.stack:
+            self.joined, self.name = False, ""
+        else:
+            self.close()
+            self.name = ""
+
+    def open(self, token: str, a: int, before: tuple[str, int, bool]) -> None:
+        called = before[0] if before[0] and before[1] == a and token != "{" else ""  # a name right before the bracket
+        kind = "map"
+        if called:
+            if before[2] and self.value.literals and self.value.literals[-1][1] == before[1]:
+                self.value.literals.pop()  # that was no literal
+            kind = "index" if token == "[" else "read" if re.split(r"[._]", called.lower())[-1] in READERS else "call"
+        elif self.target and self.joined and token != "{":
+            kind = "group"
+        elif not self.stack and not (self.target and self.joined):
+            self.name = ""
+            return  # outside of any value brackets say nothing
+        self.stack.append((token, kind, self.target, self.value))
+        self.joined, self.name = kind in ("group", "call") and bool(self.target), ""
+        if kind == "map":
+            self.target, self.value = "", Value()
+
+    def part(self) -> None:
+        """After a comma inside brackets: back to what the bracket belongs to."""
+        _, kind, target, value = self.stack[-1]
+        if self.value is not value:
+            self.close()
+        self.name = ""
+        if kind == "map":
+            self.target, self.value, self.joined = "", Value(), False
+        else:
+            self.target, self.value, self.joined = target, value, bool(target) and kind != "index"
+
+    def shut(self, token: str) -> None:
+        name = self.name
+        self.name = ""
+        if not self.stack:
+            return
+        if "([{".index(self.stack[-1][0]) != ")]}".index(token):
+            return  # unbalanced
+        _, kind, target, value = self.stack.pop()
+        if self.value is not value:
+            self.close()
+        self.target, self.value, self.joined = target, value, False
+        if kind == "index":
+            self.name = name  # config["password"] = ...
+
+
+def assignments(text: str) -> list[tuple[str, Value]]:
+    """(target name, its value) in order; elements come last."""
+    pairs = Lexer(text).pairs
+    if "</" in text:
+        for m in ELEMENT.finditer(text):
+            body = m[2].strip()
+            if m[1] == m[3] and body:
+                value = Value()
+                a = m.start(2) + m[2].index(body)
+                value.literals.append((a, a + len(body), True))
+                pairs.append((m[1].rpartition(":")[2], value))
+    return pairs
+
+
+def sensitive_literals(text: str) -> dict[tuple[int, int, bool], float]:
+    """Each literal that a sensitive name leads to, with the largest sensitivity; a value is gone through once for each of the few degrees there are."""
+    found: dict[tuple[int, int, bool], float] = {}
+    seen: set[int] = set()
+    pairs = assignments(text)
+    known = {name: sensitivity(name) for name in {n for n, _ in pairs}}
+    for degree, value in sorted(((known[n], v) for n, v in pairs if known[n]), key=lambda p: -p[0]):
+        waiting = [value]
+        while waiting:
+            v = waiting.pop()
+            if id(v) not in seen:
+                seen.add(id(v))
+                for literal in v.literals:
+                    found.setdefault(literal, degree)
+                waiting += v.uses
+    return found
 
 
 def spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -173,14 +431,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     base = base_spans(text)
     if "=" not in text and ":" not in text:
         return base
-    scored, looks = {}, {}  # looks: a literal is judged once, however many names lead to it
-    for name, literals in assignments(text):
-        if sensitive := sensitivity(name):
-            for a, b, quoted in literals:
-                if (a, b, quoted) not in looks:
-                    looks[a, b, quoted] = secrecy(text[a:b], quoted)
-                if sensitive * looks[a, b, quoted] >= LEAST_SCORE:
-                    scored[a, b] = True
+    scored = {(a, b) for (a, b, quoted), degree in sensitive_literals(text).items() if degree * secrecy(text[a:b], quoted) >= LEAST_SCORE}
     if not scored:
         return base
     taken, added, k = sorted((a, b) for _, a, b in base), [], 0
