@@ -2,41 +2,55 @@
 
 Unit vectors are centred, turned to their principal axes and rotated so that
 signs lose least (iterative quantisation); several such rotations give a code
-of 256 bits.  A code is split into substrings of 16 bits, each indexed by
-value.  Two codes within Hamming radius R agree within R // parts bits in one
-substring at least, so probing every substring's values within that distance
-finds every code of the ball; floats then decide.  R is the distance that
-covers nearly all true neighbours in a sample; in sparser samples those are
-farther than among all vectors, so recall on all is no less.
-
-Queries and vectors meet in blocks.  Equal vectors are one entry with their
-smallest ids, as larger ones can't be among the nearest.  Where the ball holds
-too few in a block, that block is searched in full, so no query lacks
-neighbours; so are vectors of a length that the sample has too few of to learn
-codes from.
+of 256 bits.  A code is split into substrings of about log2(vectors) bits,
+each indexed by value.  Of two codes within Hamming radius R = parts * r + a,
+one of the first a + 1 substrings is within r or one of the others within
+r - 1, so probing those values finds every code of the ball; floats then
+decide.  R is the distance that covers nearly all true neighbours in a sample;
+in sparser samples those are farther than among all vectors, so recall on all
+is no less.
+
+The index is a table of (part, value, vector), the probes one of (part, value,
+query), joined on part and value.  Buckets of many vectors are dealt out by a
+salt and searched as a whole, so that none gives pairs beyond the nearest few.
+A query whose ball holds too few is searched in full.  Where probes are more
+than a pass over all codes takes (vectors without clusters, whose neighbours
+are almost as far as all others), the same ball is found by comparing codes in
+blocks instead; both ways find the same rows.
+
+Equal vectors are one entry with their smallest ids, as larger ones can't be
+among the nearest.  Vectors of a length that the sample has too few of to
+learn codes from are searched in full.
 
 Cases: vectors that are null, zero or hold a null or non-finite component take
-no part; those of another length are never compared; a vec_id's repeated equal
-rows count once; a null vec_id takes no part; with fewer candidates all are
-returned; an empty table gives an empty result.
+no part; components of any finite size do, as vectors are scaled by powers of
+two; those of another length are never compared; a vec_id's repeated equal
+rows count once; a vec_id with different vectors is one query and one
+candidate, the score of two ids being the largest of their vectors'; a null
+vec_id takes no part; with fewer candidates all are returned; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import cut, importable
+from .common import cut, importable, smallest
 
 NEAREST, EVERY = 5, 50
-BITS, PART_BITS, AXES = 256, 16, 64
-SAMPLE_VECTORS, SAMPLE_QUERIES = 4096, 512
+BITS, AXES = 256, 64
+WORDS = BITS // 64
+SAMPLE_VECTORS, SAMPLE_QUERIES = 4096, 512  # on which codes and the radius are learned
 COVERED = 0.98  # share of true neighbours in the sample that the radius holds
 BLOCK_VECTORS, BLOCK_QUERIES, BATCH = 8192, 4096, 128
+BUCKET_VECTORS = 4096  # in one salt of a bucket
+PROBE_COST = 20  # code comparisons that one probe is worth
 
 
 class RotatedCodes:
@@ -67,116 +81,264 @@ class RotatedCodes:
         return self
 
     def encode(self, vectors: np.ndarray) -> np.ndarray:
-        """[vector, substring] as 16-bit numbers."""
-        return np.packbits((vectors - self.mean) @ self.turn >= 0, axis=1).view(np.uint16)
+        """[vector, word] as 64-bit numbers."""
+        return np.packbits((vectors - self.mean) @ self.turn >= 0, axis=1).view(np.uint64)
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-class SubstringIndex:
-    """Each substring's values and where they occur."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.wide = codes.view(np.uint64)
-        self.parts = [np.unique(codes[:, j], return_inverse=True) for j in range(codes.shape[1])]
-
-    def within(self, queries: np.ndarray, radius: int) -> np.ndarray:
-        """[query, code]: whether the code is within the Hamming radius, by probing the substrings and then the whole."""
-        reach = radius // len(self.parts)
-        found = np.zeros((len(queries), len(self.codes)), bool)
-        for j, (values, at) in enumerate(self.parts):
-            found |= (np.bitwise_count(queries[:, j, None] ^ values[None, :]) <= reach)[:, at]
-        row, code = np.nonzero(found)
-        wide = queries.view(np.uint64)
-        apart = np.zeros(len(row), np.int64)
-        for k in range(wide.shape[1]):
-            apart += np.bitwise_count(wide[row, k] ^ self.wide[code, k])
-        found[row, code] = apart <= radius
+class Substrings:
+    """How codes are split for a number of vectors, and how far each part is probed for a radius."""
+
+    def __init__(self, vectors: int, radius: int):
+        parts = max(1, round(BITS / min(max(math.log2(max(vectors, 2)), 8), 40)))
+        self.edges = np.linspace(0, BITS, parts + 1).astype(int)
+        r, a = divmod(radius, parts)
+        self.radii = [r if j <= a else r - 1 for j in range(parts)]
+        sizes = np.diff(self.edges).tolist()
+        self.probes = sum(math.comb(n, k) for n, most in zip(sizes, self.radii, strict=True) for k in range(most + 1))
+
+    def values(self, codes: np.ndarray) -> list[np.ndarray]:
+        """Each part's values of all codes."""
+        bits = np.unpackbits(codes.view(np.uint8), axis=1)
+        return [bits[:, a:b].astype(np.int64) @ (1 << np.arange(b - a)) for a, b in zip(self.edges, self.edges[1:])]
+
+    def masks(self) -> list[np.ndarray]:
+        """Each part's changes of a value that are probed, nearest first."""
+        found = []
+        for a, b, most in zip(self.edges, self.edges[1:], self.radii):
+            flips = [sum(1 << k for k in some) for n in range(most + 1) for some in itertools.combinations(range(b - a), n)]
+            found.append(np.array(flips, np.int64))
         return found
 
 
-def _vectors(table: DataFrame) -> DataFrame:
-    """vec_id, vec (64-bit floats as bytes) of the rows that take part."""
-    importable(table.sparkSession)
+def _scaled(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors with a power of two taken out, so that nothing over- or underflows, and their lengths; cosines stay as they are to the last bit."""
+    raw = np.stack([np.frombuffer(v, "<f8") for v in packed])
+    raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1))[1][:, None])
+    return raw, np.sqrt(np.einsum("ij,ij->i", raw, raw))
+
+
+def _cosines(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", a, b) / (a_size * b_size)
+
+
+def _arrow_rows(df: DataFrame, schema: str, run) -> DataFrame:
+    importable(df.sparkSession)
 
     def batches(it):
         for batch in it:
-            ids, column = batch.column(0).to_pylist(), batch.column(1)
-            kept_ids, kept = [], []
-            for k, i in enumerate(ids):
-                value = column[k]
-                if i is None or not value.is_valid or value.values.null_count or not len(value.values):
-                    continue
-                v = value.values.to_numpy(zero_copy_only=False).astype("<f8")
-                if np.isfinite(v).all() and v.any() and 0 < float(v @ v) < math.inf:
-                    kept_ids.append(i)
-                    kept.append(v.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(kept_ids, pa.int64()), pa.array(kept, pa.binary())], ["vec_id", "vec"])
+            for k in range(0, batch.num_rows, 2000):
+                yield from run(batch.slice(k, 2000))
+
+    return df.mapInArrow(batches, schema)
+
+
+def _vectors(table: DataFrame) -> DataFrame:
+    """vec_id, vec (64-bit floats as bytes) of the rows that take part."""
+
+    def run(batch):
+        ids, column = batch.column(0).to_pylist(), batch.column(1)
+        kept_ids, kept = [], []
+        for k, i in enumerate(ids):
+            value = column[k]
+            if i is None or not value.is_valid or value.values.null_count or not len(value.values):
+                continue
+            v = value.values.to_numpy(zero_copy_only=False).astype("<f8") + 0.0  # one zero, not two
+            if np.isfinite(v).all() and v.any():
+                kept_ids.append(i)
+                kept.append(v.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(kept_ids, pa.int64()), pa.array(kept, pa.binary())], ["vec_id", "vec"])
 
     plain = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return plain.mapInArrow(batches, "vec_id long, vec binary")
+    return _arrow_rows(plain, "vec_id long, vec binary", run)
 
 
-def _unit(packed) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.stack([np.frombuffer(v, "<f8") for v in packed])
-    size = np.sqrt(np.einsum("ij,ij->i", raw, raw))
-    return raw / size[:, None], size
+def _coded(rows: DataFrame, models: dict[int, RotatedCodes]) -> DataFrame:
+    """Adds ``code`` to rows with ``vec``; null where its length has no model."""
+    names = rows.columns
+
+    def run(batch):
+        packed = batch.column(names.index("vec")).to_pylist()
+        codes: list[bytes | None] = [None] * len(packed)
+        of: dict[int, list[int]] = {}
+        for k, v in enumerate(packed):
+            of.setdefault(len(v), []).append(k)
+        for n, at in of.items():
+            if n in models:
+                raw, size = _scaled([packed[k] for k in at])
+                for k, c in zip(at, models[n].encode(raw / size[:, None]), strict=True):
+                    codes[k] = c.tobytes()
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary())], [*names, "code"])
 
+    return _arrow_rows(rows, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names) + ", code binary", run)
 
-def _search(queries: pd.DataFrame, vectors: pd.DataFrame, models: dict[int, RotatedCodes], nearest: int) -> pd.DataFrame:
+
+def _nearest(queries: pd.DataFrame, entries: pd.DataFrame, radii: dict[int, int], nearest: int, fill: bool) -> pd.DataFrame:
+    """query_id, vec_id, score of each query's nearest among the entries in its ball; with ``fill`` among all where the ball holds too few."""
     out = []
-    length = vectors["vec"].map(len)
+    length = entries["vec"].map(len)
     for n, part in queries.groupby(queries["vec"].map(len)):
-        own = vectors[length == n]
+        own = entries[length == n]
         if not len(own):
             continue
-        model, ids = models.get(n), own["ids"].tolist()
-        raw = np.stack([np.frombuffer(v, "<f8") for v in own["vec"]])
-        unit, size = _unit(own["vec"])
-        index = SubstringIndex(model.encode(unit)) if model else None
+        ids, radius = own["ids"].tolist(), radii.get(n)
+        raw, size = _scaled(own["vec"].tolist())
+        codes = np.frombuffer(b"".join(own["code"]), np.uint64).reshape(-1, WORDS) if radius is not None else None
         for k in range(0, len(part), BATCH):
             some = part.iloc[k : k + BATCH]
-            q, q_size = _unit(some["vec"])
-            q_raw = np.stack([np.frombuffer(v, "<f8") for v in some["vec"]])
-            found = index.within(model.encode(q), model.radius) if model else np.ones((len(q), len(own)), bool)
-            found[found.sum(axis=1) < nearest + 1] = True  # too few in this block: all of it
-            for r, (query_id, rows) in enumerate(zip(some["vec_id"], found, strict=True)):
+            q, q_size = _scaled(some["vec"].tolist())
+            if codes is None:
+                found = np.ones((len(q), len(own)), bool)
+            else:
+                q_codes = np.frombuffer(b"".join(some["code"]), np.uint64).reshape(-1, WORDS)
+                apart = np.zeros((len(q), len(own)), np.int16)
+                for w in range(WORDS):
+                    apart += np.bitwise_count(q_codes[:, w, None] ^ codes[None, :, w])
+                found = apart <= radius
+                if fill:
+                    found[found.sum(axis=1) < nearest + 1] = True
+            for r, (query_id, rows) in enumerate(zip(some["query_id"], found, strict=True)):
                 at = np.flatnonzero(rows)
-                score = np.einsum("ij,j->i", raw[at], q_raw[r]) / (size[at] * q_size[r])
-                best = at_best = np.argsort(-score, kind="stable")
+                score = _cosines(raw[at], size[at], np.broadcast_to(q[r], (len(at), q.shape[1])), q_size[r])
+                best = np.argsort(-score, kind="stable")
                 if len(best) > nearest + 1:  # and those that tie with the last of them
-                    last = score[best[nearest]]
-                    at_best = best[: int(np.searchsorted(-score[best], -last, side="right"))]
-                near = sorted((-score[b], i) for b in at_best for i in ids[at[b]] if i != query_id)[:nearest]
-                out += [(query_id, i, -s) for s, i in near]
+                    best = best[: int(np.searchsorted(-score[best], -score[best[nearest]], side="right"))]
+                near: dict[int, float] = {}
+                for s, i in sorted((-score[b], i) for b in best for i in ids[at[b]] if i != query_id):
+                    if len(near) == nearest:
+                        break
+                    near.setdefault(i, -s)
+                out += [(query_id, i, s) for i, s in near.items()]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
+FOUND = "query_id long, vec_id long, score double"
+
+
+def _in_blocks(queries: DataFrame, entries: DataFrame, radii: dict[int, int], nearest: int) -> DataFrame:
+    """The nearest by a pass over all codes: queries and entries (with ids, vec, code) meet in blocks."""
+    blocks = max(1, math.ceil(entries.count() / BLOCK_VECTORS))
+    chunks = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
+    left = queries.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = entries.withColumn("block", F.pmod(F.xxhash64("vec"), F.lit(blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+
+    def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        return _nearest(q, v, radii, nearest, True)
+
+    return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(run, FOUND)
+
+
+def _substrings(rows: DataFrame, number: str, splits: dict[int, Substrings], probes: bool) -> DataFrame:
+    """len, part, value and number of each row's substrings, or of all values that are probed for it."""
+    masks = {n: s.masks() for n, s in splits.items()} if probes else {}
+
+    def run(batch):
+        numbers, lengths, packed = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        for n in sorted(set(lengths.tolist())):
+            at = np.flatnonzero(lengths == n)
+            codes = np.frombuffer(b"".join(packed[k] for k in at), np.uint64).reshape(-1, WORDS)
+            for part, values in enumerate(splits[n].values(codes)):
+                flips = masks[n][part] if probes else np.zeros(1, np.int64)
+                for k in range(0, len(at), max(1, 200_000 // max(len(flips), 1))):
+                    some = slice(k, k + max(1, 200_000 // max(len(flips), 1)))
+                    value = (values[some, None] ^ flips[None, :]).reshape(-1)
+                    who = np.repeat(numbers[at[some]], len(flips))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), n, np.int32)), pa.array(np.full(len(value), part, np.int32)), pa.array(value), pa.array(who)], ["len", "part", "value", number])
+
+    return _arrow_rows(rows.select(number, F.octet_length("vec").alias("len"), "code"), f"len int, part int, value long, {number} long", run)
+
+
+def _words(rows: DataFrame, number: str, prefix: str) -> DataFrame:
+    """number and the code's words as longs."""
+    return rows.select(number, *[F.conv(F.hex(F.substring("code", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"{prefix}{k}") for k in range(WORDS)])
+
+
+def _apart(a: str, b: str) -> Column:
+    """Hamming distance of two codes given as words."""
+    total = F.lit(0)
+    for k in range(WORDS):
+        total = total + F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}")))
+    return total
+
+
+def _by_probes(queries: DataFrame, entries: DataFrame, radii: dict[int, int], splits: dict[int, Substrings], nearest: int) -> DataFrame:
+    """The nearest among the codes of each query's ball, through the index of substrings."""
+    key = ["len", "part", "value"]
+    index, probes = _substrings(entries, "eno", splits, False), _substrings(queries, "qno", splits, True)
+    sizes = index.groupBy(*key).agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / BUCKET_VECTORS).cast("int")).drop("n")
+    index, probes = cut(index.join(sizes, key)), cut(probes.join(sizes, key))  # a value that no vector has goes here
+    radius = F.element_at(F.create_map(*[F.lit(x) for n, r in sorted(radii.items()) for x in (n, r)]), F.col("len"))
+
+    # buckets of few vectors: pairs in the ball, then their floats
+    few = index.where("salts = 1").join(probes.where("salts = 1"), key).select("len", "qno", "eno").distinct()
+    near = few.join(_words(queries, "qno", "q"), "qno").join(_words(entries, "eno", "e"), "eno").where(_apart("q", "e") <= radius).select("qno", "eno")
+    pairs = near.join(queries.select("qno", "query_id", F.col("vec").alias("q_vec")), "qno").join(entries.select("eno", "ids", "vec"), "eno").select("query_id", "q_vec", "vec", "ids")
+
+    def scored(batch):
+        if not batch.num_rows:
+            return
+        q_all, v_all = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        score = np.empty(batch.num_rows)
+        for n in {len(v) for v in v_all}:
+            at = [k for k, v in enumerate(v_all) if len(v) == n]
+            score[at] = _cosines(*_scaled([v_all[k] for k in at]), *_scaled([q_all[k] for k in at]))
+        ids = batch.column(3)
+        flat, sizes_ = ids.flatten(), np.diff(ids.offsets.to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes_)), flat, pa.array(np.repeat(score, sizes_))], ["query_id", "vec_id", "score"])
+
+    cold = _arrow_rows(pairs, FOUND, scored).where("query_id <> vec_id")
+
+    # buckets of many: as a whole, salt by salt
+    left = probes.where("salts > 1").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).join(queries.select("qno", "query_id", "vec", "code"), "qno")
+    right = index.where("salts > 1").withColumn("salt", F.pmod(F.xxhash64("eno"), F.col("salts")).cast("int")).join(entries.select("eno", "ids", "vec", "code"), "eno")
+
+    def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        return _nearest(q, v, radii, nearest, False)
+
+    hot = left.groupBy(*key, "salt").cogroup(right.groupBy(*key, "salt")).applyInPandas(run, FOUND)
+    return cold.unionByName(hot)
+
+
+def _best(found: DataFrame, nearest: int) -> DataFrame:
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest)
+
+
+def plans(models: dict[int, RotatedCodes], counts: dict[int, int]) -> tuple[dict[int, int], dict[int, Substrings]]:
+    """Radii by length, and the splits of the lengths whose index is probed."""
+    radii = {n: m.radius for n, m in models.items()}
+    splits = {n: Substrings(counts[n], r) for n, r in radii.items() if n in counts}
+    return radii, {n: s for n, s in splits.items() if s.probes * PROBE_COST < counts[n]}
+
+
 def search(table: DataFrame, every: int = EVERY, nearest: int = NEAREST) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest of each row whose vec_id is divisible by ``every``."""
     rows = cut(_vectors(table).groupBy("vec", "vec_id").agg(F.lit(1).alias("one")).select("vec", "vec_id"))
     rank = F.row_number().over(W.partitionBy("vec").orderBy("vec_id"))  # limited before the exchange, see WindowGroupLimit
-    entries = cut(rows.withColumn("rank", rank).where(F.col("rank") <= nearest + 1).groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
-    queries = rows.where(F.col("vec_id") % every == 0)
+    distinct = cut(rows.withColumn("rank", rank).where(F.col("rank") <= nearest + 1).groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
 
     models: dict[int, RotatedCodes] = {}
-    sample = entries.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE_VECTORS).select("vec").toPandas()["vec"]
+    sample = smallest(distinct, SAMPLE_VECTORS, F.xxhash64("vec"), "vec").select("vec").toPandas()["vec"]
     lengths = sample.map(len)
     for n, seen in sorted(lengths.value_counts().items()):
         if seen > nearest + 1:  # rarer lengths are searched in full
-            models[n] = RotatedCodes().fit(_unit(sample[lengths == n])[0])
-
-    blocks = max(1, math.ceil(entries.count() / BLOCK_VECTORS))
-    chunks = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
-    left = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = entries.withColumn("block", F.pmod(F.xxhash64("vec"), F.lit(blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-
-    def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        return _search(q, v, models, nearest)
-
-    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(run, "query_id long, vec_id long, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+            raw, size = _scaled(sample[lengths == n].tolist())
+            models[n] = RotatedCodes().fit(raw / size[:, None])
+
+    entries = cut(_coded(distinct, models).withColumn("eno", F.monotonically_increasing_id()))
+    queries = cut(_coded(rows.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id"), models).withColumn("qno", F.monotonically_increasing_id()))
+    length = F.octet_length("vec")
+    counts = {r["len"]: r["n"] for r in entries.where(length.isin(*models)).groupBy(length.alias("len")).agg(F.count("*").alias("n")).collect()} if models else {}  # at most a row a length of the sample
+    radii, splits = plans(models, counts)
+    if not splits:
+        return _best(_in_blocks(queries, entries, radii, nearest), nearest).select("query_id", "rank", "vec_id", "score")
+    probed = length.isin(*splits)
+    found = cut(_best(_by_probes(queries.where(probed), entries.where(probed), radii, splits, nearest), nearest))
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= nearest).select("query_id")
+    rest = cut(queries.join(full, "query_id", "left_anti").unionByName(queries.where(~probed)).dropDuplicates(["qno"]))
+    more = _in_blocks(rest, entries, {n: r for n, r in radii.items() if n not in splits}, nearest)  # in full where the ball holds too few
+    return _best(found.select("query_id", "vec_id", "score").unionByName(more), nearest).select("query_id", "rank", "vec_id", "score")

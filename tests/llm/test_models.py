@@ -124,10 +124,62 @@ def test_neighbours(spark, n, monkeypatch):
 
 def test_probing_finds_the_whole_ball():
     rng = np.random.default_rng(4)
-    codes = rng.integers(0, 2**16, (300, 16)).astype(np.uint16)
-    for radius in (0, 60, 110, 128):
-        want = np.stack([ann.distance(codes, q) <= radius for q in codes[:20]])
-        assert (ann.SubstringIndex(codes).within(codes[:20], radius) == want).all()
+    codes = rng.integers(0, 2**63, (300, ann.WORDS)).astype(np.uint64)
+    codes[150:] = codes[:150] ^ np.packbits(rng.random((150, ann.BITS)) < 0.06, axis=1).view(np.uint64)
+    for vectors, radius in ((300, 0), (300, 20), (10**5, 40), (10**9, 11), (10**9, 24)):
+        split = ann.Substrings(vectors, radius)
+        masks, values = split.masks(), split.values(codes)
+        assert split.probes == sum(map(len, masks)) and sum(split.radii) + len(split.radii) > radius and split.edges[-1] == ann.BITS
+        found = np.zeros((20, 300), bool)
+        for v, m in zip(values, masks, strict=True):
+            found |= (v[:20, None, None] ^ m[None, :, None] == v[None, None, :]).any(axis=1) if len(m) < 2000 else np.bitwise_count(v[:20, None] ^ v[None, :]) <= max(np.bitwise_count(m))
+        ball = np.stack([ann.distance(codes, q) <= radius for q in codes[:20]])
+        assert not (ball & ~found).any()
+
+
+def clustered(n, seed=6, width=24, near=0.02):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(max(1, n // 12), width))
+    return centres[rng.integers(len(centres), size=n)] + near * rng.normal(size=(n, width))
+
+
+def test_probes_and_blocks_find_the_same(spark, monkeypatch):
+    """On clustered vectors the index is probed; a bucket over the limit is salted; outliers are searched in full."""
+    x = np.vstack([clustered(900), clustered(300, 7, near=1e-4)[:1] + 1e-4 * np.random.default_rng(8).normal(size=(300, 24)), np.random.default_rng(9).normal(size=(30, 24))])
+    table = spark.createDataFrame([(k * 5, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    monkeypatch.setattr(ann, "PROBE_COST", 1e9)
+    blocks = rows(ann.search(table))
+    monkeypatch.setattr(ann, "PROBE_COST", 0)
+    monkeypatch.setattr(ann, "BUCKET_VECTORS", 64)
+    probed = rows(ann.search(table))
+    want = brute([5 * k for k in range(len(x))], [list(v) for v in x], 50, 5)
+    for found in (blocks, probed):
+        near = {q: {r[2] for r in found if r[0] == q} for q in want}
+        assert all(len(v) == 5 for v in near.values())
+        assert sum(len(near[q] & {i for _, i in w}) for q, w in want.items()) >= 0.9 * 5 * len(want)
+    assert len(set(blocks) & set(probed)) >= 0.95 * len(blocks)
+
+
+def test_little_of_clustered_data_is_probed():
+    x = clustered(4000)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = ann.RotatedCodes().fit(x)
+    split, codes = ann.Substrings(10**6, model.radius), model.encode(x)
+    values = split.values(codes)
+    hit = np.zeros((100, len(x)), bool)
+    for v, most in zip(values, split.radii, strict=True):
+        hit |= np.bitwise_count(v[:100, None] ^ v[None, :]) <= most
+    assert hit.mean() < 0.05
+
+
+def test_any_finite_size_and_repeated_ids(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [1.0, 0.0]), (3, [1e-200, 1e-200]), (4, [5e-324, 0.0]), (50, [0.0, 1.0]), (50, [1.0, 0.1]), (7, [0.0, 3.0]), (7, [1.0, 0.1])]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 9)))
+    assert got[0] == [(2, 1.0), (4, 1.0), (1, round(1 / 1.01**0.5, 9)), (7, round(1 / 1.01**0.5, 9)), (50, round(1 / 1.01**0.5, 9))] or got[0][:2] == [(2, 1.0), (4, 1.0)]
+    assert {i for i, _ in got[0]} == {1, 2, 4, 7, 50} and got[50][0] == (7, 1.0) and len({i for i, _ in got[50]}) == 5
 
 
 def test_vectors_of_lengths_the_sample_lacks_are_searched(spark, monkeypatch):
