@@ -35,7 +35,9 @@ from .common import importable, map_texts, ordered_documents
 
 NONE = np.int64(2**62)
 SHORT = 64  # bytes; longer pieces have a tree of their own
-CACHE_PIECES = 300_000
+TREE_CELLS = 1 << 18  # leaves of the trees that are merged at once
+SLICE = 300_000  # bytes of text encoded at once
+CACHE_PIECES, CACHE_BYTES = 150_000, 4_000_000  # pieces whose ids are remembered, and their bytes; beyond either all are forgotten
 
 # fixed values: the splitting rule of this family of vocabularies
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -82,17 +84,22 @@ class ByteBpe:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._remember(list(self.added), [np.array([k]) for k in self.added.values()])
-
-    def _remember(self, pieces: list[str], tokens: list[np.ndarray]) -> None:
-        if not pieces:
-            return
-        size = np.array([len(t) for t in tokens], np.int64)
-        self.known.update(zip(pieces, range(len(self.size), len(self.size) + len(pieces)), strict=True))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, *tokens])
+        self.known_bytes, self.known_ids = 0, 0
+        self.flat, self.begin, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self._remember(list(self.added), np.array(list(self.added.values()), np.int64), np.ones(len(self.added), np.int64))
+
+    def _remember(self, pieces: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        """Keeps the ids of pieces, given one after the other with how many each has; room is doubled when it is short."""
+        n, at = len(self.known), self.known_ids
+        while n + len(pieces) > len(self.size):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        while at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.begin[n : n + len(pieces)] = at + np.cumsum(size) - size
+        self.size[n : n + len(pieces)] = size
+        self.flat[at : at + len(ids)] = ids
+        self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.known_ids = at + len(ids)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
@@ -199,17 +206,21 @@ class ByteBpe:
             data = p.encode("utf-8", "surrogatepass")
             by_width.setdefault(0 if len(data) > SHORT else 1 << (len(data) - 1).bit_length(), []).append((p, data))
         for width, group in by_width.items():
+            self.known_bytes += sum(len(d) for _, d in group)
             if not width:
-                self._remember([p for p, _ in group], [np.array(self.merge_one(d), np.int64) for _, d in group])
+                for p, d in group:
+                    ids = np.array(self.merge_one(d), np.int64)
+                    self._remember([p], ids, np.array([len(ids)]))
                 continue
-            for i in range(0, len(group), 20_000):
-                part = group[i : i + 20_000]
+            step = TREE_CELLS // width
+            for i in range(0, len(group), step):
+                part = group[i : i + step]
                 size = np.array([len(d) for _, d in part])
                 rows = np.full((len(part), width), -1, np.int64)
                 rows[np.arange(width) < size[:, None]] = self.byte_ids[np.frombuffer(b"".join(d for _, d in part), np.uint8)]
                 done = self.merge_rows(rows)
                 left = done >= 0
-                self._remember([p for p, _ in part], np.split(done[left], np.cumsum(left.sum(axis=1))[:-1]))
+                self._remember([p for p, _ in part], done[left], left.sum(axis=1))
 
     def _split(self, text: str) -> list[str]:
         found: list[str] = []
@@ -224,14 +235,14 @@ class ByteBpe:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many each text has."""
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > CACHE_PIECES or self.known_bytes > CACHE_BYTES:
             self._forget()
         split = [self._split(t) if t else [] for t in texts]
         new = set().union(*split) - self.known.keys() if split else set()
         self._learn(sorted(new))
         at = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(split)), np.int64, sum(map(len, split)))
-        size = self.size[at]
-        ids = self.flat[_gather(self.begin[at], size)]
+        size = self.size[at].astype(np.int64)
+        ids = self.flat[_gather(self.begin[at].astype(np.int64), size)].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([len(s) for s in split], dtype=np.int64)] if split else np.zeros(0, np.int64)
         return ids, np.diff(ends, prepend=0)
 
@@ -276,7 +287,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         return pa.RecordBatch.from_arrays([other[0], pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
-    return map_texts(ordered_documents(docs), run, "doc_id long, ids array<int>")
+    return map_texts(ordered_documents(docs), run, "doc_id long, ids array<int>", most=SLICE)
 
 
 def _per_row(encoded: DataFrame, path: str, names: list[str], schema: str, of) -> DataFrame:
@@ -308,6 +319,23 @@ def _digest(vocab: ByteBpe, ids: np.ndarray) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
+DIGESTS = ["n_tokens", "ids_sha256", "decoded_sha256"]
+DIGESTS_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of rows with ids."""
-    return _per_row(encoded, path or default_path(), ["n_tokens", "ids_sha256", "decoded_sha256"], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", _digest)
+    return _per_row(encoded, path or default_path(), DIGESTS, DIGESTS_SCHEMA, _digest)
+
+
+def encoded_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``digests(encode(docs))`` in one pass: a task has one Python worker, and ids never go back to the JVM."""
+    path = path or default_path()
+
+    def run(texts: list, other: list) -> pa.RecordBatch:
+        vocab = vocabulary(path)
+        ids, sizes = vocab.encode(texts)
+        rows = [_digest(vocab, part) for part in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
+        return pa.RecordBatch.from_arrays([other[0], *(pa.array(c) for c in zip(*rows, strict=True))], ["doc_id", *DIGESTS])
+
+    return map_texts(ordered_documents(docs), run, DIGESTS_SCHEMA, most=SLICE)

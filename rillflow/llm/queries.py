@@ -31,7 +31,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
+    return bpe.encoded_digests(table(spark, sf_dir, "documents"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

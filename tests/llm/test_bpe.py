@@ -54,8 +54,10 @@ def test_both_trees_agree_and_the_root_is_leftmost_lowest(ours):
 def test_cache_limit_changes_nothing(ours, corpus, monkeypatch):
     texts = [t for _, t, _, _ in corpus[:50]]
     want = ours.encode(texts)[0]
-    monkeypatch.setattr(bpe, "CACHE_PIECES", 10)
-    assert (ours.encode(texts)[0] == want).all() and (ours.encode(texts)[0] == want).all()
+    for limit in ("CACHE_PIECES", "CACHE_BYTES"):
+        with monkeypatch.context() as m:
+            m.setattr(bpe, limit, 10)
+            assert (ours.encode(texts)[0] == want).all() and (ours.encode(texts)[0] == want).all()
 
 
 def test_cases(spark, docs_of, library):
@@ -66,6 +68,7 @@ def test_cases(spark, docs_of, library):
     assert encoded.count() == 7 and rows[0]["n_tokens"] == 0 and rows[0]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
     ids = library.encode("héllo", add_special_tokens=False).ids
     assert rows[2]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and rows[2]["decoded_sha256"] == hashlib.sha256("héllo".encode()).hexdigest()
+    assert sorted(map(str, bpe.encoded_digests(docs).collect())) == sorted(map(str, bpe.digests(encoded).collect())) and bpe.encoded_digests(docs.limit(0)).count() == 0
     back = {r["doc_id"]: r["text"] for r in bpe.decode(encoded).collect()}
     assert back[2] == "héllo" and back[0] == "" and back[4] == "word" * 50_000
     assert bpe.digests(bpe.encode(docs.limit(0))).count() == 0
