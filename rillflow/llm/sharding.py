@@ -1,19 +1,24 @@
 """Sharding by balanced label propagation, in DataFrame operations alone.
 
-Documents of equal text are linked.  Every document starts in the shard of its
-id's hash; in each round a group of linked documents moves as a whole to the
-shard where most of its members are, as far as that shard's quota admits, in
-an order of group size.  Groups that no quota admitted, those above a shard's
-size among them, and then documents without links fill what the quotas leave,
-group by group, so that row counts differ by at most one (law ``rows``) and a
-group is cut only where a shard is full.
+Documents of equal text are linked, each with each, so the labels that a
+document sees are its group's counts by shard; those are kept as one row a
+group and shard, never as pairs.  Every document starts with the label of its
+id's hash.  In each round the label that most neighbours have spreads to all
+of a group whose quota admits it, in an order of group size; a group that no
+quota admitted tries the next best label in the next round, with the room that
+is left.  Shards are set apart for groups above a shard's size, those that hold
+most of them.  These, then groups that no quota admitted, then documents
+without links fill what the quotas leave, group by group, so that row counts
+differ by at most one (law ``rows``) and links are cut only where a shard is
+full.  ``cut_links`` counts them.
 
 Ranks and running sums are taken in two levels, inside parts of bounded size
 and over the parts' totals, so no window holds a shard or a group as a whole.
 
 Cases: a null text counts as empty (size 8) and such rows are linked with each
-other; repeated rows are separate rows; a null doc_id is placed like any
-other; an empty table gives an empty result; other columns are ignored.
+other; repeated rows are separate rows; a null or repeated doc_id is placed
+like any other, dealt out by its place in the table; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from .common import cut
 
 SHARDS, ROUNDS = 24, 3
 BIG_SHARE = 1536  # a group of at least rows / BIG_SHARE rows is big; there are at most BIG_SHARE of those
-PART_ROWS = 20_000
+PART_ROWS, LEAST_PARTS = 20_000, 64
 
 
 def _keyed(docs: DataFrame, shards: int) -> DataFrame:
@@ -37,6 +42,7 @@ def _keyed(docs: DataFrame, shards: int) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
         F.unhex(F.sha2(text, 256)).alias("key"),
         F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("start"),
+        F.monotonically_increasing_id().alias("place"),
     )
 
 
@@ -46,12 +52,20 @@ def _before(parts: DataFrame, total: str, group: list[str], order: list[str]) ->
     return parts.withColumn("before", F.coalesce(F.sum(total).over(w), F.lit(0)))
 
 
-def _propagate(state: DataFrame, capacity: int, big: int, parts: int, shards: int, rounds: int) -> tuple[DataFrame | None, list[int]]:
-    """Groups (key, shard, total) that moved as a whole within the quotas, and the rows each shard then holds."""
+def _set_apart(state: DataFrame, capacity: int, shards: int) -> list[int]:
+    """As many shards as the groups above a shard's size fill, those with most of their rows first."""
+    rows = state.where(F.col("total") > capacity).groupBy("shard").agg(F.sum("n").alias("n")).collect() if capacity else []  # one row a shard
+    held = {r["shard"]: r["n"] for r in rows}
+    wanted = -(-sum(held.values()) // max(capacity, 1))
+    return sorted(range(shards), key=lambda k: (-held.get(k, 0), k))[:wanted]
+
+
+def _propagate(state: DataFrame, capacity: int, big: int, parts: int, shards: int, rounds: int, apart: list[int]) -> tuple[DataFrame | None, list[int]]:
+    """Groups (key, shard, total) that moved as a whole within the quotas, none into shards set apart, and the rows each shard then holds."""
     spark, used, settled = state.sparkSession, [0] * shards, []
     waiting = state.where(F.col("total") <= capacity)
     for _ in range(rounds):
-        room = F.broadcast(spark.createDataFrame([(k, capacity - used[k]) for k in range(shards)], "shard int, room long"))  # one row a shard
+        room = F.broadcast(spark.createDataFrame([(k, 0 if k in apart else capacity - used[k]) for k in range(shards)], "shard int, room long"))  # one row a shard
         wanted = (
             waiting.join(room, "shard").where("total <= room").groupBy("key")
             .agg(F.max_by(F.struct("shard", "room"), F.struct("n", "room", "shard")).alias("to"), F.max("total").alias("total"))
@@ -82,12 +96,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     keyed = cut(_keyed(docs, shards))
     rows = keyed.count()
     capacity, extra = divmod(rows, shards)
-    big, parts = max(2, -(-rows // BIG_SHARE)), max(8, -(-rows // PART_ROWS))
+    big, parts = max(2, -(-rows // BIG_SHARE)), max(LEAST_PARTS, -(-rows // PART_ROWS))
 
     counts = keyed.groupBy("key", F.col("start").alias("shard")).agg(F.count("*").alias("n"))
     whole = W.partitionBy("key")  # at most one row a shard and key
     state = cut(counts.withColumn("total", F.sum("n").over(whole)).where("total > 1"))
-    settled, used = _propagate(state, capacity, big, parts, shards, rounds)
+    apart = _set_apart(state, capacity, shards)
+    settled, used = _propagate(state, capacity, big, parts, shards, rounds, apart)
 
     groups = state.groupBy("key").agg(F.max("total").alias("total"))
     groups = groups.join(settled.select("key", F.col("shard").alias("home")), "key", "left") if settled is not None else groups.withColumn("home", F.lit(None).cast("int"))
@@ -96,10 +111,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     hot = keyed.join(F.broadcast(large), "key", "left")  # at most BIG_SHARE rows
     placed = hot.where("total is not null").unionByName(hot.where("total is null").drop("total", "home").join(small, "key", "left"))
 
-    draw, is_big, linked, home = F.xxhash64("doc_id", F.lit(3)), F.col("total") >= big, F.col("total").isNotNull(), F.col("home").isNotNull()
+    # a group above a part's rows is a run of parts of its own
+    draw, is_big, linked, home = F.xxhash64("doc_id", "place"), F.col("total") >= min(big, PART_ROWS), F.col("total").isNotNull(), F.col("home").isNotNull()
     split = F.greatest(F.lit(1), F.ceil(F.col("total") * parts / F.lit(max(rows, 1))))
     placed = placed.select(
-        "doc_id", "size", "text_crc32", "key",
+        "doc_id", "size", "text_crc32", "key", "place",
         F.coalesce("home", F.lit(-1)).alias("home"),
         F.when(home, 0).when(is_big, 1).when(linked, 2).otherwise(3).alias("kind"),
         F.when(~home & is_big, -F.col("total")).otherwise(F.lit(0)).alias("rank"),
@@ -109,16 +125,26 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     part = ["home", "kind", "rank", "group", "part"]
     # "home" alone would put all rows of one shard's parts together; the totals have one row a part
     before = _before(placed.groupBy(*part).agg(F.count("*").alias("n")), "n", ["home"], part[1:])
-    inside = W.partitionBy(*part).orderBy("key", "doc_id")
+    inside = W.partitionBy(*part).orderBy("key", "doc_id", "place")
     position = F.col("before") + F.row_number().over(inside) - 1
     ranked = placed.join(before.select(*part, "before"), part).withColumn("position", position)
 
     room = [capacity + (k < extra) - used[k] for k in range(shards)]
-    begins = [sum(room[:k]) for k in range(shards)]
-    filled = _above(F.col("position"), begins[1:])
-    offset = F.element_at(F.array(*[F.lit(u - b).cast("long") for u, b in zip(used, begins, strict=True)]), F.col("shard") + 1)
-    return ranked.withColumn("shard", F.when(F.col("home") >= 0, F.col("home")).otherwise(filled)).select(
+    filled = apart + sorted((k for k in range(shards) if k not in apart), key=lambda k: (-room[k], k))  # shards in the order in which they fill up
+    begins = [sum(room[k] for k in filled[:n]) for n in range(shards)]
+    at = _above(F.col("position"), begins[1:]) + 1
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), at)
+    offset = pick([used[k] - b for k, b in zip(filled, begins, strict=True)]).cast("long")
+    return ranked.withColumn("shard", F.when(F.col("home") >= 0, F.col("home")).otherwise(pick(filled)).cast("int")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
         F.when(F.col("home") >= 0, F.col("position")).otherwise(F.col("position") + offset).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def cut_links(sharded: DataFrame) -> DataFrame:
+    """One row: links between rows of equal text (told by size and checksum), and how many of them join different shards."""
+    pairs = lambda n: n * (n - 1) / 2
+    cells = sharded.groupBy("size", "text_crc32", "shard").agg(F.count("*").alias("n"))
+    groups = cells.groupBy("size", "text_crc32").agg(pairs(F.sum("n")).cast("long").alias("links"), F.sum(pairs(F.col("n"))).cast("long").alias("whole"))
+    return groups.agg(F.coalesce(F.sum("links"), F.lit(0)).alias("links"), F.coalesce(F.sum(F.col("links") - F.col("whole")), F.lit(0)).alias("cut"))
