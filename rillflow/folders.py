@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -10,8 +11,22 @@ from pyspark.sql import SparkSession
 
 def scratch(spark: SparkSession, name: str = "run") -> str:
     """A new folder under the cluster's ``spark.checkpoint.dir``; under one of our own only where that is unset, as in tests."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def shared(spark: SparkSession) -> str:
+    """The setting's folder, else the one given to ``setCheckpointDir``; a folder of this machine only where executors are in this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="rillflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    if root:
+        return root
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own()
+
+
+@functools.lru_cache(maxsize=1)
+def _own() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="rillflow-")

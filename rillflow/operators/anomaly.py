@@ -1,16 +1,20 @@
 """Per-user anomalies in arrival order: velocity and amounts above the rolling 99th percentile.
 
-The batch forms split a user's history, so that one user may hold any share of
-the rows: velocity by minutes, each with the minute before as context;
-amounts by runs of consecutive events, each with the 256 before.
+All forms split a user's history, so that one user may hold any share of the
+rows: velocity by minutes, each with the minute before as context; amounts by
+runs of consecutive events, each with the 256 before; arrivals in any order by
+runs, each begun from the state that the runs before it leave.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..schema import HISTORY_LEAST, HISTORY_ROWS, QUANTILE, VELOCITY_THRESHOLD, VELOCITY_WINDOW_MS
 from ..workers import importable
@@ -43,25 +47,81 @@ def numbered(events: DataFrame, user: str, order: str) -> DataFrame:
     return parts.join(counts, [user, "_chunk"]).withColumn("_at", F.col("_before") + F.row_number().over(inside) - 1).drop("_chunk", "_before")
 
 
-def interpolated(history: Column, size: Column, quantile: float = QUANTILE) -> Column:
-    """The quantile of a sorted array by linear interpolation between neighbours."""
-    at = (size - 1) * F.lit(quantile)
-    low = F.floor(at).cast("int")
-    high = F.least(low + 1, size - 1)
-    a, b = (F.element_at(history, k + 1).cast("double") for k in (low, high))
-    return a + (b - a) * (at - low)
+class RecentAmounts:
+    """A user's last amounts, at most 256, in order of arrival and in order of size."""
+
+    def __init__(self, amounts: Iterable[int] = ()):
+        self.arrived = deque(amounts, HISTORY_ROWS)
+        self.ordered = sorted(self.arrived)
+
+    def quantile(self) -> float | None:
+        """The 99th percentile between neighbours, from 20 amounts on."""
+        if len(self.ordered) < HISTORY_LEAST:
+            return None
+        rank = (len(self.ordered) - 1) * QUANTILE
+        whole = math.floor(rank)
+        low, high = self.ordered[whole : whole + 2]  # the rank of a quantile below 1 has one above it
+        return low + (high - low) * (rank - whole)
+
+    def add(self, amount: int) -> None:
+        if len(self.arrived) == HISTORY_ROWS:
+            del self.ordered[bisect_left(self.ordered, self.arrived[0])]
+        self.arrived.append(amount)
+        insort(self.ordered, amount)
+
+
+class RecentTimes:
+    """A user's event times of the last minute, as each arrival leaves them.
+
+    What is over 60 s before an arrival is forgotten for good; later times
+    stay, so late arrivals count against what is left.
+    """
+
+    def __init__(self, times: Iterable[int] = ()):
+        self.ordered = sorted(times)
+
+    def forget(self, before: int) -> None:
+        del self.ordered[: bisect_left(self.ordered, before)]
+
+    def add(self, ts: int) -> int:
+        """How many there are with this one."""
+        self.forget(ts - VELOCITY_WINDOW_MS)
+        insort(self.ordered, ts)
+        return len(self.ordered)
 
 
 def amount_quantiles(events: DataFrame, user: str = "user_id", order: str = "seq") -> DataFrame:
-    """Adds ``history_size`` and, from 20 earlier amounts on, ``rolling_99th_percentile`` of at most 256."""
-    at = F.col("_at")
+    """Adds ``history_size`` and, from 20 earlier amounts on, ``rolling_99th_percentile`` of at most 256.
+
+    One pass over each run in order with the amounts kept sorted, so a row
+    costs the logarithm of the history's size.
+    """
+    importable(events.sparkSession)
+    at, names = F.col("_at"), events.columns
     run = F.floor(at / RUN)
     next_too = F.when(at % RUN >= RUN - HISTORY_ROWS, F.array(run, run + 1)).otherwise(F.array(run))
     parts = numbered(events, user, order).withColumn("_run", F.explode(next_too)).withColumn("_own", F.col("_run") == run)
-    w = W.partitionBy(user, "_run").orderBy("_at").rowsBetween(-HISTORY_ROWS, -1)
-    sized = parts.withColumn("history_size", F.count("*").over(w).cast("int")).withColumn("_history", F.collect_list("amount").over(w)).where("_own")
-    value = F.when(F.col("history_size") >= HISTORY_LEAST, interpolated(F.array_sort("_history"), F.col("history_size")))
-    return sized.withColumn("rolling_99th_percentile", value).drop("_at", "_run", "_own", "_history")
+    who, amount = names.index(user), names.index("amount")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, recent = None, RecentAmounts()
+        for batch in it:
+            n, sizes, quantiles = len(names), [], []
+            own = batch.column(n + 1)
+            for u, r, value, mine in zip(batch.column(who).to_pylist(), batch.column(n).to_pylist(), batch.column(amount).to_pylist(), own.to_pylist(), strict=True):
+                if (u, r) != key:
+                    key, recent = (u, r), RecentAmounts()
+                if mine:
+                    sizes.append(len(recent.ordered))
+                    quantiles.append(recent.quantile())
+                if value is not None:
+                    recent.add(value)
+            kept = batch.select(range(n)).filter(own)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sizes, pa.int32()), pa.array(quantiles, pa.float64())], [*names, "history_size", "rolling_99th_percentile"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", history_size int, rolling_99th_percentile double"
+    dealt = parts.select(*names, "_run", "_own", "_at").repartition(user, "_run").sortWithinPartitions(user, "_run", "_at")
+    return dealt.mapInArrow(batches, schema)
 
 
 def amounts(events: DataFrame, user: str = "user_id", order: str = "seq") -> DataFrame:
@@ -83,62 +143,105 @@ def union_of(velocity_rows: DataFrame, amount_rows: DataFrame, user: str = "user
     return first.unionByName(second)
 
 
-def quantile_of(history: list[int]) -> float:
-    """Python twin of ``interpolated``."""
-    h = sorted(history)
-    at = (len(h) - 1) * QUANTILE
-    low = int(at)
-    high = min(low + 1, len(h) - 1)
-    return float(h[low]) + (float(h[high]) - float(h[low])) * (at - low)
-
-
-def step(times: list[int], history: list[int], ts: int, amount: int) -> tuple[list[int], list[int], int | None, tuple[float, int] | None]:
-    """One event of one user: new state, the velocity count if it fires, and (quantile, history size) if the amount does.
-
-    Times over 60 s before the event are forgotten for good; later ones stay,
-    so late arrivals count against what is left.
-    """
-    times = [t for t in times if t >= ts - VELOCITY_WINDOW_MS] + [ts]
-    fired = len(times) if len(times) > VELOCITY_THRESHOLD else None
-    above = None
-    if len(history) >= HISTORY_LEAST and amount > (q := quantile_of(history)):
-        above = (q, len(history))
-    return times, (history + [amount])[-HISTORY_ROWS:], fired, above
+class UserState:
+    """What one user's past arrivals come to."""
+
+    def __init__(self, times: Iterable[int] = (), amounts: Iterable[int] = ()):
+        self.times, self.amounts = RecentTimes(times), RecentAmounts(amounts)
+
+    def arrive(self, event_id, user_id, ts: int, amount: int) -> list[tuple]:
+        """The anomalies that one event raises, velocity first."""
+        count, limit, size = self.times.add(ts), self.amounts.quantile(), len(self.amounts.ordered)
+        self.amounts.add(amount)
+        found = []
+        if count > VELOCITY_THRESHOLD:
+            found.append(("ANOMALY_VELOCITY", event_id, user_id, count, VELOCITY_WINDOW_MS // 1000, VELOCITY_THRESHOLD, None, None, None))
+        if limit is not None and amount > limit:
+            found.append(("ANOMALY_AMOUNT", event_id, user_id, None, None, None, amount, limit, size))
+        return found
+
+
+def _run_ends(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each run: its largest time, the times it leaves to the next, and its last amounts."""
+    key, state, top, out = None, UserState(), 0, []
+
+    def row() -> tuple:
+        return (*key, top, list(state.times.ordered), list(state.amounts.arrived))
+
+    for batch in it:
+        for u, r, ts, amount in zip(*(batch.column(c).to_pylist() for c in ("user_id", "_run", "ts", "amount")), strict=True):
+            if (u, r) != key:
+                if key is not None:
+                    out.append(row())
+                key, state, top = (u, r), UserState(), ts
+            state.times.add(ts)
+            state.amounts.add(amount)
+            top = max(top, ts)
+        if out:
+            yield _record(out, ENDS)
+            out = []
+    if key is not None:
+        yield _record([row()], ENDS)
+
+
+def _run_starts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state that each run begins with, from the ends of the runs before it."""
+    who, times, amounts = object(), RecentTimes(), deque((), HISTORY_ROWS)
+    for batch in it:
+        out = []
+        for u, r, top, left, last in zip(*(batch.column(c).to_pylist() for c, _ in ENDS), strict=True):
+            if u != who:
+                who, times, amounts = u, RecentTimes(), deque((), HISTORY_ROWS)
+            out.append((u, r, list(times.ordered), list(amounts)))
+            times.forget(top - VELOCITY_WINDOW_MS)
+            times.ordered = sorted(times.ordered + left)
+            amounts.extend(last)
+        yield _record(out, STARTS)
+
+
+def _found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, state = None, UserState()
+    for batch in it:
+        out = []
+        for u, r, ts, amount, event_id, times, amounts in zip(*(batch.column(c).to_pylist() for c in ("user_id", "_run", "ts", "amount", "event_id", "times", "amounts")), strict=True):
+            if (u, r) != key:  # a run's first row brings its start
+                key, state = (u, r), UserState(times or (), amounts or ())
+            out += state.arrive(event_id, u, ts, amount)
+        yield _record(out, FOUND)
 
 
 def in_arrival_order(events: DataFrame, user: str = "user_id", time_ms: str = "ts_ms", order: str = "seq") -> DataFrame:
     """Both anomalies exactly as a sequential engine finds them, whatever the order of arrival.
 
-    Rows of a user meet in one task and stream through it in order; only the
-    current user's state is held.
+    A time outlives a run if no later one in it is over 60 s above; so a run
+    comes down to its largest time, the times that outlive it and its last
+    256 amounts.  Those are passed on from run to run, and then all runs go
+    through their rows at once.
     """
     importable(events.sparkSession)
-    rows = events.select(F.col("event_id").cast("string").alias("event_id"), F.col(user).cast("string").alias("user_id"), F.col(time_ms).alias("ts"), "amount", F.col(order).alias("o"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, times, history = None, [], []
-        for batch in batches:
-            out = []
-            for event_id, user_id, ts, amount in zip(batch["event_id"], batch["user_id"], batch["ts"], batch["amount"], strict=True):
-                if user_id != who:
-                    who, times, history = user_id, [], []
-                times, history, fired, above = step(times, history, int(ts), int(amount))
-                out += anomaly_rows(event_id, user_id, int(amount), fired, above)
-            yield pd.DataFrame(out, columns=COLUMNS).astype(DTYPES)
-
-    return rows.repartition("user_id").sortWithinPartitions("user_id", "o").mapInPandas(run, SCHEMA)
+    rows = events.select(F.col("event_id").cast("string").alias("event_id"), F.col(user).cast("string").alias("user_id"), F.col(time_ms).cast("long").alias("ts"), F.col("amount").cast("long").alias("amount"), F.col(order).alias("o"))
+    dealt = numbered(rows, "user_id", "o").withColumn("_run", F.floor(F.col("_at") / RUN)).repartition("user_id", "_run")
+    ends = dealt.select("user_id", "_run", "_at", "ts", "amount").sortWithinPartitions("user_id", "_run", "_at").mapInArrow(_run_ends, _schema(ENDS))
+    starts = ends.repartition("user_id").sortWithinPartitions("user_id", "_run").mapInArrow(_run_starts, _schema(STARTS))
+    begun = starts.where("_run > 0").select(F.col("user_id").alias("_user"), F.col("_run").alias("_nth"), "times", "amounts")
+    joined = dealt.join(begun, (F.col("user_id").eqNullSafe(F.col("_user"))) & (F.col("_run") == F.col("_nth")) & (F.col("_at") % RUN == 0), "left")
+    sorted_ = joined.select("user_id", "_run", "_at", "ts", "amount", "event_id", "times", "amounts").sortWithinPartitions("user_id", "_run", "_at")
+    return sorted_.mapInArrow(_found, SCHEMA)
 
 
 COLUMNS = ["anomaly_type", "event_id", "user_id", "transaction_count", "velocity_window_seconds", "velocity_threshold", "amount", "rolling_99th_percentile", "history_size"]
 DTYPES = {"transaction_count": "Int64", "velocity_window_seconds": "Int32", "velocity_threshold": "Int64", "amount": "Int64", "rolling_99th_percentile": "Float64", "history_size": "Int32"}
 SCHEMA = "anomaly_type string, event_id string, user_id string, transaction_count long, velocity_window_seconds int, velocity_threshold long, amount long, rolling_99th_percentile double, history_size int"
+ENDS = (("user_id", pa.string()), ("_run", pa.int64()), ("top", pa.int64()), ("times", pa.list_(pa.int64())), ("amounts", pa.list_(pa.int64())))
+STARTS = (*ENDS[:2], *ENDS[3:])
+FOUND = tuple(zip(COLUMNS, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True))
+
+
+def _schema(columns: tuple) -> str:
+    names = {pa.string(): "string", pa.int64(): "long", pa.list_(pa.int64()): "array<long>"}
+    return ", ".join(f"{c} {names[t]}" for c, t in columns)
 
 
-def anomaly_rows(event_id, user_id, amount: int, fired: int | None, above: tuple[float, int] | None) -> list[tuple]:
-    """Velocity first, as one event may raise both."""
-    found = []
-    if fired is not None:
-        found.append(("ANOMALY_VELOCITY", event_id, user_id, fired, VELOCITY_WINDOW_MS // 1000, VELOCITY_THRESHOLD, None, None, None))
-    if above is not None:
-        found.append(("ANOMALY_AMOUNT", event_id, user_id, None, None, None, amount, above[0], above[1]))
-    return found
+def _record(rows: list[tuple], columns: tuple) -> pa.RecordBatch:
+    values = list(zip(*rows, strict=True)) or [()] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(values, columns, strict=True)], [c for c, _ in columns])

@@ -12,10 +12,21 @@ CHUNKS = 64  # ranges in which ordered rows are numbered
 
 
 def ids(rows: DataFrame, id_: str = "event_id") -> DataFrame:
-    """The distinct ids that are text or numbers; nulls are left out."""
+    """The distinct ids; nulls are left out."""
     return rows.select(F.col(id_).alias("event_id")).where("event_id is not null").distinct()
 
 
+def text_ids(records: DataFrame, raw: str = "raw", id_: str = "event_id") -> DataFrame:
+    """The distinct ids of JSON records whose id is text; numbers, nulls, other types and what is no object don't count."""
+    value = F.try_variant_get(F.try_parse_json(raw), f"$.{id_}", "variant")
+    return ids(records.where(F.schema_of_variant(value) == "STRING").select(value.try_cast("string").alias("event_id")))
+
+
+def listing(rows: DataFrame, id_: str = "event_id") -> DataFrame:
+    """The distinct ids in ascending order."""
+    return ids(rows, id_).orderBy("event_id")
+
+
 def unaccounted(raw: DataFrame, landed: DataFrame, dead: DataFrame) -> DataFrame:
     """Ids that came in and are neither landed nor dead."""
     return ids(raw).join(landed.select("event_id"), "event_id", "left_anti").join(dead.select("event_id"), "event_id", "left_anti")
@@ -42,8 +53,7 @@ def duplicates(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def latency(rows: DataFrame, later: str, earlier: str, percents: Sequence[int] = (50, 95, 99)) -> DataFrame:
     """One row of interpolated percentiles of later - earlier in milliseconds."""
-    ms = elapsed_ms(F.col(later), F.col(earlier))
-    return rows.agg(*[F.percentile(ms, p / 100).alias(f"p{p}_ms") for p in percents])
+    return percentiles(rows.select(elapsed_ms(F.col(later), F.col(earlier)).alias("ms")), "ms", percents)
 
 
 def _chunked(rows: DataFrame, order: str, chunks: int = CHUNKS) -> DataFrame:
@@ -53,18 +63,32 @@ def _chunked(rows: DataFrame, order: str, chunks: int = CHUNKS) -> DataFrame:
     return rows.withColumn("_chunk", F.when(F.col(order).isNotNull(), above).otherwise(0))
 
 
-def nearest_rank(rows: DataFrame, value: str, share: float) -> DataFrame:
-    """One row, ``ranked``: the value at place max(1, floor(n * share)) of the n values in order; null if there are none.
+def _counted(rows: DataFrame, value: str) -> DataFrame:
+    """Each value once, with ``_upto``, how many rows are at most as large, and ``_all``, how many there are.
 
     Rows are first counted by value; counts are summed up inside ranges of
     values and over the ranges' sums, so no task has to hold all of them.
     """
     counted = _chunked(rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")), value)
     before = W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    sums = counted.groupBy("_chunk").agg(F.sum("_n").alias("_sum")).select("_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    sums = counted.groupBy("_chunk").agg(F.sum("_n").alias("_sum"))  # one row a range
+    sums = sums.select("_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_sum").over(W.partitionBy()).alias("_all"))
     upto = F.col("_before") + F.sum("_n").over(W.partitionBy("_chunk").orderBy(value))
-    place = counted.agg(F.greatest(F.lit(1), F.floor(F.sum("_n") * share)).alias("_place"))
-    return counted.join(F.broadcast(sums), "_chunk").withColumn("_upto", upto).join(F.broadcast(place), F.expr("_upto >= _place")).agg(F.min(value).alias("ranked"))
+    return counted.join(F.broadcast(sums), "_chunk").withColumn("_upto", upto)
+
+
+def nearest_rank(rows: DataFrame, value: str, share: float) -> DataFrame:
+    """One row, ``ranked``: the value at place max(1, floor(n * share)) of the n values in order; null if there are none."""
+    place = F.greatest(F.lit(1), F.floor(F.col("_all") * share))
+    return _counted(rows, value).agg(F.min(F.when(F.col("_upto") >= place, F.col(value))).alias("ranked"))
+
+
+def percentiles(rows: DataFrame, value: str, percents: Sequence[int] = (50, 95, 99)) -> DataFrame:
+    """One row, a column ``p50_ms`` for each percent: exact percentiles, between neighbours by linear interpolation."""
+    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col(value).cast("double")))  # noqa: E731  counted from 0
+    rank = lambda p: (F.col("_all") - 1) * F.lit(p / 100)
+    found = _counted(rows, value).agg(*[x for p in percents for x in (at(F.floor(rank(p))).alias(f"low{p}"), at(F.least(F.floor(rank(p)) + 1, F.col("_all") - 1)).alias(f"high{p}"), F.max(rank(p) - F.floor(rank(p))).alias(f"part{p}"))])
+    return found.select(*[(F.col(f"low{p}") + (F.col(f"high{p}") - F.col(f"low{p}")) * F.col(f"part{p}")).alias(f"p{p}_ms") for p in percents])
 
 
 def duration_stats(rows: DataFrame, value: str) -> DataFrame:
@@ -115,9 +139,10 @@ def first_growth(polls: DataFrame, value: str, order: str = "poll") -> DataFrame
 
 def rates(summaries: DataFrame, value: str, at_ms: str) -> DataFrame:
     """Each summary's rise since the one before, a second."""
-    w = W.partitionBy(F.lit(0)).orderBy(at_ms)
-    rise, ms = F.col(value) - F.lag(value).over(w), F.col(at_ms) - F.lag(at_ms).over(w)
-    return summaries.withColumn("per_second", rise / F.greatest(ms / 1000, F.lit(0.001)))
+    both = summaries.withColumn("_both", F.struct(F.col(value).alias("v"), F.col(at_ms).alias("at")))
+    found = _with_earlier(both, "_both", at_ms, 1)
+    rise, ms = F.col(value) - F.col("_earlier_1")["v"], F.col(at_ms) - F.col("_earlier_1")["at"]
+    return found.select(*summaries.columns, (rise / F.greatest(ms / 1000, F.lit(0.001))).alias("per_second"))
 
 
 def compare_runs(prior: DataFrame, fresh: DataFrame, key: str = "requested_rate") -> DataFrame:

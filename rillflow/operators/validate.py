@@ -3,7 +3,8 @@
 The first failing check gives the reason: ``malformed_json``, then
 ``invalid_type:root``, then for each required field in order
 ``missing_field:F`` or ``invalid_type:F``.  All of it is VARIANT expressions,
-so it stays in the JVM and needs no shuffle.
+so it stays in the JVM and needs no shuffle; a record is parsed once, for its
+reason and its fields alike.
 """
 
 from __future__ import annotations
@@ -12,44 +13,51 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import REQUIRED_FIELDS
 
+DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
+TIMES, NUMBERS = ("event_time", "ingest_time"), {"amount": "bigint", "schema_version": "int"}
+UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 
-def _guarded(raw: Column) -> tuple[Column, Column]:
-    """The record as VARIANT, and whether the text is exactly one JSON value.
 
-    A text with something after its value still parses alone; inside an array
-    or an object it can't, so both wrappers have to hold one entry.
+def _parsed(records: DataFrame, raw: str) -> DataFrame:
+    """Adds ``_record`` (VARIANT), null where the text isn't exactly one JSON value.
+
+    A parser that stops after a value would let text behind it pass.  So the
+    text is read as the first entry of an array whose second is the text's own
+    hash: only one whole value leaves both in place.
     """
-    in_array = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"r":'), raw, F.lit("}")))
-    one = (F.size(in_array.try_cast("array<variant>")) == 1) & (F.size(F.map_keys(in_object.try_cast("map<string,variant>"))) == 1)
-    return F.try_variant_get(in_array, "$[0]", "variant"), F.coalesce(one, F.lit(False))
+    spark = records.sparkSession
+    before = spark.conf.get(DUPLICATE_KEYS, None)
+    spark.conf.set(DUPLICATE_KEYS, "true")  # the last of equal keys holds; read when the expression is analysed
+    try:
+        own = F.xxhash64(raw).cast("string")
+        array = F.try_parse_json(F.concat(F.lit("["), F.col(raw), F.lit(","), own, F.lit("]"))).try_cast("array<variant>")
+        whole = (F.size(array) == 2) & (F.get(array, F.lit(1)).try_cast("string") == own)
+        return records.withColumn("_record", F.when(whole, F.get(array, F.lit(0))))
+    finally:
+        if before is None:
+            spark.conf.unset(DUPLICATE_KEYS)
+        else:
+            spark.conf.set(DUPLICATE_KEYS, before)
 
 
-def _checked(records: DataFrame, raw: str) -> DataFrame:
-    """Adds ``_whole`` and ``_fields``, the record's fields by name; null where the record is no object."""
-    records.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last of equal keys holds
-    record, whole = _guarded(F.col(raw))
-    return records.withColumn("_whole", whole).withColumn("_record", record).withColumn("_fields", F.col("_record").try_cast("map<string,variant>"))
+def _field(name: str, kind: str = "variant") -> Column:
+    return F.try_variant_get("_record", f"$.{name}", kind)
 
 
 def _reason(strict: bool) -> Column:
-    required = F.array(*[F.struct(F.lit(f).alias("name"), F.lit(k).alias("kind")) for f, k in REQUIRED_FIELDS.items()])
-    kind = lambda f: F.schema_of_variant(F.element_at("_fields", f["name"]))
-    wrong = F.transform(
-        required,
-        lambda f: F.when(~F.map_contains_key("_fields", f["name"]), F.concat(F.lit("missing_field:"), f["name"])).when(kind(f) != f["kind"], F.concat(F.lit("invalid_type:"), f["name"])),
-    )
-    first_wrong = F.get(F.filter(wrong, lambda w: w.isNotNull()), F.lit(0))
-    reason = F.when(~F.col("_whole"), "malformed_json").when(F.col("_fields").isNull(), "invalid_type:root").when(first_wrong.isNotNull(), first_wrong)
+    reason = F.when(F.col("_record").isNull(), "malformed_json").when(F.col("_record").try_cast("map<string,variant>").isNull(), "invalid_type:root")
+    for name, kind in REQUIRED_FIELDS.items():
+        reason = reason.when(_field(name).isNull(), f"missing_field:{name}").when(F.schema_of_variant(_field(name)) != kind, f"invalid_type:{name}")
     if strict:
-        for field in ("event_time", "ingest_time"):
-            reason = reason.when(F.try_to_timestamp(_text(field)).isNull(), f"unparseable:{field}")
-        reason = reason.when(~_text("event_id").rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), "unparseable:event_id")
+        for name in TIMES:
+            reason = reason.when(F.try_to_timestamp(_field(name, "string")).isNull(), f"unparseable:{name}")
+        reason = reason.when(~_field("event_id", "string").rlike(UUID), "unparseable:event_id")
     return reason
 
 
-def _text(field: str) -> Column:
-    return F.element_at("_fields", F.lit(field)).try_cast("string")
+def _once(records: DataFrame, columns: list[Column], kept: list[Column]) -> DataFrame:
+    """``kept`` and the computed columns, as a generator of one row: filters on them stay above, so that they are computed once."""
+    return records.select(*kept, F.inline(F.array(F.struct(*columns))))
 
 
 def with_reason(records: DataFrame, raw: str = "raw", strict: bool = False) -> DataFrame:
@@ -57,7 +65,22 @@ def with_reason(records: DataFrame, raw: str = "raw", strict: bool = False) -> D
 
     ``strict`` adds ``unparseable:F`` for ids and times that the types can't hold.
     """
-    return _checked(records, raw).withColumn("reason_code", _reason(strict)).drop("_record", "_whole", "_fields")
+    return _once(_parsed(records, raw), [_reason(strict).alias("reason_code")], [F.col(c) for c in records.columns])
+
+
+def judged(records: DataFrame, raw: str = "raw", strict: bool = False) -> DataFrame:
+    """All rows with ``reason_code``, the fields as far as they have their types, and the other columns of the input.
+
+    Times that don't parse are null.  ``split`` takes it apart.
+    """
+    fields = [(F.try_to_timestamp(_field(f, "string")) if f in TIMES else _field(f, NUMBERS.get(f, "string"))).alias(f) for f in REQUIRED_FIELDS]
+    kept = [F.col(raw).alias("raw_record"), *[F.col(c) for c in records.columns if c != raw and c not in REQUIRED_FIELDS]]
+    return _once(_parsed(records, raw), [_reason(strict).alias("reason_code"), *fields], kept)
+
+
+def split(judged_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valid events, and dead letters."""
+    return judged_.where("reason_code is null").drop("reason_code", "raw_record"), judged_.where("reason_code is not null").select("reason_code", "raw_record")
 
 
 def dead_letters(records: DataFrame, raw: str = "raw", strict: bool = False) -> DataFrame:
@@ -67,8 +90,4 @@ def dead_letters(records: DataFrame, raw: str = "raw", strict: bool = False) ->
 
 def valid_events(records: DataFrame, raw: str = "raw", strict: bool = False) -> DataFrame:
     """The typed fields of the rows that pass, with the other columns of the input.  Times that don't parse are null."""
-    checked = _checked(records, raw).withColumn("reason_code", _reason(strict)).where("reason_code is null")
-    numbers = {"amount": "bigint", "schema_version": "int"}
-    times = ("event_time", "ingest_time")
-    fields = [(F.try_to_timestamp(_text(f)) if f in times else F.element_at("_fields", F.lit(f)).try_cast(numbers.get(f, "string"))).alias(f) for f in REQUIRED_FIELDS]
-    return checked.select(*fields, *[c for c in records.columns if c != raw and c not in REQUIRED_FIELDS])
+    return split(judged(records, raw, strict))[0]

@@ -23,11 +23,12 @@ def run(records: DataFrame, raw: str = "raw", order: str = "seq", strict: bool =
 
     Anomalies see what isn't late, in order of arrival.
     """
-    events = dedup.first_arrivals(validate.valid_events(records, raw, strict), order=order).withColumn("ts_ms", F.unix_millis("event_time"))
+    valid, dead = validate.split(validate.judged(records, raw, strict))
+    events = dedup.first_arrivals(valid, order=order).withColumn("ts_ms", F.unix_millis("event_time"))
     classes = eventtime.classified(events, order=order)
     not_late = classes.where("lateness <> 'late'")
     return Outputs(
-        dead_letters=validate.dead_letters(records, raw, strict),
+        dead_letters=dead,
         events=events,
         late=classes.where("lateness = 'late'"),
         aggregates=windows.aggregates(not_late.where("lateness = 'on_time'")),

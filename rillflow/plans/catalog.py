@@ -16,7 +16,7 @@ from ..functions.expressions import cursor_of
 from ..operators import anomaly, dedup, eventtime, quality, validate, windows
 from ..schema import REQUIRED_FIELDS
 from ..sinks.tables import KeyedTable, append_batch, read_appended
-from ..sources.events import as_transactions, offset_range, stressed, table, transactions
+from ..sources.events import as_transactions, between, offset_range, stressed, table, transactions
 from ..streaming import job, stateful
 from .reader import AnalyticsReader
 
@@ -96,9 +96,13 @@ _TWICE = _TX + """, twice AS (SELECT event_id, seq, user_id, amount, ts_ms FROM
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_stored(table(spark, sf_dir))
+
+
+def _as_stored(events: DataFrame) -> DataFrame:
     """Events as the reader's table has them, with ids of UUID form."""
     uuid = F.concat(F.lit("00000000-0000-4000-a000-"), F.lpad(F.col("event_id").cast("string"), 12, "0"))
-    return transactions(spark, sf_dir).select(uuid.alias("event_id"), "user_id", "merchant_id", "amount", "transaction_type", F.timestamp_millis("ts_ms").alias("event_time"))
+    return as_transactions(events).select(uuid.alias("event_id"), "user_id", "merchant_id", "amount", "transaction_type", F.timestamp_millis("ts_ms").alias("event_time"))
 
 
 def _reader(spark: SparkSession, sf_dir: str) -> AnalyticsReader:
@@ -228,8 +232,10 @@ def global_anomalies_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TX}, {_STORED}, b AS (SELECT min(ts_ms) AS lo, max(ts_ms) AS hi FROM tx) SELECT stored.* FROM stored, b WHERE ts_ms BETWEEN lo + (hi - lo) // 4 AND lo + (hi - lo) // 2")
 def time_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds from the table's own times; the filter is on the stored column, so it reaches the scan."""
     lo, hi = transactions(spark, sf_dir).agg(F.min("ts_ms"), F.max("ts_ms")).first()
-    return _shown(_stored(spark, sf_dir)).where(F.col("ts_ms").between(lo + (hi - lo) // 4, lo + (hi - lo) // 2))
+    at = lambda ms: F.lit(ms).cast("long")
+    return _shown(between(table(spark, sf_dir), at(lo + (hi - lo) // 4), at(lo + (hi - lo) // 2), _as_stored))
 
 
 @query(f"WITH {_TX}, {_STORED} SELECT * FROM stored")
@@ -304,10 +310,10 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
 
 
-@query("""WITH d AS (SELECT CAST((event_id * 7919) % 200 + 50 AS BIGINT) AS ms FROM events WHERE event_id < 1000 AND event_id % 50 = 0) SELECT count(*) AS n, min(ms) AS min_ms,
+@query("""WITH d AS (SELECT CAST((event_id * 7919) % 200 + 50 AS BIGINT) AS ms FROM events) SELECT count(*) AS n, min(ms) AS min_ms,
   avg(ms) AS avg_ms, max(ms) AS max_ms, list_sort(list(ms))[greatest(1, CAST(floor(count(*) * 0.95) AS BIGINT))] AS p95_ms FROM d""")
 def checkpoint_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.duration_stats(table(spark, sf_dir).where("event_id < 1000 and event_id % 50 = 0").select((F.col("event_id") * 7919 % 200 + 50).alias("ms")), "ms")
+    return quality.duration_stats(table(spark, sf_dir).select((F.col("event_id") * 7919 % 200 + 50).alias("ms")), "ms")
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,10 +331,14 @@ def offset_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _polls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir).where("event_id < 40").select(F.col("event_id").alias("poll"), F.when(F.col("event_id") < 4, 0).otherwise(F.least(F.col("event_id") * 100, F.lit(1500))).cast("long").alias("total"), (F.lit(1_704_067_200_000) + F.col("event_id") * 5000).alias("at_ms"))
+    """A poll an event: a total that is flat for a quarter of them, then grows, and is flat again from the middle on."""
+    events, n = table(spark, sf_dir), F.col("event_id")
+    half = F.broadcast(events.agg(F.floor(F.max("event_id") / 2).alias("half")))
+    total = F.greatest(F.least(n, F.col("half")), F.floor(F.col("half") / 2)) * 100
+    return events.join(half, F.lit(True)).select(n.alias("poll"), total.cast("long").alias("total"), (F.lit(1_704_067_200_000) + n * 5000).alias("at_ms"))
 
 
-_POLLS = "p AS (SELECT event_id AS poll, CAST(CASE WHEN event_id < 4 THEN 0 ELSE least(event_id * 100, 1500) END AS BIGINT) AS total, 1704067200000 + event_id * 5000 AS at_ms FROM events WHERE event_id < 40)"
+_POLLS = "p AS (SELECT event_id AS poll, CAST(greatest(least(event_id, half), half // 2) * 100 AS BIGINT) AS total, 1704067200000 + event_id * 5000 AS at_ms FROM events, (SELECT max(event_id) // 2 AS half FROM events))"
 
 
 @query(f"WITH {_POLLS} SELECT max(total) - min(total) AS delta, (max(total) - min(total)) / ((max(at_ms) - min(at_ms)) / CAST(1000 AS DOUBLE)) AS per_second FROM p")
@@ -336,9 +346,12 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.throughput(_polls(spark, sf_dir), "at_ms", "total")
 
 
-@query(f"WITH {_POLLS} SELECT poll, total, at_ms FROM (SELECT *, lag(total, 1) OVER (ORDER BY poll) AS a, lag(total, 2) OVER (ORDER BY poll) AS b FROM p) WHERE total = a AND total = b ORDER BY poll LIMIT 1")
+@query(f"WITH {_POLLS}, q AS (SELECT * FROM p WHERE total > (SELECT min(total) FROM p)) SELECT poll, total, at_ms FROM (SELECT *, lag(total, 1) OVER (ORDER BY poll) AS a, lag(total, 2) OVER (ORDER BY poll) AS b FROM q) WHERE total = a AND total = b ORDER BY poll LIMIT 1")
 def drain_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.drained(_polls(spark, sf_dir), "total")
+    """After the first growth."""
+    polls = _polls(spark, sf_dir)
+    least = F.broadcast(polls.agg(F.min("total").alias("least")))
+    return quality.drained(polls.join(least, F.col("total") > F.col("least")).drop("least"), "total")
 
 
 @query(f"WITH {_POLLS} SELECT * FROM (SELECT *, total - lag(total) OVER (ORDER BY poll) AS growth FROM p) WHERE growth > 0 ORDER BY poll LIMIT 1")
@@ -406,3 +419,6 @@ def stream_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "stream")
     _drain(stateful.anomalies(stressed(_stream(spark, sf_dir), False)), lambda rows, batch: append_batch(rows, f"{folder}/anomalies", batch), folder, "append")
     return read_appended(spark, f"{folder}/anomalies").drop("batch_id")
+
+
+from . import catalog_io  # noqa: E402, F401  its queries join these

@@ -1,88 +1,134 @@
-"""Sinks that a batch may reach twice: appends by batch, and keyed tables with upsert.
+"""Sinks that a batch may reach twice: appends by batch, keyed tables with upsert, and topics.
 
-Both are safe to repeat: an append writes its batch's own folder, an upsert
-writes new files for the parts that its keys touch and then a manifest of its
-batch.  Readers follow the latest manifest, so they never see half a batch,
-and a repeated batch starts from the manifest before it.
+All are safe to repeat: an append writes its batch's own folder; an upsert
+writes its batch's rows as a segment and then a manifest of its batch.
+Readers follow the latest manifest, so they never see half a batch, and a
+repeated batch starts from the manifest before it.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
+from ..folders import scratch
+from ..functions.expressions import prefixed
+from .files import Ledger, children, exists, move, remove
 
-def append_batch(rows: DataFrame, path: str, batch: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch}")
+FAN = 8  # segments of one level that are merged into one of the next
 
 
-def read_appended(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if exists(spark, path) else None
+def append_batch(rows: DataFrame, path: str, batch: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch}")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def append_once(rows: DataFrame, path: str, batch: int) -> bool:
+    """Publishes a batch's folder whole and for good: whoever follows the path sees its files once, and a repeated batch finds them there."""
+    spark, target = rows.sparkSession, f"{path}/batch_id={batch}"
+    if exists(spark, target):
+        return False
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    rows.write.parquet(staged)
+    if move(spark, staged, target):
+        return True
+    remove(spark, staged)
+    return False
 
 
-def _children(spark: SparkSession, path: str) -> list[str]:
-    if not exists(spark, path):
-        return []
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return [s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+def read_appended(spark: SparkSession, path: str) -> DataFrame | None:
+    return spark.read.parquet(path) if any(n.startswith("batch_id=") for n in children(spark, path)) else None
 
 
 class KeyedTable:
-    """A table of one row a key, in ``parts`` parts by the key's hash.
-
-    ``keep`` names columns that stay as first written; all others take the
-    latest batch's value.
+    """A table of one row a key, kept as segments that reading merges.
+
+    A batch writes its own rows and nothing else, so what it writes doesn't
+    grow with the table; each ``FAN`` segments of a level are merged into one
+    of the next, so that reading meets few of them.  ``keep`` names columns
+    that stay as first written, ``add`` columns that are summed up over the
+    batches; all others take the latest batch's value.  Segments that neither
+    of the last two manifests names are deleted.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], keep: Sequence[str] = (), parts: int = 16):
-        self.spark, self.path, self.keys, self.keep, self.parts = spark, path, list(keys), list(keep), parts
-
-    def _manifest(self, below: int | None = None) -> dict[int, int]:
-        """Part to the batch whose files hold it."""
-        folder = f"{self.path}/_manifest"
-        done = [int(n.split("=")[1]) for n in _children(self.spark, folder) if n.startswith("v=") and exists(self.spark, f"{folder}/{n}/_SUCCESS")]
-        done = [v for v in done if below is None or v < below]
-        if not done:
-            return {}
-        return {r["part"]: r["batch"] for r in self.spark.read.json(f"{folder}/v={max(done)}").collect()}  # one row a part
-
-    def _read(self, manifest: dict[int, int], some: Sequence[int] | None = None) -> DataFrame | None:
-        paths = [f"{self.path}/data/v={b}/_part={p}" for p, b in sorted(manifest.items()) if some is None or p in some]
-        return self.spark.read.parquet(*paths) if paths else None
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], keep: Sequence[str] = (), add: Sequence[str] = ()):
+        self.spark, self.path, self.keys, self.keep, self.add = spark, path, list(keys), list(keep), list(add)
+        self.ledger = Ledger(spark, f"{path}/_manifest", keep=2)
+
+    def _manifest(self, below: int | None = None) -> dict:
+        found = self.ledger.get(below)
+        return json.loads(found) if found else {"segments": [], "columns": []}
+
+    def _read(self, segments: list[dict]) -> DataFrame | None:
+        parts = [self.spark.read.schema(T.StructType.fromJson(s["schema"])).parquet(f"{self.path}/data/{s['name']}") for s in segments]
+        rows = None
+        for part in parts:
+            rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+        return rows
+
+    def _merged(self, rows: DataFrame) -> DataFrame:
+        """One row a key, with the bookkeeping columns: the latest batch and order, and the first batch."""
+        own = [c for c in rows.columns if c not in self.keys]
+        special = {*self.keep, *self.add, "_batch", "_order", "_since"}
+        latest = [c for c in own if c not in special]
+        at = F.struct("_batch", "_order")
+        found = [F.max_by(F.struct(*latest), at).alias("_latest")] if latest else []
+        found += [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("_since", "_order"))).alias(c) for c in self.keep]
+        found += [F.sum(c).cast(rows.schema[c].dataType).alias(c) for c in self.add]
+        found += [F.max(at).alias("_at"), F.min("_since").alias("_since")]
+        one = rows.groupBy(*self.keys).agg(*found)
+        shown = {**{c: F.col(f"_latest.{c}").alias(c) for c in latest}, "_batch": F.col("_at._batch").alias("_batch"), "_order": F.col("_at._order").alias("_order")}
+        return one.select(*[shown.get(c, F.col(c)) for c in rows.columns])
 
     def read(self) -> DataFrame | None:
         """All rows, or None before the first batch."""
-        return self._read(self._manifest())
+        manifest = self._manifest()
+        rows = self._read(manifest["segments"])
+        if rows is None:
+            return None
+        if len(manifest["segments"]) > 1 or manifest["segments"][0]["level"] == 0:
+            rows = self._merged(rows)
+        return rows.select(*manifest["columns"])
+
+    def _write(self, rows: DataFrame, name: str, level: int) -> dict:
+        rows.write.mode("overwrite").parquet(f"{self.path}/data/{name}")
+        return {"name": name, "level": level, "schema": json.loads(rows.schema.json())}
 
     def upsert(self, rows: DataFrame, batch: int, order: str | None = None) -> None:
-        """Merges a batch; of several rows of a key the one of largest ``order`` holds."""
-        part = F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
-        names = rows.columns
-        incoming = rows.withColumn("_batch_", F.lit(1)).withColumn("_order_", F.col(order).cast("long") if order else F.lit(0).cast("long"))
-        touched = [r["p"] for r in rows.select(part.alias("p")).distinct().collect()]  # at most ``parts`` numbers
-        if not touched:
-            return
+        """Adds a batch; of several rows of a key the one of largest ``order`` holds."""
         before = self._manifest(below=batch)
-        old = self._read(before, touched)
-        if old is not None:
-            incoming = incoming.unionByName(old.withColumn("_batch_", F.lit(0)).withColumn("_order_", F.lit(0).cast("long")), allowMissingColumns=True)
-        # one exchange by part serves both windows and leaves one file a part
-        incoming = incoming.withColumn("_part_", part).repartition(len(touched), "_part_")
-        latest = W.partitionBy("_part_", *self.keys).orderBy(F.desc("_batch_"), F.desc("_order_"))
-        merged = incoming.withColumn("_nth_", F.row_number().over(latest))
-        for c in self.keep:
-            first = W.partitionBy("_part_", *self.keys).orderBy("_batch_", "_order_").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-            merged = merged.withColumn(f"_first_{c}_", F.first(c, ignorenulls=True).over(first)).withColumn(c, F.col(f"_first_{c}_")).drop(f"_first_{c}_")
-        merged = merged.where("_nth_ = 1").select(*names, F.col("_part_").alias("_part"))
-        merged.write.mode("overwrite").partitionBy("_part").parquet(f"{self.path}/data/v={batch}")
-        manifest = before | dict.fromkeys(touched, batch)
-        self.spark.createDataFrame(sorted(manifest.items()), "part int, batch long").coalesce(1).write.mode("overwrite").json(f"{self.path}/_manifest/v={batch}")
+        marked = rows.withColumn("_batch", F.lit(batch).cast("long")).withColumn("_order", F.col(order).cast("long") if order else F.lit(0).cast("long")).withColumn("_since", F.col("_batch"))
+        segments = [*before["segments"], self._write(marked, f"v={batch}", 0)]
+        level = 0
+        while sum(s["level"] == level for s in segments) >= FAN:
+            several = [s for s in segments if s["level"] == level]  # those of a level are neighbours in time
+            merged = self._write(self._merged(self._read(several)), f"c={level + 1}-{batch}", level + 1)
+            segments = [s for s in segments if s["level"] > level] + [merged]
+            level += 1
+        columns = list(dict.fromkeys([*before["columns"], *rows.columns]))
+        self.ledger.put(batch, json.dumps({"segments": segments, "columns": columns}))
+        used = {s["name"] for b in self.ledger.batches()[-2:] for s in json.loads(self.ledger.get(b + 1))["segments"]}
+        for name in children(self.spark, f"{self.path}/data"):
+            if name not in used and not name.startswith("_"):
+                remove(self.spark, f"{self.path}/data/{name}")
+
+
+class TopicWriter:
+    """Writes rows as compact JSON to a topic: Kafka's, or a folder of key and value (each batch once)."""
+
+    def __init__(self, location: str, kind: str = "folder", key: str | None = None, **options: str):
+        if kind not in ("folder", "kafka"):
+            raise ValueError("a topic is a folder or Kafka's")
+        self.location, self.kind, self.key, self.options = location, kind, key, options
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        lines = kafka_rows(rows, self.key)
+        if self.kind == "kafka":
+            lines.write.format("kafka").option("topic", self.location).options(**self.options).save()
+        else:
+            append_once(lines, self.location, batch)
 
 
 def require(rows: DataFrame, not_null: Sequence[str] = (), one_of: dict[str, Sequence[str]] | None = None) -> DataFrame:
@@ -95,8 +141,14 @@ def require(rows: DataFrame, not_null: Sequence[str] = (), one_of: dict[str, Seq
 
 
 def with_ids(rows: DataFrame, name: str, order: Sequence[str], first: int = 1, parts: int = 64) -> DataFrame:
-    """Adds gapless ids in order, in two levels: ranges of ``order``, then ranks inside each."""
-    ranged = rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+    """Adds gapless ids in order, in two levels: ranges of ``order``, then ranks inside each.
+
+    The ranges are drawn from a sample, anew whenever rows are computed, so
+    they are stored before they are counted and ranked.
+    """
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "numbered")
+    rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_range", T.IntegerType())])).parquet(path)
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     counts = counts.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = W.partitionBy("_range").orderBy(*order)
@@ -109,10 +161,32 @@ def kafka_rows(rows: DataFrame, key: str | None = None) -> DataFrame:
     return rows.select(F.col(key).cast("string").alias("key"), value) if key else rows.select(value)
 
 
-def inspect(rows: DataFrame, prefix: str):
-    """A console writer of a stream, a line of JSON behind ``prefix`` each; not started yet."""
-    line = F.concat(F.lit(f"{prefix}: "), F.to_json(F.struct(*rows.columns)))
-    return rows.select(line.alias("line")).writeStream.format("console").option("truncate", "false").outputMode("append")
+def lines_of(rows: DataFrame, prefix: str) -> DataFrame:
+    """A line of JSON behind ``prefix`` for each row."""
+    return rows.select(prefixed(prefix, F.to_json(F.struct(*rows.columns))).alias("line"))
+
+
+def inspect(rows: DataFrame, prefix: str, most: int = 20) -> list[str]:
+    """Prints some rows of a batch as lines, and returns them."""
+    shown = [r["line"] for r in lines_of(rows, prefix).limit(most).collect()]
+    for line in shown:
+        print(line)
+    return shown
+
+
+# fixed values: columns of the stored tables
+TABLES = {
+    "events": "event_id STRING, user_id STRING, merchant_id STRING, amount BIGINT, currency STRING, transaction_type STRING, event_time TIMESTAMP, ingest_time TIMESTAMP, schema_version INT, received_at TIMESTAMP",
+    "user_aggregates": "user_id STRING, window_start TIMESTAMP, window_end TIMESTAMP, transaction_count BIGINT, total_volume BIGINT, average_transaction_value DOUBLE, updated_at TIMESTAMP",
+    "anomalies": "anomaly_id BIGINT, anomaly_type STRING, event_id STRING, user_id STRING, transaction_count BIGINT, velocity_window_seconds INT, velocity_threshold BIGINT, amount BIGINT, rolling_99th_percentile DOUBLE, history_size INT, detected_at TIMESTAMP",
+    "schema_migrations": "version STRING, applied_at TIMESTAMP",
+}
+
+
+def publish(rows: DataFrame, name: str, database: str = "analytics") -> None:
+    """Puts rows into a table of ``bootstrap`` in place of what it held, columns by name."""
+    table = rows.sparkSession.table(f"{database}.{name}")
+    rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema]).write.mode("overwrite").insertInto(f"{database}.{name}")
 
 
 def bootstrap(spark: SparkSession, database: str = "analytics", version: str = "2") -> None:
@@ -121,15 +195,9 @@ def bootstrap(spark: SparkSession, database: str = "analytics", version: str = "
     An events table of an older shape, without event_id, is dropped first.
     """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    tables = {
-        "events": "event_id STRING, user_id STRING, merchant_id STRING, amount BIGINT, currency STRING, transaction_type STRING, event_time TIMESTAMP, ingest_time TIMESTAMP, schema_version INT, received_at TIMESTAMP",
-        "user_aggregates": "user_id STRING, window_start TIMESTAMP, window_end TIMESTAMP, transaction_count BIGINT, total_volume BIGINT, average_transaction_value DOUBLE, updated_at TIMESTAMP",
-        "anomalies": "anomaly_id BIGINT, anomaly_type STRING, event_id STRING, user_id STRING, transaction_count BIGINT, velocity_window_seconds INT, velocity_threshold BIGINT, amount BIGINT, rolling_99th_percentile DOUBLE, history_size INT, detected_at TIMESTAMP",
-        "schema_migrations": "version STRING, applied_at TIMESTAMP",
-    }
     if spark.catalog.tableExists(f"{database}.events") and "event_id" not in spark.table(f"{database}.events").columns:
         spark.sql(f"DROP TABLE {database}.events")
-    for name, columns in tables.items():
+    for name, columns in TABLES.items():
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
     ledger = f"{database}.schema_migrations"
     if spark.table(ledger).where(F.col("version") == version).isEmpty():

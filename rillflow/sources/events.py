@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 PARTITIONS = 6  # of the raw topic; a record's partition follows its user
@@ -27,6 +29,14 @@ def as_transactions(events: DataFrame) -> DataFrame:
     )
 
 
+def between(events: DataFrame, from_ms: Column, to_ms: Column, then: Callable[[DataFrame], DataFrame] = as_transactions, time: str = "ts") -> DataFrame:
+    """Events of milliseconds from_ms to to_ms, both included, compared on the stored time; ``then`` shapes them."""
+    kind = dict(events.dtypes)[time]
+    # whole milliseconds: everything before the next one is inside
+    first, after = (F.timestamp_millis(ms).cast(kind) if kind == "timestamp" else F.timestamp_add("MILLISECOND", ms, F.lit("1970-01-01 00:00:00").cast(kind)) for ms in (from_ms, to_ms + 1))
+    return then(events.where((F.col(time) >= first) & (F.col(time) < after)))
+
+
 def stressed(transactions_: DataFrame, disorder: bool = True) -> DataFrame:
     """Few users and dense times, some of them late: fixture columns by integer arithmetic on the id."""
     late = F.when(F.col("event_id") % 37 == 5, 20_000).when(F.col("event_id") % 41 == 7, 90_000).otherwise(0) if disorder else F.lit(0)
@@ -34,17 +44,28 @@ def stressed(transactions_: DataFrame, disorder: bool = True) -> DataFrame:
 
 
 def raw_stream(spark: SparkSession, location: str, kind: str = "text", **options: str) -> DataFrame:
-    """A stream of ``raw`` records: Kafka (earliest offsets, values as text) or files of a line each."""
+    """A stream of ``raw`` records: Kafka (earliest offsets, values as text, with partition and offset) or files of a line each."""
     reader = spark.readStream.format(kind)
     if kind == "kafka":
         reader = reader.option("subscribe", location).option("startingOffsets", "earliest").options(**options)
-        return reader.load().select(F.col("value").cast("string").alias("raw"), "partition", "offset", F.col("timestamp").alias("received_at"))
+        return kafka_records(reader.load())
     return reader.options(**options).load(location).select(F.col("value").alias("raw"))
 
 
+def kafka_records(rows: DataFrame) -> DataFrame:
+    """raw, partition, offset of Kafka's rows; a null value is an empty text, which fails validation."""
+    return rows.select(F.coalesce(F.col("value").cast("string"), F.lit("")).alias("raw"), "partition", "offset")
+
+
+def jdbc_table(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
+    """A table of a database whose driver is on the class path; partitionColumn, lowerBound, upperBound and numPartitions split the scan."""
+    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+
+
 def with_partition(events: DataFrame, key: str = "user_id", partitions: int = PARTITIONS) -> DataFrame:
-    """Adds the topic partition a record belongs to."""
-    return events.withColumn("partition", F.pmod(F.hash(F.col(key).cast("string")), F.lit(partitions)))
+    """Adds the topic partition a record belongs to: its key's digest, so any client can tell it."""
+    digest = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    return events.withColumn("partition", (digest % partitions).cast("int"))
 
 
 def offset_range(records: DataFrame, ranges: dict[int, tuple[int, int]], partition: str = "partition", offset: str = "offset") -> DataFrame:
@@ -61,6 +82,11 @@ def offsets_table(lines: DataFrame, text: str = "value") -> DataFrame:
     return lines.select(part[0].alias("topic"), part[1].try_cast("int").alias("partition"), part[2].try_cast("long").alias("offset"))
 
 
+def offset_totals(offsets: DataFrame) -> DataFrame:
+    """One row a topic: its partitions' offsets summed up; lines without a number don't count."""
+    return offsets.groupBy("topic").agg(F.count("offset").alias("partitions"), F.sum("offset").alias("total"))
+
+
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """One VARIANT ``record`` a line; lines that are no JSON are skipped."""
     return spark.read.text(path).select(F.try_parse_json("value").alias("record")).where("record is not null")

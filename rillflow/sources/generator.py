@@ -1,7 +1,7 @@
 """Seeded fixture events with injected faults: late, malformed, duplicate and out-of-order records.
 
-Every choice is a hash of the record's number and the seed, so any partitioning
-gives the same records.
+Every choice is a digest of the record's number and the seed, so any
+partitioning, and any other engine that has MD5, gives the same records.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.expressions import iso_ms, padded_id
@@ -20,6 +21,9 @@ TYPES = ("purchase", "transfer", "bill_payment", "cash_withdrawal")
 BAD_TYPES = ("chargeback_test", "unknown_type")
 CHUNK = 50_000
 DROPPABLE = ("merchant_id", "amount", "currency", "event_time")
+RESENT_FROM = 10_000  # a repeat is of one of so many records sent before
+ZIPF_BUCKETS = 4096
+MOST_BROADCAST_USERS = 100_000
 
 
 @dataclass(frozen=True)
@@ -32,6 +36,7 @@ class Profile:
     rate_per_second: float = 100.0
     zipf: bool = False
     zipf_exponent: float = 1.2
+    workers: int = 1
     burst: float = 0.0
     burst_multiplier: float = 5.0
     duplicate: float = 0.0
@@ -44,7 +49,7 @@ class Profile:
     start_ms: int = 1_704_067_200_000
 
     def __post_init__(self) -> None:
-        if self.records < 0 or self.users < 1 or self.merchants < 1 or self.rate_per_second <= 0 or self.late_max_s < 0 or self.zipf_exponent <= 0 or self.burst_multiplier < 1:
+        if self.records < 0 or self.workers < 1 or self.users < 1 or self.merchants < 1 or self.rate_per_second <= 0 or self.late_max_s < 0 or self.zipf_exponent <= 0 or self.burst_multiplier < 1:
             raise ValueError("counts, pool sizes and the rate must be positive")
         if any(not 0 <= x <= 1 for x in (self.burst, self.duplicate, self.late, self.out_of_order, self.malformed)):
             raise ValueError("rates lie between 0 and 1")
@@ -56,7 +61,21 @@ FAULTY = Profile(records=6000, users=5, duplicate=0.1, late=0.1, out_of_order=0.
 
 
 def _uniform(seed: int, salt: str) -> Column:
-    return (F.pmod(F.xxhash64("n", F.lit(f"{seed}:{salt}")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    """A number above 0 and below 1, from the first 40 bits of a digest."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), F.col("n").cast("string")))
+    return (F.conv(F.substring(digest, 1, 10), 16, 10).cast("long") + 0.5) / float(1 << 40)
+
+
+def _zipf_users(rows: DataFrame, p: Profile) -> DataFrame:
+    """Adds ``user``: of weight 1 / rank ** exponent, by looking ``u`` up among the running shares, cut into buckets."""
+    share = np.cumsum(1 / np.arange(1, p.users + 1) ** p.zipf_exponent)
+    high = share / share[-1]
+    low = np.concatenate([[0.0], high[:-1]])
+    edges = rows.sparkSession.createDataFrame(pa.table({"user": pa.array(np.arange(p.users), pa.int64()), "low": low, "high": high}))
+    bucket = lambda x: F.floor(x * ZIPF_BUCKETS)
+    edges = edges.withColumn("bucket", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))))
+    edges = F.broadcast(edges) if p.users <= MOST_BROADCAST_USERS else edges
+    return rows.withColumn("bucket", bucket(F.col("u"))).join(edges, "bucket").where("u > low and u <= high").drop("bucket", "low", "high", "u")
 
 
 def _pick(values: tuple[str, ...], u: Column) -> Column:
@@ -64,30 +83,32 @@ def _pick(values: tuple[str, ...], u: Column) -> Column:
 
 
 def generate(spark: SparkSession, profile: Profile) -> DataFrame:
-    """seq (order of arrival) and raw (JSON text)."""
+    """seq (order of arrival) and raw (JSON text).
+
+    Each of the profile's workers sends at the profile's rate, in turns.
+    """
     p, u = profile, lambda salt: _uniform(profile.seed, salt)
     rows = spark.range(p.records).withColumnRenamed("id", "n")
     if p.zipf:
-        share = np.cumsum(1 / np.arange(1, p.users + 1) ** p.zipf_exponent)
-        edges = F.array(*[F.lit(float(x)) for x in share / share[-1]])
-        user = F.size(F.filter(edges, lambda e: e < u("user")))
+        rows = _zipf_users(rows.withColumn("u", u("user")), p)
     else:
-        user = F.floor(u("user") * p.users).cast("int")
+        rows = rows.withColumn("user", F.floor(u("user") * p.users))
+    user = F.col("user")
     back = F.when(u("late?") < p.late, min(1.0, p.late_max_s) + u("lag") * max(p.late_max_s - 1, 0)).otherwise(0.0)
     if p.burst:  # intervals shrink at random; their running sum is taken in two levels
         rows = rows.withColumn("chunk", F.floor(F.col("n") / CHUNK)).withColumn("wait", F.when(u("burst?") < p.burst, 1 / p.burst_multiplier).otherwise(1.0))
         waits = rows.groupBy("chunk").agg(F.sum("wait").alias("wait"))
         before = waits.select("chunk", F.coalesce(F.sum("wait").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
         so_far = F.coalesce(F.sum("wait").over(W.partitionBy("chunk").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-        rows = rows.join(before, "chunk").select("n", (F.col("before") + so_far).alias("turn"))
+        rows = rows.join(before, "chunk").select("n", "user", (F.col("before") + so_far).alias("turn"))
     else:
         rows = rows.withColumn("turn", F.col("n").cast("double"))
-    at = F.lit(p.start_ms) + F.floor(F.col("turn") * (1000 / p.rate_per_second))
+    at = F.lit(p.start_ms) + F.floor(F.col("turn") * (1000 / (p.rate_per_second * p.workers)))
     normal = F.sqrt(-2 * F.log(u("a1"))) * F.cos(2 * np.pi * u("a2"))
     amount = F.least(F.greatest(F.round(F.exp(10.5 + 0.9 * normal)), F.lit(100.0)), F.lit(5_000_000.0)).cast("long")
     bad, wrong = u("bad?") < p.malformed, u("wrong")
     semantic, structural = bad & F.lit(p.malformed_kind == "semantic"), bad & F.lit(p.malformed_kind == "structural")
-    which = F.floor(wrong * (len(DROPPABLE) + 1))
+    which = F.when(wrong < 0.5, F.floor(wrong * 2 * len(DROPPABLE))).otherwise(len(DROPPABLE))  # a field less, or an amount that is text
     keep = lambda field, value: F.when(structural & (which == DROPPABLE.index(field)), None).otherwise(value)
     h = F.md5(F.concat_ws(":", F.lit(str(p.seed)), F.col("n").cast("string")))
     uuid = F.concat_ws("-", h.substr(1, 8), h.substr(9, 4), F.concat(F.lit("4"), h.substr(14, 3)), F.concat(F.lit("a"), h.substr(18, 3)), h.substr(21, 12))
@@ -104,6 +125,8 @@ def generate(spark: SparkSession, profile: Profile) -> DataFrame:
     text = F.when(structural & (which == len(DROPPABLE)), F.regexp_replace(text, r'"amount":(-?\d+)', '"amount":"$1"')).otherwise(text)
     swapped = (F.col("n") % 2 == 0) & (u("swap") < p.out_of_order) & (F.col("n") + 1 < p.records)
     order = F.col("n") * 2 + F.when(swapped, 3).otherwise(0)  # behind its successor
-    sent = rows.select(order.alias("order"), text.alias("raw"), F.when(u("again?") < p.duplicate, 1 + F.floor(u("gap") * 100)).alias("gap"))
-    again = sent.where("gap is not null").select((F.col("order") + F.col("gap") * 2 + 1).alias("order"), "raw")
-    return sent.select("order", "raw").unionByName(again).select(F.col("order").alias("seq"), "raw")
+    once = rows.withColumn("order", order)
+    gap = 1 + F.floor(u("gap") * F.least(F.col("n"), F.lit(RESENT_FROM)))
+    again = spark.range(p.records).withColumnRenamed("id", "n").where((F.col("n") > 0) & (u("again?") < p.duplicate)).select((F.col("n") - gap).alias("n"), (F.col("n") * 2 + 1).alias("order"))
+    every = once.unionByName(again.join(rows, "n")) if p.duplicate else once
+    return every.select(F.col("order").alias("seq"), text.alias("raw"))

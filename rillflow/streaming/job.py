@@ -2,79 +2,170 @@
 
 Each micro-batch is validated, de-duplicated against earlier batches,
 classified against the largest time seen so far, and written to all sinks.
-Every write is keyed by batch, so a batch that is repeated after a failure
-leaves the same tables.
+What it takes in is published once and for good; every other write is keyed by
+batch and derived from that, so a batch that is repeated after a failure
+leaves the same tables.  A batch reads nothing of the batches before it but
+the ids of the last minutes and one small record.
 """
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import dedup, eventtime, validate, windows
-from ..schema import DEDUP_TTL
-from ..sinks.tables import KeyedTable, append_batch, exists, read_appended
+from ..plans.reader import AnalyticsReader
+from ..schema import ANOMALY_TYPES, DEDUP_TTL, REQUIRED_FIELDS
+from ..sinks.files import Ledger, children, exists, remove
+from ..sinks.tables import KeyedTable, TopicWriter, append_batch, append_once, inspect, publish, read_appended, require, with_ids
 from .stateful import anomalies
 
+ACCEPTED = (
+    "event_id string, user_id string, merchant_id string, amount bigint, currency string, transaction_type string, event_time timestamp, ingest_time timestamp, "
+    "schema_version int, seq bigint, received_at timestamp, ts_ms bigint, watermark_ms bigint, lateness string"
+)
+FOUND = (
+    "anomaly_id bigint, anomaly_type string, event_id string, user_id string, transaction_count bigint, velocity_window_seconds int, velocity_threshold bigint, amount bigint, "
+    "rolling_99th_percentile double, history_size int, detected_at timestamp"
+)
+BUCKET_S = 60  # seconds of arrival whose ids share a folder
+OUTPUTS = ("dead_letters", "late", "aggregates")
+
+
+def with_seq(records: DataFrame) -> DataFrame:
+    """Adds ``seq``, the order of arrival inside a micro-batch, where it is missing.
+
+    Kafka's records go by offset, then partition, so each partition keeps its
+    order; others by their place in the files.
+    """
+    if "seq" in records.columns:
+        return records
+    if {"partition", "offset"} <= set(records.columns):
+        return records.withColumn("seq", F.shiftleft("offset", 12).bitwiseOR(F.col("partition").cast("long")))
+    return records.withColumn("seq", F.monotonically_increasing_id())
+
 
 class StreamJob:
-    """Sinks under ``out``: dead_letters, late, accepted and partials (appended by batch), events (upserted by id).
+    """Sinks under ``out``: dead_letters, late and accepted (appended by batch), events and aggregates (upserted by key), anomalies (appended with ids).
 
     Ids are remembered for ``remember`` of wall-clock time, so that a batch
     looks through a bounded stretch of history; an older repeat is still one
-    row of events.  None remembers all.
+    row of events, though it counts in the aggregates again.  None remembers
+    all.  ``topics`` names writers for any of dead_letters, late and
+    aggregates; ``console`` prints some rows of each.
     """
 
-    def __init__(self, spark: SparkSession, out: str, strict: bool = True, remember: str | None = DEDUP_TTL):
-        self.spark, self.out, self.strict, self.remember = spark, out, strict, remember
+    def __init__(self, spark: SparkSession, out: str, strict: bool = True, remember: str | None = DEDUP_TTL, topics: dict[str, TopicWriter] | None = None, console: bool = False):
+        if unknown := set(topics or {}) - set(OUTPUTS):
+            raise ValueError(f"no such output: {', '.join(sorted(unknown))}")
+        self.spark, self.out, self.strict, self.topics, self.console = spark, out, strict, topics or {}, console
+        self.remember_s = None if remember is None else int(pd.Timedelta(remember).total_seconds())
         self.events = KeyedTable(spark, f"{out}/events", ["event_id"], keep=["received_at"])
-
-    def _before(self, name: str, batch: int) -> DataFrame | None:
-        rows = read_appended(self.spark, f"{self.out}/{name}")
-        return None if rows is None else rows.where(F.col("batch_id") < batch)
+        self.windows = KeyedTable(spark, f"{out}/aggregates", ["user_id", "window_start_ms"], add=["transaction_count", "total_volume"])
+        self.ledger, self.anomaly_ledger = Ledger(spark, f"{out}/_progress"), Ledger(spark, f"{out}/_anomaly_progress")
+
+    def _seen(self, batch: int, now_s: int) -> DataFrame | None:
+        """Ids of earlier batches that are still remembered; folders of older ones are not even listed, and deleted."""
+        least = 0 if self.remember_s is None else now_s - self.remember_s
+        folders = []
+        for name in children(self.spark, f"{self.out}/seen"):
+            if name.startswith("minute="):
+                begin = int(name[7:]) * BUCKET_S
+                if begin + BUCKET_S >= least:
+                    folders.append(f"{self.out}/seen/{name}")
+                elif begin + 2 * BUCKET_S < least:
+                    remove(self.spark, f"{self.out}/seen/{name}")
+        if not folders:
+            return None
+        ids = self.spark.read.schema("event_id string, at_s bigint, minute bigint, batch_id bigint").option("basePath", f"{self.out}/seen").parquet(*folders)
+        return ids.where((F.col("batch_id") < batch) & (F.col("at_s") >= least))
 
     def process(self, records: DataFrame, batch: int) -> None:
-        """One micro-batch with columns raw and seq."""
-        records = records.persist()
+        """One micro-batch of records with column raw, and seq or partition and offset if there are any."""
+        now = time.time()
+        at = F.timestamp_micros(F.lit(int(now * 1e6)))
+        judged = validate.judged(with_seq(records).drop(*[f for f in (*REQUIRED_FIELDS, "received_at") if f in records.columns]), strict=self.strict).persist()
         try:
-            append_batch(validate.dead_letters(records, strict=self.strict), f"{self.out}/dead_letters", batch)
-            events = validate.valid_events(records, strict=self.strict)
-            seen = self._before("accepted", batch)
-            if seen is not None and self.remember:
-                seen = seen.where(F.col("received_at") >= F.current_timestamp() - F.expr(f"INTERVAL {self.remember}"))
-            fresh = dedup.first_arrivals(events) if seen is None else dedup.new_arrivals(events, seen)
-            fresh = fresh.withColumn("ts_ms", F.unix_millis("event_time")).withColumn("received_at", F.current_timestamp())
-            tops = self._before("watermarks", batch)
-            carry = None if tops is None else tops.agg(F.max("top")).first()[0]
-            classes = eventtime.classified(fresh, carry=carry)
-            append_batch(classes, f"{self.out}/accepted", batch)
-            stored = self.spark.read.parquet(f"{self.out}/accepted/batch_id={batch}")  # computed once, for all that follows
-            append_batch(stored.agg(F.max("ts_ms").alias("top")), f"{self.out}/watermarks", batch)
-            append_batch(stored.where("lateness = 'late'"), f"{self.out}/late", batch)
-            append_batch(windows.aggregates(stored.where("lateness = 'on_time'")), f"{self.out}/partials", batch)
-            self.events.upsert(stored.drop("ts_ms", "watermark_ms", "lateness", "seq"), batch)
+            events, dead = validate.split(judged)
+            append_batch(dead, f"{self.out}/dead_letters", batch)
+            before = json.loads(self.ledger.get(below=batch) or "{}")
+            if not exists(self.spark, f"{self.out}/accepted/batch_id={batch}"):
+                seen = self._seen(batch, int(now))
+                fresh = dedup.first_arrivals(events) if seen is None else dedup.new_arrivals(events, seen)
+                fresh = fresh.withColumn("ts_ms", F.unix_millis("event_time")).withColumn("received_at", at)
+                append_once(_typed(eventtime.classified(fresh, carry=before.get("top")), ACCEPTED), f"{self.out}/accepted", batch)
+            stored = self.spark.read.schema(ACCEPTED).parquet(f"{self.out}/accepted/batch_id={batch}")  # computed once, for all that follows
+            ids = stored.select("event_id", F.unix_seconds("received_at").alias("at_s")).withColumn("minute", F.floor(F.col("at_s") / BUCKET_S)).withColumn("batch_id", F.lit(batch))
+            ids.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("minute", "batch_id").parquet(f"{self.out}/seen")
+            late = stored.where("lateness = 'late'")
+            append_batch(late, f"{self.out}/late", batch)
+            sums = windows.aggregates(stored.where("lateness = 'on_time'")).select("user_id", "window_start_ms", "transaction_count", "total_volume", at.alias("updated_at"))
+            self.windows.upsert(sums, batch)
+            self.events.upsert(require(stored.drop("ts_ms", "watermark_ms", "lateness", "seq"), not_null=["event_id", "user_id", "event_time"]), batch)
+            for name, rows in zip(OUTPUTS, (dead, late.drop("watermark_ms", "lateness"), self._changed(sums)), strict=True):
+                if name in self.topics:
+                    self.topics[name].write(rows, batch)
+                if self.console:
+                    inspect(rows, name)
+            top = stored.agg(F.max("ts_ms")).first()[0]
+            self.ledger.put(batch, json.dumps({"top": max((t for t in (before.get("top"), top) if t is not None), default=None)}))
         finally:
-            records.unpersist()
+            judged.unpersist()
+
+    def _changed(self, sums: DataFrame) -> DataFrame:
+        """The windows that a batch touched, as they now stand."""
+        return windows.finish(self.windows.read().join(sums.select("user_id", "window_start_ms"), ["user_id", "window_start_ms"], "left_semi"), windows.WINDOW_MS)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """``trigger`` as of DataStreamWriter.trigger, by default all that is there."""
         return stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
     def start_anomalies(self, checkpoint: str, **trigger) -> StreamingQuery:
-        """Reads what the main query accepted and appends anomalies."""
-        schema = self.spark.read.parquet(f"{self.out}/accepted").schema
-        accepted = self.spark.readStream.schema(schema).parquet(f"{self.out}/accepted").where("lateness <> 'late'")
-        return (
-            anomalies(accepted).writeStream.format("parquet").option("path", f"{self.out}/anomalies").option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
-        )
-
-    def aggregates(self) -> DataFrame | None:
-        """Windows of all batches; a window's parts from several batches are added up."""
-        return windows.merge(self.spark.read.parquet(f"{self.out}/partials")) if exists(self.spark, f"{self.out}/partials") else None
+        """Reads what the main query accepted, also before there is any, and appends anomalies with ids."""
+        self.spark.createDataFrame([], ACCEPTED).write.mode("ignore").parquet(f"{self.out}/accepted/batch_id=-1")
+        accepted = self.spark.readStream.schema(ACCEPTED).parquet(f"{self.out}/accepted").where("lateness <> 'late'")
+        return anomalies(accepted).writeStream.foreachBatch(self.record).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+    def record(self, found: DataFrame, batch: int) -> None:
+        """One micro-batch of anomalies."""
+        first = int(self.anomaly_ledger.get(below=batch) or 1)
+        append_once(found, f"{self.out}/_found", batch)  # numbering reads rows twice, and a stream's state must not be gone through again
+        stored = self.spark.read.schema(found.schema).parquet(f"{self.out}/_found/batch_id={batch}")
+        numbered = with_ids(stored, "anomaly_id", ["event_id", "anomaly_type"], first=first, parts=8).withColumn("detected_at", F.current_timestamp())
+        append_once(_typed(require(numbered, not_null=["event_id", "user_id"], one_of={"anomaly_type": ANOMALY_TYPES}), FOUND), f"{self.out}/anomalies", batch)
+        self.anomaly_ledger.put(batch, str(first + stored.count()))
+        remove(self.spark, f"{self.out}/_found/batch_id={batch - 1}")
+
+    def aggregates(self) -> DataFrame:
+        """Windows of all batches, a window's parts added up."""
+        rows = self.windows.read()
+        if rows is None:
+            rows = self.spark.createDataFrame([], "user_id string, window_start_ms bigint, transaction_count bigint, total_volume bigint, updated_at timestamp")
+        return windows.finish(rows, windows.WINDOW_MS).withColumns({"window_start": F.timestamp_millis("window_start_ms"), "window_end": F.timestamp_millis("window_end_ms")})
+
+    def anomalies(self) -> DataFrame:
+        rows = read_appended(self.spark, f"{self.out}/anomalies")
+        return self.spark.createDataFrame([], FOUND) if rows is None else rows.drop("batch_id")
+
+    def reader(self) -> AnalyticsReader:
+        """Lookups over the job's tables as they now stand."""
+        events = self.events.read()
+        return AnalyticsReader(self.spark.createDataFrame([], ACCEPTED).drop("ts_ms", "watermark_ms", "lateness", "seq") if events is None else events, self.aggregates().drop("window_start_ms", "window_end_ms"), self.anomalies())
+
+    def publish(self, database: str = "analytics") -> None:
+        """Snapshots of the tables in the catalogue's tables of ``bootstrap``."""
+        reader = self.reader()
+        for name, rows in (("events", reader.events), ("user_aggregates", reader.aggregates), ("anomalies", reader.anomalies)):
+            publish(rows, name, database)
+
+
+def _typed(rows: DataFrame, ddl: str) -> DataFrame:
+    return rows.select(*[F.col(name).cast(kind).alias(name) for name, kind in (c.rsplit(" ", 1) for c in ddl.split(", "))])
 
 
 def window_updates(stream: DataFrame, size: str = "10 seconds", delay: str = "45 seconds") -> DataFrame:
@@ -96,9 +187,3 @@ def supervised(begin: Callable[[], StreamingQuery], attempts: int = 10, pause_s:
                 raise
             time.sleep(pause_s)
     return attempts
-
-
-def progress(query: StreamingQuery, spark: SparkSession) -> DataFrame:
-    """batch, rows, duration_ms, rows_per_second of the query's recent micro-batches."""
-    rows = [(p["batchId"], p["numInputRows"], p["durationMs"].get("triggerExecution", 0), float(p.get("processedRowsPerSecond") or 0)) for p in query.recentProgress]
-    return spark.createDataFrame(rows, "batch long, rows long, duration_ms long, rows_per_second double")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.anomaly import COLUMNS, DTYPES, SCHEMA, anomaly_rows, step
+from ..operators.anomaly import COLUMNS, DTYPES, SCHEMA, UserState
 from ..workers import importable
 
 STATE = "times array<long>, amounts array<long>"
@@ -20,12 +20,11 @@ def anomalies(stream: DataFrame, user: str = "user_id", time_ms: str = "ts_ms",
     rows = stream.select(F.col("event_id").cast("string").alias("event_id"), F.col(user).cast("string").alias("user_id"), F.col(time_ms).alias("ts"), "amount", F.col(order).alias("o"))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, history = map(list, state.get) if state.exists else ([], [])
+        user = UserState(*state.get) if state.exists else UserState()
         out = []
         for r in pd.concat(batches).sort_values("o").itertuples(index=False):
-            times, history, fired, above = step(times, history, int(r.ts), int(r.amount))
-            out += anomaly_rows(r.event_id, key[0], int(r.amount), fired, above)
-        state.update((times, history))
+            out += user.arrive(r.event_id, key[0], int(r.ts), int(r.amount))
+        state.update((list(user.times.ordered), list(user.amounts.arrived)))
         yield pd.DataFrame(out, columns=COLUMNS).astype(DTYPES)
 
     return rows.groupBy("user_id").applyInPandasWithState(run, SCHEMA, STATE, "append", GroupStateTimeout.NoTimeout)

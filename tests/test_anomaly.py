@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,12 +8,19 @@ from rillflow.operators import anomaly
 
 
 def sequential(rows):
-    state, out = {}, []
+    """One event after the other, with plain lists and nothing of the library: kept times, kept amounts, a percentile by fractions."""
+    times, amounts, out = {}, {}, []
     for event_id, user, ts, amount in rows:
-        times, history = state.get(user, ([], []))
-        times, history, fired, above = anomaly.step(times, history, ts, amount)
-        state[user] = (times, history)
-        out += anomaly.anomaly_rows(str(event_id), str(user), amount, fired, above)
+        kept = times[user] = [t for t in times.get(user, []) if ts - t <= 60_000] + [ts]
+        if len(kept) > 10:
+            out.append(("ANOMALY_VELOCITY", str(event_id), str(user), len(kept), 60, 10, None, None, None))
+        past = sorted(amounts.get(user, []))
+        if len(past) >= 20:
+            at = Fraction(99 * (len(past) - 1), 100)
+            limit = past[int(at)] + (past[min(int(at) + 1, len(past) - 1)] - past[int(at)]) * (at - int(at))
+            if amount > limit:
+                out.append(("ANOMALY_AMOUNT", str(event_id), str(user), None, None, None, amount, round(float(limit), 6), len(past)))
+        amounts[user] = (amounts.get(user, []) + [amount])[-256:]
     return out
 
 
@@ -30,7 +38,8 @@ def frame(spark, rows):
 
 
 def shown(df):
-    return sorted(tuple(r) for r in df.select(F.col("anomaly_type"), F.col("event_id").cast("string"), F.col("user_id").cast("string"), *anomaly.COLUMNS[3:]).collect())
+    names = [F.round(c, 6) if c == "rolling_99th_percentile" else F.col(c) for c in anomaly.COLUMNS[3:]]
+    return sorted((tuple(r) for r in df.select(F.col("anomaly_type"), F.col("event_id").cast("string"), F.col("user_id").cast("string"), *names).collect()), key=str)
 
 
 key = lambda r: tuple((x is None, x) for x in r)
@@ -46,23 +55,41 @@ def test_batch_forms_equal_a_sequential_run(spark, monkeypatch, run):
     assert sorted(map(key, got)) == sorted(map(key, sequential(rows)))
 
 
-def test_arrival_order(spark):
+@pytest.mark.parametrize("run", [300, 2048])
+def test_arrival_order(spark, monkeypatch, run):
+    monkeypatch.setattr(anomaly, "RUN", run)
     rows = made(3000, 4, 2, disorder=True)
     got = shown(anomaly.in_arrival_order(frame(spark, rows)))
     assert sorted(map(key, got)) == sorted(map(key, sequential(rows)))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_state_equals_plain_lists(seed):
+    rows = made(1500, 3, seed, disorder=True)
+    states, got = {}, []
+    for event_id, user, ts, amount in rows:
+        got += states.setdefault(user, anomaly.UserState()).arrive(str(event_id), str(user), ts, amount)
+    assert [(*r[:7], r[7] if r[7] is None else round(r[7], 6), r[8]) for r in got] == sequential(rows)
+
+
+def test_no_task_takes_a_hot_user_whole(spark, monkeypatch):
+    monkeypatch.setattr(anomaly, "RUN", 100)
+    rows = [(k, 1, k * 10, k % 7) for k in range(5000)]
+    plan = anomaly.in_arrival_order(frame(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [user_id") == 3 and "_run" in plan
+    assert anomaly.in_arrival_order(frame(spark, rows).limit(0)).count() == 0 == anomaly.amounts(frame(spark, rows).limit(0)).count()
+
+
 def test_velocity_edges():
-    times, history = [], []
-    for ts in [0, *range(50_000, 50_009)]:
-        times, history, fired, _ = anomaly.step(times, history, ts, 1)
-        assert fired is None
-    assert anomaly.step(times, history, 60_000, 1)[2] == 11  # one of exactly 60 s ago still counts
-    assert anomaly.step(times, history, 60_001, 1)[2] is None
+    state = anomaly.RecentTimes()
+    assert [state.add(ts) for ts in [0, *range(50_000, 50_009)]] == list(range(1, 11))
+    assert state.add(60_000) == 11  # one of exactly 60 s ago still counts
+    assert state.add(60_001) == 11
 
 
 def test_amount_edges():
-    assert anomaly.step([], [5] * 19, 0, 99)[3] is None
-    assert anomaly.step([], [5] * 20, 0, 99)[3] == (5.0, 20)
-    assert anomaly.step([], [5] * 20, 0, 5)[3] is None
-    assert len(anomaly.step([], [5] * 256, 0, 7)[1]) == 256
+    arrive = lambda amounts, amount: [r[6:] for r in anomaly.UserState((), amounts).arrive("e", "u", 0, amount)]
+    assert arrive([5] * 19, 99) == [] and arrive([5] * 20, 99) == [(99, 5.0, 20)] and arrive([5] * 20, 5) == []
+    state = anomaly.RecentAmounts(range(256))
+    state.add(7)
+    assert len(state.arrived) == len(state.ordered) == 256 and state.ordered[0] == 1

@@ -42,5 +42,6 @@ def test_entry_without_the_text_operators(tmp_path):
             shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
         else:
             shutil.copy(source, tmp_path / name)
+    (tmp_path / "rillflow" / "llm" / "__pycache__").mkdir(parents=True)  # what a deletion may leave behind
     code = "import __spark_entry__ as e; q = e.queries(); assert 'user_window_10s' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})

@@ -2,11 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillflow.operators import quality
-from rillflow.sinks.tables import KeyedTable, append_batch, kafka_rows, read_appended, require, with_ids
+from rillflow.sinks import files, tables
+from rillflow.sinks.tables import KeyedTable, TopicWriter, append_batch, append_once, inspect, kafka_rows, read_appended, require, with_ids
 
 
 def test_upsert_keeps_first_times_and_repeats_safely(spark, tmp_path):
-    t = KeyedTable(spark, str(tmp_path / "t"), ["k"], keep=["at"], parts=4)
+    t = KeyedTable(spark, str(tmp_path / "t"), ["k"], keep=["at"])
     assert t.read() is None
     t.upsert(spark.createDataFrame([("a", 1, 10, 0), ("a", 2, 10, 1), ("b", 1, 10, 0)], "k string, v int, at int, o int"), 0, order="o")
     for _ in range(2):
@@ -14,6 +15,46 @@ def test_upsert_keeps_first_times_and_repeats_safely(spark, tmp_path):
     assert sorted(((r["k"], r["v"], r["at"]) for r in t.read().collect()), key=str) == sorted([("a", 9, 10), ("b", 1, 10), ("c", 3, 99), (None, 4, 99)], key=str)
 
 
+def test_what_a_batch_writes_does_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "FAN", 3)
+    t = KeyedTable(spark, str(tmp_path / "t"), ["k"], keep=["at"], add=["n"])
+    want, size = {}, {}
+    for batch in range(12):
+        rows = [(k, batch, 10 + batch, 1) for k in range(batch % 3, 40, 3 + batch % 2)]
+        for _ in range(1 + (batch % 5 == 2)):  # some batches come twice, also those that merge segments
+            t.upsert(spark.createDataFrame(rows, "k long, v int, at int, n long").coalesce(1), batch)
+        for k, v, at, n in rows:
+            want[k] = (v, want[k][1] if k in want else at, want[k][2] + 1 if k in want else n)
+        assert {r["k"]: (r["v"], r["at"], r["n"]) for r in t.read().collect()} == want
+        size[batch] = sum(f.stat().st_size for f in (tmp_path / "t" / "data").glob(f"v={batch}/*.parquet"))
+    assert len(files.children(spark, f"{tmp_path}/t/data")) <= 9 and len(files.children(spark, f"{tmp_path}/t/_manifest")) <= 4
+    assert size[11] <= 1.1 * size[2] or not size[2]
+
+
+def test_published_batches_stay(spark, tmp_path):
+    path = str(tmp_path / "p")
+    assert append_once(spark.range(3), path, 0) and not append_once(spark.range(9), path, 0)
+    assert read_appended(spark, path).count() == 3 and not [n for n in files.children(spark, path) if n.startswith("_staged")]
+    topic = TopicWriter(f"{path}/topic", key="id")
+    for _ in range(2):
+        topic.write(spark.range(2), 5)
+    assert sorted(r["value"] for r in read_appended(spark, f"{path}/topic").collect()) == ['{"id":0}', '{"id":1}']
+    assert inspect(spark.range(1), "late") == ['late: {"id":0}']
+    with pytest.raises(ValueError):
+        TopicWriter("x", "pigeon")
+
+
+def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
+    from rillflow import folders
+
+    assert folders.scratch(spark) != folders.scratch(spark)
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077", raising=False)
+        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            with pytest.raises(RuntimeError):
+                folders.shared(spark)
+
+
 def test_appends_by_batch(spark, tmp_path):
     path = str(tmp_path / "a")
     assert read_appended(spark, path) is None
@@ -31,6 +72,9 @@ def test_constraints_and_ids(spark):
         require(rows.withColumn("k", F.lit(None).cast("string")), not_null=["k"]).collect()
     got = [(r["id"], r["n"]) for r in with_ids(spark.range(50), "n", ["id"], first=7, parts=5).orderBy("id").collect()]
     assert got == [(i, i + 7) for i in range(50)]
+    many = spark.range(20_000, numPartitions=7).select(F.xxhash64("id").alias("k"), F.col("id").cast("string").alias("s"))  # more than a range's sample holds
+    numbered = [(r["k"], r["n"]) for r in with_ids(many, "n", ["k", "s"], parts=8).collect()]
+    assert [n for _, n in sorted(numbered)] == list(range(1, 20_001))
     assert kafka_rows(spark.range(1), "id").first() == ("0", '{"id":0}')
 
 

@@ -5,9 +5,12 @@ from pyspark.sql import Window as W, functions as F
 
 from rillflow.operators import quality
 from rillflow.plans import batch
-from rillflow.sources.events import json_lines, offset_range, offsets_table, raw_stream, with_partition
+from rillflow.plans.http_api import respond
+from rillflow.sources.events import json_lines, kafka_records, offset_range, offset_totals, offsets_table, raw_stream, with_partition
 from rillflow.sources.generator import FAULTY, Profile, generate
-from rillflow.streaming.job import StreamJob, progress, supervised
+from rillflow.sinks.tables import TopicWriter, bootstrap, read_appended
+from rillflow.streaming import metrics
+from rillflow.streaming.job import StreamJob, supervised, window_updates, with_seq
 
 PROFILE = Profile(records=900, users=5, duplicate=0.1, late=0.1, out_of_order=0.1, malformed=0.1, seed=4)
 
@@ -65,10 +68,15 @@ def test_stream_equals_batch_and_survives_a_restart(spark, records, tmp_path):
     assert rows(spark.read.parquet(f"{folder}/out/late"), "event_id") == rows(want.late, "event_id")
     columns = ("user_id", "window_start_ms", "transaction_count", "total_volume", "average_transaction_value")
     assert rows(job.aggregates(), *columns) == rows(want.aggregates, *columns)
+    log = metrics.ProgressLog()
+    spark.streams.addListener(log)
     query = job.start_anomalies(f"{folder}/checkpoint_anomalies")
     query.awaitTermination()
-    assert progress(query, spark).count() >= 1
-    assert rows(spark.read.parquet(f"{folder}/out/anomalies"), "anomaly_type", "event_id", "transaction_count", "rolling_99th_percentile") == rows(want.anomalies, "anomaly_type", "event_id", "transaction_count", "rolling_99th_percentile")
+    assert metrics.progress(query, spark).where("rows > 0 and checkpoint_ms >= 0").count() >= 1
+    spark.streams.removeListener(log)
+    found = job.anomalies()
+    assert sorted(r[0] for r in found.select("anomaly_id").collect()) == list(range(1, found.count() + 1)) and found.where("detected_at is null").count() == 0
+    assert rows(found, "anomaly_type", "event_id", "transaction_count", "rolling_99th_percentile") == rows(want.anomalies, "anomaly_type", "event_id", "transaction_count", "rolling_99th_percentile")
 
     # conservation: what came in is landed or dead
     raw_ids = records.select(F.get_json_object("raw", "$.event_id").alias("event_id"))
@@ -76,12 +84,79 @@ def test_stream_equals_batch_and_survives_a_restart(spark, records, tmp_path):
     found = quality.reconcile(raw_ids, job.events.read(), dead_ids).first()
     assert found["unaccounted"] == 0 and found["landed_duplicates"] == 0 and found["dead_unique"] > 0
 
+    # the reader serves the job's tables
+    reader, user = job.reader(), "usr_00001"
+    page = reader.user_transactions(user, 3)
+    theirs = {r["event_id"]: r for r in job.events.read().where(F.col("user_id") == user).collect()}
+    assert len(page.items) == 3 and all(r.asDict() == {k: theirs[r["event_id"]][k] for k in r.asDict()} for r in page.items)
+    again = reader.user_transactions(user, 3, cursor=page.next_cursor)
+    assert not {r["event_id"] for r in page.items} & {r["event_id"] for r in again.items}
+    assert reader.user_aggregates(user, 2).items[0]["updated_at"] is not None and reader.all_anomalies(1).items[0]["anomaly_id"] > 0
+    assert respond(reader, f"/users/{user}/aggregates")[0] == 200 == respond(reader, "/anomalies")[0]
+    spark.sql(f"CREATE DATABASE job LOCATION '{folder}/db'")
+    bootstrap(spark, "job")
+    for _ in range(2):
+        job.publish("job")
+    assert spark.table("job.events").count() == len(rows(want.events, "event_id")) and spark.table("job.user_aggregates").count() == want.aggregates.count()
+    spark.sql("DROP DATABASE job CASCADE")
+
     # a cold start over the same input leaves the keyed table as it was
     before = rows(job.events.read(), "event_id", "received_at")
     StreamJob(spark, f"{folder}/out").process(records.where("seq < 300"), 99)
     assert rows(job.events.read(), "event_id", "received_at") == before
 
 
+def test_kafka_records_and_topics(spark, records, tmp_path, capsys):
+    """Records with partition and offset, as Kafka has them; topics get what the tables get; nothing is read of older batches but remembered ids."""
+    folder = str(tmp_path)
+    parts = records.select(F.col("raw").alias("value"), (F.col("seq") % 3).cast("int").alias("partition"), F.floor(F.col("seq") / 3).alias("offset"))
+    writers = {n: TopicWriter(f"{folder}/topics/{n}") for n in ("dead_letters", "late", "aggregates")}
+    job = StreamJob(spark, f"{folder}/out", topics=writers, console=True)
+    query = job.start_anomalies(f"{folder}/c")  # before the first batch
+    query.awaitTermination()
+    for batch in (0, 0, 1):
+        job.process(kafka_records(parts).where((F.col("offset") < 150) == (batch == 0)), batch)
+    assert "dead_letters: {" in capsys.readouterr().out
+    got = {n: read_appended(spark, w.location) for n, w in writers.items()}
+    assert got["dead_letters"].count() == spark.read.parquet(f"{folder}/out/dead_letters").count() > 0
+    assert got["late"].count() == spark.read.parquet(f"{folder}/out/late").count()
+    last = got["aggregates"].where("batch_id = 1").select(F.from_json("value", "user_id string, window_start_ms long, transaction_count long").alias("v")).select("v.*")
+    assert last.exceptAll(job.aggregates().select(*last.columns)).count() == 0 < last.count()
+    assert job.events.read().count() == job.events.read().select("event_id").distinct().count() == spark.read.parquet(f"{folder}/out/accepted").count()
+    assert job.remember_s == 600 and job._seen(2, 10**9).count() > 0 and job._seen(2, 10**11) is None
+    with pytest.raises(ValueError):
+        StreamJob(spark, folder, topics={"anomalies": writers["late"]})
+
+
+def test_late_revisions_update_windows(spark, tmp_path):
+    """Up to the delay behind, an event changes a window that was shown before."""
+    schema, n = "event_id string, user_id string, event_time timestamp, amount long", [0]
+    shown = []
+
+    def arrive(*events):
+        n[0] += 1
+        at = F.timestamp_millis(F.col("ms"))
+        spark.createDataFrame(events, "event_id string, user_id string, ms long, amount long").select("event_id", "user_id", at.alias("event_time"), "amount").coalesce(1).write.parquet(f"{tmp_path}/in/{n[0]:03d}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        query = window_updates(stream).writeStream.foreachBatch(lambda df, _: shown.extend(tuple(r) for r in df.select("window_start_ms", "transaction_count", "total_volume").collect()))
+        query.outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+
+    arrive(("a", "u", 5_000, 1), ("b", "u", 41_000, 2))
+    arrive(("c", "u", 6_000, 10))  # 35 s behind: the window is shown anew
+    arrive(("d", "u", 200_000, 1))
+    arrive(("e", "u", 7_000, 100))  # 193 s behind: not counted
+    assert shown == [*sorted(shown[:2]), (0, 2, 11), (200_000, 1, 1)] and sorted(shown[:2]) == [(0, 1, 1), (40_000, 1, 2)]
+
+
+def test_metrics_of_reports(spark):
+    report = {"id": "q", "batchId": 4, "numInputRows": 7, "durationMs": {"triggerExecution": 50, "walCommit": 5, "commitOffsets": 6}, "processedRowsPerSecond": 1.5,
+              "sources": [{"endOffset": '{"raw": {"0": 10, "1": 7}}', "latestOffset": '{"raw": {"0": 12, "1": 7}}'}, {"endOffset": {"logOffset": 3}, "latestOffset": None}]}
+    assert metrics.batch_rows(report) == [("q", 4, None, 7, 50, 11, 1.5)]
+    offsets = spark.createDataFrame(metrics.lag_rows(report), metrics.LAGS)
+    assert [tuple(r) for r in metrics.lag(offsets).orderBy("partition").collect()] == [("raw", 0, 10, 12, 2), ("raw", 1, 7, 7, 0)]
+    assert tuple(metrics.total_lag(offsets).first()) == (2, 17, 2) and tuple(metrics.total_lag(offsets.limit(0)).first()) == (0, 0, 0)
+
+
 def test_sources(spark, tmp_path):
     path = tmp_path / "lines.txt"
     path.write_text('{"a": 1}\nbad\n{"a": 2}\n')
@@ -89,6 +164,10 @@ def test_sources(spark, tmp_path):
     offsets = tmp_path / "offsets.txt"
     offsets.write_text("raw:0:17\nraw:1:x\n")
     assert [tuple(r) for r in offsets_table(spark.read.text(str(offsets))).collect()] == [("raw", 0, 17), ("raw", 1, None)]
+    assert [tuple(r) for r in offset_totals(offsets_table(spark.read.text(str(offsets)))).collect()] == [("raw", 1, 17)]
+    nulls = kafka_records(spark.createDataFrame([(None, 0, 5)], "value binary, partition int, offset long"))
+    assert nulls.first()["raw"] == "" and with_seq(nulls).first()["seq"] == 5 << 12
+    assert with_seq(nulls.select("raw")).columns == ["raw", "seq"]
     parted = with_partition(spark.range(100).withColumn("user_id", F.col("id") % 7)).withColumn("offset", F.col("id"))
     assert parted.select("partition").distinct().count() <= 6
     assert offset_range(parted.withColumn("partition", F.lit(0)), {0: (5, 9)}).count() == 4
