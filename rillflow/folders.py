@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import tempfile
 import uuid
@@ -11,7 +12,27 @@ from pyspark.sql import SparkSession
 
 def scratch(spark: SparkSession, name: str = "run") -> str:
     """A new folder under the cluster's ``spark.checkpoint.dir``; under one of our own only where that is unset, as in tests."""
-    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clear, spark)
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+def _clear(spark: SparkSession) -> None:
+    """When the driver ends, its folders go, as far as there still is a JVM to delete them."""
+    try:
+        conf = spark._jvm.org.apache.hadoop.conf.Configuration()
+        for path in _made:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+    except Exception:  # noqa: BLE001  the JVM or the folder may be gone
+        pass
+
+
 
 
 def shared(spark: SparkSession) -> str:

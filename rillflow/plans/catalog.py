@@ -192,9 +192,18 @@ def anomalies_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _anomalies(spark, sf_dir)
 
 
-@query()
+# a time counts from its arrival to that of the first time over 60 s above it
+_ARRIVAL = """gone AS (SELECT a.user_id, min(b.seq) AS seq FROM st a JOIN st b ON a.user_id = b.user_id AND b.seq > a.seq AND b.ts_ms > a.ts_ms + 60000 GROUP BY a.user_id, a.seq),
+  steps AS (SELECT user_id, seq, 1 AS step FROM st UNION ALL SELECT user_id, seq, -1 FROM gone), sums AS (SELECT user_id, seq, sum(step) AS step FROM steps GROUP BY user_id, seq),
+  counts AS (SELECT user_id, seq, CAST(sum(step) OVER (PARTITION BY user_id ORDER BY seq) AS BIGINT) AS transaction_count FROM sums)"""
+
+
+@query(f"""WITH {_ST}, {_ARRIVAL}, a AS (SELECT 'ANOMALY_VELOCITY' AS anomaly_type, event_id, user_id, transaction_count, 60 AS velocity_window_seconds, CAST(10 AS BIGINT) AS velocity_threshold,
+  CAST(NULL AS BIGINT) AS amount, CAST(NULL AS DOUBLE) AS rolling_99th_percentile, CAST(NULL AS INTEGER) AS history_size FROM st JOIN counts USING (user_id, seq) WHERE transaction_count > 10
+  UNION ALL SELECT 'ANOMALY_AMOUNT', event_id, user_id, NULL, NULL, NULL, amount, rolling_99th_percentile, CAST(n AS INTEGER) FROM ({_AMT.format('st')}) WHERE amount > rolling_99th_percentile)
+  SELECT * REPLACE (CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id) FROM a""")
 def anomalies_in_arrival_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-order arrivals: pruning that forgets for good is beyond SQL; tests compare with a sequential run."""
+    """Out-of-order arrivals, with pruning that forgets for good."""
     return anomaly.in_arrival_order(_stressed(spark, sf_dir))
 
 
