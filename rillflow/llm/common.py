@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..folders import scratch
+from ..workers import importable
 from .wordtable import slices
 
 
@@ -19,31 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it, if no --py-files ships it."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-    if root not in known.split(":"):
-        env["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="rillflow-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read from files in the shared folder: no lineage behind them, and nothing kept on executors.
 
-    The files stay until the folder is cleared, as a lost executor's tasks may read them at any time.
+    The files stay until the driver ends, as a lost executor's tasks may read them at any time.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = scratch(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
