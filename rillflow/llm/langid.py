@@ -8,8 +8,9 @@ probabilities.  The piece probabilities are learned by expectation-
 maximisation: forward and backward sums give each piece's expected count.
 
 A stretch is a run of bytes that are ASCII letters or beyond ASCII, lower
-case, cut after 64 bytes.  Its first piece is one that the vocabulary lists
-with a space before it, or a single byte.
+case, of any length: the sums of the last places are carried on.  Its first
+piece is one that the vocabulary lists with a space before it, or a single
+byte.  Only what teaches is cut, into at most 256 bytes between characters.
 
 Cases: a text that is null or has no letter is ``und`` with score 0, as is
 every text if nothing can be learned; a null lang is not learned from; a null
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import math
 import re
 
 import numpy as np
@@ -32,14 +34,16 @@ from .common import map_texts
 from .wordtable import U64, WordTable, mix
 
 DOCUMENTS_PER_LANGUAGE = 400  # of smallest hash, from which a language is learned
+DOCUMENT_WEIGHT = 200.0  # words that each of them counts for, however long it is
 ROUNDS = 4
-LONGEST, MOST_BYTES = 10, 64
+TAUGHT_BYTES = 256  # of a stretch that teaches as a whole
 HELD_OUT = 5
 SMOOTHING = 0.05
 _GAP = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _FIRST = U64(0x9E3779B97F4A7C15)
 _LETTER = re.compile(r"[^\W\d_]")
-WIDTHS = (4, 8, 12, 16, 24, 40, MOST_BYTES)
+WIDTHS = (4, 8, 12, 16, 24, 40, 64, 128, TAUGHT_BYTES)  # stretches of about the same length go together, longer ones alone
+CELLS, BLOCK = 3_000_000, 4096
 
 
 def default_path() -> str:
@@ -57,10 +61,11 @@ class Pieces:
             for line in f:
                 token = base64.b64decode(line.split()[0])
                 body = token.removeprefix(b" ")
-                if 0 < len(body) <= LONGEST and not _GAP[np.frombuffer(body, np.uint8)].any() and body == body.lower():
+                if body and not _GAP[np.frombuffer(body, np.uint8)].any() and body == body.lower():
                     (first if token[:1] == b" " else inner).add(body)
         keys = np.concatenate([_hashes(sorted(inner)), _hashes(sorted(first)) ^ _FIRST])
         self.keys = np.sort(keys)
+        self.longest = max(map(len, inner | first))
         self.maybe = np.zeros(1 << 21, bool)
         self.maybe[(keys >> U64(43)).astype(np.int64)] = True
 
@@ -89,20 +94,31 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-def stretches(texts: list[str | None]) -> tuple[WordTable, np.ndarray, np.ndarray, np.ndarray]:
-    """The table, and begin, end and text number of each stretch of at most 64 bytes."""
+def stretches(texts: list[str | None], most: int | None = None) -> tuple[WordTable, np.ndarray, np.ndarray, np.ndarray]:
+    """The table, and begin, end and text number of each stretch; with ``most`` cut into so many bytes at most, between characters."""
     t = WordTable([(x or "").lower() for x in texts], space=_GAP)
-    size = t.end - t.start
-    parts = -(-size // MOST_BYTES)
-    which = np.repeat(np.arange(len(size)), parts)
-    k = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = t.start[which] + k * MOST_BYTES
-    return t, begin, np.minimum(begin + MOST_BYTES, t.end[which]), t.doc[which]
+    if most is None or not (t.end - t.start > most).any():
+        return t, t.start, t.end, t.doc
+    begin, end, doc = [], [], []
+    for a, b, d in zip(t.start.tolist(), t.end.tolist(), t.doc.tolist(), strict=True):
+        while b - a > most:
+            c = a + most
+            while c > a + 1 and t.buf[c] & 0xC0 == 0x80:
+                c -= 1
+            begin.append(a)
+            end.append(c)
+            doc.append(d)
+            a = c
+        begin.append(a)
+        end.append(b)
+        doc.append(d)
+    return t, np.array(begin, np.int64), np.array(end, np.int64), np.array(doc, np.int64)
 
 
 def _lattice(pieces: Pieces, t: WordTable, begin: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
     """Piece numbers [row, place, length - 1] of all spans of the rows."""
-    place, length = np.arange(width)[None, :, None], np.arange(1, LONGEST + 1)[None, None, :]
+    longest = min(pieces.longest, width)
+    place, length = np.arange(width)[None, :, None], np.arange(1, longest + 1)[None, None, :]
     inside = place + length <= size[:, None, None]
     row, i, n = np.nonzero(inside)
     start = begin[row] + i
@@ -115,14 +131,16 @@ def _lattice(pieces: Pieces, t: WordTable, begin: np.ndarray, size: np.ndarray,
 
 def _forward(ids: np.ndarray, p: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward sums [place, row, language], each place scaled by a power of e kept in the second result."""
-    n, width, _ = ids.shape
+    n, width, longest = ids.shape
     sums, scale = np.zeros((width + 1, n, p.shape[1])), np.zeros((width + 1, n))
     sums[0] = 1
     for j in range(1, width + 1):
         total = np.zeros((n, p.shape[1]))
-        base = scale[max(0, j - LONGEST) : j].max(axis=0)
-        for k in range(1, min(LONGEST, j) + 1):
-            total += sums[j - k] * p[ids[:, j - k, k - 1]] * np.exp(scale[j - k] - base)[:, None]
+        base = scale[max(0, j - longest) : j].max(axis=0)
+        for k in range(1, min(longest, j) + 1):
+            some = np.flatnonzero(ids[:, j - k, k - 1] < len(p) - 1)  # longer spans are rarely pieces
+            if len(some):
+                total[some] += sums[j - k, some] * p[ids[some, j - k, k - 1]] * np.exp(scale[j - k, some] - base[some])[:, None]
         top = total.max(axis=1)
         live = (top > 0) & (j <= size)
         sums[j] = np.where(live[:, None], total / np.where(live, top, 1)[:, None], 0)
@@ -130,17 +148,48 @@ def _forward(ids: np.ndarray, p: np.ndarray, size: np.ndarray) -> tuple[np.ndarr
     return sums, scale
 
 
-def _groups(size: np.ndarray, rows: int = 20_000):
+def _groups(size: np.ndarray, longest: int):
     for low, width in zip((0, *WIDTHS), WIDTHS):
         some = np.flatnonzero((size > low) & (size <= width))
+        rows = max(1, CELLS // (width * min(longest, width)))
         for k in range(0, len(some), rows):
             yield some[k : k + rows], width
 
 
+def _one_long(pieces: Pieces, p: np.ndarray, t: WordTable, a: int, b: int) -> np.ndarray:
+    """Log probabilities [language] of one stretch of any length, place after place; the sums of the last places are all that is kept."""
+    longest, log = pieces.longest, 0.0
+    sums = np.zeros((longest + BLOCK, p.shape[1]))
+    sums[longest - 1] = 1
+    back = np.arange(longest, 0, -1)
+    for begin in range(0, b - a, BLOCK):
+        n = min(BLOCK, b - a - begin)
+        end = begin + np.arange(1, n + 1)[:, None]
+        start = end - back[None, :]
+        inside = start >= 0
+        row, col = np.nonzero(inside)
+        hashes = t.span_hash(a + start[row, col], a + begin + 1 + row)
+        hashes[start[row, col] == 0] ^= _FIRST
+        ids = np.full(inside.shape, len(pieces), np.int64)
+        ids[inside] = pieces.find(hashes)
+        chance = p[ids]
+        for j in range(n):
+            total = (sums[j : j + longest] * chance[j]).sum(axis=0)
+            top = total.max()
+            sums[j + longest] = total
+            if top < 1e-90:
+                sums[j + 1 : j + longest + 1] /= top
+                log += math.log(top)
+        sums[:longest] = sums[n : n + longest]
+    return np.log(np.maximum(sums[longest - 1], 1e-300)) + log
+
+
 def log_probabilities(pieces: Pieces, p: np.ndarray, t: WordTable, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """[stretch, language] log probabilities over all segmentations."""
     size, out = end - begin, np.zeros((len(begin), p.shape[1]))
-    for rows, width in _groups(size):
+    for k in np.flatnonzero(size > WIDTHS[-1]):
+        out[k] = _one_long(pieces, p, t, int(begin[k]), int(end[k]))
+    for rows, width in _groups(size, pieces.longest):
         sums, scale = _forward(_lattice(pieces, t, begin[rows], size[rows], width), p, size[rows])
         at, k = size[rows], np.arange(len(rows))
         out[rows] = np.log(np.maximum(sums[at, k], 1e-300)) + scale[at, k][:, None]
@@ -148,19 +197,21 @@ def log_probabilities(pieces: Pieces, p: np.ndarray, t: WordTable, begin: np.nda
 
 
 def expected_counts(pieces: Pieces, p: np.ndarray, t: WordTable, begin: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """[piece, language] expected counts over segmentations of weighted stretches (weight [stretch, language])."""
-    size, out = end - begin, np.zeros((len(pieces) + 1, p.shape[1]))
-    for rows, width in _groups(size, 10_000):
+    """[piece, language] expected counts over segmentations of weighted stretches (weight [stretch, language]) of at most 256 bytes."""
+    size, out, longest = end - begin, np.zeros((len(pieces) + 1, p.shape[1])), pieces.longest
+    for rows, width in _groups(size, longest):
         ids, n = _lattice(pieces, t, begin[rows], size[rows], width), size[rows]
         sums, scale = _forward(ids, p, n)
         back, shift = np.zeros_like(sums), np.zeros_like(scale)
         k = np.arange(len(rows))
         for j in range(width, -1, -1):
             total, last = np.zeros((len(rows), p.shape[1])), j == n
-            ahead = range(1, min(LONGEST, width - j) + 1)
-            base = shift[j + 1 : j + 1 + LONGEST].max(axis=0) if j < width else np.zeros(len(rows))
+            ahead = range(1, min(longest, width - j) + 1)
+            base = shift[j + 1 : j + 1 + longest].max(axis=0) if j < width else np.zeros(len(rows))
             for m in ahead:
-                total += back[j + m] * p[ids[:, j, m - 1]] * np.exp(shift[j + m] - base)[:, None]
+                some = np.flatnonzero(ids[:, j, m - 1] < len(pieces))
+                if len(some):
+                    total[some] += back[j + m, some] * p[ids[some, j, m - 1]] * np.exp(shift[j + m, some] - base[some])[:, None]
             total[last], base = 1.0, np.where(last, 0.0, base)
             top = total.max(axis=1)
             live = top > 0
@@ -169,7 +220,7 @@ def expected_counts(pieces: Pieces, p: np.ndarray, t: WordTable, begin: np.ndarr
         whole, whole_scale = sums[n, k], scale[n, k]
         w = np.where(whole > 0, weight[rows] / np.maximum(whole, 1e-300), 0)
         for j in range(width):
-            for m in range(1, min(LONGEST, width - j) + 1):
+            for m in range(1, min(longest, width - j) + 1):
                 piece = ids[:, j, m - 1]
                 some = np.flatnonzero((piece < len(pieces)) & (shift[j + m] > -1e8))
                 if len(some):
@@ -194,10 +245,10 @@ class UnigramModels:
     def fit(self, words: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> UnigramModels:
         """From words (each one stretch) and their counts [word, language]."""
         pieces = pieces_of(self.path)
-        t, begin, end, doc = stretches(words)
+        t, begin, end, doc = stretches(words, TAUGHT_BYTES)
         weight, size = counts[doc].astype(float), end - begin
         start = np.zeros((len(pieces) + 1, counts.shape[1]))
-        for rows, width in _groups(size):
+        for rows, width in _groups(size, pieces.longest):
             ids = _lattice(pieces, t, begin[rows], size[rows], width).reshape(len(rows), -1)
             for c in range(counts.shape[1]):
                 start[:, c] += np.bincount(ids.ravel(), np.repeat(weight[rows, c], ids.shape[1]), len(start))
@@ -228,18 +279,25 @@ def train(docs: DataFrame, path: str, per_language: int = DOCUMENTS_PER_LANGUAGE
     """Models of all languages that rows open to learning have."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     open_ = plain.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))  # limited before the exchange, see WindowGroupLimit
-    chosen = open_.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
-    sample = open_.join(F.broadcast(chosen), ["doc_id", "lang"])  # at most per_language rows a language
+    counts = open_.groupBy("lang").agg(F.count("*").alias("n"))
+    # a bound on the hash leaves little more than per_language rows of each language to be ranked
+    share = (per_language + 8 * per_language**0.5 + 100) / F.col("n")
+    few = open_.select("doc_id", "lang").join(counts, "lang").where((share >= 1) | (F.xxhash64("doc_id") / float(2**64) + 0.5 < share)).select("doc_id", "lang").distinct()
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = few.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang")
+    # at most per_language ids a language; of several rows of an id one teaches
+    sample = open_.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(texts: list, other: list) -> pa.RecordBatch:
-        t, begin, end, doc = stretches(texts)
+        t, begin, end, doc = stretches(texts, TAUGHT_BYTES)
         lang = np.array(other[0].to_pylist(), object)[doc] if len(doc) else np.zeros(0, object)
+        weight = (DOCUMENT_WEIGHT / np.maximum(np.bincount(doc, minlength=len(texts)), 1))[doc]
         words = [t.buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(begin, end, strict=True)]
-        counted = pd.DataFrame({"lang": lang, "word": words}).groupby(["lang", "word"], sort=True).size()
-        return pa.RecordBatch.from_arrays([pa.array(counted.index.get_level_values(0).tolist(), pa.string()), pa.array(counted.index.get_level_values(1).tolist(), pa.string()), pa.array(counted.to_numpy(), pa.int64())], ["lang", "word", "n"])
+        counted = pd.DataFrame({"lang": lang, "word": words, "n": weight}).groupby(["lang", "word"], sort=True)["n"].sum()
+        return pa.RecordBatch.from_arrays([pa.array(counted.index.get_level_values(0).tolist(), pa.string()), pa.array(counted.index.get_level_values(1).tolist(), pa.string()), pa.array(counted.to_numpy(), pa.float64())], ["lang", "word", "n"])
 
-    counted = map_texts(sample.select("text", "lang"), run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+    exact = F.sum(F.col("n").cast("decimal(30,12)")).cast("double").alias("n")  # the same in any order
+    counted = map_texts(sample.select("text", "lang"), run, "lang string, word string, n double").groupBy("lang", "word").agg(exact).toPandas()
     languages = sorted(counted["lang"].unique())
     if not languages:
         return None

@@ -5,6 +5,30 @@ from pyspark.sql import functions as F
 from rillflow.llm import ann, langid, toxicity
 
 
+def test_sums_are_carried_over_any_length(monkeypatch):
+    """A run that is cut nowhere equals the plain sum over places, however it is processed."""
+    monkeypatch.setattr(langid, "BLOCK", 100)
+    pieces = langid.pieces_of(langid.default_path())
+    rng = np.random.default_rng(5)
+    p = np.vstack([rng.dirichlet(np.full(len(pieces), 0.3), size=2).T, np.zeros(2)])
+    for text in ("internationalinformation" * 3, "日本語の文字列" * 18, "straßenbahn" * 500, "ab" * 4000):
+        t, begin, end, _ = langid.stretches([text])
+        assert list(end - begin) == [len(text.encode())]
+        alone = langid._one_long(pieces, p, t, int(begin[0]), int(end[0]))
+        assert np.allclose(alone, langid.log_probabilities(pieces, p, t, begin, end)[0])
+        data, sums = text.encode()[:380], [np.ones(2)]
+        for j in range(1, len(data) + 1):
+            numbers = [pieces.find(langid._hashes([data[j - k : j]]) ^ (langid._FIRST if j == k else np.uint64(0)))[0] for k in range(1, min(pieces.longest, j) + 1)]
+            sums.append(sum(sums[-k] * p[n] for k, n in enumerate(numbers, 1)))
+            if sums[-1].max() < 1e-250:
+                break
+        t, begin, end, _ = langid.stretches([data[: len(sums) - 1].decode("utf-8", "ignore")])
+        plain = np.log(sums[int(end[0] - begin[0])])
+        assert np.allclose(langid._one_long(pieces, p, t, int(begin[0]), int(end[0])), plain) and np.allclose(langid.log_probabilities(pieces, p, t, begin, end)[0], plain)
+    t, begin, end, doc = langid.stretches(["日本語の文字列" * 40, "ab"], 64)
+    assert (end - begin).max() <= 64 and all(t.buf[a:b].tobytes().decode() for a, b in zip(begin, end)) and list(np.bincount(doc)) == [len(end) - 1, 1]
+
+
 def test_forward_sums_all_segmentations():
     pieces = langid.pieces_of(langid.default_path())
     p = np.random.default_rng(1).random((len(pieces) + 1, 2))
@@ -20,7 +44,7 @@ def test_forward_sums_all_segmentations():
     def all_cuts(data, first=True):
         if not data:
             return np.ones(2)
-        return sum(p[number(data[:k], first)] * all_cuts(data[k:], False) for k in range(1, min(langid.LONGEST, len(data)) + 1))
+        return sum(p[number(data[:k], first)] * all_cuts(data[k:], False) for k in range(1, min(pieces.longest, len(data)) + 1))
 
     for k, w in enumerate(words[:5]):
         assert np.allclose(got[k], np.log(all_cuts(w.encode())))
