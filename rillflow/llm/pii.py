@@ -4,9 +4,10 @@ Candidate spans are the fixed patterns' matches (those that fail their check
 too) and looser forms: names, other phone and email spellings, social security
 numbers, IBANs.  Regex, gazetteer and context labelers vote for or against
 each.  Over the counts of all vote patterns, expectation-maximisation
-estimates each labeler's reliability and each kind's prior; the posteriors
-train a logistic span classifier on shape and context, which decides on the
-candidates that are not fixed-pattern spans.  Those that it accepts are added
+estimates each labeler's reliability and each kind's prior.  The posteriors of
+all candidates train a span classifier on shape and context: log odds of
+features from expected counts, so that one sum over the table is all it needs.
+It decides on the candidates that are not fixed-pattern spans.  Those that it accepts are added
 where they overlap no other span.
 
 Positions are code points, ends exclusive.  Work is linear in a text's length.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,12 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, map_texts, ordered_documents
+from .common import map_texts, ordered_documents
 
 BASE = ("email", "ip", "card", "phone")
 LOOSE = ("person", "phone_loose", "email_loose", "ssn", "iban")
 KINDS = BASE + LOOSE
-SAMPLE_ROWS = 20_000  # candidates of smallest hash that train the classifier
 WIDTH = 512  # hashed features
 LEAST = 0.5
 
@@ -43,7 +44,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 PERSON = re.compile(r"[A-ZÀ-Þ][a-zà-ÿ]++(?: [A-ZÀ-Þ][a-zà-ÿ]++)++")
 PHONE_LOOSE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
-EMAIL_LOOSE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9._+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,64} ?(?:[\[(] ?dot ?[\])]|\.) ?[A-Za-z]{2,24}(?![A-Za-z])")
+EMAIL_LOOSE = re.compile(r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++ ?(?:[\[(] ?dot ?[\])]|\.) ?[A-Za-z]{2,}+(?![A-Za-z])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 
@@ -179,48 +180,55 @@ def reliabilities(patterns: dict[tuple[str, str], int], rounds: int = 50) -> dic
 
 
 class SpanClassifier:
-    """Logistic regression over hashed binary features, fitted to soft labels by full-batch Adam steps."""
+    """Log odds of hashed binary features, from how often each is expected to occur in spans of either truth."""
 
-    def fit(self, rows: list[list[int]], target: np.ndarray, steps: int = 300, decay: float = 1e-3) -> SpanClassifier:
-        x = np.zeros((len(rows), WIDTH + 1), np.float32)
+    def fit(self, rows: list[list[int]], target: np.ndarray) -> SpanClassifier:
+        """From rows of features and their posteriors."""
+        have = np.zeros((len(rows), WIDTH))
         for k, r in enumerate(rows):
-            x[k, r] = 1
-        x[:, WIDTH] = 1
-        w, m, v = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
-        for t in range(1, steps + 1):
-            p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
-            g = x.T @ (p - target) / len(rows) + decay * w
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        self.w = w
+            have[k, r] = 1
+        return self.of_counts(np.ones(len(rows)), have, np.asarray(target, float))
+
+    def of_counts(self, n: np.ndarray, have: np.ndarray, posterior: np.ndarray) -> SpanClassifier:
+        """From groups of candidates: how many there are, how many have each feature, and their common posterior."""
+        true, false = posterior @ have, (1 - posterior) @ have
+        n_true, n_false = posterior @ n, (1 - posterior) @ n
+        self.w = np.log((true + 1) / (n_true + 2)) - np.log((false + 1) / (n_false + 2))
+        self.b = float(np.log((n_true + 1) / (n_false + 1)))
         return self
 
     def probability(self, row: list[int]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.w[row].sum() + self.w[WIDTH], -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.w[row].sum() + self.b, -30, 30))))
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> SpanClassifier | None:
-    """Reliabilities from the vote patterns of all candidates, then a classifier on at most ``sample_rows`` of them."""
+def train(docs: DataFrame) -> SpanClassifier | None:
+    """Reliabilities from the vote patterns of all candidates, then a classifier on all of them.
+
+    Candidates are counted by kind, votes and feature where they are found;
+    the driver gets those counts alone.
+    """
 
     def run(texts: list, other: list) -> pa.RecordBatch:
-        ids, kinds, at, signs, rows = [], [], [], [], []
-        for i, text in zip(other[0].to_pylist(), texts, strict=True):
+        counts: Counter = Counter()
+        for text in texts:
             for c in candidates(text or ""):
-                ids.append(i)
-                kinds.append(c.kind)
-                at.append(c.start)
-                signs.append(votes(text, c))
-                rows.append(features(text, c))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(at, pa.int64()), pa.array(signs, pa.string()), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "kind", "start", "votes", "features"])
-
-    found = cut(map_texts(ordered_documents(docs), run, "doc_id long, kind string, start long, votes string, features array<int>"))
-    patterns = {(r["kind"], r["votes"]): r["n"] for r in found.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()}  # at most kinds x 3^5 rows
+                cast = votes(text, c)
+                counts.update((c.kind, cast, f) for f in (-1, *features(text, c)))  # -1 counts the candidate itself
+        kinds, casts, numbers = zip(*counts, strict=True) if counts else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(casts, pa.string()), pa.array(numbers, pa.int32()), pa.array(counts.values(), pa.int64())], ["kind", "votes", "feature", "n"])
+
+    found = map_texts(ordered_documents(docs).select("text"), run, "kind string, votes string, feature int, n long")
+    rows = found.groupBy("kind", "votes", "feature").agg(F.sum("n").alias("n")).collect()  # at most kinds x 3^5 x WIDTH rows
+    patterns = {(r["kind"], r["votes"]): r["n"] for r in rows if r["feature"] < 0}
     if not patterns:
         return None
-    posterior = reliabilities(patterns)
-    order = [F.xxhash64("doc_id", "kind", "start"), "doc_id", "kind", "start", "votes"]
-    sample = found.orderBy(*order).limit(sample_rows).collect()
-    return SpanClassifier().fit([r["features"] for r in sample], np.array([posterior[r["kind"], r["votes"]] for r in sample]))
+    patterns = dict(sorted(patterns.items()))
+    posterior, place = reliabilities(patterns), {k: i for i, k in enumerate(patterns)}
+    have = np.zeros((len(patterns), WIDTH))
+    for r in rows:
+        if r["feature"] >= 0:
+            have[place[r["kind"], r["votes"]], r["feature"]] = r["n"]
+    return SpanClassifier().of_counts(np.array(list(patterns.values()), float), have, np.array([posterior[k] for k in patterns]))
 
 
 def spans(text: str | None, model: SpanClassifier | None) -> list[tuple[str, int, int]]:
@@ -244,9 +252,9 @@ def spans(text: str | None, model: SpanClassifier | None) -> list[tuple[str, int
     return sorted(((c.kind, c.start, c.end) for c in kept), key=lambda s: (KINDS.index(s[0]) if s[0] in KINDS else len(KINDS), s[0], s[1]))
 
 
-def scan(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def scan(docs: DataFrame) -> DataFrame:
     """doc_id and spans (array of kind, start, end) of every row."""
-    model = train(docs, sample_rows)
+    model = train(docs)
 
     def run(texts: list, other: list) -> pa.RecordBatch:
         found = [[{"kind": k, "start": a, "end": b} for k, a, b in spans(t, model)] for t in texts]
