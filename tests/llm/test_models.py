@@ -106,7 +106,7 @@ def test_positive_unlabelled_learning():
     text = lambda toxic: np.unique(np.concatenate([rng.integers(100, 400, 30), [7] if toxic else []]).astype(np.int64))
     positive = [text(True) for _ in range(150)]
     unlabelled = [text(rng.random() < 0.1) for _ in range(600)]
-    model = toxicity.PositiveUnlabelled().fit(positive, unlabelled, 0.1)
+    model = toxicity.PositiveUnlabelled.of(positive, unlabelled, 0.1)
     tests = [text(k % 2 == 0) for k in range(100)]
     margins = model.margin(np.concatenate(tests).astype(np.uint64), np.repeat(np.arange(100), [len(t) for t in tests]), 100)
     assert margins[::2].min() > margins[1::2].max()
@@ -114,6 +114,41 @@ def test_positive_unlabelled_learning():
     assert scores[::2].min() > 0.9 and scores[1::2].max() < 0.1
 
 
+def plain_risk(w, b, positive, unlabelled, prior):
+    loss = lambda z: float(np.logaddexp(0, z))
+    margin = lambda s: sum(w[k] for k in s) + b
+    towards = sum(loss(-margin(s)) for s in positive) / len(positive)
+    negative = sum(loss(margin(s)) for s in unlabelled) / len(unlabelled) - prior * sum(loss(margin(s)) for s in positive) / len(positive)
+    return prior * towards, negative
+
+
+def test_descent_follows_the_plain_risk():
+    """The gradient is that of the risk written out row by row; the risk falls while its negative part is not below zero."""
+    rng = np.random.default_rng(3)
+    draw = lambda n, p: [np.flatnonzero(rng.random(12) < p) for _ in range(n)]
+    positive, unlabelled = draw(40, np.r_[np.full(3, 0.6), np.full(9, 0.1)]), draw(300, np.full(12, 0.12))
+    w, b, prior = rng.random(12), -0.5, 0.1
+    sp, counts = toxicity.Sets(positive), {}
+    for s in unlabelled:
+        counts[tuple(s)] = counts.get(tuple(s), 0) + 1
+    su = toxicity.Sets(list(counts), np.array(list(counts.values()), float))  # equal sets once, with their number
+    g = sp.back(-prior * sp.weight, 12) + su.back(su.weight * toxicity._sigmoid(su.margins(w, b)), 12)  # of both parts together
+    whole = lambda w, b: sum(plain_risk(w, b, positive, unlabelled, prior))
+    for k in range(12):
+        e = np.eye(12)[k] * 1e-6
+        assert np.isclose((whole(w + e, b) - whole(w - e, b)) / 2e-6, g[k], atol=1e-6)
+    after = toxicity.descend(w, b, sp, su, prior, 100)
+    assert whole(*after) < whole(w, b) and (after[0] >= 0).all() and after[0][:3].mean() > after[0][3:].mean()
+
+
+def test_groups_of_unlabelled_texts_teach_as_one(spark, small, monkeypatch):
+    docs, labels = small("documents"), small("labels")
+    one = toxicity.score(docs, labels).toPandas().sort_values("doc_id")
+    monkeypatch.setattr(toxicity, "GROUP_TEXTS", 200)
+    several = toxicity.score(docs, labels).toPandas().sort_values("doc_id")
+    assert (one["predicted"].to_numpy() == several["predicted"].to_numpy()).mean() > 0.97
+
+
 def brute(ids, vectors, every, nearest):
     ok = np.array([v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for v in vectors])
     out = {}
