@@ -78,20 +78,39 @@ def map_texts(df: DataFrame, run: Callable[[list, list[list]], pa.RecordBatch],
     return df.select(*columns).mapInArrow(batches, schema)
 
 
-def with_rows(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """The rows with a number of their own in ``_row``, and whether that is every row's doc_id.
+class Rows:
+    """A table's rows under column names of our own, so that none of its names can clash, with a number of their own in ``_row``.
 
+    The number is the doc_id where that tells every row apart (``by_id``).
     Else the first row of each doc_id has that id, and repeated and null ids
     get numbers above all ids.
     """
-    doc_id = F.col("doc_id").cast("long")
-    if docs.groupBy(doc_id.alias("_id")).agg(F.count("*").alias("_n")).where("_id is null or _n > 1").isEmpty():
-        return docs.withColumn("_row", doc_id), True
-    rows = cut(docs.withColumn("_at", F.monotonically_increasing_id()))  # kept in files, as numbers may change when computed again
-    first = rows.where(doc_id.isNotNull()).groupBy(doc_id.alias("_id")).agg(F.min("_at").alias("_at"))
-    above = rows.agg((F.coalesce(F.greatest(F.max(doc_id), F.lit(-1)), F.lit(-1)) + 1).alias("_above"))
-    found = rows.join(first, "_at", "left").join(F.broadcast(above), F.lit(True))
-    return found.withColumn("_row", F.coalesce("_id", F.col("_above") + F.col("_at"))).select(*docs.columns, "_row"), False
+
+    def __init__(self, docs: DataFrame):
+        self.names = docs.columns
+        self.plain = [f"c{k}" for k in range(len(self.names))]
+        rows = docs.toDF(*self.plain)
+        doc_id = F.col(self.of("doc_id")).cast("long")
+        self.by_id = rows.groupBy(doc_id.alias("_id")).agg(F.count("*").alias("_n")).where("_id is null or _n > 1").isEmpty()
+        if self.by_id:
+            self.rows = rows.withColumn("_row", doc_id)
+            return
+        rows = cut(rows.withColumn("_at", F.monotonically_increasing_id()))  # kept in files, as numbers may change when computed again
+        first = rows.where(doc_id.isNotNull()).groupBy(doc_id.alias("_id")).agg(F.min("_at").alias("_at"))
+        above = rows.agg((F.coalesce(F.greatest(F.max(doc_id), F.lit(-1)), F.lit(-1)) + 1).alias("_above"))
+        found = rows.join(first, "_at", "left").join(F.broadcast(above), F.lit(True))  # one row
+        self.rows = found.withColumn("_row", F.coalesce("_id", F.col("_above") + F.col("_at"))).select(*self.plain, "_row")
+
+    def of(self, name: str) -> str:
+        return self.plain[self.names.index(name)]
+
+    def documents(self, *names: str) -> DataFrame:
+        """The rows' numbers as doc_id, and the named columns."""
+        return self.rows.select(F.col("_row").alias("doc_id"), *[F.col(self.of(n)).alias(n) for n in names])
+
+    def restored(self, rows: DataFrame) -> DataFrame:
+        """Some of the rows with the table's columns alone, under their own names."""
+        return rows.select(*self.plain).toDF(*self.names)
 
 
 def smallest(rows: DataFrame, n: int, key: Column, *ties: str) -> DataFrame:

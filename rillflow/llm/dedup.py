@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import cut, importable, map_texts, ordered_documents, with_rows
+from .common import Rows, cut, importable, map_texts, ordered_documents
 from .wordtable import U64, WordTable, mix, sequence_hash, window_hashes
 
 WIDTH = 5
@@ -275,7 +275,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows with a null or repeated doc_id are judged by their texts as all
     others; a row without words goes only if one of the same doc_id and text is there.
     """
-    rows, by_id = with_rows(docs)
-    kept = groups(rows.select(F.col("_row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_kept"))
-    found = rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
-    return found if by_id else found.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(found.where("doc_id is null"))
+    table = Rows(docs)
+    kept = groups(table.documents("text")).where("kept").select(F.col("doc_id").alias("_row"))
+    found = table.rows.join(kept, "_row", "left_semi")
+    if not table.by_id:
+        doc_id, text = table.of("doc_id"), table.of("text")
+        again = found.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id, text])
+        found = again.select(*table.plain).unionByName(found.where(F.col(doc_id).isNull()).select(*table.plain))
+    return table.restored(found)

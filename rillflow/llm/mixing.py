@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import cut, map_texts, with_rows
+from .common import Rows, cut, map_texts
 from .wordtable import WordTable
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -28,7 +28,7 @@ SHARE, MOST_REPEATS = 1.5, 2
 SEED = 11
 KNAPSACK_WORDS = 200_000  # what the dynamic programme fits; larger budgets are first filled in proportion
 MOST_BROADCAST = 100_000  # sources; more are joined by exchange
-PARTS = 256  # into which the documents of one length and source are split for ranking
+PART_ROWS, LEAST_PARTS = 200_000, 256  # the documents of one length and source are ranked in as many parts as the table has of these
 
 
 def targets(sizes: list[int], share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_REPEATS) -> list[float]:
@@ -112,10 +112,12 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED)
 
 def _sized(docs: DataFrame) -> DataFrame:
     def run(texts: list, other: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*other, pa.array(np.diff(WordTable(texts).first))], ["doc_id", "source", "size"])
+        return pa.RecordBatch.from_arrays([*other, pa.array(np.diff(WordTable(texts).first))], ["doc_id", "source", "draw", "size"])
 
+    # a row's id and text draw its lot, so rows without an id, or of the same, have lots of their own
     plain = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
-    return map_texts(plain, run, "doc_id long, source string, size long")
+    drawn = plain.withColumn("draw", F.xxhash64("doc_id", F.lit(SEED), F.xxhash64("text")))
+    return map_texts(drawn, run, "doc_id long, source string, draw long, size long")
 
 
 def _budgets(sized: DataFrame) -> pd.DataFrame:
@@ -141,7 +143,8 @@ def _same(a: DataFrame, b: DataFrame, *names: str) -> Column:
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row."""
     spark = docs.sparkSession
-    sized = cut(_sized(docs).withColumn("draw", F.xxhash64("doc_id", F.lit(SEED))).withColumn("part", F.pmod("draw", F.lit(PARTS)).cast("int")))
+    sized = cut(_sized(docs))
+    sized = sized.withColumn("part", F.pmod("draw", F.lit(max(LEAST_PARTS, -(-sized.count() // PART_ROWS)))).cast("int"))
     rows = [(s, int(n), float(t), int(c), int(b)) for s, n, t, c, b in _budgets(sized)[["source", "source_size", "target", "copies", "budget"]].astype(object).itertuples(index=False)]
     budgets = spark.createDataFrame(rows, "source string, source_size long, target double, copies long, budget long")
     parts = sized.where("size > 0").groupBy("source", "size", "part").agg(F.count("*").alias("n"))
@@ -170,7 +173,7 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each row as often as the mix takes it, with all its columns.  Rows without words are left out."""
     copies = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    rows, _ = with_rows(docs)
-    taken = mix(rows.withColumn("doc_id", F.col("_row"))).select(F.col("doc_id").alias("_mix_id"), copies.alias("_mix_copies")).where("_mix_copies > 0")
-    joined = rows.join(taken, F.col("_row") == F.col("_mix_id"))
-    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies")))).drop("_row", "_mix_id", "_mix_copies", "_mix_copy")
+    table = Rows(docs)
+    taken = mix(table.documents("text", "source")).select(F.col("doc_id").alias("_row"), copies.alias("_copies")).where("_copies > 0")
+    joined = table.rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return table.restored(joined)
