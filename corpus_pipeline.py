@@ -6,9 +6,8 @@
 4. mixing: each document is there as often as the mix takes it (not at all, once or twice).
 5. bpe: the texts' token counts and digests of ids and decoded text.
 
-All stages but the last return the columns of ``documents``.  Their cases of
-nulls, empty texts, ties and repeated rows are those of the operators they
-call; a row without words never passes the first stage.
+All stages but the last return the columns of ``documents``, whatever they are
+named besides doc_id, text and source.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,22 +19,27 @@ from rillflow.llm.common import cut, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass.  A null, empty or short text fails; repeated rows are judged alike; without labels of both kinds the base rules decide alone."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component, that of the smallest id; rows of null or repeated ids are told apart by their place, and equal rows are one."""
     return dedup.one_of_each(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows; secrets in texts become a mark and n_chars follows; a null text stays null."""
     return secrets.mask_secrets(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it; a row without words goes; a null source is a source; rows of one id are drawn apart by their texts."""
     return mixing.mixed_documents(docs)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of digests for each row; a null text has no tokens; a null id is carried through."""
     return bpe.encoded_digests(docs)
 
 
