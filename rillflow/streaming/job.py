@@ -41,12 +41,13 @@ def with_seq(records: DataFrame) -> DataFrame:
     """Adds ``seq``, the order of arrival inside a micro-batch, where it is missing.
 
     Kafka's records go by offset, then partition, so each partition keeps its
-    order; others by their place in the files.
+    order and the numbers stay dense; others by their place in the files.
     """
     if "seq" in records.columns:
         return records
     if {"partition", "offset"} <= set(records.columns):
-        return records.withColumn("seq", F.shiftleft("offset", 12).bitwiseOR(F.col("partition").cast("long")))
+        partitions = (records.agg(F.max("partition")).first()[0] or 0) + 1
+        return records.withColumn("seq", F.col("offset") * partitions + F.col("partition"))
     return records.withColumn("seq", F.monotonically_increasing_id())
 
 
@@ -89,9 +90,9 @@ class StreamJob:
         """One micro-batch of records with column raw, and seq or partition and offset if there are any."""
         now = time.time()
         at = F.timestamp_micros(F.lit(int(now * 1e6)))
-        judged = validate.judged(with_seq(records).drop(*[f for f in (*REQUIRED_FIELDS, "received_at") if f in records.columns]), strict=self.strict).persist()
+        judged = validate.judged(records.drop(*[f for f in (*REQUIRED_FIELDS, "received_at") if f in records.columns]), strict=self.strict).persist()
         try:
-            events, dead = validate.split(judged)
+            events, dead = validate.split(with_seq(judged))
             append_batch(dead, f"{self.out}/dead_letters", batch)
             before = json.loads(self.ledger.get(below=batch) or "{}")
             if not exists(self.spark, f"{self.out}/accepted/batch_id={batch}"):
