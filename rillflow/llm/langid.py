@@ -30,10 +30,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import map_texts
+from .common import cut, map_texts
 from .wordtable import U64, WordTable, mix
 
 DOCUMENTS_PER_LANGUAGE = 400  # of smallest hash, from which a language is learned
+MOST_BROADCAST = 100_000  # languages; more are joined by exchange
 DOCUMENT_WEIGHT = 200.0  # words that each of them counts for, however long it is
 ROUNDS = 4
 TAUGHT_BYTES = 256  # of a stretch that teaches as a whole
@@ -282,7 +283,9 @@ def train(docs: DataFrame, path: str, per_language: int = DOCUMENTS_PER_LANGUAGE
     counts = open_.groupBy("lang").agg(F.count("*").alias("n"))
     # a bound on the hash leaves little more than per_language rows of each language to be ranked
     share = (per_language + 8 * per_language**0.5 + 100) / F.col("n")
-    few = open_.select("doc_id", "lang").join(counts, "lang").where((share >= 1) | (F.xxhash64("doc_id") / float(2**64) + 0.5 < share)).select("doc_id", "lang").distinct()
+    counts = cut(counts.coalesce(docs.sparkSession.sparkContext.defaultParallelism))
+    small = F.broadcast(counts) if counts.count() <= MOST_BROADCAST else counts  # one row a language
+    few = open_.select("doc_id", "lang").join(small, "lang").where((share >= 1) | (F.xxhash64("doc_id") / float(2**64) + 0.5 < share)).select("doc_id", "lang").distinct()
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = few.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang")
     # at most per_language ids a language; of several rows of an id one teaches
