@@ -11,8 +11,12 @@ def epoch_ms(iso: Column) -> Column:
 
 
 def iso_ms(ts: Column) -> Column:
-    """ISO text with milliseconds and Z (session time zone UTC)."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """ISO text with milliseconds and Z, whatever time zone the session has."""
+    ms = F.unix_millis(ts)
+    day = F.floor(ms / 86_400_000).cast("int")
+    rest = ms - day.cast("long") * 86_400_000
+    part = lambda unit, most: F.floor(rest / unit) % most
+    return F.format_string("%sT%02d:%02d:%02d.%03dZ", F.date_from_unix_date(day).cast("string"), part(3_600_000, 24), part(60_000, 60), part(1000, 60), rest % 1000)
 
 
 def elapsed_ms(later: Column, earlier: Column) -> Column:

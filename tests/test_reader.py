@@ -78,3 +78,14 @@ def test_filters_reach_the_scan(spark, tmp_path, reader):
     query = stored.user_transactions_query("u", 5, cursor=reader.user_transactions("u", 5).next_cursor)
     plan = query._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "EqualTo(user_id,u)" in plan and "LessThan(event_time" in plan
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_iso_text_in_any_zone(spark, zone):
+    from rillflow.functions.expressions import epoch_ms, iso_ms
+
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", zone)
+    times = [-1, 0, 1_710_054_000_123, 1_730_611_799_999]
+    got = other.createDataFrame([(t,) for t in times], "ms long").select("ms", iso_ms(F.timestamp_millis("ms")).alias("iso")).withColumn("back", epoch_ms(F.col("iso"))).collect()
+    assert all(r["back"] == r["ms"] for r in got) and got[0]["iso"] == "1969-12-31T23:59:59.999Z" and got[2]["iso"] == "2024-03-10T07:00:00.123Z"
