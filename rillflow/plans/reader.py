@@ -7,10 +7,11 @@ and a TakeOrderedAndProject.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions import cursors
 from ..functions.expressions import keyset_after
@@ -51,10 +52,15 @@ def _decoded(cursor: str | None, *kinds: str) -> tuple | None:
 
 
 class AnalyticsReader:
-    """Lookups over three tables (DataFrames with the columns of ``schema``)."""
+    """Lookups over three tables (DataFrames with the columns of ``schema``).
 
-    def __init__(self, events: DataFrame, aggregates: DataFrame, anomalies: DataFrame):
+    ``events_where`` gives the events that a condition holds for, where the
+    store has a better way than to filter them all.
+    """
+
+    def __init__(self, events: DataFrame, aggregates: DataFrame, anomalies: DataFrame, events_where: Callable[[Column], DataFrame] | None = None):
         self.events, self.aggregates, self.anomalies = events, aggregates, anomalies
+        self.events_where = events_where or events.where
 
     def health(self) -> bool:
         return self.events.sparkSession.sql("SELECT 1 AS ok").first()["ok"] == 1
@@ -68,7 +74,7 @@ class AnalyticsReader:
         return rows
 
     def user_transactions_query(self, user_id, limit: int = USUAL, cursor: str | None = None, start_time: datetime | None = None, end_time: datetime | None = None) -> DataFrame:
-        rows = self._between(self.events.where(F.col("user_id") == user_id), "event_time", start_time, end_time)
+        rows = self._between(self.events_where(F.col("user_id") == user_id), "event_time", start_time, end_time)
         if (at := _decoded(cursor, "time", "uuid")) is not None:
             rows = rows.where(keyset_after(F.col("event_time"), F.col("event_id"), at[0], str(at[1])))
         return rows.orderBy(F.desc("event_time"), F.desc("event_id")).limit(_limit(limit))

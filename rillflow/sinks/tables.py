@@ -12,7 +12,7 @@ import json
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..folders import scratch
 from ..functions.expressions import prefixed
@@ -82,15 +82,26 @@ class KeyedTable:
         shown = {**{c: F.col(f"_latest.{c}").alias(c) for c in latest}, "_batch": F.col("_at._batch").alias("_batch"), "_order": F.col("_at._order").alias("_order")}
         return one.select(*[shown.get(c, F.col(c)) for c in rows.columns])
 
-    def read(self) -> DataFrame | None:
-        """All rows, or None before the first batch."""
+    def read(self, where: Column | None = None) -> DataFrame | None:
+        """All rows, or those that ``where`` holds for; None before the first batch.
+
+        A condition is first put to all versions of the rows, where it reaches
+        the scan; only the keys that it finds are merged, and then it is put
+        to what they now are.
+        """
         manifest = self._manifest()
         rows = self._read(manifest["segments"])
         if rows is None:
             return None
         if len(manifest["segments"]) > 1 or manifest["segments"][0]["level"] == 0:
+            if where is not None:
+                some = rows.where(where).select(*[F.col(k).alias(f"_{k}") for k in self.keys]).distinct()
+                same = F.lit(True)
+                for k in self.keys:
+                    same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+                rows = rows.join(some, same, "left_semi")
             rows = self._merged(rows)
-        return rows.select(*manifest["columns"])
+        return rows.select(*manifest["columns"]) if where is None else rows.select(*manifest["columns"]).where(where)
 
     def _write(self, rows: DataFrame, name: str, level: int) -> dict:
         rows.write.mode("overwrite").parquet(f"{self.path}/data/{name}")

@@ -155,8 +155,10 @@ class StreamJob:
 
     def reader(self) -> AnalyticsReader:
         """Lookups over the job's tables as they now stand."""
-        events = self.events.read()
-        return AnalyticsReader(self.spark.createDataFrame([], ACCEPTED).drop("ts_ms", "watermark_ms", "lateness", "seq") if events is None else events, self.aggregates().drop("window_start_ms", "window_end_ms"), self.anomalies())
+        events, sums = self.events.read(), self.aggregates().drop("window_start_ms", "window_end_ms")
+        if events is None:
+            return AnalyticsReader(self.spark.createDataFrame([], ACCEPTED).drop("ts_ms", "watermark_ms", "lateness", "seq"), sums, self.anomalies())
+        return AnalyticsReader(events, sums, self.anomalies(), self.events.read)
 
     def publish(self, database: str = "analytics") -> None:
         """Snapshots of the tables in the catalogue's tables of ``bootstrap``."""

@@ -27,6 +27,8 @@ def test_what_a_batch_writes_does_not_grow_with_the_table(spark, tmp_path, monke
             want[k] = (v, want[k][1] if k in want else at, want[k][2] + 1 if k in want else n)
         assert {r["k"]: (r["v"], r["at"], r["n"]) for r in t.read().collect()} == want
         size[batch] = sum(f.stat().st_size for f in (tmp_path / "t" / "data").glob(f"v={batch}/*.parquet"))
+    for low in (0, 5, 11):  # a condition holds for what rows are, not for what they were
+        assert {r["k"] for r in t.read(F.col("v") == low).collect()} == {k for k, (v, _, _) in want.items() if v == low}
     assert len(files.children(spark, f"{tmp_path}/t/data")) <= 9 and len(files.children(spark, f"{tmp_path}/t/_manifest")) <= 4
     assert size[11] <= 1.1 * size[2] or not size[2]
 
