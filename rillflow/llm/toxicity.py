@@ -247,7 +247,8 @@ def train(docs: DataFrame, labels: DataFrame) -> PositiveUnlabelled | None:
         return pa.RecordBatch.from_arrays([pa.array(counted.index.get_level_values(0).tolist(), pa.int32()), pa.array(counted.index.get_level_values(1).tolist(), pa.binary()), pa.array(counted.to_numpy(), pa.int64())], ["group", "features", "n"])
 
     share_of = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(groups)).cast("int").alias("group")
-    sets = cut(map_texts(texts.select("text", share_of), kept, "group int, features binary, n long").groupBy("group", "features").agg(F.sum("n").alias("n")))
+    found = map_texts(texts.select("text", share_of), kept, "group int, features binary, n long").groupBy("group", "features").agg(F.sum("n").alias("n"))
+    sets = cut(found.coalesce(max(groups, spark.sparkContext.defaultParallelism)))  # a group's sets are few beside its texts
 
     # three models at once: one from each half of the positives, and one from all
     signs = labelled.select("doc_id", "toxic", F.filter("words", lambda w: w.isin([int(k) for k in keys.astype(np.int64)])).alias("words")).toPandas()
