@@ -6,9 +6,8 @@ of 256 bits.  A code is split into substrings of about log2(vectors) bits,
 each indexed by value.  Of two codes within Hamming radius R = parts * r + a,
 one of the first a + 1 substrings is within r or one of the others within
 r - 1, so probing those values finds every code of the ball; floats then
-decide.  R is the distance that covers nearly all true neighbours in a sample;
-in sparser samples those are farther than among all vectors, so recall on all
-is no less.
+decide.  R is the distance that covers nearly all true neighbours, among all
+vectors, of a sample of queries.
 
 The index is a table of (part, value, vector), the probes one of (part, value,
 query), joined on part and value.  Buckets of many vectors are dealt out by a
@@ -47,14 +46,14 @@ NEAREST, EVERY = 5, 50
 BITS, AXES = 256, 64
 WORDS = BITS // 64
 SAMPLE_VECTORS, SAMPLE_QUERIES = 4096, 512  # on which codes and the radius are learned
-COVERED = 0.98  # share of true neighbours in the sample that the radius holds
+COVERED = 0.98  # share of the sampled queries' true neighbours that the radius holds
 BLOCK_VECTORS, BLOCK_QUERIES, BATCH = 8192, 4096, 128
 BUCKET_VECTORS = 4096  # in one salt of a bucket
 PROBE_COST = 20  # code comparisons that one probe is worth
 
 
 class RotatedCodes:
-    """Learned binary codes of unit vectors, and the radius that covers true neighbours."""
+    """Learned binary codes of unit vectors."""
 
     def fit(self, vectors: np.ndarray, seed: int = 5, rounds: int = 25) -> RotatedCodes:
         rng = np.random.default_rng(seed)
@@ -71,13 +70,6 @@ class RotatedCodes:
                 r = u @ v
             turns.append(r)
         self.turn = (axes @ np.hstack(turns))[:, :BITS]
-        n = min(SAMPLE_QUERIES, len(vectors))
-        near = vectors[:n] @ vectors.T
-        near[np.arange(n), np.arange(n)] = -2
-        best = np.argsort(-near, axis=1, kind="stable")[:, : min(NEAREST, len(vectors) - 1)]
-        code = self.encode(vectors)
-        apart = np.stack([distance(code[:n], code[b]) for b in best.T]) if best.size else np.zeros((1, 1), int)
-        self.radius = int(np.quantile(apart, COVERED))
         return self
 
     def encode(self, vectors: np.ndarray) -> np.ndarray:
@@ -215,6 +207,44 @@ def _nearest(queries: pd.DataFrame, entries: pd.DataFrame, radii: dict[int, int]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
+def _radii(entries: DataFrame, models: dict[int, RotatedCodes], sampled: dict[int, list[bytes]], nearest: int) -> dict[int, int]:
+    """By length, the distance of codes that holds nearly all true neighbours of the sampled vectors, which all vectors are compared with.
+
+    A task keeps each sampled vector's nearest so far, so what it hands on
+    doesn't grow with what it reads.
+    """
+    units = {n: (lambda raw, size: raw / size[:, None])(*_scaled(packed)) for n, packed in sampled.items()}
+    most = nearest + 1  # itself is among them
+
+    def batches(it):
+        best = {n: (np.full((len(u), most), -2.0), np.zeros((len(u), most, WORDS), np.uint64)) for n, u in units.items()}
+        for batch in it:
+            packed, codes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for n, unit in units.items():
+                at = [k for k, v in enumerate(packed) if len(v) == n]
+                for k in range(0, len(at), BLOCK_VECTORS // 4):
+                    some = at[k : k + BLOCK_VECTORS // 4]
+                    raw, size = _scaled([packed[i] for i in some])
+                    score = np.hstack([best[n][0], unit @ (raw / size[:, None]).T])
+                    own = np.frombuffer(b"".join(codes[i] for i in some), np.uint64).reshape(-1, WORDS)
+                    top = np.argpartition(-score, most - 1, axis=1)[:, :most]
+                    code = np.where((top < most)[:, :, None], np.take_along_axis(best[n][1], np.minimum(top, most - 1)[:, :, None], axis=1), own[np.maximum(top - most, 0)])
+                    best[n] = (np.take_along_axis(score, top, axis=1), code)
+        for n, (score, code) in best.items():
+            row, col = np.nonzero(score > -2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), n, np.int32)), pa.array(row), pa.array(score[row, col]), pa.array([c.tobytes() for c in code[row, col]], pa.binary())], ["len", "nth", "score", "code"])
+
+    importable(entries.sparkSession)
+    found = entries.where(F.octet_length("vec").isin(*units)).select("vec", "code").mapInArrow(batches, "len int, nth long, score double, code binary")
+    rank = F.row_number().over(W.partitionBy("len", "nth").orderBy(F.desc("score"), "code"))
+    near = found.withColumn("rank", rank).where((F.col("rank") > 1) & (F.col("rank") <= most)).select("len", "nth", "code").toPandas()  # a few for each sampled vector
+    radii = {}
+    for n, part in near.groupby("len"):
+        own = models[n].encode(units[n][part["nth"].to_numpy()])
+        radii[n] = int(np.quantile(distance(own, np.frombuffer(b"".join(part["code"]), np.uint64).reshape(-1, WORDS)), COVERED))
+    return radii
+
+
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -308,11 +338,10 @@ def _best(found: DataFrame, nearest: int) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest)
 
 
-def plans(models: dict[int, RotatedCodes], counts: dict[int, int]) -> tuple[dict[int, int], dict[int, Substrings]]:
-    """Radii by length, and the splits of the lengths whose index is probed."""
-    radii = {n: m.radius for n, m in models.items()}
-    splits = {n: Substrings(counts[n], r) for n, r in radii.items() if n in counts}
-    return radii, {n: s for n, s in splits.items() if s.probes * PROBE_COST < counts[n]}
+def plans(radii: dict[int, int], counts: dict[int, int]) -> dict[int, Substrings]:
+    """The splits of the lengths whose index is probed."""
+    splits = {n: Substrings(counts[n], r) for n, r in radii.items()}
+    return {n: s for n, s in splits.items() if s.probes * PROBE_COST < counts[n]}
 
 
 def search(table: DataFrame, every: int = EVERY, nearest: int = NEAREST) -> DataFrame:
@@ -322,18 +351,21 @@ def search(table: DataFrame, every: int = EVERY, nearest: int = NEAREST) -> Data
     distinct = cut(rows.withColumn("rank", rank).where(F.col("rank") <= nearest + 1).groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
 
     models: dict[int, RotatedCodes] = {}
+    sampled: dict[int, list[bytes]] = {}
     sample = smallest(distinct, SAMPLE_VECTORS, F.xxhash64("vec"), "vec").select("vec").toPandas()["vec"]
     lengths = sample.map(len)
     for n, seen in sorted(lengths.value_counts().items()):
         if seen > nearest + 1:  # rarer lengths are searched in full
             raw, size = _scaled(sample[lengths == n].tolist())
             models[n] = RotatedCodes().fit(raw / size[:, None])
+            sampled[n] = sample[lengths == n].tolist()[:SAMPLE_QUERIES]
 
     entries = cut(_coded(distinct, models).withColumn("eno", F.monotonically_increasing_id()))
     queries = cut(_coded(rows.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id"), models).withColumn("qno", F.monotonically_increasing_id()))
     length = F.octet_length("vec")
     counts = {r["len"]: r["n"] for r in entries.where(length.isin(*models)).groupBy(length.alias("len")).agg(F.count("*").alias("n")).collect()} if models else {}  # at most a row a length of the sample
-    radii, splits = plans(models, counts)
+    radii = _radii(entries, models, sampled, nearest) if models else {}
+    splits = plans(radii, counts)
     if not splits:
         return _best(_in_blocks(queries, entries, radii, nearest), nearest).select("query_id", "rank", "vec_id", "score")
     probed = length.isin(*splits)

@@ -220,14 +220,20 @@ def test_probes_and_blocks_find_the_same(spark, monkeypatch):
     assert len(set(blocks) & set(probed)) >= 0.95 * len(blocks)
 
 
-def test_little_of_clustered_data_is_probed():
+def test_little_of_clustered_data_is_probed(spark):
+    """The radius is that of true neighbours among all vectors, and few codes are within the probes."""
     x = clustered(4000)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    model = ann.RotatedCodes().fit(x)
-    split, codes = ann.Substrings(10**6, model.radius), model.encode(x)
-    values = split.values(codes)
+    model = ann.RotatedCodes().fit(x[:500])
+    codes, packed = model.encode(x), [v.tobytes() for v in x]
+    entries = spark.createDataFrame([(v, c.tobytes()) for v, c in zip(packed, codes)], "vec binary, code binary").repartition(5)
+    radius = ann._radii(entries, {24 * 8: model}, {24 * 8: packed[:200]}, 5)[24 * 8]
+    near = np.argsort(-(x[:200] @ x.T), axis=1)[:, 1:6]
+    apart = np.stack([ann.distance(codes[:200], codes[near[:, k]]) for k in range(5)])
+    assert radius == int(np.quantile(apart, ann.COVERED))
+    split = ann.Substrings(10**6, radius)
     hit = np.zeros((100, len(x)), bool)
-    for v, most in zip(values, split.radii, strict=True):
+    for v, most in zip(split.values(codes), split.radii, strict=True):
         hit |= np.bitwise_count(v[:100, None] ^ v[None, :]) <= most
     assert hit.mean() < 0.05
 
