@@ -14,28 +14,29 @@ from ..workers import importable
 from .wordtable import slices
 
 
-WRITTEN_BYTES, READ_BYTES, MOST_PARTS = 64 << 20, 8 << 20, 100_000  # a file of a cut table, and what it is made of, by estimate
+FILE_BYTES, MOST_PARTS = 8 << 20, 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, few: bool = False) -> DataFrame:
     """The same rows read from files in the shared folder: no lineage behind them, and nothing kept on executors.
 
-    A table made of little, by the optimiser's estimate of itself or of what it
-    reads, goes into few files, but never into fewer than there are cores.  The
-    files stay until the driver ends, as a lost executor's tasks may read them
-    at any time.
+    With ``few``, for tables derived from other cut ones, there are as many
+    files as what it reads has megabytes, eight each, but not fewer than cores;
+    texts are always read in the scan's own tasks.  The files stay until the
+    driver ends, as a lost executor's tasks may read them at any time.
     """
     spark = df.sparkSession
     path = scratch(spark, "cut")
-    plan = df._jdf.queryExecution().optimizedPlan()
-    leaves = plan.collectLeaves()
-    read = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
-    parts = max(spark.sparkContext.defaultParallelism, min(-(-int(plan.stats().sizeInBytes()) // WRITTEN_BYTES), -(-read // READ_BYTES)))
-    (df.coalesce(parts) if parts < MOST_PARTS else df).write.parquet(path)
+    if few:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        read = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+        parts = max(spark.sparkContext.defaultParallelism, -(-read // FILE_BYTES))
+        df = df.coalesce(parts) if parts < MOST_PARTS else df
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

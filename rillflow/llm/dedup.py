@@ -169,9 +169,9 @@ def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
 
     side = lambda table, name, *columns: table.select(F.col("doc").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
     joined = pairs.join(side(classes, "a", "n", "regs"), "a").join(side(classes, "b", "n", "regs"), "b")
-    close = cut(_arrow(joined.select("a", "b", "n_a", "n_b", "regs_a", "regs_b"), "a long, b long", likely))
+    close = cut(_arrow(joined.select("a", "b", "n_a", "n_b", "regs_a", "regs_b"), "a long, b long", likely), few=True)
     whole = close.join(side(sets, "a", "set"), "a").join(side(sets, "b", "set"), "b")
-    return cut(_arrow(whole.select("a", "b", "set_a", "set_b"), "a long, b long", sure))
+    return cut(_arrow(whole.select("a", "b", "set_a", "set_b"), "a long, b long", sure), few=True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def components(edges: DataFrame) -> DataFrame:
     Tables of links are small beside the documents, so each step runs in as
     many tasks as they need and no more.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), few=True)
     parts = max(edges.sparkSession.sparkContext.defaultParallelism, math.ceil(both.count() / LINKS_PER_TASK))
     few = lambda df: df.coalesce(parts)
     labels = cut(few(both.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("m")).select("doc", F.least("doc", "m").alias("component"))))
@@ -237,7 +237,7 @@ def _prefixes(dense: DataFrame, sets: DataFrame) -> DataFrame:
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     ranked = tokens.join(often, "token").withColumn("rank", F.row_number().over(W.partitionBy("doc").orderBy("often", "token")))
     near = ranked.join(dense, "doc").where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * LINK / 100) + 1)
-    return cut(near.where("often > 1").select("token", "doc", "n", "component", "rank"))
+    return cut(near.where("often > 1").select("token", "doc", "n", "component", "rank"), few=True)
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -248,18 +248,18 @@ def groups(docs: DataFrame) -> DataFrame:
 
     bands = _bands(classes)
     counts = bands.groupBy("band", "value").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut(bands.join(counts, ["band", "value"]))
+    members = cut(bands.join(counts, ["band", "value"]), few=True)
     wanted = members.select("doc").distinct().join(classes.select("doc", "key"), "doc")
     sets = cut(_sets(docs, wanted))
 
     first = _links(_stars(members), classes, sets)
     labels = components(first)
     labelled = members.join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    labelled = cut(labelled)
+    labelled = cut(labelled, few=True)
     mixed = labelled.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     dense = labelled.where(F.col("size") > FEW).join(mixed.select("band", "value"), ["band", "value"]).groupBy("doc").agg(F.max("n").alias("n"), F.max("component").alias("component"))
     sparse = _across(labelled.where(F.col("size") <= FEW), ["band", "value"])
-    more = cut(sparse.unionByName(_across(_prefixes(cut(dense), sets), ["token"], ranked=True)).distinct())
+    more = cut(sparse.unionByName(_across(_prefixes(cut(dense, few=True), sets), ["token"], ranked=True)).distinct(), few=True)
     second = _links(more, classes, sets)
     merged = components(_through(labels, _through(labels, second, "a"), "b"))  # links between components
 

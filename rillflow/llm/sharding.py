@@ -75,7 +75,7 @@ def _propagate(state: DataFrame, capacity: int, big: int, parts: int, shards: in
         inside = W.partitionBy("shard", "part").orderBy(F.desc("total"), "key").rowsBetween(W.unboundedPreceding, 0)
         moved = cut(
             wanted.withColumn("so_far", F.sum("total").over(inside)).join(sums.select("shard", "part", "before"), ["shard", "part"])
-            .where("before + so_far <= room").select("key", "shard", "total")
+            .where("before + so_far <= room").select("key", "shard", "total"), few=True
         )
         settled.append(moved)
         new = {r["shard"]: r["rows"] for r in moved.groupBy("shard").agg(F.sum("total").alias("rows")).collect()}  # one row a shard
@@ -100,13 +100,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
 
     counts = keyed.groupBy("key", F.col("start").alias("shard")).agg(F.count("*").alias("n"))
     whole = W.partitionBy("key")  # at most one row a shard and key
-    state = cut(counts.withColumn("total", F.sum("n").over(whole)).where("total > 1"))
+    state = cut(counts.withColumn("total", F.sum("n").over(whole)).where("total > 1"), few=True)
     apart = _set_apart(state, capacity, shards)
     settled, used = _propagate(state, capacity, big, parts, shards, rounds, apart)
 
     groups = state.groupBy("key").agg(F.max("total").alias("total"))
     groups = groups.join(settled.select("key", F.col("shard").alias("home")), "key", "left") if settled is not None else groups.withColumn("home", F.lit(None).cast("int"))
-    groups = cut(groups)
+    groups = cut(groups, few=True)
     large, small = groups.where(F.col("total") >= big), groups.where(F.col("total") < big)
     hot = keyed.join(F.broadcast(large), "key", "left")  # at most BIG_SHARE rows
     placed = hot.where("total is not null").unionByName(hot.where("total is null").drop("total", "home").join(small, "key", "left"))
