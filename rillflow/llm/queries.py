@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, dedup, langid, mixing, pii, quality, secrets, sharding, toxicity
+from . import ann, bpe, dedup, langid, mixing, pii, quality, secrets, sharding, toxicity, twotier
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_bpe_two_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return twotier.encoded_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality_rules": op2_quality_rules,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_mixing": op9_mixing,
     "op10_secrets": op10_secrets,
+    "op11_bpe_two_tier": op11_bpe_two_tier,
 }
 # exact: all pairs that share a shingle, and all that is reachable over links
 ORACLES: dict[str, str] = {
