@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, dedup, langid, mixing, pii, quality, secrets, sharding, toxicity, twotier
+from . import ann, audit, bpe, dedup, langid, mixing, pii, quality, secrets, sharding, toxicity, twotier
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op11_bpe_two_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twotier.encoded_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality_rules": op2_quality_rules,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_secrets": op10_secrets,
     "op11_bpe_two_tier": op11_bpe_two_tier,
+    "op12_filter_audit": op12_filter_audit,
 }
 # exact: all pairs that share a shingle, and all that is reachable over links
 ORACLES: dict[str, str] = {
@@ -79,4 +84,18 @@ sides AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT a AS doc_id, b AS other FROM sides UNION SELECT r.doc_id, s.b FROM reach r JOIN sides s ON r.other = s.a),
 least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
 SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(sets.doc_id, coalesce(other, sets.doc_id)) AS component_id, least(sets.doc_id, coalesce(other, sets.doc_id)) = sets.doc_id AS kept FROM sets LEFT JOIN least ON least.doc_id = sets.doc_id""",
+    "op12_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+m AS (SELECT doc_id, part, CAST(len(w) < 50 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INTEGER) + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS INTEGER)
+  + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(doc_id > least, false) AS INTEGER) AS mask FROM w),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN l ON m.doc_id = l.doc_id GROUP BY ALL),
+f(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT p.f || q.f || r.f || s.f || t.f AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits FROM f p, f q, f r, f s, f t WHERE p.bit + q.bit + r.bit + s.bit + t.bit = 31 AND list_unique([p.f, q.f, r.f, s.f, t.f]) = 5),
+steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS own, CAST(coalesce(list_sum(bits[:step - 1]), 0) AS INTEGER) AS earlier FROM o, range(1, 6) r(step)),
+a AS (SELECT part, filter_order, step, own, sum(n) FILTER (mask & (own | earlier) = 0) AS kept, sum(n) FILTER (mask & own > 0 AND mask & earlier = 0) AS removed, sum(n) FILTER (mask & own > 0 AND mask & earlier > 0) AS redundant,
+  sum(n) FILTER (mask = own) AS unique_fails, sum(good) FILTER (mask & own > 0 AND mask & earlier = 0) AS good_lost, sum(toxic) FILTER (mask & own > 0 AND mask & earlier = 0) AS toxic_lost FROM c, steps GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM a""",
 }
