@@ -5,7 +5,9 @@ hash gives each piece the one token that it could be, and lengths and bytes
 are compared, so a piece is found if and only if it is in the vocabulary.
 Tier two takes each other distinct piece: its bytes are a linked list, a heap
 holds the ranks of neighbours that make a token, and the leftmost pair of
-lowest rank is merged until none is left, in time n log n.
+lowest rank is merged until none is left, in time n log n.  Short pieces are
+merged together, a row of arrays each, and ask the hash of tier one whether
+two neighbours make a token.
 
 Ids equal those of the tiktoken library for the same ranks and splitting rule,
 without special tokens.  For the rule of this family (``PATTERN``) texts are
@@ -34,9 +36,12 @@ from pyspark.sql import DataFrame
 from .common import importable, map_texts, ordered_documents
 from .wordtable import U64, mix, powers
 
-SLICE = 300_000  # characters of text encoded at once
-CACHE_PIECES, CACHE_BYTES = 150_000, 4_000_000  # pieces of tier two whose ids are remembered, and their bytes; beyond either all are forgotten
+SLICE = 500_000  # characters of text encoded at once
+CACHE_PIECES, CACHE_BYTES = 500_000, 16_000_000  # pieces of tier two whose ids are remembered, and their bytes; beyond either all are forgotten
 KEYS_A_BUCKET = 3
+SHORT = 64  # bytes; a longer piece has its heap alone
+CELLS = 1 << 18  # bytes of the pieces that are merged together
+NONE = np.int64(2**62)
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -45,11 +50,58 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 OTHER, LETTER, DIGIT, SPACE = range(4)
 
 
-def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, by one running sum over all bytes."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + U64(1)) * powers(BASE, len(data)), out=sums[1:])
-    return mix((sums[end] - sums[begin]) * powers(INVERSE, len(data) + 1)[begin])
+class Spans:
+    """64-bit hashes of spans of some bytes, by one running sum over all of them."""
+
+    def __init__(self, data: np.ndarray):
+        self.data, self.sums = data, np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + U64(1)) * powers(BASE, len(data)), out=self.sums[1:])
+
+    def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[begin]) * powers(INVERSE, len(self.data) + 1)[begin])
+
+
+class Heaps:
+    """A binary heap of numbers in each row, pushed to and popped from for many rows at once.  Room is for twice the columns that it begins with."""
+
+    def __init__(self, rows: np.ndarray):
+        n, width = rows.shape
+        self.heap = np.full((n, 2 * width), NONE)
+        self.heap[:, :width] = np.sort(rows, axis=1)  # in order, hence a heap
+        self.count = (rows < NONE).sum(axis=1)
+
+    def push(self, row: np.ndarray, value: np.ndarray) -> None:
+        """A number for each row; no row twice."""
+        heap, at = self.heap, self.count[row]
+        self.count[row] += 1
+        while len(row):
+            up = (at - 1) >> 1
+            above = heap[row, np.maximum(up, 0)]
+            rises = (at > 0) & (above > value)
+            heap[row[~rises], at[~rises]] = value[~rises]
+            heap[row[rises], at[rises]] = above[rises]
+            row, at, value = row[rises], up[rises], value[rises]
+
+    def pop(self, row: np.ndarray) -> np.ndarray:
+        """The least number of each row, none of which is empty or there twice."""
+        heap = self.heap
+        top = heap[row, 0]
+        self.count[row] -= 1
+        last = self.count[row]
+        value = np.where(last > 0, heap[row, last], NONE)
+        heap[row, last] = NONE
+        at = np.zeros(len(row), np.int64)
+        while len(row):
+            left = 2 * at + 1
+            inside = left + 1 < heap.shape[1]
+            left = np.where(inside, left, 0)
+            a, b = np.where(inside, heap[row, left], NONE), np.where(inside, heap[row, left + 1], NONE)
+            below, child = np.minimum(a, b), left + (b < a)
+            sinks = below < value
+            heap[row[~sinks], at[~sinks]] = value[~sinks]
+            heap[row[sinks], at[sinks]] = below[sinks]
+            row, at, value = row[sinks], child[sinks], value[sinks]
+        return top
 
 
 class PerfectHash:
@@ -111,7 +163,7 @@ class TwoTier:
         size = np.array([len(t) for t in tokens], np.int64)
         begin = np.cumsum(size) - size
         data = np.frombuffer(b"".join(tokens), np.uint8)
-        hashes = span_hashes(data, begin, begin + size)
+        hashes = Spans(data).hashes(begin, begin + size)
         if len(np.unique(hashes)) != len(hashes):
             raise ValueError("two tokens of one hash")
         self.hash = PerfectHash(hashes)
@@ -127,10 +179,24 @@ class TwoTier:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.known_bytes, self.merged, self.ends = 0, [], []
+        self.known_bytes, self.known_ids = 0, 0
+        self.flat, self.first, self.many = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+
+    def _remember(self, pieces: list[bytes], ids: np.ndarray, many: np.ndarray) -> None:
+        """Keeps the ids of pieces, given one after the other with how many each has; room is doubled when it is short."""
+        n, at = len(self.known), self.known_ids
+        while n + len(pieces) > len(self.many):
+            self.first, self.many = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.many))
+        while at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.first[n : n + len(pieces)] = at + np.cumsum(many) - many
+        self.many[n : n + len(pieces)] = many
+        self.flat[at : at + len(ids)] = ids
+        self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.known_ids, self.known_bytes = at + len(ids), self.known_bytes + sum(map(len, pieces))
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one piece."""
+        """The ids of one piece of any length."""
         ranks, n, longest = self.ranks, len(piece), self.longest
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the symbol that begins at a byte
         heap = [(r, k) for k in range(n - 1) if (r := ranks.get(piece[k : k + 2])) is not None]
@@ -164,44 +230,102 @@ class TwoTier:
             k = after[k]
         return found
 
-    def _merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces one after the other, and how many each has."""
-        if len(self.known) > CACHE_PIECES or self.known_bytes > CACHE_BYTES:
-            self._forget()
-        for piece in set(pieces) - self.known.keys():
-            self.known[piece] = len(self.merged)
-            self.merged.append(self.merge(piece))
-            self.known_bytes += len(piece)
-        rows = [self.merged[self.known[p]] for p in pieces]
-        return np.array([k for r in rows for k in r], np.int64), np.array([len(r) for r in rows], np.int64)
+    def merge_rows(self, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of at most ``width`` bytes, a power of two, and how many each has: their heaps are worked on together, a row each."""
+        text = Spans(np.frombuffer(b"".join(pieces), np.uint8))
+        size = np.array([len(p) for p in pieces])
+        base, place, rows = np.cumsum(size) - size, np.arange(width), len(pieces)
+        after = np.tile(place + 1, (rows, 1))
+        before = after - 2
+        alive = place < size[:, None]
+        pending = np.full((rows, width), NONE)
+        row, k = np.nonzero(place + 2 <= size[:, None])
+        rank = self.ids(text, base[row] + k, base[row] + k + 2)
+        pending[row, k] = np.where(rank >= 0, rank, NONE)
+        heaps = Heaps(np.where(pending < NONE, pending * width + place, NONE))
+
+        def renew(row: np.ndarray, k: np.ndarray) -> None:
+            end = after[row, k]
+            more = end < size[row]
+            pending[row[~more], k[~more]] = NONE
+            row, k = row[more], k[more]
+            rank = self.ids(text, base[row] + k, base[row] + after[row, end[more]])
+            found = rank >= 0
+            pending[row, k] = np.where(found, rank, NONE)
+            heaps.push(row[found], (rank * width + k)[found])
+
+        row = np.flatnonzero(heaps.count)
+        while len(row):
+            top = heaps.pop(row)
+            k = top % width
+            live = pending[row, k] == top // width  # else one of its symbols has been merged since
+            at, k = row[live], k[live]
+            gone = after[at, k]
+            behind = after[at, gone]
+            after[at, k] = behind
+            inner = behind < size[at]
+            before[at[inner], behind[inner]] = k[inner]
+            alive[at, gone] = False
+            pending[at, gone] = NONE
+            renew(at, k)
+            ahead = before[at, k]
+            has = ahead >= 0
+            renew(at[has], ahead[has])
+            row = row[heaps.count[row] > 0]
+        row, k = np.nonzero(alive)
+        return self.ids(text, base[row] + k, base[row] + after[row, k]), alive.sum(axis=1)
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        by_width: dict[int, list[bytes]] = {}
+        for p in pieces:
+            by_width.setdefault(0 if len(p) > SHORT else max(2, 1 << (len(p) - 1).bit_length()), []).append(p)
+        for p in by_width.pop(0, []):
+            ids = self.merge(p)
+            self._remember([p], np.array(ids), np.array([len(ids)]))
+        for width, some in by_width.items():
+            step = CELLS // width
+            for i in range(0, len(some), step):
+                self._remember(some[i : i + step], *self.merge_rows(some[i : i + step], width))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many each text has."""
+        if len(self.known) > CACHE_PIECES or self.known_bytes > CACHE_BYTES:
+            self._forget()
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        data = np.frombuffer(joined := b"".join(raw), np.uint8)
+        joined = b"".join(raw)
+        text = Spans(np.frombuffer(joined, np.uint8))
         firsts = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-        starts = cuts(data, firsts, self.kind) if self.pattern is None else self._matched(texts, raw)
-        begin, end = starts if isinstance(starts, tuple) else (starts, np.append(starts[1:], len(data)))
-        key = span_hashes(data, begin, end)
-        place = self.hash.places(key)
-        size = end - begin
-        found = size == self.size[place]
-        found[found] = self._same(data, begin[found], place[found])
+        if self.pattern is None:
+            begin = cuts(text.data, firsts, self.kind)
+            end = np.append(begin[1:], len(joined))
+        else:
+            begin, end = self._matched(texts, raw)
+        whole = self.ids(text, begin, end)
         count = np.ones(len(begin), np.int64)
-        missed = np.flatnonzero(~found)
-        ids, sizes = self._merged([joined[a:b] for a, b in zip(begin[missed].tolist(), end[missed].tolist(), strict=True)])
-        count[missed] = sizes
+        missed = np.flatnonzero(whole < 0)
+        pieces = [joined[a:b] for a, b in zip(begin[missed].tolist(), end[missed].tolist(), strict=True)]
+        self._learn(sorted(set(pieces) - self.known.keys()))
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        many = self.many[at].astype(np.int64)
+        count[missed] = many
         total = np.cumsum(count)
         out = np.zeros(int(total[-1]) if len(total) else 0, np.int64)
-        out[(total - count)[found]] = self.id[place[found]]
-        out[np.repeat(total[missed] - np.cumsum(sizes), sizes) + np.arange(len(ids))] = ids
+        out[(total - count)[whole >= 0]] = whole[whole >= 0]
+        out[_gather((total - count)[missed], many)] = self.flat[_gather(self.first[at].astype(np.int64), many)]
         return out, np.diff(np.append(0, total)[np.searchsorted(begin, firsts)])
 
-    def _same(self, data: np.ndarray, begin: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Whether the spans of ``data`` have the very bytes of the tokens at ``place``, which are as long."""
-        size = self.size[place]
-        differ = data[_gather(begin, size)] != self.data[_gather(self.begin[place], size)]
-        return ~np.logical_or.reduceat(differ, np.cumsum(size) - size) if len(size) else np.zeros(0, bool)
+    def ids(self, text: Spans, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The token that each span of bytes is, -1 where it is none."""
+        place = self.hash.places(text.hashes(begin, end))
+        size = end - begin
+        maybe = np.flatnonzero(size == self.size[place])
+        at, size = place[maybe], size[maybe]
+        found = np.full(len(begin), -1, np.int64)
+        if len(maybe):
+            differ = text.data[_gather(begin[maybe], size)] != self.data[_gather(self.begin[at], size)]
+            same = ~np.logical_or.reduceat(differ, np.cumsum(size) - size)
+            found[maybe[same]] = self.id[at[same]]
+        return found
 
     def _matched(self, texts: list[str | None], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of the rule's matches; what it leaves out between them has no tokens."""

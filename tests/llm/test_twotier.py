@@ -90,10 +90,29 @@ def test_merging_takes_the_leftmost_lowest(ours):
     for _ in range(400):
         piece = bytes(rng.choice(b"the ringsatoa\xc3\xa9  ") for _ in range(rng.randrange(1, 80)))
         assert ours.merge(piece) == plain(piece)
+    for width in (2, 4, 16, 64):
+        pieces = [bytes(rng.choice(b"the ringsatoa\xc3\xa9  ") for _ in range(rng.randrange(1, width + 1))) for _ in range(300)]
+        ids, many = ours.merge_rows(pieces, width)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(many)[:-1])] == [plain(p) for p in pieces]
     assert ours.merge(b"x1" * 2000) == plain(b"x1" * 2000)
     assert ours.decode(np.array(ours.merge(b"ab" * 50_000))) == b"ab" * 50_000
 
 
+def test_heaps_give_the_least_of_each_row():
+    rng = np.random.default_rng(3)
+    rows = np.where(rng.random((50, 8)) < 0.6, rng.integers(0, 100, (50, 8)), twotier.NONE)
+    heaps, lists = twotier.Heaps(rows), [sorted(x for x in r if x < twotier.NONE) for r in rows.tolist()]
+    for _ in range(40):
+        put = np.flatnonzero((rng.random(50) < 0.5) & (heaps.count < 16))
+        values = rng.integers(0, 100, len(put))
+        heaps.push(put, values)
+        for r, x in zip(put.tolist(), values.tolist(), strict=True):
+            lists[r] = sorted([*lists[r], x])
+        take = np.flatnonzero((rng.random(50) < 0.5) & (heaps.count > 0))
+        assert heaps.pop(take).tolist() == [lists[r].pop(0) for r in take.tolist()]
+        assert heaps.count.tolist() == list(map(len, lists))
+
+
 def test_cache_limit_changes_nothing(ours, corpus, monkeypatch):
     texts = [t for _, t, _, _ in corpus[:50]]
     want = ours.encode(texts)[0]
