@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, audit, bpe, dedup, langid, mixing, pii, quality, secrets, sharding, toxicity, twotier
+from . import ann, audit, bpe, dedup, langid, mixing, pii, quality, repair, secrets, sharding, toxicity, twotier
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality_rules": op2_quality_rules,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
     "op11_bpe_two_tier": op11_bpe_two_tier,
     "op12_filter_audit": op12_filter_audit,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 # exact: all pairs that share a shingle, and all that is reachable over links
 ORACLES: dict[str, str] = {
