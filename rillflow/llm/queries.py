@@ -103,4 +103,29 @@ a AS (SELECT part, filter_order, step, own, sum(n) FILTER (mask & (own | earlier
   sum(n) FILTER (mask = own) AS unique_fails, sum(good) FILTER (mask & own > 0 AND mask & earlier = 0) AS good_lost, sum(toxic) FILTER (mask & own > 0 AND mask & earlier = 0) AS toxic_lost FROM c, steps GROUP BY ALL)
 SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
   CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM a""",
+    # a CRC-32 byte by byte, then all edits of a row in each state of the grammar
+    "op13_conversation_repair": r"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+keyed AS (SELECT coalesce('=' || CAST(conv_id AS VARCHAR), '-') AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+drawn AS (SELECT keyed.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(key[i]) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) % 20 AS what FROM keyed, crc),
+damaged AS (SELECT c, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role, CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN what = 3 THEN [0, 1] ELSE [0] END) AS copy FROM drawn WHERE what <> 0),
+placed AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(role || chr(0) || text), copy) AS nth FROM damaged),
+told AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY c, role, text ORDER BY nth) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open,
+  lag(initial) OVER (PARTITION BY c ORDER BY nth) || initial AS pair FROM placed),
+lines AS MATERIALIZED (SELECT *, CASE WHEN blank OR again THEN 'x' WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'o' END AS code, CASE WHEN open THEN 5 ELSE 0 END AS more FROM told),
+faults AS (SELECT c, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (open AND NOT again AND NOT blank) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+  max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps FROM lines GROUP BY c),
+ins(state, now, cost, letters, put) AS (VALUES ('', '', 0, '', CAST([] AS VARCHAR[])), ('', 'u', 5, 'I', ['user:']), ('', 'a', 10, 'II', ['user:', 'assistant:']), ('s', 's', 0, '', []), ('s', 'u', 5, 'I', ['user:']), ('s', 'a', 10, 'II', ['user:', 'assistant:']),
+  ('u', 'u', 0, '', []), ('u', 'a', 5, 'I', ['assistant:']), ('u', 'u', 10, 'II', ['assistant:', 'user:']), ('a', 'a', 0, '', []), ('a', 'u', 5, 'I', ['user:']), ('a', 'a', 10, 'II', ['user:', 'assistant:'])),
+fits(state, code) AS (VALUES ('', 's'), ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+moves AS MATERIALIZED (SELECT code, i.state, now AS target, cost + 2 AS cost, letters || 'D' AS letters, put, CAST(NULL AS VARCHAR) AS role, false AS stays FROM ins i, (SELECT unnest(['s', 'u', 'a', 'o', 'x']) AS code)
+  UNION ALL SELECT f.code, i.state, f.code, cost, letters || 'K', put, NULL, true FROM ins i JOIN fits f ON f.state = i.now
+  UNION ALL SELECT k.code, i.state, f.code, cost + 1, letters || 'R', put, CASE f.code WHEN 'u' THEN 'user' ELSE 'assistant' END, true FROM ins i JOIN fits f ON f.state = i.now AND f.code <> 's', (SELECT unnest(['s', 'u', 'a', 'o']) AS code) k),
+run AS (SELECT DISTINCT c, CAST(0 AS BIGINT) AS nth, '' AS state, {'cost': CAST(0 AS BIGINT), 'letters': '', 'put': CAST([] AS VARCHAR[])} AS best FROM lines
+  UNION ALL SELECT r.c, l.nth, m.target, min({'cost': r.best.cost + m.cost + CASE WHEN m.stays THEN l.more ELSE 0 END, 'letters': r.best.letters || m.letters, 'put': r.best.put || m.put || CASE WHEN m.stays THEN [coalesce(m.role, l.role) || ':' || l.text] ELSE [] END})
+  FROM run r JOIN lines l ON l.c = r.c AND l.nth = r.nth + 1 JOIN moves m ON m.code = l.code AND m.state = r.state GROUP BY r.c, l.nth, m.target),
+ended AS (SELECT r.c, min({'cost': r.best.cost + i.cost, 'letters': r.best.letters || i.letters, 'put': r.best.put || i.put}) AS best FROM run r JOIN (SELECT c, max(nth) AS nth FROM lines GROUP BY c) n ON n.c = r.c AND n.nth = r.nth JOIN ins i ON i.state = r.state AND i.now IN ('', 'a') GROUP BY r.c)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+  coalesce(best.letters, '') AS audit, sha256(coalesce(array_to_string(best.put, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM keyed) o LEFT JOIN faults USING (c) LEFT JOIN ended USING (c)""",
 }
