@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor, as_completed
 
 from pyspark.sql import SparkSession
 
 from .plans.http_api import serve
 from .settings import Settings
+from .sinks.tables import maintained
 from .sources.events import raw_stream
 from .streaming.job import StreamJob, supervised
 
@@ -26,17 +28,31 @@ def parsed(arguments: Sequence[str]) -> tuple[str, Settings]:
 
 
 def stream(spark: SparkSession, settings: Settings) -> int:
-    """Runs both queries, again after a failure; returns the restarts of the first."""
+    """Runs both queries, each again after a failure, and beside them the merging of segments; returns the restarts of both."""
     job = StreamJob(spark, settings.out, settings.strict, settings.remember or None)
     checkpoint = settings.checkpoint or f"{settings.out}/_checkpoint"
     trigger = {"processingTime": f"{settings.every_s} seconds"} if settings.every_s else {"availableNow": True}
-    options = {"kafka.bootstrap.servers": settings.brokers} if settings.kind == "kafka" else {}
-    if settings.every_s:
-        job.start_anomalies(f"{checkpoint}/anomalies", **trigger)
-    restarts = supervised(lambda: job.start(raw_stream(spark, settings.source, settings.kind, **options), f"{checkpoint}/events", **trigger), settings.restarts, settings.pause_s)
-    if not settings.every_s:
-        supervised(lambda: job.start_anomalies(f"{checkpoint}/anomalies", **trigger), settings.restarts, settings.pause_s)
-    return restarts
+    kafka = settings.kind == "kafka"
+    options = {"kafka.bootstrap.servers": settings.brokers} if kafka else {}
+    source = lambda: raw_stream(spark, settings.source, settings.kind, settings.most_records if kafka else settings.most_files, **options)
+    events = lambda: supervised(lambda: job.start(source(), f"{checkpoint}/events", **trigger), settings.restarts, settings.pause_s)
+    anomalies = lambda: supervised(lambda: job.start_anomalies(f"{checkpoint}/anomalies", **trigger), settings.restarts, settings.pause_s)
+    end = maintained(job.tables(), settings.merge_s)
+    try:
+        if not settings.every_s:
+            return events() + anomalies()
+        with ThreadPoolExecutor(2) as both:
+            running = [both.submit(events), both.submit(anomalies)]
+            try:
+                for done in as_completed(running):
+                    done.result()  # one that is given up ends the other
+            except BaseException:
+                for query in spark.streams.active:
+                    query.stop()
+                raise
+            return sum(r.result() for r in running)
+    finally:
+        end()
 
 
 def main(arguments: Sequence[str] | None = None) -> None:

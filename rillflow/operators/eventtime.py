@@ -4,13 +4,21 @@ The watermark after a record is the largest time so far less the allowed
 disorder and one millisecond.  A record is ``late`` if it is over 45 s behind;
 ``dropped`` if its window has closed (it still counts as an event, but in no
 aggregate); else ``on_time``.
+
+Where records come from several partitions, each has a largest time of its own
+and the watermark is that of the least one among the partitions that are
+active: a partition that has brought nothing for 30 s of arrival is idle and
+holds nothing back.  It never goes back, not even when an idle partition wakes.
 """
 
 from __future__ import annotations
 
+from dataclasses import asdict, dataclass, field
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..schema import LATE_AFTER_MS, OUT_OF_ORDER_MS, WINDOW_MS
+from ..schema import IDLE_AFTER_MS, LATE_AFTER_MS, OUT_OF_ORDER_MS, WINDOW_MS
 
 CHUNK = 50_000  # arrivals in one part of the running maximum
 
@@ -36,6 +44,97 @@ def with_watermark_ms(events: DataFrame, time_ms: str = "ts_ms", order: str = "s
     return topped.withColumn("watermark_ms", F.col("_max") - OUT_OF_ORDER_MS - 1).drop("_max")
 
 
+@dataclass
+class PartitionClock:
+    """Where the watermark stands: of each partition that is known its largest time (None before its first record) and last arrival, and the watermark.
+
+    ``partitions`` of a new clock are known from the first arrival on, so one
+    that never brings a record holds the watermark back until it is idle.
+    """
+
+    partitions: int
+    tops: dict[int, int] = field(default_factory=dict)
+    arrivals: dict[int, int] = field(default_factory=dict)
+    watermark_ms: int | None = None
+    began_ms: int | None = None
+
+    def as_dict(self) -> dict:
+        return asdict(self)
+
+    @classmethod
+    def of(cls, found: dict | None) -> PartitionClock:
+        """From ``as_dict``, also by way of JSON."""
+        if not found:
+            return cls(0)
+        numbered = {k: {int(p): x for p, x in found[k].items()} for k in ("tops", "arrivals")}
+        return cls(found["partitions"], **numbered, watermark_ms=found["watermark_ms"], began_ms=found["began_ms"])
+
+
+def _least_active(top: list[Column], arrival: list[Column], now: Column, idle_ms: int) -> Column:
+    """The least largest time among the active partitions; null if one of them has none yet.
+
+    Partitions become idle one after the other; once all are, what the last
+    ones to do so had reached stays.  So those count that have been heard of
+    after the idle time's beginning, or else last of all.
+    """
+    newest = reduce(lambda a, b: F.greatest(a, b), arrival)
+    heard = F.least(now - idle_ms, newest - 1)
+    active = F.array_compact(F.array(*[F.when(a > heard, F.struct(t.alias("top"))) for t, a in zip(top, arrival, strict=True)]))
+    held = F.exists(active, lambda p: p["top"].isNull())
+    return F.when(~held, F.array_min(F.transform(active, lambda p: p["top"])))
+
+
+def with_partition_watermark_ms(
+    events: DataFrame, clock: PartitionClock, time_ms: str = "ts_ms", order: str = "seq", partition: str = "partition", arrival_ms: str = "arrival_ms", idle_ms: int = IDLE_AFTER_MS, chunk: int = CHUNK
+) -> DataFrame:
+    """Adds ``watermark_ms`` as it stands after each record, from the clock before the first; null while a partition that is active has brought nothing.
+
+    Each partition's largest time and last arrival run on in two levels, and so
+    does the watermark over what they come to.  What partitions that fell idle
+    since the record before let through counts as well.
+    """
+    known, nothing = range(clock.partitions), F.lit(None).cast("long")
+    began = F.lit(clock.began_ms).cast("long") if clock.began_ms is not None else F.col("_began")
+    rows = events.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    values = {f"_t{p}": F.when(F.col(partition) == p, F.col(time_ms)) for p in known} | {f"_a{p}": F.when(F.col(partition) == p, F.col(arrival_ms)) for p in known}
+    carried = {f"_t{p}": clock.tops.get(p) for p in known} | {f"_a{p}": clock.arrivals.get(p) for p in known}
+    sums = rows.groupBy("_chunk").agg(*[F.max(v).alias(k) for k, v in values.items()], F.min(arrival_ms).alias("_began"))  # one row a chunk
+    earlier = W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy()
+    sums = sums.select("_chunk", F.min("_began").over(whole).alias("_began"), *[F.max(k).over(earlier).alias(f"_before{k}") for k in values])
+    joined = rows.join(sums, "_chunk")
+    own = W.partitionBy("_chunk").orderBy(order)
+    upto, ahead = own.rowsBetween(W.unboundedPreceding, 0), own.rowsBetween(W.unboundedPreceding, -1)
+
+    def state(name: str, frame) -> Column:
+        return F.greatest(F.max(values[name]).over(frame), F.col(f"_before{name}"), F.lit(carried[name]).cast("long") if carried[name] is not None else nothing)
+
+    names = {**{f"{k}{side}": state(k, frame) for k in values for side, frame in (("n", upto), ("p", ahead))}}
+    told = joined.select(*events.columns, "_chunk", began.alias("_began"), *[c.alias(k) for k, c in names.items()])
+    lows = []
+    for side in ("p", "n"):
+        tops = [F.col(f"_t{p}{side}") for p in known]
+        arrivals = [F.coalesce(f"_a{p}{side}", "_began") for p in known]
+        lows.append(_least_active(tops, arrivals, F.col(arrival_ms), idle_ms))
+    told = told.select(*events.columns, F.greatest(*lows).alias("_low"))
+    carry = None if clock.watermark_ms is None else clock.watermark_ms + OUT_OF_ORDER_MS + 1
+    topped = running_max(told, "_low", order, "_max", chunk, carry)
+    return topped.withColumn("watermark_ms", F.col("_max") - OUT_OF_ORDER_MS - 1).drop("_low", "_max")
+
+
+def advanced(clock: PartitionClock, marked: DataFrame, time_ms: str = "ts_ms", partition: str = "partition", arrival_ms: str = "arrival_ms") -> PartitionClock:
+    """The clock after the records that ``with_partition_watermark_ms`` marked; one row a partition comes to the driver."""
+    found = marked.groupBy(partition).agg(F.max(time_ms).alias("top"), F.max(arrival_ms).alias("arrival"), F.min(arrival_ms).alias("first"), F.max("watermark_ms").alias("mark")).collect()
+    most = lambda a, b: b if a is None else a if b is None else max(a, b)
+    tops, arrivals, mark, began = dict(clock.tops), dict(clock.arrivals), clock.watermark_ms, clock.began_ms
+    for r in found:
+        p = r[partition]
+        tops[p], arrivals[p], mark = most(tops.get(p), r["top"]), most(arrivals.get(p), r["arrival"]), most(mark, r["mark"])
+    if began is None and found:
+        began = min(r["first"] for r in found)
+    return PartitionClock(max([clock.partitions, *(p + 1 for p in tops)]), tops, arrivals, mark, began)
+
+
 def window_start(time_ms: Column, size: int = WINDOW_MS) -> Column:
     return (F.floor(time_ms / size) * size).cast("long")
 
@@ -43,9 +142,14 @@ def window_start(time_ms: Column, size: int = WINDOW_MS) -> Column:
 def lateness(time_ms: str = "ts_ms") -> Column:
     """Class of each record with a watermark."""
     ts, wm = F.col(time_ms), F.col("watermark_ms")
-    return F.when(wm - ts > LATE_AFTER_MS, "late").when(window_start(ts) + (WINDOW_MS - 1) <= wm, "dropped").otherwise("on_time")
+    return F.when(wm.isNull(), "on_time").when(wm - ts > LATE_AFTER_MS, "late").when(window_start(ts) + (WINDOW_MS - 1) <= wm, "dropped").otherwise("on_time")
 
 
 def classified(events: DataFrame, time_ms: str = "ts_ms", order: str = "seq", carry: int | None = None) -> DataFrame:
     """Adds ``watermark_ms`` and ``lateness``."""
     return with_watermark_ms(events, time_ms, order, carry).withColumn("lateness", lateness(time_ms))
+
+
+def classified_by_partition(events: DataFrame, clock: PartitionClock, time_ms: str = "ts_ms", order: str = "seq", **columns) -> DataFrame:
+    """``classified`` by the watermark of the partitions."""
+    return with_partition_watermark_ms(events, clock, time_ms, order, **columns).withColumn("lateness", lateness(time_ms))

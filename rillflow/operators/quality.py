@@ -18,8 +18,9 @@ def ids(rows: DataFrame, id_: str = "event_id") -> DataFrame:
 
 def text_ids(records: DataFrame, raw: str = "raw", id_: str = "event_id") -> DataFrame:
     """The distinct ids of JSON records whose id is text; numbers, nulls, other types and what is no object don't count."""
-    value = F.try_variant_get(F.try_parse_json(raw), f"$.{id_}", "variant")
-    return ids(records.where(F.schema_of_variant(value) == "STRING").select(value.try_cast("string").alias("event_id")))
+    value = F.try_variant_get(F.try_parse_json(raw), f"$.{id_}", "variant").alias("value")
+    parsed = records.select(F.inline(F.array(F.struct(value))))  # a generator's column is computed once
+    return ids(parsed.where(F.schema_of_variant("value") == "STRING").select(F.col("value").try_cast("string").alias("event_id")))
 
 
 def listing(rows: DataFrame, id_: str = "event_id") -> DataFrame:

@@ -21,3 +21,18 @@ def merge(partials: DataFrame, by: str = "user_id", size: int = WINDOW_MS) -> Da
 def finish(sums: DataFrame, size: int) -> DataFrame:
     mean = F.col("total_volume").cast("double") / F.col("transaction_count")
     return sums.withColumn("window_end_ms", F.col("window_start_ms") + size).withColumn("average_transaction_value", mean)
+
+
+def parted(sums: DataFrame, watermark_ms: int | None, size: int = WINDOW_MS) -> tuple[DataFrame, DataFrame]:
+    """Windows that the watermark has passed, and those that are open."""
+    if watermark_ms is None:
+        return sums.limit(0), sums
+    over = F.col("window_start_ms") + (size - 1) <= watermark_ms
+    return sums.where(over), sums.where(~over)
+
+
+def closed(classified: DataFrame, by: str = "user_id", time_ms: str = "ts_ms", size: int = WINDOW_MS) -> DataFrame:
+    """Windows of events on time that are over once all records have come: each as it is emitted, once, at its close."""
+    mark = classified.agg(F.max("watermark_ms").alias("mark"))  # one row
+    sums = aggregates(classified.where("lateness = 'on_time'"), by, time_ms, size)
+    return sums.join(F.broadcast(mark), F.col("window_start_ms") + (size - 1) <= F.col("mark")).drop("mark")

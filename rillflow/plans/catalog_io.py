@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -95,7 +96,7 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # generator
 
-_PROFILE = Profile(records=4000, users=50, merchants=20, rate_per_second=200.0, duplicate=0.1, late=0.1, out_of_order=0.1, malformed=0.2, workers=2, seed=7)
+_PROFILE = Profile(records=0, users=50, merchants=20, rate_per_second=200.0, duplicate=0.1, late=0.1, out_of_order=0.3, malformed=0.2, workers=2, seed=7)
 _U = "((CAST(concat('0x', substr(md5(concat('7:{0}:', CAST(n AS VARCHAR))), 1, 10)) AS BIGINT) + CAST(0.5 AS DOUBLE)) / 1099511627776)"
 _u = _U.format
 
@@ -107,52 +108,59 @@ def _one_of(values: tuple[str, ...], salt: str) -> str:
 def _generated(semantic: bool) -> str:
     bad, wrong = f"({_u('bad?')} < 0.2)", _u("wrong")
     which = f"CASE WHEN {bad} AND {not semantic} THEN CASE WHEN {wrong} < 0.5 THEN CAST(floor({wrong} * 2 * 4) AS INTEGER) ELSE 4 END END"
-    third = f"CASE WHEN {bad} AND {semantic} THEN CASE WHEN {wrong} < CAST(1 AS DOUBLE) / 3 THEN 0 WHEN {wrong} < CAST(2 AS DOUBLE) / 3 THEN 1 ELSE 2 END END"
+    third = f"CASE WHEN {bad} AND {semantic} THEN CAST(floor({wrong} * 3) AS INTEGER) END"
     at = "(1704067200000 + CAST(floor(n * CAST(2.5 AS DOUBLE)) AS BIGINT))"
     back = f"CASE WHEN {_u('late?')} < 0.1 THEN CAST(floor((1 + {_u('lag')} * 119) * 1000) AS BIGINT) ELSE 0 END"
     normal = f"sqrt(-2 * ln({_u('a1')})) * cos(2 * pi() * {_u('a2')})"
     iso = "concat(strftime(make_timestamp(({0}) * 1000), '%Y-%m-%dT%H:%M:%S.'), lpad(CAST(({0}) % 1000 AS VARCHAR), 3, '0'), 'Z')"
-    return f"""p AS (SELECT range AS n FROM range(4000)), sent AS (
-      SELECT n, n * 2 + CASE WHEN n % 2 = 0 AND {_u('swap')} < 0.1 AND n + 1 < 4000 THEN 3 ELSE 0 END AS seq FROM p
-      UNION ALL SELECT n - 1 - CAST(floor({_u('gap')} * least(n, 10000)) AS BIGINT), n * 2 + 1 FROM p WHERE n > 0 AND {_u('again?')} < 0.1),
-      judged AS (SELECT *, {which} AS lacks, {third} AS odd, CAST(least(greatest(round(exp(10.5 + 0.9 * {normal})), 100), 5000000) AS BIGINT) AS amount, md5(concat('7:', CAST(n AS VARCHAR))) AS h FROM sent)
-      SELECT seq, concat_ws('-', h[1:8], h[9:12], concat('4', h[14:16]), concat('a', h[18:20]), h[21:32]) AS event_id, concat('usr_', lpad(CAST(CAST(floor({_u('user')} * 50) AS BIGINT) AS VARCHAR), 5, '0')) AS user_id,
-      CASE WHEN lacks IS DISTINCT FROM 0 THEN concat('merchant_', lpad(CAST(CAST(floor({_u('merchant')} * 20) AS BIGINT) AS VARCHAR), 4, '0')) END AS merchant_id,
+    return f"""p AS (SELECT event_id AS n, n > 0 AND {_u('swap')} < 0.3 AS swaps, (SELECT count(*) FROM events) AS records FROM events),
+      steps AS (SELECT n, CASE WHEN swaps THEN n ELSE coalesce(min(CASE WHEN n > 0 AND NOT swaps THEN n END) OVER (ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), records) END AS step FROM p),
+      again AS (SELECT n * 2 + 1 AS seq, n - CAST(floor({_u('gap')} * least(n, 10000)) AS BIGINT) AS step FROM p WHERE n > 0 AND {_u('again?')} < 0.1),
+      sent AS (SELECT n, step * 2 AS seq FROM steps UNION ALL SELECT n, seq FROM again JOIN steps USING (step)),
+      judged AS (SELECT *, {which} AS lacks, {third} AS odd, CAST(floor(least(greatest(exp(10.5 + 0.9 * {normal}), 100), 5000000)) AS BIGINT) AS amount, md5(concat('7:', CAST(n AS VARCHAR))) AS h FROM sent)
+      SELECT seq, concat_ws('-', h[1:8], h[9:12], concat('4', h[14:16]), concat('a', h[18:20]), h[21:32]) AS event_id, concat('usr_', lpad(CAST(CAST(floor({_u('user')} * 50) AS BIGINT) + 1 AS VARCHAR), 5, '0')) AS user_id,
+      CASE WHEN lacks IS DISTINCT FROM 0 THEN concat('merchant_', lpad(CAST(CAST(floor({_u('merchant')} * 20) AS BIGINT) + 1 AS VARCHAR), 4, '0')) END AS merchant_id,
       CASE WHEN lacks IS DISTINCT FROM 1 THEN CASE WHEN odd = 0 THEN -amount ELSE amount END END AS amount, coalesce(lacks = 4, false) AS amount_is_text,
       CASE WHEN lacks IS DISTINCT FROM 2 THEN CASE WHEN odd = 1 THEN {_one_of(BAD_CURRENCIES, 'c')} ELSE {_one_of(CURRENCIES, 'c')} END END AS currency,
       CASE WHEN odd = 2 THEN {_one_of(BAD_TYPES, 't')} ELSE {_one_of(TYPES, 't')} END AS transaction_type,
       CASE WHEN lacks IS DISTINCT FROM 3 THEN {iso.format(f'{at} - {back}')} END AS event_time, {iso.format(at)} AS ingest_time FROM judged"""
 
 
-def _records(spark: SparkSession, kind: str) -> DataFrame:
+def _numbers(spark: SparkSession, sf_dir: str, **changed) -> tuple[Profile, DataFrame]:
+    """A profile of one record for each event, whose id is the record's number."""
+    events = table(spark, sf_dir)
+    return replace(_PROFILE, records=events.count(), **changed), events.select(F.col("event_id").alias("n"))
+
+
+def _records(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     get = lambda f: F.get_json_object("raw", f"$.{f}")
-    raw = generate(spark, Profile(**{**_PROFILE.__dict__, "malformed_kind": kind}))
+    raw = generate(spark, *_numbers(spark, sf_dir, malformed_kind=kind))
     return raw.select("seq", *[get(f).alias(f) for f in ("event_id", "user_id", "merchant_id")], get("amount").cast("long").alias("amount"), F.col("raw").contains('"amount":"').alias("amount_is_text"), *[get(f).alias(f) for f in ("currency", "transaction_type", "event_time", "ingest_time")])
 
 
 @query("WITH " + _generated(False))
 def generated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users, times, amounts, late and repeated records, swaps, fields that lack or have the wrong type."""
-    return _records(spark, "structural")
+    return _records(spark, sf_dir, "structural")
 
 
 @query("WITH " + _generated(True))
 def generated_semantic_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _records(spark, "semantic")
+    return _records(spark, sf_dir, "semantic")
 
 
 @query(f"""WITH e AS (SELECT i, sum(1 / pow(i, CAST(1.2 AS DOUBLE))) OVER (ORDER BY i) AS s FROM (SELECT range + 1 AS i FROM range(50))), c AS (SELECT i, s / max(s) OVER () AS high FROM e),
-  d AS (SELECT {_u('user')} AS u FROM (SELECT range AS n FROM range(4000))) SELECT concat('usr_', lpad(CAST(usr AS VARCHAR), 5, '0')) AS user_id, count(*) AS n FROM (SELECT (SELECT count(*) FROM c WHERE high < u) AS usr FROM d) GROUP BY 1""")
+  d AS (SELECT {_u('user')} AS u FROM (SELECT event_id AS n FROM events)) SELECT concat('usr_', lpad(CAST(usr + 1 AS VARCHAR), 5, '0')) AS user_id, count(*) AS n FROM (SELECT (SELECT count(*) FROM c WHERE high < u) AS usr FROM d) GROUP BY 1""")
 def generated_zipf_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = generate(spark, Profile(records=4000, users=50, zipf=True, seed=7))
+    raw = generate(spark, *_numbers(spark, sf_dir, zipf=True, duplicate=0.0, malformed=0.0))
     return raw.select(F.get_json_object("raw", "$.user_id").alias("user_id")).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH p AS (SELECT range AS n FROM range(4000)), w AS (SELECT n, CASE WHEN {_u('burst?')} < 0.5 THEN CAST(0.25 AS DOUBLE) ELSE 1 END AS wait FROM p),
-  t AS (SELECT n, coalesce(sum(wait) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM w)
-  SELECT 1704067200000 + CAST(floor(turn * 10) AS BIGINT) AS ingest_ms, count(*) AS n FROM t GROUP BY 1""")
+@query(f"""WITH w AS (SELECT event_id AS n, CASE WHEN {_u('burst?').replace('n AS VARCHAR', 'event_id AS VARCHAR')} < 0.5 THEN 1 ELSE 0 END AS burst FROM events),
+  t AS (SELECT n, coalesce(sum(burst) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bursts FROM w)
+  SELECT 1704067200000 + CAST(floor((n - bursts + bursts / CAST(4 AS DOUBLE)) * 2.5) AS BIGINT) AS ingest_ms, count(*) AS n FROM t GROUP BY 1""")
 def generated_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = generate(spark, Profile(records=4000, burst=0.5, burst_multiplier=4.0, seed=7))
+    raw = generate(spark, *_numbers(spark, sf_dir, burst=0.5, burst_multiplier=4.0, duplicate=0.0, malformed=0.0))
     return raw.select(epoch_ms(F.get_json_object("raw", "$.ingest_time")).alias("ingest_ms")).groupBy("ingest_ms").agg(F.count("*").alias("n"))
 
 
@@ -281,16 +289,21 @@ def next_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CASES = (
-    ("/health", 200), ("/nothing", 404), ("/users/7/transactions", 200), ("/users/7/transactions?limit=0", 422), ("/users/7/transactions?limit=201", 422), ("/users/7/transactions?limit=many", 400),
-    ("/users/7/transactions?cursor=a$", 400), ("/users/7/transactions?cursor=", 200), ("/users/7/transactions?start_time=2024-01-01T00:00:00", 400), ("/users/7/transactions?end_time=then", 400),
-    ("/users/7/aggregates?cursor=bm90aGluZw", 400), ("/users/7/anomalies?anomaly_type=ANOMALY_OTHER", 400), ("/anomalies?anomaly_type=ANOMALY_AMOUNT", 200), ("/anomalies?cursor=MjAyNC0wMS0wMVQwMDowMDowMFoseA", 400),
+    "/health", "/nothing", "/users/7/transactions", "/users/7/transactions?limit=0", "/users/7/transactions?limit=201", "/users/7/transactions?limit=many", "/users/7/transactions?cursor=a$", "/users/7/transactions?cursor=", "/users/7/transactions?start_time=2024-01-01T00:00:00", "/users/7/transactions?end_time=then", "/users/7/aggregates?cursor=bm90aGluZw", "/users/7/anomalies?anomaly_type=ANOMALY_OTHER", "/anomalies?anomaly_type=ANOMALY_AMOUNT", "/anomalies?cursor=MjAyNC0wMS0wMVQwMDowMDowMFoseA",
 )
+# rules on the request itself: its path, then each parameter, a limit and times that don't parse first
+_STATUS = """WITH c(path) AS (VALUES {cases}), p AS (SELECT path, split_part(path, '?', 1) AS place, regexp_extract(path, '[?&]limit=([^&]*)', 1) AS lim, regexp_extract(path, '[?&]cursor=([^&]*)', 1) AS cur, regexp_extract(path, '[?&](?:start|end)_time=([^&]*)', 1) AS at,
+  regexp_extract(path, '[?&]anomaly_type=([^&]*)', 1) AS kind, path LIKE '%limit=%' AS limited FROM c)
+  SELECT path, CAST(CASE WHEN place = '/health' THEN 200 WHEN NOT regexp_full_match(place, '/anomalies|/users/[^/]+/(transactions|aggregates|anomalies)') THEN 404
+  WHEN limited AND coalesce(TRY_CAST(lim AS INTEGER) NOT BETWEEN 1 AND 200, true) THEN 422 WHEN at <> '' AND TRY_CAST(at AS TIMESTAMP) IS NULL THEN 422 WHEN at <> '' AND NOT regexp_matches(at, '(Z|[+-][0-9:]+)$') THEN 400
+  WHEN cur <> '' AND (NOT regexp_full_match(cur, '[A-Za-z0-9_-]+') OR NOT regexp_full_match(decode(from_base64(rpad(cur, CAST(ceil(length(cur) / 4.0) * 4 AS INTEGER), '='))), CASE WHEN place LIKE '%anomalies' THEN '[^,]+,[0-9]+' WHEN place LIKE '%aggregates' THEN '[0-9T:.Z+-]+' ELSE '[^,]+,[0-9a-f-]{{36}}' END)) THEN 400
+  WHEN kind <> '' AND kind NOT IN ('ANOMALY_VELOCITY', 'ANOMALY_AMOUNT') THEN 400 ELSE 200 END AS INTEGER) AS status FROM p"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{path}', {status})" for path, status in _CASES) + ") t(path, status)")
+@query(_STATUS.format(cases=", ".join(f"('{path}')" for path in _CASES)))
 def api_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     reader = _reader(spark, sf_dir)
-    return spark.createDataFrame([(path, respond(reader, path)[0]) for path, _ in _CASES], "path string, status int")
+    return spark.createDataFrame([(path, respond(reader, path)[0]) for path in _CASES], "path string, status int")
 
 
 @query(f"WITH {_TX}, {_STORED} SELECT event_id, user_id, merchant_id, amount, transaction_type, true AS same FROM stored WHERE user_id = 7 ORDER BY ts_ms DESC, event_id DESC LIMIT 50")

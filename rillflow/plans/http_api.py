@@ -2,8 +2,9 @@
 
 /health, /users/{id}/transactions, /users/{id}/aggregates, /users/{id}/anomalies
 and /anomalies, with limit, cursor, start_time, end_time and anomaly_type as
-query parameters.  A wrong parameter is a 400 (422 for a limit out of range),
-an unknown path a 404; 503 says that the engine or all its places are taken.
+query parameters.  A limit that is no number or out of range, or a time that
+doesn't parse, is a 422, any other wrong parameter a 400, an unknown path a
+404; 503 says that the engine or all its places are taken.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ USER = re.compile(r"/users/([^/]+)/(transactions|aggregates|anomalies)\Z")
 TIMES = ("start_time", "end_time")
 
 
+class Unparseable(BadRequest):
+    """A parameter that isn't of its type."""
+
+
 def _given(query: str, allowed: tuple[str, ...]) -> dict:
     given = {k: v[-1] for k, v in parse_qs(query, keep_blank_values=True).items() if k in allowed}
     for name in TIMES:
@@ -28,11 +33,11 @@ def _given(query: str, allowed: tuple[str, ...]) -> dict:
             try:
                 given[name] = datetime.fromisoformat(given[name].replace("Z", "+00:00").replace(" ", "+"))
             except ValueError as e:
-                raise BadRequest(f"{name} is no ISO time") from e
+                raise Unparseable(f"{name} is no ISO time") from e
     try:
         given["limit"] = int(given.get("limit", USUAL))
     except ValueError as e:
-        raise BadRequest("limit is a number") from e
+        raise Unparseable("limit is a number") from e
     return given
 
 
@@ -55,6 +60,8 @@ def respond(reader: AnalyticsReader, target: str) -> tuple[int, dict]:
             return 422, {"detail": f"limit is {LEAST} to {MOST}"}
         page: Page = fetch(**given)
         return 200, {"items": [r.asDict() for r in page.items], "next_cursor": page.next_cursor}
+    except Unparseable as e:
+        return 422, {"detail": str(e)}
     except BadRequest as e:
         return 400, {"detail": str(e)}
     except Exception as e:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from ..functions import cursors
 from ..functions.expressions import keyset_after
@@ -51,19 +51,44 @@ def _decoded(cursor: str | None, *kinds: str) -> tuple | None:
         raise BadRequest(str(e)) from e
 
 
+def _earlier(end: datetime | None, at: tuple | None) -> datetime | None:
+    """The latest time that a page can have."""
+    return end if at is None else at[0] if end is None else min(end, at[0])
+
+
+Rows = Callable[[object, datetime | None, datetime | None], DataFrame]
+
+
+def _live(table: DataFrame | Rows) -> Rows:
+    return (lambda user, start, end: table) if isinstance(table, DataFrame) else table
+
+
 class AnalyticsReader:
-    """Lookups over three tables (DataFrames with the columns of ``schema``).
+    """Lookups over three tables with the columns of ``schema``.
 
-    ``events_where`` gives the events that a condition holds for, where the
-    store has a better way than to filter them all.
+    Each is a DataFrame, or a function of a user, an earliest and a latest
+    time (None: any) that gives, as the table stands when it is asked, all rows
+    of those and perhaps others.
     """
 
-    def __init__(self, events: DataFrame, aggregates: DataFrame, anomalies: DataFrame, events_where: Callable[[Column], DataFrame] | None = None):
-        self.events, self.aggregates, self.anomalies = events, aggregates, anomalies
-        self.events_where = events_where or events.where
+    def __init__(self, events: DataFrame | Rows, aggregates: DataFrame | Rows, anomalies: DataFrame | Rows, spark: SparkSession | None = None):
+        self._events, self._aggregates, self._anomalies = _live(events), _live(aggregates), _live(anomalies)
+        self.spark = spark or events.sparkSession
+
+    @property
+    def events(self) -> DataFrame:
+        return self._events(None, None, None)
+
+    @property
+    def aggregates(self) -> DataFrame:
+        return self._aggregates(None, None, None)
+
+    @property
+    def anomalies(self) -> DataFrame:
+        return self._anomalies(None, None, None)
 
     def health(self) -> bool:
-        return self.events.sparkSession.sql("SELECT 1 AS ok").first()["ok"] == 1
+        return self.spark.sql("SELECT 1 AS ok").first()["ok"] == 1
 
     @staticmethod
     def _between(rows: DataFrame, column: str, start: datetime | None, end: datetime | None) -> DataFrame:
@@ -74,26 +99,33 @@ class AnalyticsReader:
         return rows
 
     def user_transactions_query(self, user_id, limit: int = USUAL, cursor: str | None = None, start_time: datetime | None = None, end_time: datetime | None = None) -> DataFrame:
-        rows = self._between(self.events_where(F.col("user_id") == user_id), "event_time", start_time, end_time)
-        if (at := _decoded(cursor, "time", "uuid")) is not None:
+        at = _decoded(cursor, "time", "uuid")
+        _zoned(start_time, "start_time"), _zoned(end_time, "end_time")
+        rows = self._events(user_id, start_time, _earlier(end_time, at)).where(F.col("user_id") == user_id)
+        rows = self._between(rows, "event_time", start_time, end_time)
+        if at is not None:
             rows = rows.where(keyset_after(F.col("event_time"), F.col("event_id"), at[0], str(at[1])))
         return rows.orderBy(F.desc("event_time"), F.desc("event_id")).limit(_limit(limit))
 
     def user_aggregates_query(self, user_id, limit: int = USUAL, cursor: str | None = None, start_time: datetime | None = None, end_time: datetime | None = None) -> DataFrame:
-        rows = self._between(self.aggregates.where(F.col("user_id") == user_id), "window_start", start_time, end_time)
-        if (at := _decoded(cursor, "time")) is not None:
+        at = _decoded(cursor, "time")
+        _zoned(start_time, "start_time"), _zoned(end_time, "end_time")
+        rows = self._aggregates(user_id, start_time, _earlier(end_time, at)).where(F.col("user_id") == user_id)
+        rows = self._between(rows, "window_start", start_time, end_time)
+        if at is not None:
             rows = rows.where(F.col("window_start") < F.lit(at[0]))
         return rows.orderBy(F.desc("window_start")).limit(_limit(limit))
 
     def anomalies_query(self, user_id=None, limit: int = USUAL, cursor: str | None = None, anomaly_type: str | None = None) -> DataFrame:
         if anomaly_type is not None and anomaly_type not in ANOMALY_TYPES:
             raise BadRequest(f"anomaly_type is one of {', '.join(ANOMALY_TYPES)}")
-        rows = self.anomalies
+        at = _decoded(cursor, "time", "int")
+        rows = self._anomalies(user_id, None, _earlier(None, at))
         if user_id is not None:
             rows = rows.where(F.col("user_id") == user_id)
         if anomaly_type is not None:
             rows = rows.where(F.col("anomaly_type") == anomaly_type)
-        if (at := _decoded(cursor, "time", "int")) is not None:
+        if at is not None:
             rows = rows.where(keyset_after(F.col("detected_at"), F.col("anomaly_id"), *at))
         return rows.orderBy(F.desc("detected_at"), F.desc("anomaly_id")).limit(_limit(limit))
 

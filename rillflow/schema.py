@@ -20,6 +20,7 @@ REQUIRED_FIELDS = {
 # fixed values: event-time and anomaly parameters
 OUT_OF_ORDER_MS = 50
 LATE_AFTER_MS = 45_000
+IDLE_AFTER_MS = 30_000
 WINDOW_MS = 10_000
 VELOCITY_WINDOW_MS = 60_000
 VELOCITY_THRESHOLD = 10

@@ -19,6 +19,9 @@ class Settings:
     brokers: str = ""
     checkpoint: str = ""  # by default beside the tables
     every_s: float = 0.0  # seconds between micro-batches; 0 takes what is there and ends
+    most_records: int = 500_000  # of Kafka that a micro-batch takes
+    most_files: int = 100
+    merge_s: float = 10.0  # seconds between looks for segments to merge
     remember: str = DEDUP_TTL
     strict: bool = True
     restarts: int = 10
@@ -35,7 +38,7 @@ class Settings:
             raise ValueError("kind is text or kafka")
         if self.kind == "kafka" and not self.brokers:
             raise ValueError("kafka needs brokers")
-        if self.every_s < 0 or self.restarts < 0 or self.pause_s < 0 or self.wait_s < 0 or self.places < 1 or not 0 <= self.port < 65_536:
+        if self.every_s < 0 or self.restarts < 0 or self.pause_s < 0 or self.wait_s < 0 or self.merge_s <= 0 or min(self.places, self.most_records, self.most_files) < 1 or not 0 <= self.port < 65_536:
             raise ValueError("a number is out of range")
 
     @classmethod

@@ -37,6 +37,26 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _at(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Written aside and renamed, so a reader sees a whole text or none."""
+    folder, _, _ = path.rpartition("/")
+    fs, aside = _at(spark, f"{folder}/_{uuid.uuid4().hex}")
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    remove(spark, path)
+    move(spark, str(aside), path)
+
+
 class Ledger:
     """One small text a batch, of which the last few are kept: what a job has to know of the batches before."""
 
@@ -51,21 +71,9 @@ class Ledger:
         done = [b for b in self.batches() if below is None or b < below]
         if not done:
             return None
-        fs, p = _at(self.spark, f"{self.path}/v={done[-1]}")
-        stream = fs.open(p)
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
+        return read_text(self.spark, f"{self.path}/v={done[-1]}")
 
     def put(self, batch: int, text: str) -> None:
-        """Written aside and renamed, so a reader sees a whole text or none."""
-        name = f"{self.path}/v={batch}"
-        fs, aside = _at(self.spark, f"{self.path}/_{uuid.uuid4().hex}")
-        out = fs.create(aside, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        remove(self.spark, name)
-        move(self.spark, str(aside), name)
+        write_text(self.spark, f"{self.path}/v={batch}", text)
         for old in [b for b in self.batches() if b <= batch][: -self.keep]:
             remove(self.spark, f"{self.path}/v={old}")

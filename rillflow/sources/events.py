@@ -43,9 +43,14 @@ def stressed(transactions_: DataFrame, disorder: bool = True) -> DataFrame:
     return transactions_.withColumn("user_id", F.col("user_id") % 10).withColumn("ts_ms", F.lit(1_704_067_200_000) + F.col("event_id") * 600 - late)
 
 
-def raw_stream(spark: SparkSession, location: str, kind: str = "text", **options: str) -> DataFrame:
-    """A stream of ``raw`` records: Kafka (earliest offsets, values as text, with partition and offset) or files of a line each."""
+def raw_stream(spark: SparkSession, location: str, kind: str = "text", most: int | None = None, **options: str) -> DataFrame:
+    """A stream of ``raw`` records: Kafka (earliest offsets, values as text, with partition, offset and timestamp) or files of a line each.
+
+    A micro-batch takes at most ``most`` records of Kafka, or files.
+    """
     reader = spark.readStream.format(kind)
+    if most:
+        reader = reader.option("maxOffsetsPerTrigger" if kind == "kafka" else "maxFilesPerTrigger", most)
     if kind == "kafka":
         reader = reader.option("subscribe", location).option("startingOffsets", "earliest").options(**options)
         return kafka_records(reader.load())
@@ -53,8 +58,8 @@ def raw_stream(spark: SparkSession, location: str, kind: str = "text", **options
 
 
 def kafka_records(rows: DataFrame) -> DataFrame:
-    """raw, partition, offset of Kafka's rows; a null value is an empty text, which fails validation."""
-    return rows.select(F.coalesce(F.col("value").cast("string"), F.lit("")).alias("raw"), "partition", "offset")
+    """raw, partition, offset, and timestamp if there is one, of Kafka's rows; a null value is an empty text, which fails validation."""
+    return rows.select(F.coalesce(F.col("value").cast("string"), F.lit("")).alias("raw"), "partition", "offset", *[c for c in ("timestamp",) if c in rows.columns])
 
 
 def jdbc_table(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:

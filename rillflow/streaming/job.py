@@ -13,46 +13,59 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import UTC, datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import dedup, eventtime, validate, windows
-from ..plans.reader import AnalyticsReader
-from ..schema import ANOMALY_TYPES, DEDUP_TTL, REQUIRED_FIELDS
+from ..plans.reader import AnalyticsReader, Rows
+from ..schema import ANOMALY_TYPES, DEDUP_TTL, OUT_OF_ORDER_MS, REQUIRED_FIELDS
 from ..sinks.files import Ledger, children, exists, remove
 from ..sinks.tables import KeyedTable, TopicWriter, append_batch, append_once, inspect, publish, read_appended, require, with_ids
 from .stateful import anomalies
 
 ACCEPTED = (
     "event_id string, user_id string, merchant_id string, amount bigint, currency string, transaction_type string, event_time timestamp, ingest_time timestamp, "
-    "schema_version int, seq bigint, received_at timestamp, ts_ms bigint, watermark_ms bigint, lateness string"
+    "schema_version int, seq bigint, received_at timestamp, ts_ms bigint, watermark_ms bigint, lateness string, partition int, arrival_ms bigint"
 )
+PASSING = ("ts_ms", "watermark_ms", "lateness", "seq", "partition", "arrival_ms")  # of an accepted event, no columns of the table
 FOUND = (
     "anomaly_id bigint, anomaly_type string, event_id string, user_id string, transaction_count bigint, velocity_window_seconds int, velocity_threshold bigint, amount bigint, "
     "rolling_99th_percentile double, history_size int, detected_at timestamp"
 )
+EPOCH = datetime.fromtimestamp(0, UTC)
 BUCKET_S = 60  # seconds of arrival whose ids share a folder
 OUTPUTS = ("dead_letters", "late", "aggregates")
+SUMS = "user_id string, window_start_ms bigint, transaction_count bigint, total_volume bigint"
 
 
 def with_seq(records: DataFrame) -> DataFrame:
     """Adds ``seq``, the order of arrival inside a micro-batch, where it is missing.
 
-    Kafka's records go by offset, then partition, so each partition keeps its
-    order and the numbers stay dense; others by their place in the files.
+    Kafka's records go by the time at which its log took them, then partition
+    and offset, so each partition keeps its order; without those times by
+    offset, then partition; others by their place in the files.
     """
     if "seq" in records.columns:
         return records
     if {"partition", "offset"} <= set(records.columns):
+        if "timestamp" in records.columns:
+            return with_ids(records, "seq", ["timestamp", "partition", "offset"], first=0, parts=records.sparkSession.sparkContext.defaultParallelism)
         partitions = (records.agg(F.max("partition")).first()[0] or 0) + 1
         return records.withColumn("seq", F.col("offset") * partitions + F.col("partition"))
     return records.withColumn("seq", F.monotonically_increasing_id())
 
 
 class StreamJob:
-    """Sinks under ``out``: dead_letters, late and accepted (appended by batch), events and aggregates (upserted by key), anomalies (appended with ids).
+    """Sinks under ``out``: dead_letters, late, accepted and closed (appended by batch), events and aggregates (upserted by key), anomalies (by their ids).
+
+    Aggregates show each window as it stands, closed shows each window once,
+    with its final sums, in the batch after which the watermark has passed its
+    end.  Records with a partition have the watermark of all partitions that
+    are active; others that of one.
 
     Ids are remembered for ``remember`` of wall-clock time, so that a batch
     looks through a bounded stretch of history; an older repeat is still one
@@ -66,8 +79,9 @@ class StreamJob:
             raise ValueError(f"no such output: {', '.join(sorted(unknown))}")
         self.spark, self.out, self.strict, self.topics, self.console = spark, out, strict, topics or {}, console
         self.remember_s = None if remember is None else int(pd.Timedelta(remember).total_seconds())
-        self.events = KeyedTable(spark, f"{out}/events", ["event_id"], keep=["received_at"])
-        self.windows = KeyedTable(spark, f"{out}/aggregates", ["user_id", "window_start_ms"], add=["transaction_count", "total_volume"])
+        self.events = KeyedTable(spark, f"{out}/events", ["event_id"], keep=["received_at"], stable=["user_id", "event_time"])
+        self.windows = KeyedTable(spark, f"{out}/aggregates", ["user_id", "window_start_ms"], add=["transaction_count", "total_volume"], stable=["user_id", "window_start_ms"])
+        self.found = KeyedTable(spark, f"{out}/anomalies", ["anomaly_id"], stable=["user_id", "detected_at"])
         self.ledger, self.anomaly_ledger = Ledger(spark, f"{out}/_progress"), Ledger(spark, f"{out}/_anomaly_progress")
 
     def _seen(self, batch: int, now_s: int) -> DataFrame | None:
@@ -95,32 +109,70 @@ class StreamJob:
             events, dead = validate.split(with_seq(judged))
             append_batch(dead, f"{self.out}/dead_letters", batch)
             before = json.loads(self.ledger.get(below=batch) or "{}")
+            clock = eventtime.PartitionClock.of(before.get("clock"))
             if not exists(self.spark, f"{self.out}/accepted/batch_id={batch}"):
                 seen = self._seen(batch, int(now))
                 fresh = dedup.first_arrivals(events) if seen is None else dedup.new_arrivals(events, seen)
                 fresh = fresh.withColumn("ts_ms", F.unix_millis("event_time")).withColumn("received_at", at)
-                append_once(_typed(eventtime.classified(fresh, carry=before.get("top")), ACCEPTED), f"{self.out}/accepted", batch)
+                append_once(_typed(self._classified(fresh, before.get("top"), clock, judged, int(now * 1000)), ACCEPTED), f"{self.out}/accepted", batch)
             stored = self.spark.read.schema(ACCEPTED).parquet(f"{self.out}/accepted/batch_id={batch}")  # computed once, for all that follows
-            ids = stored.select("event_id", F.unix_seconds("received_at").alias("at_s")).withColumn("minute", F.floor(F.col("at_s") / BUCKET_S)).withColumn("batch_id", F.lit(batch))
+            reached = Observation()
+            ids = stored.observe(reached, F.max("ts_ms").alias("top"), F.max("watermark_ms").alias("mark")).select("event_id", F.unix_seconds("received_at").alias("at_s"))
+            ids = ids.withColumn("minute", F.floor(F.col("at_s") / BUCKET_S)).withColumn("batch_id", F.lit(batch))
             ids.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("minute", "batch_id").parquet(f"{self.out}/seen")
+            top, mark = (_most(before.get(k), reached.get[k]) for k in ("top", "mark"))
             late = stored.where("lateness = 'late'")
             append_batch(late, f"{self.out}/late", batch)
             sums = windows.aggregates(stored.where("lateness = 'on_time'")).select("user_id", "window_start_ms", "transaction_count", "total_volume", at.alias("updated_at"))
             self.windows.upsert(sums, batch)
-            self.events.upsert(require(stored.drop("ts_ms", "watermark_ms", "lateness", "seq"), not_null=["event_id", "user_id", "event_time"]), batch)
-            for name, rows in zip(OUTPUTS, (dead, late.drop("watermark_ms", "lateness"), self._changed(sums)), strict=True):
+            self._close(sums, batch, mark)
+            self.events.upsert(require(stored.drop(*PASSING), not_null=["event_id", "user_id", "event_time"]), batch)
+            for name, rows in zip(OUTPUTS, (dead, late.drop("watermark_ms", "lateness", "partition", "arrival_ms"), self._changed(sums)), strict=True):
                 if name in self.topics:
                     self.topics[name].write(rows, batch)
                 if self.console:
                     inspect(rows, name)
-            top = stored.agg(F.max("ts_ms")).first()[0]
-            self.ledger.put(batch, json.dumps({"top": max((t for t in (before.get("top"), top) if t is not None), default=None)}))
+            if "partition" in records.columns:
+                clock = eventtime.advanced(clock, stored)
+            self.ledger.put(batch, json.dumps({"top": top, "mark": mark, "clock": clock.as_dict()}))
         finally:
             judged.unpersist()
 
+    def _classified(self, fresh: DataFrame, top: int | None, clock: eventtime.PartitionClock, every: DataFrame, now_ms: int) -> DataFrame:
+        """By the watermark of the partitions where records have one; Kafka's time of a record is its arrival, else the batch's."""
+        nothing = F.lit(None)
+        if "partition" not in fresh.columns:
+            return eventtime.classified(fresh, carry=top).withColumns({"partition": nothing.cast("int"), "arrival_ms": nothing.cast("long")})
+        arrival = F.unix_millis("timestamp") if "timestamp" in fresh.columns else F.lit(now_ms).cast("long")
+        known = max(clock.partitions, (every.agg(F.max("partition")).first()[0] or 0) + 1)
+        return eventtime.classified_by_partition(fresh.withColumn("arrival_ms", arrival), replace(clock, partitions=known))
+
+    def _close(self, sums: DataFrame, batch: int, mark: int | None) -> None:
+        """Moves on the windows that are open: those that the watermark has passed are closed, with what all batches brought to them.
+
+        No event on time can come to a window that is closed, so its sums are final.
+        """
+        kept = f"{self.out}/_open"
+        earlier = [int(n[9:]) for n in children(self.spark, kept) if n.startswith("batch_id=") and int(n[9:]) < batch]
+        parts = sums.select("user_id", "window_start_ms", "transaction_count", "total_volume")
+        if earlier:
+            parts = parts.unionByName(self.spark.read.schema(SUMS).parquet(f"{kept}/batch_id={max(earlier)}"))
+        closed, still = windows.parted(windows.merge(parts), mark)
+        append_once(closed.withColumn("closed_at_ms", F.lit(mark).cast("long")), f"{self.out}/closed", batch)
+        append_once(_typed(still, SUMS), kept, batch)
+        for old in sorted(earlier)[:-1]:  # the last is what a repeated batch begins from
+            remove(self.spark, f"{kept}/batch_id={old}")
+
+    def closed(self) -> DataFrame:
+        """Windows that are over, each once."""
+        rows = read_appended(self.spark, f"{self.out}/closed")
+        return self.spark.createDataFrame([], f"{SUMS}, window_end_ms bigint, average_transaction_value double, closed_at_ms bigint") if rows is None else rows.drop("batch_id")
+
     def _changed(self, sums: DataFrame) -> DataFrame:
-        """The windows that a batch touched, as they now stand."""
-        return windows.finish(self.windows.read().join(sums.select("user_id", "window_start_ms"), ["user_id", "window_start_ms"], "left_semi"), windows.WINDOW_MS)
+        """The windows that a batch touched, as they now stand; read from segments that have windows of that time."""
+        first, last = sums.agg(F.min("window_start_ms"), F.max("window_start_ms")).first() if self.console or "aggregates" in self.topics else (None, None)
+        now = self.windows.read(between={"window_start_ms": (first, last)})
+        return windows.finish(now.join(sums.select("user_id", "window_start_ms"), ["user_id", "window_start_ms"], "left_semi"), windows.WINDOW_MS)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """``trigger`` as of DataStreamWriter.trigger, by default all that is there."""
@@ -135,30 +187,47 @@ class StreamJob:
     def record(self, found: DataFrame, batch: int) -> None:
         """One micro-batch of anomalies."""
         first = int(self.anomaly_ledger.get(below=batch) or 1)
-        append_once(found, f"{self.out}/_found", batch)  # numbering reads rows twice, and a stream's state must not be gone through again
-        stored = self.spark.read.schema(found.schema).parquet(f"{self.out}/_found/batch_id={batch}")
-        numbered = with_ids(stored, "anomaly_id", ["event_id", "anomaly_type"], first=first, parts=8).withColumn("detected_at", F.current_timestamp())
-        append_once(_typed(require(numbered, not_null=["event_id", "user_id"], one_of={"anomaly_type": ANOMALY_TYPES}), FOUND), f"{self.out}/anomalies", batch)
-        self.anomaly_ledger.put(batch, str(first + stored.count()))
+        counted, path = Observation(), f"{self.out}/_found"
+        # numbering reads rows twice, and a stream's state must not be gone through again
+        new = append_once(found.withColumn("detected_at", F.current_timestamp()).observe(counted, F.count(F.lit(1)).alias("n")), path, batch)
+        stored = self.spark.read.parquet(f"{path}/batch_id={batch}")
+        n = counted.get["n"] if new else stored.count()
+        numbered = with_ids(stored, "anomaly_id", ["event_id", "anomaly_type"], first=first, parts=8)
+        self.found.upsert(_typed(require(numbered, not_null=["event_id", "user_id"], one_of={"anomaly_type": ANOMALY_TYPES}), FOUND), batch)
+        self.anomaly_ledger.put(batch, str(first + n))
         remove(self.spark, f"{self.out}/_found/batch_id={batch - 1}")
 
-    def aggregates(self) -> DataFrame:
+    def aggregates(self, user: object | None = None, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
         """Windows of all batches, a window's parts added up."""
-        rows = self.windows.read()
+        ms = lambda t: None if t is None else int(t.timestamp() * 1000)
+        rows = self.windows.read(at=user, between={"window_start_ms": (ms(start), None if end is None else ms(end) + 1)})
         if rows is None:
-            rows = self.spark.createDataFrame([], "user_id string, window_start_ms bigint, transaction_count bigint, total_volume bigint, updated_at timestamp")
+            rows = self.spark.createDataFrame([], f"{SUMS}, updated_at timestamp")
         return windows.finish(rows, windows.WINDOW_MS).withColumns({"window_start": F.timestamp_millis("window_start_ms"), "window_end": F.timestamp_millis("window_end_ms")})
 
+    def _timed(self, table: KeyedTable, column: str, empty: DataFrame) -> Rows:
+        """A keyed table as the reader asks for it."""
+        us = lambda t: None if t is None else (t - EPOCH) // timedelta(microseconds=1)
+
+        def rows(user: object | None, start: datetime | None, end: datetime | None) -> DataFrame:
+            found = table.read(at=user, between={column: (us(start), us(end))})
+            return empty if found is None else found
+
+        return rows
+
     def anomalies(self) -> DataFrame:
-        rows = read_appended(self.spark, f"{self.out}/anomalies")
-        return self.spark.createDataFrame([], FOUND) if rows is None else rows.drop("batch_id")
+        rows = self.found.read()
+        return self.spark.createDataFrame([], FOUND) if rows is None else rows
 
     def reader(self) -> AnalyticsReader:
-        """Lookups over the job's tables as they now stand."""
-        events, sums = self.events.read(), self.aggregates().drop("window_start_ms", "window_end_ms")
-        if events is None:
-            return AnalyticsReader(self.spark.createDataFrame([], ACCEPTED).drop("ts_ms", "watermark_ms", "lateness", "seq"), sums, self.anomalies())
-        return AnalyticsReader(events, sums, self.anomalies(), self.events.read)
+        """Lookups over the job's tables as they stand at each request."""
+        events = self._timed(self.events, "event_time", self.spark.createDataFrame([], ACCEPTED).drop(*PASSING))
+        sums = lambda user, start, end: self.aggregates(user, start, end).drop("window_start_ms", "window_end_ms")
+        return AnalyticsReader(events, sums, self._timed(self.found, "detected_at", self.spark.createDataFrame([], FOUND)), self.spark)
+
+    def tables(self) -> list[KeyedTable]:
+        """Those whose segments are to be merged beside the batches."""
+        return [self.events, self.windows, self.found]
 
     def publish(self, database: str = "analytics") -> None:
         """Snapshots of the tables in the catalogue's tables of ``bootstrap``."""
@@ -167,15 +236,31 @@ class StreamJob:
             publish(rows, name, database)
 
 
+def _most(a: int | None, b: int | None) -> int | None:
+    return b if a is None else a if b is None else max(a, b)
+
+
 def _typed(rows: DataFrame, ddl: str) -> DataFrame:
     return rows.select(*[F.col(name).cast(kind).alias(name) for name, kind in (c.rsplit(" ", 1) for c in ddl.split(", "))])
 
 
+def window_finals(stream: DataFrame, size: str = "10 seconds", delay: str = f"{OUT_OF_ORDER_MS} milliseconds") -> DataFrame:
+    """Final form: a window is emitted once, when the watermark has passed its end, in append mode."""
+    window = F.window("event_time", size)
+    sums = stream.withWatermark("event_time", delay).groupBy("user_id", window).agg(F.count("*").alias("transaction_count"), F.sum("amount").alias("total_volume"))
+    return _shown(sums)
+
+
+def _shown(sums: DataFrame) -> DataFrame:
+    mean = (F.col("total_volume").cast("double") / F.col("transaction_count")).alias("average_transaction_value")
+    return sums.select("user_id", F.unix_millis("window.start").alias("window_start_ms"), F.unix_millis("window.end").alias("window_end_ms"), "transaction_count", "total_volume", mean)
+
+
 def window_updates(stream: DataFrame, size: str = "10 seconds", delay: str = "45 seconds") -> DataFrame:
     """Revising form: each micro-batch emits the windows it changed, up to ``delay`` behind."""
     window = F.window("event_time", size)
     sums = stream.withWatermark("event_time", delay).groupBy("user_id", window).agg(F.count("*").alias("transaction_count"), F.sum("amount").alias("total_volume"))
-    return sums.select("user_id", F.unix_millis("window.start").alias("window_start_ms"), F.unix_millis("window.end").alias("window_end_ms"), "transaction_count", "total_volume", (F.col("total_volume").cast("double") / F.col("transaction_count")).alias("average_transaction_value"))
+    return _shown(sums)
 
 
 def supervised(begin: Callable[[], StreamingQuery], attempts: int = 10, pause_s: float = 5.0) -> int:

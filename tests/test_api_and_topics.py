@@ -27,7 +27,7 @@ def reader(spark):
 
 @pytest.mark.parametrize("path, status", [
     ("/health", 200), ("/nothing", 404), ("/users/u%201/transactions?limit=3", 200), ("/users/u%201/aggregates?start_time=2023-11-14T22:13:21Z", 200), ("/users/u%201/anomalies?anomaly_type=ANOMALY_AMOUNT", 200),
-    ("/anomalies?limit=0", 422), ("/anomalies?limit=x", 400), ("/anomalies?cursor=a$", 400), ("/anomalies?anomaly_type=X", 400), ("/users/u/transactions?start_time=2024-01-01T00:00:00", 400), ("/users/u/transactions?end_time=x", 400),
+    ("/anomalies?limit=0", 422), ("/anomalies?limit=x", 422), ("/anomalies?cursor=a$", 400), ("/anomalies?anomaly_type=X", 400), ("/users/u/transactions?start_time=2024-01-01T00:00:00", 400), ("/users/u/transactions?end_time=x", 422),
 ])
 def test_status(reader, path, status):
     assert respond(reader, path)[0] == status

@@ -1,3 +1,4 @@
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -50,3 +51,71 @@ def test_no_single_partition_window_holds_all_rows(spark):
     plan = eventtime.classified(stressed(transactions(spark, "/root/testdata/sf0.001")))._jdf.queryExecution().executedPlan().toString()
     scan = plan[plan.index("SinglePartition") :]
     assert "HashAggregate" in scan[:2000]  # only the chunks' maxima meet in one task
+
+
+def clocked(rows, partitions, idle, start=None):
+    """What a sequential engine does: partitions fall idle as time passes, the least of the active ones counts, and it never goes back."""
+    tops, last, mark, found = dict.fromkeys(range(partitions)), {}, None, []
+    for _, p, ts, now in rows:
+        for q in range(partitions):
+            last.setdefault(q, now if start is None else start)
+        moments = sorted({t + idle for t in last.values() if t + idle <= now})
+        for moment in [*moments, now]:
+            active = [q for q in tops if moment - last[q] < idle]
+            if active and all(tops[q] is not None for q in active):
+                mark = max(min(tops[q] for q in active), mark if mark is not None else -(10**18))
+        tops[p], last[p] = ts if tops[p] is None else max(tops[p], ts), now
+        active = [q for q in tops if now - last[q] < idle]
+        if all(tops[q] is not None for q in active):
+            low = min(tops[q] for q in active)
+            mark = low if mark is None else max(mark, low)
+        found.append(None if mark is None else mark - 51)
+    return found
+
+
+CLOCKED = "seq long, partition int, ts_ms long, arrival_ms long"
+
+
+def some_partitions(n, seed, partitions=4):
+    rng, now, rows = random.Random(seed), 0, []
+    for k in range(n):
+        now += rng.choice([0, 1, 5, 20, 200]) if rng.random() < 0.97 else 4000
+        live = [p for p in range(partitions) if not (p == 1 and n // 4 < k < n // 2) and not (p == 3 and k < n // 2)]
+        p = rng.choice(live)
+        rows.append((k, p, now * 10 - 500 * (p == 2) - rng.randrange(300), now))
+    return rows
+
+
+def test_watermark_of_partitions_that_lag_and_fall_silent(spark):
+    for seed in (1, 2, 3):
+        rows = some_partitions(400, seed)
+        for idle in (100, 1500):
+            marked = eventtime.with_partition_watermark_ms(spark.createDataFrame(rows, CLOCKED), eventtime.PartitionClock(4), idle_ms=idle, chunk=23)
+            assert [r["watermark_ms"] for r in marked.orderBy("seq").collect()] == clocked(rows, 4, idle)
+
+
+def test_the_clock_is_carried_from_batch_to_batch(spark):
+    rows = some_partitions(300, 5)
+    clock, got = eventtime.PartitionClock(4), []
+    for k in range(0, 300, 60):
+        part = [(n - k, *r) for n, *r in rows[k : k + 60]]
+        marked = eventtime.with_partition_watermark_ms(spark.createDataFrame(part, CLOCKED), clock, idle_ms=1500, chunk=7)
+        got += [r["watermark_ms"] for r in marked.orderBy("seq").collect()]
+        clock = eventtime.PartitionClock.of(json.loads(json.dumps(eventtime.advanced(clock, marked).as_dict())))
+    assert got == clocked(rows, 4, 1500) and clock.watermark_ms == got[-1]
+    assert eventtime.PartitionClock.of(None).partitions == 0
+
+
+def test_one_partition_is_the_running_maximum(spark):
+    rows = [(k, 0, random.Random(k).randrange(10**6), k) for k in range(200)]
+    df = spark.createDataFrame(rows, CLOCKED)
+    both = eventtime.classified_by_partition(df, eventtime.PartitionClock(1)), eventtime.classified(df)
+    assert sorted(map(str, both[0].select("seq", "watermark_ms", "lateness").collect())) == sorted(map(str, both[1].select("seq", "watermark_ms", "lateness").collect()))
+
+
+def test_windows_are_closed_by_the_watermark(spark):
+    rows = [(0, 1_000, 5), (1, 12_000, 6), (2, 2_000, 7), (3, 20_049, 1), (4, 20_050, 1)]  # the third comes after its window was closed
+    df = spark.createDataFrame(rows, "seq long, ts_ms long, amount long").withColumn("user_id", F.lit("u"))
+    for upto, want in ((3, [(0, 1)]), (4, [(0, 1)]), (5, [(0, 1), (10_000, 1)])):
+        shut = windows.closed(eventtime.classified(df.where(F.col("seq") < upto)))
+        assert sorted((r["window_start_ms"], r["transaction_count"]) for r in shut.collect()) == want

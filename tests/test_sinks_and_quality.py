@@ -17,12 +17,14 @@ def test_upsert_keeps_first_times_and_repeats_safely(spark, tmp_path):
 
 def test_what_a_batch_writes_does_not_grow_with_the_table(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "FAN", 3)
-    t = KeyedTable(spark, str(tmp_path / "t"), ["k"], keep=["at"], add=["n"])
+    t = KeyedTable(spark, str(tmp_path / "t"), ["k"], keep=["at"], add=["n"], grace_s=0)
     want, size = {}, {}
     for batch in range(12):
         rows = [(k, batch, 10 + batch, 1) for k in range(batch % 3, 40, 3 + batch % 2)]
         for _ in range(1 + (batch % 5 == 2)):  # some batches come twice, also those that merge segments
             t.upsert(spark.createDataFrame(rows, "k long, v int, at int, n long").coalesce(1), batch)
+            while t.compact():
+                pass
         for k, v, at, n in rows:
             want[k] = (v, want[k][1] if k in want else at, want[k][2] + 1 if k in want else n)
         assert {r["k"]: (r["v"], r["at"], r["n"]) for r in t.read().collect()} == want
@@ -33,6 +35,74 @@ def test_what_a_batch_writes_does_not_grow_with_the_table(spark, tmp_path, monke
     assert size[11] <= 1.1 * size[2] or not size[2]
 
 
+def _page_files(table, user):
+    """Files that a lookup of one user opens."""
+    return len(table.read(at=user).inputFiles())
+
+
+def test_lookups_open_one_bucket_and_outlive_merges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "FAN", 3)
+    t = KeyedTable(spark, str(tmp_path / "t"), ["id"], keep=["first"], stable=["user", "at"], buckets=8, grace_s=0)
+    want, files_of = {}, []
+    for batch in range(14):
+        rows = [(k, f"u{k % 20}", k * 1000, batch, batch) for k in range(batch * 40, batch * 40 + 60)]  # a third comes again in the next batch
+        t.upsert(spark.createDataFrame(rows, "id long, user string, at long, first int, v int"), batch)
+        for k, user, at, first, v in rows:
+            want[k] = (user, at, want[k][2] if k in want else first, v)
+        lease = t.lease() if batch == 4 else lease if batch > 4 else None
+        while t.compact():
+            pass
+        files_of.append(_page_files(t, "u7"))
+        got = {r["id"]: (r["user"], r["at"], r["first"], r["v"]) for r in t.read().collect()}
+        assert got == want
+        page = t.read(at="u7", between={"at": (100_000, 400_000)})
+        assert {r["id"] for r in page.collect()} == {k for k, (u, at, _, _) in want.items() if u == "u7" and 100_000 <= at <= 400_000}
+    assert max(files_of) <= 3 * 3 and files_of[13] <= max(files_of[:6])
+    assert all("_bucket=" in f for f in t.read(at="u7").inputFiles()) and len({f.split("_bucket=")[1].split("/")[0] for f in t.read(at="u7").inputFiles()}) == 1
+    early = t.read(at="u7", between={"at": (0, 30_000)})  # old segments' ranges leave out the newest ones
+    assert len(early.inputFiles()) < files_of[13] and early.count() == 2
+    plan = t.read(at="u7")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(user,u7)" in plan
+    held = {r["id"] for r in lease.read().collect()}  # the table of batch 4, merged away since
+    assert held == set(range(220)) and len(files.children(spark, f"{tmp_path}/t/data")) > len(t._manifest()["segments"])
+    lease.release()
+    t.upsert(spark.createDataFrame([], "id long, user string, at long, first int, v int"), 14)
+    t.compact(), t.compact()
+    assert len(files.children(spark, f"{tmp_path}/t/data")) <= len(t._manifest()["segments"]) + 4 and t.read().count() == len(want)
+    assert t.read(at="nobody").count() == 0
+    with pytest.raises(ValueError):
+        t.read(between={"v": (1, 2)})
+    with pytest.raises(ValueError):
+        KeyedTable(spark, str(tmp_path / "x"), ["id"], buckets=0)
+
+
+def test_batches_write_while_segments_are_merged(spark, tmp_path, monkeypatch):
+    """A merge that ends between a batch's reading of the ledger and its writing isn't lost, nor is the batch."""
+    monkeypatch.setattr(tables, "FAN", 2)
+    t = KeyedTable(spark, str(tmp_path / "t"), ["k"], add=["n"], stable=["k"], grace_s=0)
+    for batch in range(4):
+        t.upsert(spark.createDataFrame([(batch % 2, 1)], "k long, n long"), batch)
+    write = t._write
+
+    def slow(*given):
+        if given[1] == "v=4":
+            monkeypatch.setattr(t, "_write", write)
+            assert t.compact()
+        return write(*given)
+
+    monkeypatch.setattr(t, "_write", slow)
+    t.upsert(spark.createDataFrame([(0, 1)], "k long, n long"), 4)
+    assert {r["k"]: r["n"] for r in t.read().collect()} == {0: 3, 1: 2} and len(t._manifest()["segments"]) < 5
+    t.upsert(spark.createDataFrame([(0, 1)], "k long, n long"), 4)  # the batch comes again
+    assert {r["k"]: r["n"] for r in t.read().collect()} == {0: 3, 1: 2}
+    end = tables.maintained([t], every_s=0.05)
+    for batch in range(5, 8):
+        t.upsert(spark.createDataFrame([(9, 1)], "k long, n long"), batch)
+        assert t.read(at=9).first()["n"] == batch - 4
+    end()
+    assert {r["k"]: r["n"] for r in t.read().collect()} == {0: 3, 1: 2, 9: 3}
+
+
 def test_published_batches_stay(spark, tmp_path):
     path = str(tmp_path / "p")
     assert append_once(spark.range(3), path, 0) and not append_once(spark.range(9), path, 0)

@@ -1,15 +1,20 @@
 import json
+import re
+from dataclasses import replace
+from datetime import UTC, datetime
 
 import pytest
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
-from rillflow.operators import quality
+from rillflow.operators import dedup, eventtime, quality, validate, windows
 from rillflow.plans import batch
 from rillflow.plans.http_api import respond
 from rillflow.sources.events import json_lines, kafka_records, offset_range, offset_totals, offsets_table, raw_stream, with_partition
+from rillflow.sources import generator
 from rillflow.sources.generator import FAULTY, Profile, generate
+from rillflow.sinks import tables
 from rillflow.sinks.tables import TopicWriter, bootstrap, read_appended
-from rillflow.streaming import metrics
+from rillflow.streaming import metrics, stateful
 from rillflow.streaming.job import StreamJob, supervised, window_updates, with_seq
 
 PROFILE = Profile(records=900, users=5, duplicate=0.1, late=0.1, out_of_order=0.1, malformed=0.1, seed=4)
@@ -17,7 +22,7 @@ PROFILE = Profile(records=900, users=5, duplicate=0.1, late=0.1, out_of_order=0.
 
 @pytest.fixture(scope="module")
 def records(spark):
-    return generate(spark, PROFILE).withColumn("seq", F.row_number().over(W.orderBy("seq", "raw")).cast("long")).persist()
+    return generate(spark, PROFILE).persist()
 
 
 def rows(df, *names):
@@ -27,13 +32,66 @@ def rows(df, *names):
 def test_generator_is_seeded_and_faulty(spark, records):
     again = generate(spark.newSession(), PROFILE).repartition(3)
     assert sorted(r["raw"] for r in again.collect()) == sorted(r["raw"] for r in records.collect())
-    assert FAULTY.users == 5 and 900 < records.count() < 1100
+    assert FAULTY.users == 5 and 900 < records.count() < 1100 and records.select("seq").distinct().count() == records.count()
+    with pytest.raises(ValueError):
+        Profile(records=1, late=0.1, late_max_s=0)
     with pytest.raises(ValueError):
         Profile(records=1, late=2)
     semantic = generate(spark, Profile(records=300, malformed=1.0, malformed_kind="semantic", zipf=True))
     assert batch.run(semantic).dead_letters.count() == 0
 
 
+def one_by_one(p):
+    """(seq, n) as a sender with one slot sends them."""
+    drawn = lambda salt, n: generator._drawn(p.seed, salt, n)
+    sent, held, out = {}, 0, []
+    for step in range(1, p.records + 1):
+        if step < p.records and drawn("swap", step) < p.out_of_order:
+            sent[step] = step
+        else:
+            sent[step], held = held, step
+        out.append((2 * step, sent[step]))
+        if step < p.records and drawn("again?", step) < p.duplicate:
+            out.append((2 * step + 1, sent[step - int(drawn("gap", step) * min(step, generator.RESENT_FROM))]))
+    return out
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.5, 1.0])
+def test_the_slot_holds_one_back(spark, rate, monkeypatch):
+    monkeypatch.setattr(generator, "CHUNK", 37)
+    p = Profile(records=400, users=9, out_of_order=rate, duplicate=0.2, burst=0.3, burst_multiplier=4.0, seed=8)
+    want = one_by_one(p)
+    ids = {r["n"]: r["event_id"] for r in spark.range(400).select(F.col("id").alias("n"), F.md5(F.concat_ws(":", F.lit("8"), F.col("id").cast("string"))).alias("event_id")).collect()}
+    got = [(r["seq"], json.loads(r["raw"])["event_id"].replace("-", "")) for r in generate(spark, p).orderBy("seq").collect()]
+    shape = lambda h: h[:12] + "4" + h[13:16] + "a" + h[17:]
+    assert got == [(seq, shape(ids[n])) for seq, n in want] and len({s for s, _ in got}) == len(got)
+    assert [(s, n) for s, n, _ in generator.Sender(p).steps(0, 401, 0)] == want
+
+
+def test_a_stream_of_records_stopped_and_started_equals_the_batch(spark, tmp_path):
+    p = Profile(records=700, users=9, out_of_order=0.3, duplicate=0.1, late=0.1, malformed=0.1, burst=0.4, burst_multiplier=4.0, seed=6)
+    for rounds in range(2):  # the second one finds nothing more
+        query = generator.generate_stream(spark, p, most=150).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").option("path", f"{tmp_path}/out").start()
+        query.processAllAvailable()
+        if rounds == 0:
+            assert query.lastProgress["batchId"] >= 4
+        query.stop()
+    assert rows(spark.read.parquet(f"{tmp_path}/out"), "seq", "raw") == rows(generate(spark, p), "seq", "raw")
+    middle = generator.TickReader({"profile": json.dumps(p.__dict__)})
+    whole = list(middle.read(generator.Steps(0, 701, 0)))
+    assert [x for part in middle.partitions({"step": 0, "bursts": 0}, {"step": 701, "bursts": 0}) for x in middle.read(part)] == whole
+    clocked = generator.TickReader({"profile": json.dumps({**p.__dict__, "rate_per_second": 10.0}), "clocked": "true"})
+    assert clocked.latestOffset()["step"] <= 2
+
+
+def test_no_code_of_the_generator_is_too_large(spark):
+    plain = spark.newSession()
+    plain.conf.set("spark.sql.adaptive.enabled", "false")  # shows all stages before they run
+    plan = quality.text_ids(generate(plain, FAULTY))._jdf.queryExecution().executedPlan()
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan))
+    assert sizes and all(0 < int(n) < 60_000 for n in sizes)
+
+
 def stream(spark, folder):
     """One file a micro-batch."""
     return spark.readStream.schema("raw string, seq long").option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(f"{folder}/in/*")
@@ -59,7 +117,7 @@ def test_stream_equals_batch_and_survives_a_restart(spark, records, tmp_path):
         return runner.start(stream(spark, folder), f"{folder}/checkpoint")
 
     for k in range(parts):  # files come one by one, so each is a batch of its own
-        size = 1 + 1100 // parts
+        size = 1 + 2 * PROFILE.records // parts
         records.where(F.floor(F.col("seq") / size) == k).coalesce(1).write.json(f"{folder}/in/{k:03d}")
         supervised(begin, attempts=2, pause_s=0)
     assert failed
@@ -102,7 +160,7 @@ def test_stream_equals_batch_and_survives_a_restart(spark, records, tmp_path):
 
     # a cold start over the same input leaves the keyed table as it was
     before = rows(job.events.read(), "event_id", "received_at")
-    StreamJob(spark, f"{folder}/out").process(records.where("seq < 300"), 99)
+    StreamJob(spark, f"{folder}/out").process(records.where("seq < 600"), 99)
     assert rows(job.events.read(), "event_id", "received_at") == before
 
 
@@ -174,3 +232,89 @@ def test_sources(spark, tmp_path):
     assert offset_range(parted, {}).count() == 0
     assert raw_stream(spark, str(tmp_path)).isStreaming
     assert json.loads(generate(spark, Profile(records=1)).first()["raw"])["schema_version"] == 1
+
+
+def test_windows_are_emitted_once_at_their_close(spark, tmp_path):
+    """The job's closed windows are those of the batch form, each once, also where a batch comes twice; open ones aren't among them."""
+    records = generate(spark, replace(PROFILE, rate_per_second=10.0, records=400)).persist()
+    job, top = StreamJob(spark, f"{tmp_path}/out"), records.agg(F.max("seq")).first()[0]
+    for batch in (0, 1, 1, 2, 3):
+        job.process(records.where((F.col("seq") * 4 > top * batch) & (F.col("seq") * 4 <= top * (batch + 1)) if batch else F.col("seq") * 4 <= top), batch)
+    valid, _ = validate.split(validate.judged(records, strict=True))
+    classes = eventtime.classified(dedup.first_arrivals(valid).withColumn("ts_ms", F.unix_millis("event_time")))
+    columns = ("user_id", "window_start_ms", "transaction_count", "total_volume", "average_transaction_value")
+    want, shown = rows(windows.closed(classes), *columns), job.closed()
+    assert rows(shown, *columns) == want and 0 < len(want) < windows.aggregates(classes.where("lateness = 'on_time'")).count()
+    assert shown.where("closed_at_ms < window_end_ms - 1").count() == 0
+    per_batch = read_appended(spark, f"{tmp_path}/out/closed").groupBy("batch_id").count().collect()
+    assert sum(r["count"] > 0 for r in per_batch) >= 3
+    records.unpersist()
+
+
+def test_partitions_that_lag_hold_windows_open(spark, tmp_path):
+    """Partition 1 is 30 s behind in event time, then silent; its events are on time until it is idle."""
+    def record(k, p, at):
+        iso = datetime.fromtimestamp(at / 1000, UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+        event = {"event_id": f"00000000-0000-4000-a000-{k:012d}", "user_id": f"u{p}", "merchant_id": "m", "amount": 1, "currency": "USD", "transaction_type": "t", "event_time": iso, "ingest_time": iso, "schema_version": 1}
+        return json.dumps(event), p, k, datetime.fromtimestamp(k, UTC)
+
+    fed = [record(k, k % 2, 1_000_000_000 + k * 2000 - 30_000 * (k % 2)) for k in range(40)] + [record(k, 0, 1_000_000_000 + k * 2000) for k in range(40, 100)]
+    kafka = spark.createDataFrame(fed, "value string, partition int, offset long, timestamp timestamp")
+    job = StreamJob(spark, f"{tmp_path}/out")
+    for batch in range(4):
+        job.process(kafka_records(kafka).where(F.col("offset").between(25 * batch, 25 * batch + 24)), batch)
+    accepted = spark.read.parquet(f"{tmp_path}/out/accepted")
+    assert accepted.where("lateness <> 'on_time'").count() == 0
+    marks = {r["arrival_ms"] // 1000: r["watermark_ms"] - 1_000_000_000 + 51 for r in accepted.where("watermark_ms is not null").collect()}
+    assert marks[39] == 39 * 2000 - 30_000 == marks[68] and marks[69] == 69 * 2000 and marks[99] == 99 * 2000  # idle 30 s after its last record
+    assert json.loads(job.ledger.get())["clock"]["tops"] == {"0": 1_000_198_000, "1": 1_000_048_000}
+
+
+def test_requests_are_answered_from_the_tables_as_they_stand(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "FAN", 3)
+    records, job = generate(spark, Profile(records=800, users=4, rate_per_second=2.0, seed=12)).persist(), StreamJob(spark, f"{tmp_path}/out")
+    for t in job.tables():
+        t.grace_s = 0
+    reader = job.reader()  # made before there is anything
+    assert respond(reader, "/users/usr_00001/transactions") == (200, {"items": [], "next_cursor": None})
+    counts = []
+    for batch in range(20):
+        job.process(records.where(F.floor(F.col("seq") / 81) == batch), batch)
+        if batch % 4 == 3:
+            job.start_anomalies(f"{tmp_path}/c").awaitTermination()
+            for t in job.tables():
+                while t.compact():
+                    pass
+            status, body = respond(reader, "/users/usr_00002/aggregates?limit=200")
+            want = job.aggregates().where("user_id = 'usr_00002'").agg(F.sum("transaction_count")).first()[0]
+            assert status == 200 and sum(i["transaction_count"] for i in body["items"]) == want
+            status, body = respond(reader, "/users/usr_00002/transactions?limit=200")
+            events = job.events.read().where("user_id = 'usr_00002'").count()
+            assert status == 200 and len(body["items"]) == min(200, events)
+            status, body = respond(reader, "/anomalies?limit=200")
+            assert status == 200 and len(body["items"]) == min(200, job.anomalies().count())
+            counts.append(len(job.events.read(at="usr_00002").inputFiles()))
+    assert job.events.read().count() == 800 and max(counts) <= 3 * 3 and job.anomalies().count() > 0
+    records.unpersist()
+
+
+def test_idle_users_leave_the_store_and_others_stay(spark, tmp_path):
+    """State lasts over a restart, and goes a day after the user's last event."""
+    day = 86_400_000
+    n = [0]
+
+    def arrive(*events):
+        n[0] += 1
+        spark.createDataFrame([(f"e{n[0]}-{k}", u, at, 100 + k, k) for k, (u, at) in enumerate(events)], "event_id string, user_id string, ts_ms long, amount long, seq long").coalesce(1).write.parquet(f"{tmp_path}/in/{n[0]:03d}")
+        stream = spark.readStream.schema("event_id string, user_id string, ts_ms long, amount long, seq long").parquet(f"{tmp_path}/in/*")
+        stateful.anomalies(stream, idle="1 day").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        found = spark.read.format("statestore").option("path", f"{tmp_path}/c").option("stateVarName", "user").load()
+        return {r["key"]["user_id"] for r in found.collect()}
+
+    assert arrive(*[("a", 1000 + k) for k in range(8)], ("b", 2000)) == {"a", "b"}
+    assert arrive(*[("a", 5000 + k) for k in range(4)]) == {"a", "b"}  # the eighth and more of a minute are found from both batches
+    found = spark.read.parquet(f"{tmp_path}/out").where("anomaly_type = 'ANOMALY_VELOCITY'")
+    assert sorted(r["transaction_count"] for r in found.collect()) == [11, 12]
+    assert arrive(("a", day - 1000)) == {"a", "b"}
+    assert arrive(("a", day + 3 * 60_000)) == {"a"}
+    assert arrive(("c", 3 * day)) == {"c"}
