@@ -158,11 +158,12 @@ def generate(spark: SparkSession, profile: Profile, numbers: DataFrame | None =
     rows = _once(rows, overtakes=~first & (u("swap") < p.out_of_order), burst=(u("burst?") < p.burst).cast("long"), again=~first & (u("again?") < p.duplicate))
     free = F.when(~first & ~F.col("overtakes"), step)  # a step that sends what is held
     chunks = rows.groupBy("chunk").agg(F.min(free).alias("free"), F.sum("burst").alias("bursts"))  # one row a chunk
-    later, earlier = W.orderBy("chunk").rowsBetween(1, W.unboundedFollowing), W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    # frames that begin at the first row run on from row to row, those that end at the last are taken anew for each
+    later, earlier = (W.orderBy(by).rowsBetween(W.unboundedPreceding, -1) for by in (F.desc("chunk"), "chunk"))
     chunks = chunks.select("chunk", F.min("free").over(later).alias("later"), F.coalesce(F.sum("bursts").over(earlier), F.lit(0)).alias("earlier"))
-    inside = W.partitionBy("chunk").orderBy("n")
-    held_until = F.coalesce(F.min(free).over(inside.rowsBetween(1, W.unboundedFollowing)), F.col("later"), F.lit(p.records))
-    bursts = F.col("earlier") + F.coalesce(F.sum("burst").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    behind, ahead = (W.partitionBy("chunk").orderBy(by).rowsBetween(W.unboundedPreceding, -1) for by in (F.desc("n"), "n"))
+    held_until = F.coalesce(F.min(free).over(behind), F.col("later"), F.lit(p.records))
+    bursts = F.col("earlier") + F.coalesce(F.sum("burst").over(ahead), F.lit(0))
     steps = rows.join(chunks, "chunk").select("n", bursts.alias("bursts"), F.when(F.col("overtakes"), step).otherwise(held_until).alias("step"))
     sent = steps.select((F.col("step") * 2).alias("seq"), "n", "bursts")
     if p.duplicate:
