@@ -15,6 +15,8 @@ sources (one row each) is the only thing the driver gathers.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -50,34 +52,46 @@ def targets(sizes: list[int], share: float = SHARE, weights: tuple[float, ...] =
 
 
 def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each length to take so that their sum is nearest to ``budget`` (bounded counts)."""
+    """How many of each length to take so that their sum is nearest to ``budget`` (bounded counts).
+
+    Lengths and sums are taken in units of the lengths' common divisor.  Of
+    each sum the step that first reached it is kept, one number for each of at
+    most twice the budget; the sum before that step was reached earlier, so
+    going back from the best sum takes no step twice.
+    """
     taken = [0] * len(lengths)
-    if budget <= 0:
+    unit = math.gcd(*lengths) or 1
+    low, rest = divmod(budget, unit)
+    ideal = low + (2 * rest > unit)  # the sum that nothing can better
+    if budget <= 0 or ideal == 0:
         return taken
-    limit = 2 * budget
-    mask = (1 << (limit + 1)) - 1
-    reached, steps = 1, []
+    limit = 2 * ideal
+    by, steps = np.full(limit + 1, -1, np.int32), []
+    reached = np.zeros(limit + 1, bool)
+    reached[0] = True
     for k, (length, count) in enumerate(zip(lengths, counts, strict=True)):
-        if reached >> budget & 1:
+        if reached[ideal]:
             break
-        if not 0 < length <= limit:
+        size = length // unit
+        if not 0 < size <= limit:
             continue
-        count, pack = min(count, limit // length), 1
-        while count > 0 and not reached >> budget & 1:  # packs of 1, 2, 4, ... make every number up to the count
+        count, pack = min(count, limit // size), 1
+        while count > 0 and not reached[ideal]:  # packs of 1, 2, 4, ... make every number up to the count
             pack = min(pack, count)
-            steps.append((k, pack, reached))
-            reached |= reached << length * pack & mask
+            shift = size * pack
+            new = shift + np.flatnonzero(reached[: limit + 1 - shift] & ~reached[shift:])
+            if len(new):
+                by[new] = len(steps)
+                steps.append((k, pack, shift))
+                reached[new] = True
             count -= pack
             pack *= 2
-    below = reached & ((1 << (budget + 1)) - 1)
-    best = below.bit_length() - 1
-    above = reached >> (budget + 1)
-    if above and (up := (above & -above).bit_length()) < budget - best:
-        best = budget + up
-    for k, pack, before in reversed(steps):
-        if not before >> best & 1:
-            best -= lengths[k] * pack
-            taken[k] += pack
+    sums = np.flatnonzero(reached)
+    best = int(sums[np.argmin(np.abs(sums * unit - budget))])  # the lower one of two that are as near
+    while best:
+        k, pack, shift = steps[by[best]]
+        taken[k] += pack
+        best -= shift
     return taken
 
 
