@@ -6,7 +6,8 @@ group and shard, never as pairs.  Every document starts with the label of its
 id's hash.  In each round the label that most neighbours have spreads to all
 of a group whose quota admits it, in an order of group size; a group that no
 quota admitted tries the next best label in the next round, with the room that
-is left.  Shards are set apart for groups above a shard's size, those that hold
+is left, until a round moves nothing.  A group that moved as a whole has no cut
+link, so no move can better it.  Shards are set apart for groups above a shard's size, those that hold
 most of them.  These, then groups that no quota admitted, then documents
 without links fill what the quotas leave, group by group, so that row counts
 differ by at most one (law ``rows``) and links are cut only where a shard is
@@ -17,8 +18,9 @@ and over the parts' totals, so no window holds a shard or a group as a whole.
 
 Cases: a null text counts as empty (size 8) and such rows are linked with each
 other; repeated rows are separate rows; a null or repeated doc_id is placed
-like any other, dealt out by its place in the table; an empty table gives an
-empty result; other columns are ignored.
+like any other; rows of one doc_id and text are numbered and dealt out by those
+numbers, so the table gives the same result however it is partitioned; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import cut
 
-SHARDS, ROUNDS = 24, 3
+SHARDS, ROUNDS = 24, 48  # of rounds at most; few move anything
+PIECES = 64  # rows of one doc_id and text are numbered in so many pieces
 BIG_SHARE = 1536  # a group of at least rows / BIG_SHARE rows is big; there are at most BIG_SHARE of those
 PART_ROWS, LEAST_PARTS = 20_000, 64
 
@@ -42,10 +45,21 @@ def _keyed(docs: DataFrame, shards: int) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
         F.unhex(F.sha2(text, 256)).alias("key"),
         F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("start"),
-        F.monotonically_increasing_id().alias("place"),
     )
 
 
+def _told_apart(keyed: DataFrame) -> DataFrame:
+    """Adds ``place``, a row's number among the rows of its doc_id and text, which don't differ in anything else."""
+    row = ["doc_id", "key"]
+    if keyed.groupBy(*row).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return keyed.withColumn("place", F.lit(0).cast("long"))
+    dealt = cut(keyed.withColumn("any", F.monotonically_increasing_id())).withColumn("piece", F.pmod(F.xxhash64("any"), F.lit(PIECES)))
+    before = _before(dealt.groupBy(*row, "piece").agg(F.count("*").alias("n")), "n", row, ["piece"]).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("piece").alias("_piece"), "before")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("piece") == F.col("_piece"))
+    inside = F.row_number().over(W.partitionBy(*row, "piece").orderBy("any"))
+    return dealt.withColumn("_nth", inside).join(before, same).select(*keyed.columns, (F.col("before") + F.col("_nth") - 1).alias("place"))
+
+
 def _before(parts: DataFrame, total: str, group: list[str], order: list[str]) -> DataFrame:
     """Adds ``before``: the sum of ``total`` over earlier parts of the same group."""
     w = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
@@ -93,7 +107,7 @@ def _above(position: Column, bounds: list[int]) -> Column:
 
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
-    keyed = cut(_keyed(docs, shards))
+    keyed = cut(_told_apart(cut(_keyed(docs, shards))), few=True)
     rows = keyed.count()
     capacity, extra = divmod(rows, shards)
     big, parts = max(2, -(-rows // BIG_SHARE)), max(LEAST_PARTS, -(-rows // PART_ROWS))
@@ -112,7 +126,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     placed = hot.where("total is not null").unionByName(hot.where("total is null").drop("total", "home").join(small, "key", "left"))
 
     # a group above a part's rows is a run of parts of its own
-    draw, is_big, linked, home = F.xxhash64("doc_id", "place"), F.col("total") >= min(big, PART_ROWS), F.col("total").isNotNull(), F.col("home").isNotNull()
+    draw, is_big, linked, home = F.xxhash64("doc_id", "key", "place"), F.col("total") >= min(big, PART_ROWS), F.col("total").isNotNull(), F.col("home").isNotNull()
     split = F.greatest(F.lit(1), F.ceil(F.col("total") * parts / F.lit(max(rows, 1))))
     placed = placed.select(
         "doc_id", "size", "text_crc32", "key", "place",

@@ -1,3 +1,4 @@
+import tracemalloc
 import collections
 import itertools
 import random
@@ -92,6 +93,14 @@ def test_labels_spread_as_in_plain_loops(spark, docs_of, seed):
     assert links["cut"] < 0.45 * cuts({r["doc_id"]: r["start"] for r in keyed})
 
 
+def test_shards_do_not_follow_the_partitions(spark, docs_of):
+    docs = docs_of(*[(k % 150 if k % 11 else None, f"text {k % 37}" if k % 3 else "hot") for k in range(400)])
+    docs = docs.unionByName(docs.where("doc_id < 20"))
+    as_rows = lambda df: sorted(map(str, sharding.shard(df).collect()))
+    want = as_rows(docs.repartition(7))
+    assert want == as_rows(docs.coalesce(1)) == as_rows(docs.repartition(3, "text").sort("text"))
+
+
 def test_plan_has_no_python(spark, docs_of):
     plan = sharding.shard(docs_of("a", "b"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
@@ -119,6 +128,19 @@ def test_knapsack_is_nearest():
         assert abs(got - budget) == min(abs(s - budget) for s in sums if s <= max(2 * budget, 0) or budget == 0)
 
 
+def test_knapsack_of_many_even_lengths_stays_small():
+    lengths, counts, budget = list(range(2, 20_002, 2)), [3] * 10_000, 199_999
+    tracemalloc.start()
+    taken = mixing.knapsack(lengths, counts, budget)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert abs(sum(a * b for a, b in zip(lengths, taken, strict=True)) - budget) == 1 and all(t <= 3 for t in taken)
+    assert peak < 50 << 20
+    taken = mixing.knapsack(lengths, [1] * 10_000, 777)  # no sum is odd: all lengths in vain
+    assert sum(a * b for a, b in zip(lengths, taken, strict=True)) == 776
+    assert mixing.knapsack([7, 7, 14], [1, 1, 1], 3) == [0, 0, 0] and sum(mixing.knapsack([7], [1], 4)) == 1
+
+
 def test_mix(spark, docs_of, monkeypatch):
     monkeypatch.setattr(mixing, "KNAPSACK_WORDS", 200)
     rng = random.Random(2)
