@@ -13,14 +13,18 @@ from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..folders import scratch
 from ..schema import HISTORY_LEAST, HISTORY_ROWS, QUANTILE, VELOCITY_THRESHOLD, VELOCITY_WINDOW_MS
 from ..workers import importable
 
 RUN = 2048  # consecutive events of a user in one part
 CHUNK = 50_000  # arrivals in one part when events are numbered
+STRETCH = 32  # runs whose ends one task goes through in order
 
 
 def velocity_counts(events: DataFrame, user: str = "user_id", time_ms: str = "ts_ms", order: str = "seq") -> DataFrame:
@@ -90,11 +94,37 @@ class RecentTimes:
         return len(self.ordered)
 
 
+TOP = 1 + math.ceil((HISTORY_ROWS - 1) * (1 - QUANTILE))  # of the largest amounts; the quantile lies between two of them
+ROWS_AT_ONCE = 4096
+
+
+def _rolling(amounts_: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The quantile of the ``size`` amounts before each place, NaN below 20; for many places at once.
+
+    ``amounts_`` has the ``HISTORY_ROWS`` places before the first one as well,
+    so that each place has a row of as many, of which the newest count.
+    """
+    found = np.full(len(size), np.nan)
+    rows = np.lib.stride_tricks.sliding_window_view(amounts_, HISTORY_ROWS)
+    told = np.flatnonzero(size >= HISTORY_LEAST)
+    for i in range(0, len(told), ROWS_AT_ONCE):
+        at = told[i : i + ROWS_AT_ONCE]
+        n = size[at]
+        history = np.where(np.arange(HISTORY_ROWS) >= (HISTORY_ROWS - n)[:, None], rows[at], -np.inf)
+        top = np.sort(np.partition(history, HISTORY_ROWS - TOP, axis=1)[:, -TOP:], axis=1)
+        rank = (n - 1) * QUANTILE
+        whole = np.floor(rank).astype(np.int64)
+        place, each = TOP - (n - whole), np.arange(len(at))
+        low = top[each, place]
+        found[at] = low + (top[each, place + 1] - low) * (rank - whole)
+    return found
+
+
 def amount_quantiles(events: DataFrame, user: str = "user_id", order: str = "seq") -> DataFrame:
     """Adds ``history_size`` and, from 20 earlier amounts on, ``rolling_99th_percentile`` of at most 256.
 
-    One pass over each run in order with the amounts kept sorted, so a row
-    costs the logarithm of the history's size.
+    Runs lie one after the other in a partition; a batch of rows is worked on
+    as a whole, with the last amounts of the rows before it.
     """
     importable(events.sparkSession)
     at, names = F.col("_at"), events.columns
@@ -104,26 +134,51 @@ def amount_quantiles(events: DataFrame, user: str = "user_id", order: str = "seq
     who, amount = names.index(user), names.index("amount")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, recent = None, RecentAmounts()
+        key, tail = None, np.zeros(0)  # of the run that a batch ends in
         for batch in it:
-            n, sizes, quantiles = len(names), [], []
-            own = batch.column(n + 1)
-            for u, r, value, mine in zip(batch.column(who).to_pylist(), batch.column(n).to_pylist(), batch.column(amount).to_pylist(), own.to_pylist(), strict=True):
-                if (u, r) != key:
-                    key, recent = (u, r), RecentAmounts()
-                if mine:
-                    sizes.append(len(recent.ordered))
-                    quantiles.append(recent.quantile())
-                if value is not None:
-                    recent.add(value)
+            n, own, values = len(names), batch.column(len(names) + 1), batch.column(amount)
+            if not batch.num_rows:
+                continue
+            users, runs = batch.column(who), batch.column(n)
+            changes = np.ones(batch.num_rows, bool)
+            changes[0] = (users[0].as_py(), runs[0].as_py()) != key
+            if batch.num_rows > 1:
+                same = pc.and_(pc.equal(runs.slice(1), runs.slice(0, batch.num_rows - 1)), _equal(users.slice(1), users.slice(0, batch.num_rows - 1)))
+                changes[1:] = ~same.to_numpy(zero_copy_only=False)
+            key = users[-1].as_py(), runs[-1].as_py()
+            there = values.is_valid().to_numpy(zero_copy_only=False)  # a row without an amount adds nothing
+            before = np.cumsum(there) - there + len(tail)  # amounts before each row, with the run's from earlier batches
+            begin = np.maximum.accumulate(np.where(changes, before, 0))
+            size = np.minimum(before - begin, HISTORY_ROWS)
+            amounts_ = np.concatenate([tail, values.drop_null().to_numpy(zero_copy_only=False).astype(np.float64)])
+            asked = np.where(own.to_numpy(zero_copy_only=False), size, 0)
+            # rows of equal ``before`` have one window; the windows that end at each are taken by their places
+            found = _rolling_at(amounts_, before, asked)
+            tail = amounts_[max(int(begin[-1]), len(amounts_) - HISTORY_ROWS) :]
             kept = batch.select(range(n)).filter(own)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sizes, pa.int32()), pa.array(quantiles, pa.float64())], [*names, "history_size", "rolling_99th_percentile"])
+            mine = own.to_numpy(zero_copy_only=False)
+            columns = pa.array(size[mine].astype(np.int32)), pa.array(found[mine], from_pandas=True)
+            yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [*names, "history_size", "rolling_99th_percentile"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", history_size int, rolling_99th_percentile double"
     dealt = parts.select(*names, "_run", "_own", "_at").repartition(user, "_run").sortWithinPartitions(user, "_run", "_at")
     return dealt.mapInArrow(batches, schema)
 
 
+def _equal(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Whether values are equal, nulls as well."""
+    return pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+
+
+def _rolling_at(amounts_: np.ndarray, before: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The quantile of the ``size`` amounts that end ahead of place ``before`` of ``amounts_``."""
+    by_place = np.zeros(len(amounts_) + 1, np.int64)
+    by_place[before] = np.maximum(by_place[before], size)  # rows of one place have one size, or 0 where nobody asks
+    np.maximum.at(by_place, before, size)
+    padded = np.concatenate([np.zeros(HISTORY_ROWS), amounts_])
+    return np.where(size > 0, _rolling(padded, by_place)[before], np.nan)
+
+
 def amounts(events: DataFrame, user: str = "user_id", order: str = "seq") -> DataFrame:
     return amount_quantiles(events, user, order).where(F.col("amount") > F.col("rolling_99th_percentile"))
 
@@ -184,19 +239,62 @@ def _run_ends(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _record([row()], ENDS)
 
 
-def _run_starts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The state that each run begins with, from the ends of the runs before it."""
-    who, times, amounts = object(), RecentTimes(), deque((), HISTORY_ROWS)
+def _after(state: tuple, end: tuple) -> tuple:
+    """What a stretch of runs (largest time, times left, last amounts) comes to with the stretch behind it; it doesn't matter which are put together first."""
+    (top, times, last), (top_, times_, last_) = state, end
+    top = top_ if top is None else top if top_ is None else max(top, top_)
+    kept = times if top_ is None else times[bisect_left(times, top_ - VELOCITY_WINDOW_MS) :]
+    return top, sorted([*kept, *times_]), [*last, *last_][-HISTORY_ROWS:]
+
+
+NOTHING = (None, [], [])
+
+
+def _stretches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each run or stretch what those of its own stretch before it come to, and of each stretch (_run null) all of it."""
+    key, state = None, NOTHING
     for batch in it:
         out = []
-        for u, r, top, left, last in zip(*(batch.column(c).to_pylist() for c, _ in ENDS), strict=True):
-            if u != who:
-                who, times, amounts = u, RecentTimes(), deque((), HISTORY_ROWS)
-            out.append((u, r, list(times.ordered), list(amounts)))
-            times.forget(top - VELOCITY_WINDOW_MS)
-            times.ordered = sorted(times.ordered + left)
-            amounts.extend(last)
-        yield _record(out, STARTS)
+        for u, g, r, top, left, last in zip(*(batch.column(c).to_pylist() for c, _ in STRETCHES), strict=True):
+            if (u, g) != key:
+                if key is not None:
+                    out.append((*key, None, *state))
+                key, state = (u, g), NOTHING
+            out.append((u, g, r, *state))
+            state = _after(state, (top, left, last))
+        yield _record(out, STRETCHES)
+    if key is not None:
+        yield _record([(*key, None, *state)], STRETCHES)
+
+
+def _put_together(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What stretches before a stretch come to, with what is before a run inside it."""
+    names = [c for c, _ in ENDS[2:]]
+    for batch in it:
+        ahead, inside = (zip(*(batch.column(c).to_pylist() for c in some), strict=True) for some in ([f"_{c}" for c in names], names))
+        out = [(u, r, *_after((t, x or [], y or []), b)) for u, r, (t, x, y), b in zip(batch.column("user_id").to_pylist(), batch.column("_run").to_pylist(), ahead, inside, strict=True)]
+        yield _record(out, ENDS)
+
+
+def _starts(ends: DataFrame) -> DataFrame:
+    """The state that each run begins with, from the ends of the runs before it.
+
+    ``STRETCH`` runs of a user are gone through in one task, and what they
+    come to is gone through in the same way, so a user may have any number of
+    runs.
+    """
+    dealt = ends.withColumn("_group", F.floor(F.col("_run") / STRETCH)).select(*[c for c, _ in STRETCHES])
+    dealt = dealt.repartition("user_id", "_group").sortWithinPartitions("user_id", "_group", "_run")
+    both = dealt.mapInArrow(_stretches, _schema(STRETCHES))
+    if (ends.agg(F.max("_run")).first()[0] or 0) < STRETCH:
+        return both.where("_run is not null").drop("_group")
+    path = scratch(ends.sparkSession, "stretches")
+    both.write.parquet(path)
+    both = ends.sparkSession.read.schema(both.schema).parquet(path)
+    ahead = _starts(both.where("_run is null").drop("_run").withColumnRenamed("_group", "_run"))
+    ahead = ahead.select(F.col("user_id").alias("_user"), F.col("_run").alias("_nth"), *[F.col(c).alias(f"_{c}") for c, _ in ENDS[2:]])
+    joined = both.where("_run is not null").join(ahead, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("_group") == F.col("_nth")))
+    return joined.mapInArrow(_put_together, _schema(ENDS))
 
 
 def _found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,15 +313,15 @@ def in_arrival_order(events: DataFrame, user: str = "user_id", time_ms: str = "t
 
     A time outlives a run if no later one in it is over 60 s above; so a run
     comes down to its largest time, the times that outlive it and its last
-    256 amounts.  Those are passed on from run to run, and then all runs go
+    256 amounts.  Those are put together in a tree, and then all runs go
     through their rows at once.
     """
     importable(events.sparkSession)
     rows = events.select(F.col("event_id").cast("string").alias("event_id"), F.col(user).cast("string").alias("user_id"), F.col(time_ms).cast("long").alias("ts"), F.col("amount").cast("long").alias("amount"), F.col(order).alias("o"))
     dealt = numbered(rows, "user_id", "o").withColumn("_run", F.floor(F.col("_at") / RUN)).repartition("user_id", "_run")
-    ends = dealt.select("user_id", "_run", "_at", "ts", "amount").sortWithinPartitions("user_id", "_run", "_at").mapInArrow(_run_ends, _schema(ENDS))
-    starts = ends.repartition("user_id").sortWithinPartitions("user_id", "_run").mapInArrow(_run_starts, _schema(STARTS))
-    begun = starts.where("_run > 0").select(F.col("user_id").alias("_user"), F.col("_run").alias("_nth"), "times", "amounts")
+    path = scratch(events.sparkSession, "runs")
+    dealt.select("user_id", "_run", "_at", "ts", "amount").sortWithinPartitions("user_id", "_run", "_at").mapInArrow(_run_ends, _schema(ENDS)).write.parquet(path)
+    begun = _starts(events.sparkSession.read.schema(_schema(ENDS)).parquet(path)).where("_run > 0").select(F.col("user_id").alias("_user"), F.col("_run").alias("_nth"), "times", "amounts")
     joined = dealt.join(begun, (F.col("user_id").eqNullSafe(F.col("_user"))) & (F.col("_run") == F.col("_nth")) & (F.col("_at") % RUN == 0), "left")
     sorted_ = joined.select("user_id", "_run", "_at", "ts", "amount", "event_id", "times", "amounts").sortWithinPartitions("user_id", "_run", "_at")
     return sorted_.mapInArrow(_found, SCHEMA)
@@ -233,7 +331,7 @@ COLUMNS = ["anomaly_type", "event_id", "user_id", "transaction_count", "velocity
 DTYPES = {"transaction_count": "Int64", "velocity_window_seconds": "Int32", "velocity_threshold": "Int64", "amount": "Int64", "rolling_99th_percentile": "Float64", "history_size": "Int32"}
 SCHEMA = "anomaly_type string, event_id string, user_id string, transaction_count long, velocity_window_seconds int, velocity_threshold long, amount long, rolling_99th_percentile double, history_size int"
 ENDS = (("user_id", pa.string()), ("_run", pa.int64()), ("top", pa.int64()), ("times", pa.list_(pa.int64())), ("amounts", pa.list_(pa.int64())))
-STARTS = (*ENDS[:2], *ENDS[3:])
+STRETCHES = (ENDS[0], ("_group", pa.int64()), *ENDS[1:])
 FOUND = tuple(zip(COLUMNS, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True))
 
 

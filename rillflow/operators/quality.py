@@ -6,9 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..folders import scratch
 from ..functions.expressions import elapsed_ms
 
-CHUNKS = 64  # ranges in which ordered rows are numbered
+CHUNK_ROWS = 200_000  # about so many rows are numbered in one range
+MOST_CHUNKS = 2_000  # edges that rows are compared with
+FEW_VALUES = 500_000  # as many counts are summed up in one task
 
 
 def ids(rows: DataFrame, id_: str = "event_id") -> DataFrame:
@@ -57,8 +60,9 @@ def latency(rows: DataFrame, later: str, earlier: str, percents: Sequence[int] =
     return percentiles(rows.select(elapsed_ms(F.col(later), F.col(earlier)).alias("ms")), "ms", percents)
 
 
-def _chunked(rows: DataFrame, order: str, chunks: int = CHUNKS) -> DataFrame:
-    """Adds ``_chunk``, the number of the range of ``order`` that a row is in; equal rows are in one, nulls in the first."""
+def _chunked(rows: DataFrame, order: str) -> DataFrame:
+    """Adds ``_chunk``, the number of the range of ``order`` that a row is in, as many as the rows need; equal rows are in one, nulls in the first."""
+    chunks = max(2, min(MOST_CHUNKS, -(-rows.count() // CHUNK_ROWS)))
     edges = rows.agg(F.percentile_approx(order, [k / chunks for k in range(1, chunks)], 100 * chunks)).first()[0] or []
     above = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda edge: edge < F.col(order))) if edges else F.lit(0)
     return rows.withColumn("_chunk", F.when(F.col(order).isNotNull(), above).otherwise(0))
@@ -67,10 +71,16 @@ def _chunked(rows: DataFrame, order: str, chunks: int = CHUNKS) -> DataFrame:
 def _counted(rows: DataFrame, value: str) -> DataFrame:
     """Each value once, with ``_upto``, how many rows are at most as large, and ``_all``, how many there are.
 
-    Rows are first counted by value; counts are summed up inside ranges of
-    values and over the ranges' sums, so no task has to hold all of them.
+    Rows are first counted by value; where there are more than ``FEW_VALUES``
+    of those, counts are summed up inside ranges of values and over the ranges'
+    sums, so no task has to hold all of them.
     """
-    counted = _chunked(rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")), value)
+    counted, path = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")), scratch(rows.sparkSession, "counted")
+    counted.write.parquet(path)
+    counted = rows.sparkSession.read.schema(counted.schema).parquet(path)
+    if counted.count() <= FEW_VALUES:
+        return counted.withColumn("_upto", F.sum("_n").over(W.orderBy(value))).withColumn("_all", F.sum("_n").over(W.partitionBy()))
+    counted = _chunked(counted, value)
     before = W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     sums = counted.groupBy("_chunk").agg(F.sum("_n").alias("_sum"))  # one row a range
     sums = sums.select("_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_sum").over(W.partitionBy()).alias("_all"))

@@ -1,6 +1,8 @@
 import random
+import re
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,7 +78,8 @@ def test_no_task_takes_a_hot_user_whole(spark, monkeypatch):
     monkeypatch.setattr(anomaly, "RUN", 100)
     rows = [(k, 1, k * 10, k % 7) for k in range(5000)]
     plan = anomaly.in_arrival_order(frame(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("RepartitionByExpression [user_id") == 3 and "_run" in plan
+    exchanges = re.findall(r"RepartitionByExpression \[([^\]]*)\]", plan)
+    assert exchanges and all("_run" in e or "_group" in e for e in exchanges)
     assert anomaly.in_arrival_order(frame(spark, rows).limit(0)).count() == 0 == anomaly.amounts(frame(spark, rows).limit(0)).count()
 
 
@@ -93,3 +96,37 @@ def test_amount_edges():
     state = anomaly.RecentAmounts(range(256))
     state.add(7)
     assert len(state.arrived) == len(state.ordered) == 256 and state.ordered[0] == 1
+
+
+def test_windows_of_amounts_equal_the_sorted_list():
+    rng = np.random.default_rng(2)
+    for n in (1, 19, 20, 21, 100, 101, 102, 256, 257, 700):
+        values = rng.integers(0, 50 if n % 2 else 10**9, n)
+        recent, want = anomaly.RecentAmounts(), []
+        for x in values.tolist():
+            want.append(recent.quantile())
+            recent.add(x)
+        size = np.minimum(np.arange(n), 256)
+        got = anomaly._rolling_at(values.astype(float), np.arange(n), size)
+        assert [None if np.isnan(x) else x for x in got] == want
+
+
+def test_runs_of_a_user_are_put_together_in_a_tree(spark, monkeypatch):
+    """Nine of ten events are one user's; no task goes through more than a few of their runs' ends."""
+    monkeypatch.setattr(anomaly, "RUN", 300)
+    monkeypatch.setattr(anomaly, "STRETCH", 2)
+    rng = random.Random(11)
+    rows = [(f"e{k}", "hot" if rng.random() < 0.9 else rng.choice(["a", "b"]), k * 3000 - rng.choice([0, 0, 5000, 200_000]), rng.randrange(1000), k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "event_id string, user_id string, ts_ms long, amount long, seq long")
+    want, users = [], {}
+    for event_id, user, ts, amount, _ in rows:
+        want += users.setdefault(user, anomaly.UserState()).arrive(event_id, user, ts, amount)
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in anomaly.in_arrival_order(df).collect())
+
+
+def test_stretches_may_be_put_together_in_any_order():
+    rng = random.Random(3)
+    for _ in range(200):
+        ends = [(max(t), sorted(x for x in t if x >= max(t) - 60_000), [rng.randrange(9) for _ in range(rng.randrange(200))]) for t in ([rng.randrange(300_000) for _ in range(rng.randrange(1, 6))] for _ in range(3))]
+        a, b, c = ends
+        assert anomaly._after(anomaly._after(a, b), c) == anomaly._after(a, anomaly._after(b, c))
