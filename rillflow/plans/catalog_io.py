@@ -13,13 +13,14 @@ from ..functions.expressions import epoch_ms, iso_ms, last_match, padded_id
 from ..operators import anomaly, dedup, eventtime, quality, windows
 from ..sinks.tables import KeyedTable, TopicWriter, append_batch, bootstrap, kafka_rows, lines_of, publish, read_appended, with_ids
 from ..sources.events import json_lines, kafka_records, offset_totals, offsets_table, stressed, table, transactions, with_partition
-from ..sources.generator import BAD_CURRENCIES, BAD_TYPES, CURRENCIES, TYPES, Profile, generate
+from ..sources.generator import BAD_CURRENCIES, BAD_TYPES, CURRENCIES, TYPES, Profile, generate, generate_stream
 from ..sources.topics import read_manifest
 from ..streaming import metrics
-from ..streaming.job import StreamJob
+from ..streaming.job import StreamJob, window_finals
 from . import batch
 from .catalog import _AGG, _ANOMALIES, _CL, _RAW, _RAWS, _SO, _ST, _STORED, _TX, _drain, _raws, _reader, _shown, _stored, _stream, _stressed, _twice, query
 from .http_api import respond
+from .reader import AnalyticsReader
 
 _ID = "concat('00000000-0000-4000-a000-', lpad(CAST({0} AS VARCHAR), 12, '0'))"
 
@@ -133,8 +134,11 @@ def _numbers(spark: SparkSession, sf_dir: str, **changed) -> tuple[Profile, Data
 
 
 def _records(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return _fields(generate(spark, *_numbers(spark, sf_dir, malformed_kind=kind)))
+
+
+def _fields(raw: DataFrame) -> DataFrame:
     get = lambda f: F.get_json_object("raw", f"$.{f}")
-    raw = generate(spark, *_numbers(spark, sf_dir, malformed_kind=kind))
     return raw.select("seq", *[get(f).alias(f) for f in ("event_id", "user_id", "merchant_id")], get("amount").cast("long").alias("amount"), F.col("raw").contains('"amount":"').alias("amount_is_text"), *[get(f).alias(f) for f in ("currency", "transaction_type", "event_time", "ingest_time")])
 
 
@@ -149,6 +153,16 @@ def generated_semantic_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir, "semantic")
 
 
+@query("WITH " + _generated(False))
+def stream_generated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream, some thousand steps a micro-batch."""
+    folder, profile = scratch(spark, "generated"), _numbers(spark, sf_dir, malformed_kind="structural")[0]
+    query_ = generate_stream(spark, profile, most=4_000).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").start()
+    query_.processAllAvailable()
+    query_.stop()
+    return _fields(spark.read.parquet(f"{folder}/out"))
+
+
 @query(f"""WITH e AS (SELECT i, sum(1 / pow(i, CAST(1.2 AS DOUBLE))) OVER (ORDER BY i) AS s FROM (SELECT range + 1 AS i FROM range(50))), c AS (SELECT i, s / max(s) OVER () AS high FROM e),
   d AS (SELECT {_u('user')} AS u FROM (SELECT event_id AS n FROM events)) SELECT concat('usr_', lpad(CAST(usr + 1 AS VARCHAR), 5, '0')) AS user_id, count(*) AS n FROM (SELECT (SELECT count(*) FROM c WHERE high < u) AS usr FROM d) GROUP BY 1""")
 def generated_zipf_users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,10 +306,10 @@ _CASES = (
     "/health", "/nothing", "/users/7/transactions", "/users/7/transactions?limit=0", "/users/7/transactions?limit=201", "/users/7/transactions?limit=many", "/users/7/transactions?cursor=a$", "/users/7/transactions?cursor=", "/users/7/transactions?start_time=2024-01-01T00:00:00", "/users/7/transactions?end_time=then", "/users/7/aggregates?cursor=bm90aGluZw", "/users/7/anomalies?anomaly_type=ANOMALY_OTHER", "/anomalies?anomaly_type=ANOMALY_AMOUNT", "/anomalies?cursor=MjAyNC0wMS0wMVQwMDowMDowMFoseA",
 )
 # rules on the request itself: its path, then each parameter, a limit and times that don't parse first
-_STATUS = """WITH c(path) AS (VALUES {cases}), p AS (SELECT path, split_part(path, '?', 1) AS place, regexp_extract(path, '[?&]limit=([^&]*)', 1) AS lim, regexp_extract(path, '[?&]cursor=([^&]*)', 1) AS cur, regexp_extract(path, '[?&](?:start|end)_time=([^&]*)', 1) AS at,
+_STATUS = """WITH c(path) AS (VALUES {cases}), p AS (SELECT path, split_part(path, '?', 1) AS place, regexp_extract(path, '[?&]limit=([^&]*)', 1) AS lim, regexp_extract(path, '[?&]cursor=([^&]*)', 1) AS cur, regexp_extract(path, '[?&](?:start|end)_time=([^&]*)', 1) AS moment,
   regexp_extract(path, '[?&]anomaly_type=([^&]*)', 1) AS kind, path LIKE '%limit=%' AS limited FROM c)
   SELECT path, CAST(CASE WHEN place = '/health' THEN 200 WHEN NOT regexp_full_match(place, '/anomalies|/users/[^/]+/(transactions|aggregates|anomalies)') THEN 404
-  WHEN limited AND coalesce(TRY_CAST(lim AS INTEGER) NOT BETWEEN 1 AND 200, true) THEN 422 WHEN at <> '' AND TRY_CAST(at AS TIMESTAMP) IS NULL THEN 422 WHEN at <> '' AND NOT regexp_matches(at, '(Z|[+-][0-9:]+)$') THEN 400
+  WHEN limited AND coalesce(TRY_CAST(lim AS INTEGER) NOT BETWEEN 1 AND 200, true) THEN 422 WHEN moment <> '' AND TRY_CAST(moment AS TIMESTAMP) IS NULL THEN 422 WHEN moment <> '' AND NOT regexp_matches(moment, '(Z|[+-][0-9:]+)$') THEN 400
   WHEN cur <> '' AND (NOT regexp_full_match(cur, '[A-Za-z0-9_-]+') OR NOT regexp_full_match(decode(from_base64(rpad(cur, CAST(ceil(length(cur) / 4.0) * 4 AS INTEGER), '='))), CASE WHEN place LIKE '%anomalies' THEN '[^,]+,[0-9]+' WHEN place LIKE '%aggregates' THEN '[0-9T:.Z+-]+' ELSE '[^,]+,[0-9a-f-]{{36}}' END)) THEN 400
   WHEN kind <> '' AND kind NOT IN ('ANOMALY_VELOCITY', 'ANOMALY_AMOUNT') THEN 400 ELSE 200 END AS INTEGER) AS status FROM p"""
 
@@ -352,6 +366,83 @@ def dead_letter_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_appended(spark, topic.location).select("value")
 
 
+# watermarks of partitions, windows at their close, tables by key
+
+_P = "CAST(concat('0x', substr(md5(CAST(events.user_id AS VARCHAR)), 1, 8)) AS BIGINT) % 6"
+_FED = _ST + f""", fed AS (SELECT st.event_id, st.seq, {_P} AS partition, st.ts_ms - CASE WHEN {_P} = 1 THEN 20000 ELSE 0 END AS ts_ms, 1704067200000 + st.event_id * 600 AS arrival_ms FROM st JOIN events USING (event_id)
+  WHERE NOT ({_P} = 2 AND st.event_id BETWEEN (SELECT count(*) // 3 FROM events) AND (SELECT count(*) // 3 * 2 FROM events)))"""
+
+
+def _clocks() -> str:
+    """The watermark after each record: what the partitions that are active have reached, before and with the record."""
+    own = "OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND {0})"
+    sides = {"b": own.format("1 PRECEDING"), "w": own.format("CURRENT ROW")}
+    tops = [f"max(CASE WHEN partition = {p} THEN ts_ms END) {frame} AS t{side}{p}" for side, frame in sides.items() for p in range(6)]
+    heard = [f"coalesce(max(CASE WHEN partition = {p} THEN arrival_ms END) {frame}, min(arrival_ms) OVER ()) AS a{side}{p}" for side, frame in sides.items() for p in range(6)]
+    since = [f"least(arrival_ms - 30000, greatest({', '.join(f'a{side}{p}' for p in range(6))}) - 1) AS since{side}" for side in sides]
+    low = {side: f"CASE WHEN {' OR '.join(f'(a{side}{p} > since{side} AND t{side}{p} IS NULL)' for p in range(6))} THEN NULL ELSE least({', '.join(f'CASE WHEN a{side}{p} > since{side} THEN t{side}{p} END' for p in range(6))}) END" for side in sides}
+    return f"""{_FED}, r AS (SELECT *, {', '.join(tops + heard)} FROM fed), q AS (SELECT *, {', '.join(since)} FROM r), l AS (SELECT *, greatest({low['b']}, {low['w']}) AS low FROM q),
+  wm AS (SELECT event_id, seq, partition, ts_ms, max(low) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) - 51 AS watermark_ms FROM l)"""
+
+
+@query(f"""WITH {_clocks()} SELECT event_id, CAST(partition AS INTEGER) AS partition, ts_ms, watermark_ms,
+  CASE WHEN watermark_ms IS NULL THEN 'on_time' WHEN watermark_ms - ts_ms > 45000 THEN 'late' WHEN ts_ms // 10000 * 10000 + 9999 <= watermark_ms THEN 'dropped' ELSE 'on_time' END AS lateness FROM wm""")
+def partition_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six partitions, of which one lags by 20 s and one is silent for the middle third."""
+    events = table(spark, sf_dir)
+    third = events.count() // 3
+    placed = with_partition(events.select("event_id", "user_id")).select("event_id", "partition")
+    fed = _stressed(spark, sf_dir).join(placed, "event_id").where(~((F.col("partition") == 2) & F.col("event_id").between(third, 2 * third)))
+    fed = fed.withColumns({"ts_ms": F.col("ts_ms") - F.when(F.col("partition") == 1, 20_000).otherwise(0), "arrival_ms": F.lit(1_704_067_200_000) + F.col("event_id") * 600})
+    marked = eventtime.classified_by_partition(fed, eventtime.PartitionClock(6))
+    return marked.select("event_id", "partition", "ts_ms", "watermark_ms", "lateness")
+
+
+@query(f"WITH {_CL}, ot AS (SELECT * FROM cl WHERE lateness = 'on_time') SELECT * FROM ({_AGG.format('ot')}) WHERE window_end_ms - 1 <= (SELECT max(watermark_ms) FROM cl)")
+def windows_at_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.closed(eventtime.classified(_stressed(spark, sf_dir)))
+
+
+@query(f"WITH {_SO} SELECT * FROM ({_AGG.format('so')}) WHERE window_end_ms <= (SELECT max(ts_ms) FROM so) - 50")
+def stream_windows_at_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In append mode: what is over is emitted once, what is open isn't."""
+    folder = scratch(spark, "stream")
+    events = stressed(_stream(spark, sf_dir), False).withColumn("event_time", F.timestamp_millis("ts_ms"))
+    _drain(window_finals(events), lambda rows, batch: append_batch(rows, f"{folder}/windows", batch), folder, "append")
+    return read_appended(spark, f"{folder}/windows").drop("batch_id")
+
+
+def _by_key(spark: SparkSession, sf_dir: str, batches: int = 10) -> KeyedTable:
+    """The events as a table by user and time, upserted in parts, each with some of the one before again, and merged in between."""
+    stored = KeyedTable(spark, scratch(spark, "keyed"), ["event_id"], keep=["batch"], stable=["user_id", "event_time"], buckets=8)
+    rows = _stored(spark, sf_dir).withColumn("n", F.substring("event_id", 25, 12).cast("long"))
+    for k in range(batches):
+        part = rows.where((F.col("n") % batches == k) | ((F.col("n") % batches == k - 1) & (F.col("n") % 3 == 0)))
+        stored.upsert(part.select("event_id", "user_id", "merchant_id", "amount", "transaction_type", "event_time", F.lit(k).alias("batch")), k)
+        stored.compact()
+    return stored
+
+
+@query(f"WITH {_TX}, {_STORED} SELECT *, CAST(CAST(event_id[25:] AS BIGINT) % 10 AS INTEGER) AS batch FROM stored")
+def keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of a table whose segments were merged between batches: each event once, with the batch that first brought it."""
+    return _shown(_by_key(spark, sf_dir).read())
+
+
+@query(f"WITH {_TX}, {_STORED} SELECT * FROM stored WHERE user_id = 7 AND ts_ms <= (SELECT max(ts_ms) FROM tx) - 3600000 ORDER BY ts_ms DESC, event_id DESC LIMIT 50")
+def keyed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of such a table, as the read interface asks for it: one bucket's files, and of those what the time's range meets."""
+    from datetime import UTC, datetime
+
+    stored, last = _by_key(spark, sf_dir), transactions(spark, sf_dir).agg(F.max("ts_ms")).first()[0]
+
+    def rows(user, start, end):
+        return stored.read(at=user, between={"event_time": (None, None if end is None else int(end.timestamp() * 1000) * 1000)})
+
+    page = AnalyticsReader(rows, rows, rows, spark).user_transactions_query(7, 50, end_time=datetime.fromtimestamp((last - 3_600_000) / 1000, UTC))
+    return _shown(page.drop("batch"))
+
+
 # the dataflow as a whole: records with faults, repeats, late ones
 
 _DF_RAW = """CASE WHEN event_id % 23 = 1 THEN concat('{"event_id":"', event_id, '","user_id"') WHEN event_id % 23 = 2 THEN concat('[', event_id, ']')
@@ -447,6 +538,12 @@ def stream_dataflow_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ran(spark, sf_dir).aggregates().drop("window_start", "window_end", "updated_at")
 
 
+@query(f"WITH {_DF}, ot AS (SELECT * FROM df WHERE lateness = 'on_time') SELECT * FROM ({_AGG.format('ot')}) WHERE window_end_ms - 1 <= (SELECT max(watermark_ms) FROM cl)")
+def stream_dataflow_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that the job emitted at their close."""
+    return _ran(spark, sf_dir).closed().drop("closed_at_ms")
+
+
 @query(f"SELECT *, row_number() OVER (ORDER BY event_id, anomaly_type) AS anomaly_id FROM ({_DF_ANOMALIES})")
 def stream_dataflow_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ran(spark, sf_dir, disorder=False).anomalies().drop("detected_at")
