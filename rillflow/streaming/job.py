@@ -13,10 +13,12 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from datetime import UTC, datetime, timedelta
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -106,27 +108,20 @@ class StreamJob:
         at = F.timestamp_micros(F.lit(int(now * 1e6)))
         judged = validate.judged(records.drop(*[f for f in (*REQUIRED_FIELDS, "received_at") if f in records.columns]), strict=self.strict).persist()
         try:
-            events, dead = validate.split(with_seq(judged))
-            append_batch(dead, f"{self.out}/dead_letters", batch)
             before = json.loads(self.ledger.get(below=batch) or "{}")
             clock = eventtime.PartitionClock.of(before.get("clock"))
-            if not exists(self.spark, f"{self.out}/accepted/batch_id={batch}"):
-                seen = self._seen(batch, int(now))
-                fresh = dedup.first_arrivals(events) if seen is None else dedup.new_arrivals(events, seen)
-                fresh = fresh.withColumn("ts_ms", F.unix_millis("event_time")).withColumn("received_at", at)
-                append_once(_typed(self._classified(fresh, before.get("top"), clock, judged, int(now * 1000)), ACCEPTED), f"{self.out}/accepted", batch)
+            events, dead = validate.split(judged)
+            accepting = lambda: self._accept(with_seq(events), judged, before, clock, batch, now)
+            (reached, _) = _together(self.spark, accepting, lambda: append_batch(dead, f"{self.out}/dead_letters", batch))
+            top, mark = (_most(before.get(k), reached[k]) for k in ("top", "mark"))
             stored = self.spark.read.schema(ACCEPTED).parquet(f"{self.out}/accepted/batch_id={batch}")  # computed once, for all that follows
-            reached = Observation()
-            ids = stored.observe(reached, F.max("ts_ms").alias("top"), F.max("watermark_ms").alias("mark")).select("event_id", F.unix_seconds("received_at").alias("at_s"))
-            ids = ids.withColumn("minute", F.floor(F.col("at_s") / BUCKET_S)).withColumn("batch_id", F.lit(batch))
-            ids.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("minute", "batch_id").parquet(f"{self.out}/seen")
-            top, mark = (_most(before.get(k), reached.get[k]) for k in ("top", "mark"))
             late = stored.where("lateness = 'late'")
-            append_batch(late, f"{self.out}/late", batch)
             sums = windows.aggregates(stored.where("lateness = 'on_time'")).select("user_id", "window_start_ms", "transaction_count", "total_volume", at.alias("updated_at"))
-            self.windows.upsert(sums, batch)
-            self._close(sums, batch, mark)
-            self.events.upsert(require(stored.drop(*PASSING), not_null=["event_id", "user_id", "event_time"]), batch)
+            landed = require(stored.drop(*PASSING), not_null=["event_id", "user_id", "event_time"])
+            _together(
+                self.spark, lambda: self._remember(stored, batch), lambda: append_batch(late, f"{self.out}/late", batch), lambda: self.windows.upsert(sums, batch),
+                lambda: self._close(sums, batch, mark), lambda: self.events.upsert(landed, batch),
+            )
             for name, rows in zip(OUTPUTS, (dead, late.drop("watermark_ms", "lateness", "partition", "arrival_ms"), self._changed(sums)), strict=True):
                 if name in self.topics:
                     self.topics[name].write(rows, batch)
@@ -138,6 +133,25 @@ class StreamJob:
         finally:
             judged.unpersist()
 
+    def _accept(self, events: DataFrame, judged: DataFrame, before: dict, clock: eventtime.PartitionClock, batch: int, now: float) -> dict:
+        """Publishes what the batch takes in, unless that is there already; the largest time and watermark in it."""
+        target, reached = f"{self.out}/accepted", Observation()
+        ends = F.max("ts_ms").alias("top"), F.max("watermark_ms").alias("mark")
+        if not exists(self.spark, f"{target}/batch_id={batch}"):
+            seen = self._seen(batch, int(now))
+            fresh = dedup.first_arrivals(events) if seen is None else dedup.new_arrivals(events, seen)
+            fresh = fresh.withColumn("ts_ms", F.unix_millis("event_time")).withColumn("received_at", F.timestamp_micros(F.lit(int(now * 1e6))))
+            rows = _typed(self._classified(fresh, before.get("top"), clock, judged, int(now * 1000)), ACCEPTED)
+            if append_once(rows.observe(reached, *ends), target, batch):
+                return reached.get
+        return self.spark.read.schema(ACCEPTED).parquet(f"{target}/batch_id={batch}").agg(*ends).first().asDict()
+
+    def _remember(self, stored: DataFrame, batch: int) -> None:
+        """Notes the batch's ids, in folders by minute of arrival."""
+        ids = stored.select("event_id", F.unix_seconds("received_at").alias("at_s"))
+        ids = ids.withColumn("minute", F.floor(F.col("at_s") / BUCKET_S)).withColumn("batch_id", F.lit(batch))
+        ids.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("minute", "batch_id").parquet(f"{self.out}/seen")
+
     def _classified(self, fresh: DataFrame, top: int | None, clock: eventtime.PartitionClock, every: DataFrame, now_ms: int) -> DataFrame:
         """By the watermark of the partitions where records have one; Kafka's time of a record is its arrival, else the batch's."""
         nothing = F.lit(None)
@@ -236,6 +250,13 @@ class StreamJob:
             publish(rows, name, database)
 
 
+def _together(spark: SparkSession, *steps: Callable[[], object]) -> list:
+    """The results of steps that don't need each other, run at the same time; their jobs belong to the query that called.  All are ended before an error is raised."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+    return [r.result() for r in running]
+
+
 def _most(a: int | None, b: int | None) -> int | None:
     return b if a is None else a if b is None else max(a, b)
 

@@ -20,6 +20,7 @@ from ..workers import importable
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHANGES = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 STATE = "times array<bigint>, amounts array<bigint>, latest bigint"
 IDLE, DELAY = "7 days", "1 minute"
 
@@ -70,6 +71,7 @@ def anomalies(stream: DataFrame, user: str = "user_id", time_ms: str = "ts_ms",
     spark = stream.sparkSession
     importable(spark)
     spark.conf.set(PROVIDER, ROCKS_DB)  # the only store that has timers
+    spark.conf.set(CHANGES, "true")  # a micro-batch stores what it changed, not the store as a whole
     rows = stream.select(F.col("event_id").cast("string").alias("event_id"), F.col(user).cast("string").alias("user_id"), F.col(time_ms).alias("ts"), "amount", F.col(order).alias("o"), F.timestamp_millis(time_ms).alias("at"))
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     return rows.withWatermark("at", delay).groupBy("user_id").transformWithStateInPandas(Anomalies(idle_ms), SCHEMA, "Append", "EventTime")
