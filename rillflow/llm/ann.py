@@ -9,13 +9,17 @@ r - 1, so probing those values finds every code of the ball; floats then
 decide.  R is the distance that covers nearly all true neighbours, among all
 vectors, of a sample of queries.
 
-The index is a table of (part, value, vector), the probes one of (part, value,
-query), joined on part and value.  Buckets of many vectors are dealt out by a
-salt and searched as a whole, so that none gives pairs beyond the nearest few.
-A query whose ball holds too few is searched in full.  Where probes are more
-than a pass over all codes takes (vectors without clusters, whose neighbours
-are almost as far as all others), the same ball is found by comparing codes in
-blocks instead; both ways find the same rows.
+The index lies in one of two ways, which find the same rows.  By value, it is
+a table of (part, value, vector), the probes one of (part, value, query), joined
+on part and value; buckets of many vectors are dealt out by a salt and searched
+as a whole, so that none gives pairs beyond the nearest few, and a query whose
+ball holds too few is searched in full.  Where a query has so many probes that
+their rows cost more than the vectors' own (vectors without clusters, whose
+neighbours are almost as far as all others), it lies by shard: the vectors are
+dealt into shards, each with tables of its substrings, of the width that costs
+least there; a query is sent to every shard, probes its tables, and takes its
+nearest from each.  A shard in whose part of the ball there are too few is
+searched in full.  A task holds one shard and some queries.
 
 Equal vectors are one entry with their smallest ids, as larger ones can't be
 among the nearest.  Vectors of a length that the sample has too few of to
@@ -47,9 +51,10 @@ BITS, AXES = 256, 64
 WORDS = BITS // 64
 SAMPLE_VECTORS, SAMPLE_QUERIES = 4096, 512  # on which codes and the radius are learned
 COVERED = 0.98  # share of the sampled queries' true neighbours that the radius holds
-BLOCK_VECTORS, BLOCK_QUERIES, BATCH = 8192, 4096, 128
+BLOCK_VECTORS, BLOCK_QUERIES, BATCH = 8192, 1024, 128  # in one shard; worked on at once in a shard, in a bucket
+SHARD_BITS = range(8, 15)  # widths of substrings in a shard
 BUCKET_VECTORS = 4096  # in one salt of a bucket
-PROBE_COST = 20  # code comparisons that one probe is worth
+PROBE_COST = 20  # vectors that one probe's row is worth
 
 
 class RotatedCodes:
@@ -84,13 +89,15 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Substrings:
     """How codes are split for a number of vectors, and how far each part is probed for a radius."""
 
-    def __init__(self, vectors: int, radius: int):
-        parts = max(1, round(BITS / min(max(math.log2(max(vectors, 2)), 8), 40)))
+    def __init__(self, vectors: int, radius: int, bits: int | None = None):
+        parts = max(1, round(BITS / (bits or min(max(math.log2(max(vectors, 2)), 8), 40))))
         self.edges = np.linspace(0, BITS, parts + 1).astype(int)
         r, a = divmod(radius, parts)
         self.radii = [r if j <= a else r - 1 for j in range(parts)]
         sizes = np.diff(self.edges).tolist()
-        self.probes = sum(math.comb(n, k) for n, most in zip(sizes, self.radii, strict=True) for k in range(most + 1))
+        each = [sum(math.comb(n, k) for k in range(most + 1)) for n, most in zip(sizes, self.radii, strict=True)]
+        self.probes = sum(each)
+        self.visits = sum(vectors * p / 2**n for n, p in zip(sizes, each, strict=True))  # entries in the probed buckets, if values are even
 
     def values(self, codes: np.ndarray) -> list[np.ndarray]:
         """Each part's values of all codes."""
@@ -168,42 +175,83 @@ def _coded(rows: DataFrame, models: dict[int, RotatedCodes]) -> DataFrame:
     return _arrow_rows(rows, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names) + ", code binary", run)
 
 
-def _nearest(queries: pd.DataFrame, entries: pd.DataFrame, radii: dict[int, int], nearest: int, fill: bool) -> pd.DataFrame:
-    """query_id, vec_id, score of each query's nearest among the entries in its ball; with ``fill`` among all where the ball holds too few."""
+class Shard:
+    """Entries of one length, with a table of each substring: what has which value lies together.
+
+    Without a radius, for lengths that no code was learned for, all are in the ball.
+    """
+
+    def __init__(self, ids: list[list[int]], packed: list[bytes], codes: list[bytes], radius: int | None, nearest: int):
+        self.ids, self.radius, self.nearest = ids, radius, nearest
+        self.raw, self.size = _scaled(packed)
+        if radius is None:
+            return
+        self.codes = np.frombuffer(b"".join(codes), np.uint64).reshape(-1, WORDS)
+        self.split = min((Substrings(len(ids), radius, bits) for bits in SHARD_BITS), key=lambda s: s.probes + s.visits)
+        self.masks, self.order, self.starts = self.split.masks(), [], []
+        for values, bits in zip(self.split.values(self.codes), np.diff(self.split.edges).tolist(), strict=True):
+            self.order.append(np.argsort(values, kind="stable"))
+            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(values, minlength=1 << bits))]))
+
+    def ball(self, code: np.ndarray, values: list[int]) -> np.ndarray:
+        """Places of the entries within the radius of a code with these substrings, by way of the tables."""
+        met = np.zeros(len(self.ids), bool)
+        for value, flips, order, starts in zip(values, self.masks, self.order, self.starts, strict=True):
+            begin, end = starts[value ^ flips], starts[(value ^ flips) + 1]
+            size = end - begin
+            met[order[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]] = True
+        at = np.flatnonzero(met)
+        return at[distance(self.codes[at], code) <= self.radius]
+
+    def search(self, query_ids: list[int], packed: list[bytes], codes: list[bytes]) -> list[tuple[int, int, float]]:
+        """query_id, vec_id, score of each query's nearest in its ball; of all where the ball holds too few."""
+        q, q_size = _scaled(packed)
+        every, out = np.arange(len(self.ids)), []
+        if self.radius is not None:
+            words = np.frombuffer(b"".join(codes), np.uint64).reshape(-1, WORDS)
+            values = np.stack(self.split.values(words), axis=1).tolist()
+        for k, query_id in enumerate(query_ids):
+            at = every if self.radius is None else self.ball(words[k], values[k])
+            if len(at) < self.nearest + 1:
+                at = every
+            out += _top(query_id, q[k], q_size[k], at, self.raw, self.size, self.ids, self.nearest)
+        return out
+
+
+def _top(query_id: int, q: np.ndarray, q_size: float, at: np.ndarray, raw: np.ndarray, size: np.ndarray, ids: list[list[int]], nearest: int) -> list[tuple[int, int, float]]:
+    """query_id, vec_id, score of the nearest among the entries ``at``."""
+    score = _cosines(raw[at], size[at], np.broadcast_to(q, (len(at), len(q))), q_size)
+    best = np.argsort(-score, kind="stable")
+    if len(best) > nearest + 1:  # and those that tie with the last of them
+        best = best[: int(np.searchsorted(-score[best], -score[best[nearest]], side="right"))]
+    near: dict[int, float] = {}
+    for s, i in sorted((-score[b], i) for b in best for i in ids[at[b]] if i != query_id):
+        if len(near) == nearest:
+            break
+        near.setdefault(i, -s)
+    return [(query_id, i, s) for i, s in near.items()]
+
+
+def _in_bucket(queries: pd.DataFrame, entries: pd.DataFrame, radii: dict[int, int], nearest: int) -> pd.DataFrame:
+    """query_id, vec_id, score of each query's nearest among a bucket's entries in its ball."""
     out = []
     length = entries["vec"].map(len)
     for n, part in queries.groupby(queries["vec"].map(len)):
         own = entries[length == n]
         if not len(own):
             continue
-        ids, radius = own["ids"].tolist(), radii.get(n)
+        ids = own["ids"].tolist()
         raw, size = _scaled(own["vec"].tolist())
-        codes = np.frombuffer(b"".join(own["code"]), np.uint64).reshape(-1, WORDS) if radius is not None else None
+        codes = np.frombuffer(b"".join(own["code"]), np.uint64).reshape(-1, WORDS)
         for k in range(0, len(part), BATCH):
             some = part.iloc[k : k + BATCH]
             q, q_size = _scaled(some["vec"].tolist())
-            if codes is None:
-                found = np.ones((len(q), len(own)), bool)
-            else:
-                q_codes = np.frombuffer(b"".join(some["code"]), np.uint64).reshape(-1, WORDS)
-                apart = np.zeros((len(q), len(own)), np.int16)
-                for w in range(WORDS):
-                    apart += np.bitwise_count(q_codes[:, w, None] ^ codes[None, :, w])
-                found = apart <= radius
-                if fill:
-                    found[found.sum(axis=1) < nearest + 1] = True
-            for r, (query_id, rows) in enumerate(zip(some["query_id"], found, strict=True)):
-                at = np.flatnonzero(rows)
-                score = _cosines(raw[at], size[at], np.broadcast_to(q[r], (len(at), q.shape[1])), q_size[r])
-                best = np.argsort(-score, kind="stable")
-                if len(best) > nearest + 1:  # and those that tie with the last of them
-                    best = best[: int(np.searchsorted(-score[best], -score[best[nearest]], side="right"))]
-                near: dict[int, float] = {}
-                for s, i in sorted((-score[b], i) for b in best for i in ids[at[b]] if i != query_id):
-                    if len(near) == nearest:
-                        break
-                    near.setdefault(i, -s)
-                out += [(query_id, i, s) for i, s in near.items()]
+            q_codes = np.frombuffer(b"".join(some["code"]), np.uint64).reshape(-1, WORDS)
+            apart = np.zeros((len(q), len(own)), np.int16)
+            for w in range(WORDS):
+                apart += np.bitwise_count(q_codes[:, w, None] ^ codes[None, :, w])
+            for r, (query_id, rows) in enumerate(zip(some["query_id"], apart <= radii[n], strict=True)):
+                out += _top(query_id, q[r], q_size[r], np.flatnonzero(rows), raw, size, ids, nearest)
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
@@ -248,17 +296,55 @@ def _radii(entries: DataFrame, models: dict[int, RotatedCodes], sampled: dict[in
 FOUND = "query_id long, vec_id long, score double"
 
 
-def _in_blocks(queries: DataFrame, entries: DataFrame, radii: dict[int, int], nearest: int) -> DataFrame:
-    """The nearest by a pass over all codes: queries and entries (with ids, vec, code) meet in blocks."""
-    blocks = max(1, math.ceil(entries.count() / BLOCK_VECTORS))
-    chunks = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
-    left = queries.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = entries.withColumn("block", F.pmod(F.xxhash64("vec"), F.lit(blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+def _by_shards(queries: DataFrame, entries: DataFrame, radii: dict[int, int], nearest: int) -> DataFrame:
+    """The nearest of each query in each shard of the entries.
 
-    def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(q, v, radii, nearest, True)
+    Entries are sent once and queries to every shard; a shard's entries come
+    ahead of its queries, which pass by in batches.
+    """
+    spark = entries.sparkSession
+    rows = entries.count()
+    shards = max(1, math.ceil(rows / BLOCK_VECTORS), min(spark.sparkContext.defaultParallelism, math.ceil(rows * 8 / BLOCK_VECTORS)))
+    left = entries.select(F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("long").alias("query_id"), "vec", "code", "ids")
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "query_id", "vec", "code", F.lit(None).cast("array<long>").alias("ids"))
+    dealt = left.unionByName(right).repartition(shards, "shard").sortWithinPartitions("shard", "query_id")  # nulls first
+
+    def built(held: list[pa.RecordBatch]) -> dict[int, Shard]:
+        of: dict[int, tuple[list, list, list]] = {}
+        for batch in held:
+            for vec, code, ids in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                for column, value in zip(of.setdefault(len(vec), ([], [], [])), (ids, vec, code), strict=True):
+                    column.append(value)
+        return {n: Shard(*columns, radii.get(n), nearest) for n, columns in of.items()}
 
-    return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(run, FOUND)
+    def batches(it):
+        shard, held, index = None, [], None
+        for batch in it:
+            number = batch.column(0).to_numpy()
+            asks = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            changes = np.flatnonzero((number[1:] != number[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for i, j in itertools.pairwise([0, *changes.tolist(), batch.num_rows]):
+                if i == j:
+                    continue
+                if number[i] != shard:
+                    shard, held, index = number[i], [], None
+                if not asks[i]:
+                    held.append(batch.slice(i, j - i))
+                    continue
+                if index is None:
+                    index, held = built(held), []
+                for k in range(i, j, BLOCK_QUERIES):
+                    some = batch.slice(k, min(BLOCK_QUERIES, j - k))
+                    ids, packed, codes = (some.column(c).to_pylist() for c in (1, 2, 3))
+                    out = []
+                    for n in sorted({len(v) for v in packed} & set(index)):
+                        at = [r for r, v in enumerate(packed) if len(v) == n]
+                        out += index[n].search([ids[r] for r in at], [packed[r] for r in at], [codes[r] for r in at])
+                    columns = zip(*out, strict=True) if out else ([], [], [])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+
+    importable(spark)
+    return dealt.mapInArrow(batches, FOUND)
 
 
 def _substrings(rows: DataFrame, number: str, splits: dict[int, Substrings], probes: bool) -> DataFrame:
@@ -294,7 +380,7 @@ def _apart(a: str, b: str) -> Column:
     return total
 
 
-def _by_probes(queries: DataFrame, entries: DataFrame, radii: dict[int, int], splits: dict[int, Substrings], nearest: int) -> DataFrame:
+def _by_value(queries: DataFrame, entries: DataFrame, radii: dict[int, int], splits: dict[int, Substrings], nearest: int) -> DataFrame:
     """The nearest among the codes of each query's ball, through the index of substrings."""
     key = ["len", "part", "value"]
     index, probes = _substrings(entries, "eno", splits, False), _substrings(queries, "qno", splits, True)
@@ -326,7 +412,7 @@ def _by_probes(queries: DataFrame, entries: DataFrame, radii: dict[int, int], sp
     right = index.where("salts > 1").withColumn("salt", F.pmod(F.xxhash64("eno"), F.col("salts")).cast("int")).join(entries.select("eno", "ids", "vec", "code"), "eno")
 
     def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(q, v, radii, nearest, False)
+        return _in_bucket(q, v, radii, nearest)
 
     hot = left.groupBy(*key, "salt").cogroup(right.groupBy(*key, "salt")).applyInPandas(run, FOUND)
     return cold.unionByName(hot)
@@ -339,7 +425,7 @@ def _best(found: DataFrame, nearest: int) -> DataFrame:
 
 
 def plans(radii: dict[int, int], counts: dict[int, int]) -> dict[int, Substrings]:
-    """The splits of the lengths whose index is probed."""
+    """The splits of the lengths whose index lies by value."""
     splits = {n: Substrings(counts[n], r) for n, r in radii.items()}
     return {n: s for n, s in splits.items() if s.probes * PROBE_COST < counts[n]}
 
@@ -367,10 +453,10 @@ def search(table: DataFrame, every: int = EVERY, nearest: int = NEAREST) -> Data
     radii = _radii(entries, models, sampled, nearest) if models else {}
     splits = plans(radii, counts)
     if not splits:
-        return _best(_in_blocks(queries, entries, radii, nearest), nearest).select("query_id", "rank", "vec_id", "score")
+        return _best(_by_shards(queries, entries, radii, nearest), nearest).select("query_id", "rank", "vec_id", "score")
     probed = length.isin(*splits)
-    found = cut(_best(_by_probes(queries.where(probed), entries.where(probed), radii, splits, nearest), nearest))
+    found = cut(_best(_by_value(queries.where(probed), entries.where(probed), radii, splits, nearest), nearest))
     full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= nearest).select("query_id")
     rest = cut(queries.join(full, "query_id", "left_anti").unionByName(queries.where(~probed)).dropDuplicates(["qno"]))
-    more = _in_blocks(rest, entries, {n: r for n, r in radii.items() if n not in splits}, nearest)  # in full where the ball holds too few
+    more = _by_shards(rest, entries, {n: r for n, r in radii.items() if n not in splits}, nearest)  # in full where the ball holds too few
     return _best(found.select("query_id", "vec_id", "score").unionByName(more), nearest).select("query_id", "rank", "vec_id", "score")

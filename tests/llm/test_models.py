@@ -220,6 +220,39 @@ def test_probes_and_blocks_find_the_same(spark, monkeypatch):
     assert len(set(blocks) & set(probed)) >= 0.95 * len(blocks)
 
 
+@pytest.mark.parametrize("spread", [0.02, 1.0, 30.0])
+def test_a_shard_probes_its_tables_for_the_whole_ball(spread):
+    """The ball is that of all codes compared; what is not in a probed bucket is never looked at."""
+    x = clustered(1500, near=spread)
+    model = ann.RotatedCodes().fit(x / np.linalg.norm(x, axis=1, keepdims=True))
+    codes = model.encode(x / np.linalg.norm(x, axis=1, keepdims=True))
+    packed = [v.astype("<f8").tobytes() for v in x]
+    for radius in (0, 9, 60, 108):
+        shard = ann.Shard([[k] for k in range(1500)], packed, [c.tobytes() for c in codes], radius, 5)
+        assert sorted(shard.order[0].tolist()) == list(range(1500)) and shard.starts[0][-1] == 1500
+        for k in range(0, 1500, 50):
+            values = [v[0] for v in shard.split.values(codes[k : k + 1])]
+            assert shard.ball(codes[k], values).tolist() == np.flatnonzero(ann.distance(codes, codes[k]) <= radius).tolist()
+    unsearched = ann.Shard([[k] for k in range(1500)], packed, [c.tobytes() for c in codes], 9, 5)
+    unsearched.masks = [m[:0] for m in unsearched.masks]
+    assert not len(unsearched.ball(codes[0], [v[0] for v in unsearched.split.values(codes[:1])]))
+
+
+def test_evenly_spread_vectors_go_through_shards(spark, monkeypatch):
+    """Without clusters the index lies by shard; recall is that of the radius, ranks and scores are those of brute force."""
+    x = np.random.default_rng(2).normal(size=(3000, 32))
+    monkeypatch.setattr(ann, "BLOCK_VECTORS", 1000)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(ann, "_by_value", None)  # is never called
+    table = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(table).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((round(-r["score"], 12), r["vec_id"]))
+    want = brute(list(range(3000)), [list(v) for v in x], 50, 5)
+    assert set(got) == set(want) and all(len(v) == 5 and v == sorted(v) for v in got.values())
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.95 * 5 * len(want)
+
+
 def test_little_of_clustered_data_is_probed(spark):
     """The radius is that of true neighbours among all vectors, and few codes are within the probes."""
     x = clustered(4000)
