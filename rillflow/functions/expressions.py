@@ -34,6 +34,13 @@ def cursor_of(*parts: Column) -> Column:
     return F.rtrim(F.translate(F.base64(F.encode(joined, "UTF-8")), "+/=\r\n", "-_ "))
 
 
+def cursor_parts(cursor: Column, longest: int) -> Column:
+    """The values of each row's cursor as text; null where it is no cursor."""
+    ours = cursor.rlike(f"^[A-Za-z0-9_-]{{1,{longest}}}$")
+    padded = F.concat(F.translate(cursor, "-_", "+/"), F.repeat(F.lit("="), F.pmod(-F.length(cursor), F.lit(4))))
+    return F.when(ours, F.split(F.try_to_binary(padded, F.lit("base64")).try_cast("string"), ",", -1))
+
+
 def last_match(text: Column, pattern: str) -> Column:
     """Group 1 of the pattern's last match."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,7 +15,7 @@ from ..operators import anomaly, dedup, eventtime, quality, windows
 from ..sinks.tables import KeyedTable, TopicWriter, append_batch, bootstrap, kafka_rows, lines_of, publish, read_appended, with_ids
 from ..sources.events import json_lines, kafka_records, offset_totals, offsets_table, stressed, table, transactions, with_partition
 from ..sources.generator import BAD_CURRENCIES, BAD_TYPES, CURRENCIES, TYPES, Profile, generate, generate_stream
-from ..sources.topics import read_manifest
+from ..sources.topics import manifest_topics
 from ..streaming import metrics
 from ..streaming.job import StreamJob, window_finals
 from . import batch
@@ -67,22 +68,16 @@ def consumer_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.total_lag(rows)
 
 
-_MANIFEST = """topics:
-  - name: transactions.raw
-    partitions: 6
-    replication_factor: 1
-    configs:
-      retention.ms: 604800000  # a week
-      compression.type: snappy
-  - name: transactions.late
-    partitions: 6
-"""
-
-
-@query("SELECT * FROM (VALUES ('transactions.raw', 6, 1, 'compression.type=snappy,retention.ms=604800000'), ('transactions.late', 6, 1, '')) t(name, partitions, replication_factor, configs)")
+@query("""SELECT user_id, concat('u', user_id, '.', event_type) AS name, CAST(1 + count(*) % 12 AS INTEGER) AS partitions, 3 AS replication_factor,
+  concat('cleanup.policy=delete,retention.ms=', 1000 * count(DISTINCT json_extract_string(props, '$.k'))) AS configs FROM events GROUP BY user_id, event_type""")
 def topic_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(t.name, t.partitions, t.replication_factor, ",".join(f"{k}={v}" for k, v in sorted(t.configs.items()))) for t in read_manifest(_MANIFEST)]
-    return spark.createDataFrame(rows, "name string, partitions int, replication_factor int, configs string")
+    """A manifest for each user, a topic for each type of the user's events, written as text and read back."""
+    entry = "  - name: u{0}.{1}\n    partitions: {2}  # by load\n    replication_factor: 3\n    configs:\n      retention.ms: {3}\n\n      cleanup.policy: delete\n"
+    kinds = table(spark, sf_dir).groupBy("user_id", "event_type").agg((1 + F.count("*") % 12).alias("n"), (1000 * F.count_distinct(F.get_json_object("props", "$.k"))).alias("kept"))
+    text = F.format_string(entry.replace("{0}", "%1$d").replace("{1}", "%2$s").replace("{2}", "%3$d").replace("{3}", "%4$d"), "user_id", "event_type", "n", "kept")
+    manifests = kinds.groupBy("user_id").agg(F.concat(F.lit("# topics\ntopics:\n"), F.concat_ws("", F.collect_list(text))).alias("manifest"))  # a line a type of event
+    found = manifest_topics(manifests).where("problem is null").drop("problem")
+    return found.withColumn("configs", F.array_join(F.transform(F.array_sort(F.map_entries("configs")), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
 
 
 @query("SELECT count(*) AS rows FROM events")
@@ -292,14 +287,39 @@ def user_aggregates_second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader.user_aggregates_query(3, 20, reader.user_aggregates(3, 20).next_cursor).drop("window_start", "window_end")
 
 
-@query(f"""WITH {_TX}, {_STORED}, page AS (SELECT * FROM stored WHERE user_id = 7 ORDER BY ts_ms DESC, event_id DESC LIMIT 5), last AS (SELECT * FROM page ORDER BY ts_ms, event_id LIMIT 1)
-  SELECT translate(rtrim(translate(to_base64(encode(concat(strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.'), lpad(CAST(ts_ms % 1000 AS VARCHAR), 3, '0'), '000Z,', event_id))), '=', ' ')), '+/', '-_') AS full_page,
-  CAST(NULL AS VARCHAR) AS short_page, CAST(NULL AS VARCHAR) AS unknown_user FROM last""")
+_CURSOR = "translate(rtrim(translate(to_base64(encode(concat(strftime(make_timestamp({0} * 1000), '%Y-%m-%dT%H:%M:%S.'), lpad(CAST({0} % 1000 AS VARCHAR), 3, '0'), '000Z'{1}))), '=', ' ')), '+/', '-_')"
+_PLACED = "placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC, event_id DESC) AS place FROM stored)"
+
+
+@query(f"WITH {_TX}, {_STORED}, {_PLACED}, ends AS (SELECT user_id, max(CASE WHEN place = 5 THEN {_CURSOR.format('ts_ms', ', chr(44), event_id')} END) AS full_page, max(CASE WHEN place = 200 THEN {_CURSOR.format('ts_ms', ', chr(44), event_id')} END) AS long_page FROM placed GROUP BY user_id) SELECT * FROM ends UNION ALL SELECT -1, NULL, NULL")
 def next_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A full page has a cursor for the next; a short or empty one has none."""
+    """A full page of any user has a cursor for the next; a short or empty one has none."""
+    reader = _reader(spark, sf_dir)
+    users = table(spark, sf_dir).select("user_id").distinct().unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("user_id"))).withColumn("request_id", F.col("user_id"))
+    five, many = (reader.user_transactions_pages(users, n).select("user_id", F.col("next_cursor").alias(name)) for n, name in ((5, "full_page"), (200, "long_page")))
+    return five.join(many, "user_id")
+
+
+@query(f"WITH {_TX}, {_STORED}, {_PLACED} SELECT user_id, event_id, amount, place - 5 AS place, CASE WHEN last >= 10 THEN {_CURSOR.format('ms', ', chr(44), id')} END AS next_cursor FROM (SELECT *, max(place) OVER (PARTITION BY user_id) AS last, max(CASE WHEN place = 10 THEN ts_ms END) OVER (PARTITION BY user_id) AS ms, max(CASE WHEN place = 10 THEN event_id END) OVER (PARTITION BY user_id) AS id FROM placed) WHERE place BETWEEN 6 AND 10")
+def second_pages_of_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of every user's events, asked for by the first one's cursor."""
+    reader = _reader(spark, sf_dir)
+    users = table(spark, sf_dir).select("user_id").distinct().withColumn("request_id", F.col("user_id"))
+    first = reader.user_transactions_pages(users, 5).where("next_cursor is not null").select("request_id", "user_id", F.col("next_cursor").alias("cursor"))
+    found = reader.user_transactions_pages(first, 5).select("user_id", "next_cursor", F.posexplode("items").alias("nth", "item"))
+    return found.select("user_id", "item.event_id", "item.amount", (F.col("nth") + 1).cast("long").alias("place"), "next_cursor")
+
+
+@query(f"""WITH {_SO}, sums AS ({_AGG.format('so')}), bounds AS (SELECT user_id, min(window_start_ms) + 20000 AS least, max(window_start_ms) - 20000 AS most FROM sums GROUP BY user_id),
+  fit AS (SELECT sums.*, row_number() OVER (PARTITION BY sums.user_id ORDER BY window_start_ms DESC) AS place FROM sums JOIN bounds USING (user_id) WHERE window_start_ms BETWEEN least AND most)
+  SELECT user_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(transaction_count) AS BIGINT) AS transactions, CASE WHEN count(*) = 50 THEN {_CURSOR.format('min(window_start_ms)', '')} END AS next_cursor FROM fit WHERE place <= 50 GROUP BY user_id""")
+def aggregate_pages_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's first page of windows inside times of their own."""
     reader = _reader(spark, sf_dir)
-    found = (reader.user_transactions(7, 5).next_cursor, reader.user_transactions(7, 200).next_cursor, reader.user_transactions(-1, 5).next_cursor)
-    return spark.createDataFrame([found], "full_page string, short_page string, unknown_user string")
+    span = F.expr("interval 20 seconds")
+    asked = reader.aggregates.groupBy("user_id").agg((F.min("window_start") + span).alias("start_time"), (F.max("window_start") - span).alias("end_time")).withColumn("request_id", F.col("user_id"))
+    found = reader.user_aggregates_pages(asked).where(F.size("items") > 0)
+    return found.select("user_id", F.size("items").cast("long").alias("n"), F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["transaction_count"]).alias("transactions"), "next_cursor")
 
 
 _CASES = (
@@ -338,21 +358,33 @@ def api_rows_match_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 # sinks
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {n}, {rows})" for t, n, rows in (("anomalies", 11, 0), ("events", 10, 1), ("schema_migrations", 2, 1), ("user_aggregates", 7, 0))) + ") t(name, columns, n)")
+@query(f"""WITH {_SO}, sums AS ({_AGG.format('so')}) SELECT 'events' AS name, 10 AS columns, count(*) AS n, CAST(sum(amount) AS BIGINT) AS total FROM so UNION ALL SELECT 'user_aggregates', 7, count(*), CAST(sum(total_volume) AS BIGINT) FROM sums
+  UNION ALL SELECT 'anomalies', 11, count(*), CAST(sum(amount) AS BIGINT) FROM ({_ANOMALIES}) UNION ALL SELECT 'schema_migrations', 2, 1, NULL""")
 def bootstrapped_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables made twice over an old shell, and one row put into one of them; columns and rows of each."""
-    name = f"made_{uuid.uuid4().hex}"
+    """Tables made twice over an old shell, with all events, windows and anomalies put into them; columns, rows and sums of each."""
+    name, reader = f"made_{uuid.uuid4().hex}", _reader(spark, sf_dir)
+    now, null = F.current_timestamp(), lambda kind: F.lit(None).cast(kind)
+    held = {
+        "events": reader.events.withColumns({"currency": null("string"), "ingest_time": F.col("event_time"), "schema_version": F.lit(1), "received_at": now}),
+        "user_aggregates": reader.aggregates.withColumn("updated_at", now), "anomalies": reader.anomalies,
+    }
+    sums = {"events": "amount", "user_aggregates": "total_volume", "anomalies": "amount"}
     spark.sql(f"CREATE DATABASE {name} LOCATION '{scratch(spark, 'db')}'")
     try:
         spark.sql(f"CREATE TABLE {name}.events (old INT) USING parquet")
         for _ in range(2):
             bootstrap(spark, name)
-        columns = spark.table(f"{name}.events").schema
-        publish(spark.createDataFrame([tuple(None for _ in columns)], columns), "events", name)
-        found = [(t.name, len(spark.table(f"{name}.{t.name}").columns), spark.table(f"{name}.{t.name}").count()) for t in spark.catalog.listTables(name)]
+        for table_, rows in held.items():
+            publish(rows, table_, name)
+        bootstrap(spark, name)  # leaves what is there
+        stored = [spark.table(f"{name}.{t.name}") for t in spark.catalog.listTables(name)]
+        names = [t.name for t in spark.catalog.listTables(name)]
+        found = [t.agg(F.lit(n).alias("name"), F.lit(len(t.columns)).alias("columns"), F.count("*").alias("n"), F.sum(sums[n] if n in sums else null("long")).cast("long").alias("total")) for n, t in zip(names, stored, strict=True)]
+        path = scratch(spark, "bootstrapped")
+        reduce(DataFrame.unionByName, found).write.parquet(path)  # the tables go, these rows stay
     finally:
         spark.sql(f"DROP DATABASE {name} CASCADE")
-    return spark.createDataFrame(found, "name string, columns int, n long")
+    return spark.read.parquet(path)
 
 
 @query(f"WITH {_RAWS} SELECT concat('{{\"reason_code\":\"', reason_code, '\",\"seq\":', seq, '}}') AS value FROM judged WHERE reason_code IS NOT NULL")

@@ -11,10 +11,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window as W, functions as F
 
 from ..functions import cursors
-from ..functions.expressions import keyset_after
+from ..functions.expressions import cursor_of, cursor_parts, keyset_after
 from ..schema import ANOMALY_TYPES
 
 LEAST, MOST, USUAL = 1, 200, 50
@@ -56,6 +56,47 @@ def _earlier(end: datetime | None, at: tuple | None) -> datetime | None:
     return end if at is None else at[0] if end is None else min(end, at[0])
 
 
+UUID_TEXT = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+ASKED = {"cursor": "string", "start_time": "timestamp", "end_time": "timestamp"}
+
+
+def pages(rows: DataFrame, requests: DataFrame, time: str, id_: str | None, id_kind: str, limit: int) -> DataFrame:
+    """The pages of many requests in one job: the columns of ``requests``, items, next_cursor, problem.
+
+    ``requests`` has request_id, which is unique, user_id, and any of cursor,
+    start_time and end_time; null or empty ones are not given.  items are the
+    rows of the page in order, null where the cursor is none of this kind.  A
+    row goes no further than the requests that it fits, and ranks are limited
+    before the exchange, so a user may hold any share of the rows.
+    """
+    own = [c for c in requests.columns if c not in ASKED]
+    asked = requests.withColumns({c: F.lit(None).cast(kind) for c, kind in ASKED.items() if c not in requests.columns})
+    given = F.coalesce("cursor", F.lit("")) != ""
+    parts = cursor_parts(F.col("cursor"), cursors.LONGEST)
+    wanted = 1 if id_ is None else 2
+    at, at_id = F.try_to_timestamp(F.get(parts, F.lit(0))), F.get(parts, F.lit(1))
+    told = (F.size(parts) == wanted) & at.isNotNull() & F.get(parts, F.lit(0)).rlike("(Z|[+-][0-9:]+)$")
+    if id_ is not None:
+        told = told & (at_id.rlike(UUID_TEXT) if id_kind == "string" else at_id.try_cast(id_kind).isNotNull())
+    asked = asked.withColumn("problem", F.when(given & ~F.coalesce(told, F.lit(False)), "cursor")).withColumn("_at", F.when(given, at))
+    asked = asked.withColumn("_at_id", F.when(given, at_id.try_cast(id_kind))) if id_ is not None else asked
+    fits = (F.col("q.user_id") == F.col("r.user_id")) & (F.col("q.start_time").isNull() | (F.col(f"r.{time}") >= F.col("q.start_time"))) & (F.col("q.end_time").isNull() | (F.col(f"r.{time}") <= F.col("q.end_time")))
+    earlier: Column = F.col(f"r.{time}") < F.col("q._at")
+    if id_ is not None:
+        earlier = earlier | ((F.col(f"r.{time}") == F.col("q._at")) & (F.col(f"r.{id_}") < F.col("q._at_id")))
+    found = asked.where("problem is null").alias("q").join(rows.alias("r"), fits & (F.col("q._at").isNull() | earlier))
+    keys = [time] if id_ is None else [time, id_]
+    found = found.select("q.request_id", F.struct(*[F.col(f"r.{c}").alias(c) for c in rows.columns]).alias("item"))
+    rank = F.row_number().over(W.partitionBy("request_id").orderBy(*[F.desc(f"item.{k}") for k in keys]))
+    listed = found.withColumn("_rank", rank).where(F.col("_rank") <= limit).groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("_rank", "item"))).alias("_page"))  # a page a request
+    page = F.transform("_page", lambda x: x["item"])
+    last = F.element_at(page, -1)
+    after = cursor_of(*[F.date_format(last[k], "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX") if k == time else last[k] for k in keys])
+    nothing = F.when(F.col("problem").isNull(), F.array().cast(f"array<{found.schema['item'].dataType.simpleString()}>"))
+    answered = asked.join(listed, "request_id", "left")
+    return answered.select(*own, F.coalesce(page, nothing).alias("items"), F.when(F.size("_page") == limit, after).alias("next_cursor"), "problem")
+
+
 Rows = Callable[[object, datetime | None, datetime | None], DataFrame]
 
 
@@ -129,6 +170,16 @@ class AnalyticsReader:
             rows = rows.where(keyset_after(F.col("detected_at"), F.col("anomaly_id"), *at))
         return rows.orderBy(F.desc("detected_at"), F.desc("anomaly_id")).limit(_limit(limit))
 
+    def user_transactions_pages(self, requests: DataFrame, limit: int = USUAL) -> DataFrame:
+        """Pages of many users' events at once, see ``pages``."""
+        return pages(self.events, requests, "event_time", "event_id", "string", _limit(limit))
+
+    def user_aggregates_pages(self, requests: DataFrame, limit: int = USUAL) -> DataFrame:
+        return pages(self.aggregates, requests, "window_start", None, "string", _limit(limit))
+
+    def user_anomalies_pages(self, requests: DataFrame, limit: int = USUAL) -> DataFrame:
+        return pages(self.anomalies, requests, "detected_at", "anomaly_id", "bigint", _limit(limit))
+
     @staticmethod
     def _page(query: DataFrame, limit: int, *keys: str) -> Page:
         # unix_micros keeps the instant whatever zone the driver's Python has

@@ -11,7 +11,7 @@ from rillflow.plans.http_api import respond, serve
 from rillflow.plans.reader import AnalyticsReader
 from rillflow.sinks.tables import bootstrap
 from rillflow.sources.generator import Profile, generate
-from rillflow.sources.topics import Topic, range_options, read_manifest
+from rillflow.sources.topics import Topic, manifest_topics, range_options, read_manifest
 
 
 @pytest.fixture(scope="module")
@@ -63,6 +63,13 @@ def test_manifest():
     assert json.loads(range_options("raw", {1: (5, 9), 0: (0, 3)})["endingOffsets"]) == {"raw": {"0": 3, "1": 9}}
 
 
+def test_many_manifests(spark):
+    texts = [(1, "topics:\n  - name: a\n    configs:\n      x.y: 1\n  - name: b\n    partitions: 3\n"), (2, None), (3, "topics:\n  - name: a\n    partitions: 0\n"), (4, "topics:\n  - name: a\n    colour: red\n"), (5, "")]
+    found = manifest_topics(spark.createDataFrame(texts, "name long, manifest string").withColumnRenamed("name", "id")).collect()
+    assert sorted((r["id"], r["name"], r["partitions"], r["replication_factor"], r["configs"]) for r in found if r["problem"] is None) == [(1, "a", 1, 1, {"x.y": "1"}), (1, "b", 3, 1, {})]
+    assert sorted(r["id"] for r in found if r["problem"]) == [3, 4] and all(r["name"] is None for r in found if r["problem"])
+
+
 def test_recovery_and_report(spark):
     polls = spark.createDataFrame([(0, 1, 0), (1, 1, 10), (2, 1, 20), (3, 5, 30), (4, 5, 40), (5, 5, 50)], "poll int, v long, at long")
     assert tuple(quality.recovery(polls, "v", "at", 20).first()) == (20, 50, 30)

@@ -89,3 +89,35 @@ def test_iso_text_in_any_zone(spark, zone):
     times = [-1, 0, 1_710_054_000_123, 1_730_611_799_999]
     got = other.createDataFrame([(t,) for t in times], "ms long").select("ms", iso_ms(F.timestamp_millis("ms")).alias("iso")).withColumn("back", epoch_ms(F.col("iso"))).collect()
     assert all(r["back"] == r["ms"] for r in got) and got[0]["iso"] == "1969-12-31T23:59:59.999Z" and got[2]["iso"] == "2024-03-10T07:00:00.123Z"
+
+
+def test_pages_of_many_requests_are_those_of_single_ones(spark, reader):
+    first = reader.user_transactions("u", 7)
+    asked = [
+        (1, "u", None, None, None), (2, "u", first.next_cursor, None, None), (3, "v", None, None, None), (4, "u", "", datetime.fromtimestamp(1_700_000_003, UTC), datetime.fromtimestamp(1_700_000_009, UTC)),
+        (5, "u", "a$", None, None), (6, "u", cursors.encode("then", "x"), None, None), (7, "u", cursors.encode(datetime(2024, 1, 1), "00000000-0000-4000-a000-000000000001"), None, None), (8, None, None, None, None),
+        (9, "u", "A" * 513, None, None), (10, "u", cursors.encode(datetime(2024, 1, 1, tzinfo=UTC)), None, None),
+    ]
+    got = {r["request_id"]: r for r in reader.user_transactions_pages(spark.createDataFrame(asked, "request_id long, user_id string, cursor string, start_time timestamp, end_time timestamp"), 7).collect()}
+    assert set(got) == set(range(1, 11))
+    for n, user, cursor, start, end in asked:
+        try:
+            want = reader.user_transactions(user, 7, cursor=cursor, start_time=start, end_time=end)
+        except BadRequest:
+            assert got[n]["problem"] == "cursor" and got[n]["items"] is None and got[n]["next_cursor"] is None, n
+            continue
+        assert got[n]["problem"] is None and [r["event_id"] for r in got[n]["items"]] == [r["event_id"] for r in want.items] and got[n]["next_cursor"] == want.next_cursor, n
+
+
+def test_pages_of_aggregates_and_anomalies(spark, reader):
+    users = spark.createDataFrame([(k, u) for k, u in enumerate(("u", "u0", "u1", "nobody"))], "request_id long, user_id string")
+    for many, one in ((reader.user_aggregates_pages, reader.user_aggregates), (reader.user_anomalies_pages, reader.user_anomalies)):
+        asked, seen = users, {u: [] for u in ("u", "u0", "u1", "nobody")}
+        while asked is not None:
+            rows = many(asked, 4).collect()
+            for r in rows:
+                seen[r["user_id"]] += [i.asDict() for i in r["items"]]
+            more = [(r["request_id"], r["user_id"], r["next_cursor"]) for r in rows if r["next_cursor"]]
+            asked = spark.createDataFrame(more, "request_id long, user_id string, cursor string") if more else None
+        assert {u: len(v) for u, v in seen.items()} == {u: len(walk(lambda cursor, u=u: one(u, 4, cursor=cursor))) for u in seen}
+        assert seen["u" if many == reader.user_aggregates_pages else "u0"] == [r.asDict() for r in walk(lambda cursor: one("u" if many == reader.user_aggregates_pages else "u0", 4, cursor=cursor))]
