@@ -19,7 +19,7 @@ UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 
 
 def _parsed(records: DataFrame, raw: str) -> DataFrame:
-    """Adds ``_record`` (VARIANT), null where the text isn't exactly one JSON value.
+    """Adds ``_record`` (VARIANT), null where the text isn't exactly one JSON value, and ``_held``, its fields, null where it is no object.
 
     A parser that stops after a value would let text behind it pass.  So the
     text is read as the first entry of an array whose second is the text's own
@@ -32,7 +32,8 @@ def _parsed(records: DataFrame, raw: str) -> DataFrame:
         own = F.xxhash64(raw).cast("string")
         array = F.try_parse_json(F.concat(F.lit("["), F.col(raw), F.lit(","), own, F.lit("]"))).try_cast("array<variant>")
         whole = (F.size(array) == 2) & (F.get(array, F.lit(1)).try_cast("string") == own)
-        return records.withColumn("_record", F.when(whole, F.get(array, F.lit(0))))
+        found = records.withColumn("_record", F.when(whole, F.get(array, F.lit(0))))
+        return found.withColumn("_held", F.col("_record").try_cast("map<string,variant>"))  # fields are looked up, not searched for by a path each time
     finally:
         if before is None:
             spark.conf.unset(DUPLICATE_KEYS)
@@ -41,11 +42,12 @@ def _parsed(records: DataFrame, raw: str) -> DataFrame:
 
 
 def _field(name: str, kind: str = "variant") -> Column:
-    return F.try_variant_get("_record", f"$.{name}", kind)
+    found = F.try_element_at("_held", F.lit(name))
+    return found if kind == "variant" else found.try_cast(kind)
 
 
 def _reason(strict: bool) -> Column:
-    reason = F.when(F.col("_record").isNull(), "malformed_json").when(F.col("_record").try_cast("map<string,variant>").isNull(), "invalid_type:root")
+    reason = F.when(F.col("_record").isNull(), "malformed_json").when(F.col("_held").isNull(), "invalid_type:root")
     for name, kind in REQUIRED_FIELDS.items():
         reason = reason.when(_field(name).isNull(), f"missing_field:{name}").when(F.schema_of_variant(_field(name)) != kind, f"invalid_type:{name}")
     if strict:
