@@ -21,17 +21,32 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..schema import IDLE_AFTER_MS, LATE_AFTER_MS, OUT_OF_ORDER_MS, WINDOW_MS
 
 CHUNK = 50_000  # arrivals in one part of the running maximum
+SPAN = 20_000  # chunks whose totals one task goes through
+
+
+def before_chunks(totals: DataFrame, values: dict[str, str], span: int = SPAN) -> DataFrame:
+    """_chunk and, for each name of ``values``, the largest of its column in all chunks ahead; null if there is none.
+
+    ``totals`` has one row a chunk.  Inside spans of chunks and over the spans'
+    largest, so that no window holds more than a span's rows or one row a span:
+    a thousand for 10^12 arrivals.
+    """
+    spans = totals.withColumn("_span", F.floor(F.col("_chunk") / span))
+    inside, over = (w.rowsBetween(W.unboundedPreceding, -1) for w in (W.partitionBy("_span").orderBy("_chunk"), W.orderBy("_span")))
+    tops = spans.groupBy("_span").agg(*[F.max(v).alias(f"_top{n}") for n, v in values.items()])
+    tops = tops.select("_span", *[F.max(f"_top{n}").over(over).alias(f"_above{n}") for n in values])
+    held = spans.withColumns({f"_in{n}": F.max(v).over(inside) for n, v in values.items()})
+    return held.join(F.broadcast(tops), "_span").select("_chunk", *[F.greatest(f"_above{n}", f"_in{n}").alias(n) for n in values])  # a row a span
 
 
 def running_max(events: DataFrame, value: str, order: str, name: str, chunk: int = CHUNK, carry: int | None = None) -> DataFrame:
     """Adds the largest ``value`` so far in order of ``order``.
 
-    Two levels: a running maximum inside chunks of consecutive arrivals, and
-    one over the chunks' maxima, so no task has to hold all rows.
+    A running maximum inside chunks of consecutive arrivals, and those over the
+    chunks' maxima, so no task has to hold all rows.
     """
     parts = events.withColumn("_chunk", F.floor(F.col(order) / chunk))
-    before = W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    tops = parts.groupBy("_chunk").agg(F.max(value).alias("_top")).select("_chunk", F.max("_top").over(before).alias("_before"))
+    tops = before_chunks(parts.groupBy("_chunk").agg(F.max(value).alias("_top")), {"_before": "_top"})
     inside = W.partitionBy("_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     floor = [] if carry is None else [F.lit(carry)]
     top = F.greatest(F.max(value).over(inside), F.col("_before"), *floor)  # nulls don't count
@@ -89,7 +104,7 @@ def with_partition_watermark_ms(
 ) -> DataFrame:
     """Adds ``watermark_ms`` as it stands after each record, from the clock before the first; null while a partition that is active has brought nothing.
 
-    Each partition's largest time and last arrival run on in two levels, and so
+    Each partition's largest time and last arrival run on over chunks, and so
     does the watermark over what they come to.  What partitions that fell idle
     since the record before let through counts as well.
     """
@@ -98,11 +113,10 @@ def with_partition_watermark_ms(
     rows = events.withColumn("_chunk", F.floor(F.col(order) / chunk))
     values = {f"_t{p}": F.when(F.col(partition) == p, F.col(time_ms)) for p in known} | {f"_a{p}": F.when(F.col(partition) == p, F.col(arrival_ms)) for p in known}
     carried = {f"_t{p}": clock.tops.get(p) for p in known} | {f"_a{p}": clock.arrivals.get(p) for p in known}
-    sums = rows.groupBy("_chunk").agg(*[F.max(v).alias(k) for k, v in values.items()], F.min(arrival_ms).alias("_began"))  # one row a chunk
-    earlier = W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy()
-    sums = sums.select("_chunk", F.min("_began").over(whole).alias("_began"), *[F.max(k).over(earlier).alias(f"_before{k}") for k in values])
-    joined = rows.join(sums, "_chunk")
+    sums = rows.groupBy("_chunk").agg(*[F.max(v).alias(k) for k, v in values.items()], F.min(arrival_ms).alias("_first"))  # one row a chunk
+    joined = rows.join(before_chunks(sums, {f"_before{k}": k for k in values}), "_chunk")
+    if clock.began_ms is None:
+        joined = joined.join(F.broadcast(sums.agg(F.min("_first").alias("_began"))), F.lit(True))  # one row
     own = W.partitionBy("_chunk").orderBy(order)
     upto, ahead = own.rowsBetween(W.unboundedPreceding, 0), own.rowsBetween(W.unboundedPreceding, -1)
 

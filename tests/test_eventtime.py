@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rillflow.operators import dedup, eventtime, windows
@@ -119,3 +120,11 @@ def test_windows_are_closed_by_the_watermark(spark):
     for upto, want in ((3, [(0, 1)]), (4, [(0, 1)]), (5, [(0, 1), (10_000, 1)])):
         shut = windows.closed(eventtime.classified(df.where(F.col("seq") < upto)))
         assert sorted((r["window_start_ms"], r["transaction_count"]) for r in shut.collect()) == want
+
+
+@pytest.mark.parametrize("span", [1, 3, 1000])
+def test_maxima_of_chunks_ahead(spark, span):
+    rows = [(c, None if c % 4 == 3 else (c * 37) % 101, c * 2) for c in range(0, 90, 2)]
+    got = {r["_chunk"]: (r["a"], r["b"]) for r in eventtime.before_chunks(spark.createDataFrame(rows, "_chunk long, x long, y long"), {"a": "x", "b": "y"}, span).collect()}
+    most = lambda values: max((v for v in values if v is not None), default=None)
+    assert got == {c: (most(x for k, x, _ in rows if k < c), most(y for k, _, y in rows if k < c)) for c, _, _ in rows}
