@@ -34,7 +34,7 @@ from .common import cut, map_texts
 from .wordtable import U64, WordTable, mix
 
 DOCUMENTS_PER_LANGUAGE = 400  # of smallest hash, from which a language is learned
-MOST_BROADCAST = 100_000  # languages; more are joined by exchange
+MOST_BROADCAST = 100_000  # languages, or ids to learn from; more are joined by exchange
 DOCUMENT_WEIGHT = 200.0  # words that each of them counts for, however long it is
 ROUNDS = 4
 TAUGHT_BYTES = 256  # of a stretch that teaches as a whole
@@ -284,12 +284,14 @@ def train(docs: DataFrame, path: str, per_language: int = DOCUMENTS_PER_LANGUAGE
     # a bound on the hash leaves little more than per_language rows of each language to be ranked
     share = (per_language + 8 * per_language**0.5 + 100) / F.col("n")
     counts = cut(counts.coalesce(docs.sparkSession.sparkContext.defaultParallelism))
-    small = F.broadcast(counts) if counts.count() <= MOST_BROADCAST else counts  # one row a language
+    languages = counts.count()
+    small = F.broadcast(counts) if languages <= MOST_BROADCAST else counts  # one row a language
     few = open_.select("doc_id", "lang").join(small, "lang").where((share >= 1) | (F.xxhash64("doc_id") / float(2**64) + 0.5 < share)).select("doc_id", "lang").distinct()
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = few.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang")
-    # at most per_language ids a language; of several rows of an id one teaches
-    sample = open_.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    chosen = F.broadcast(chosen) if languages * per_language <= MOST_BROADCAST else chosen  # at most per_language ids a language
+    # of several rows of an id one teaches
+    sample = open_.join(chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(texts: list, other: list) -> pa.RecordBatch:
         t, begin, end, doc = stretches(texts, TAUGHT_BYTES)
@@ -301,11 +303,11 @@ def train(docs: DataFrame, path: str, per_language: int = DOCUMENTS_PER_LANGUAGE
 
     exact = F.sum(F.col("n").cast("decimal(30,12)")).cast("double").alias("n")  # the same in any order
     counted = map_texts(sample.select("text", "lang"), run, "lang string, word string, n double").groupBy("lang", "word").agg(exact).toPandas()
-    languages = sorted(counted["lang"].unique())
-    if not languages:
+    known = sorted(counted["lang"].unique())
+    if not known:
         return None
-    grid = counted.pivot_table(index="word", columns="lang", values="n", aggfunc="sum", fill_value=0)[languages].sort_index()
-    return UnigramModels(path, languages).fit(list(grid.index), grid.to_numpy())
+    grid = counted.pivot_table(index="word", columns="lang", values="n", aggfunc="sum", fill_value=0)[known].sort_index()
+    return UnigramModels(path, known).fit(list(grid.index), grid.to_numpy())
 
 
 def identify(docs: DataFrame, path: str | None = None, per_language: int = DOCUMENTS_PER_LANGUAGE) -> DataFrame:

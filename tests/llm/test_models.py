@@ -72,6 +72,13 @@ def test_language_of_held_out_rows(spark, small):
     assert sorted(map(tuple, blind.collect())) == sorted(map(tuple, got.collect()))  # held-out labels change nothing
 
 
+def test_joins_by_exchange_teach_the_same(spark, small, monkeypatch):
+    docs = small("documents").withColumns({"rank": F.lit(1), "n": F.lit("x"), "score": F.lit(2.0)})
+    want = sorted(map(tuple, langid.identify(docs).collect()))
+    monkeypatch.setattr(langid, "MOST_BROADCAST", 1)
+    assert sorted(map(tuple, langid.identify(docs).collect())) == want
+
+
 def test_language_cases(spark, docs_of):
     docs = docs_of((0, "der die das und", "de", "s"), (1, "the and of that", "en", "s"), (2, None, "en", "s"), (3, "12 34 !", "en", "s"), (4, "", None, None), (None, "the", "en", "s"), (6, "that the " * 40_000, "en", "s"), (8, "x" * 100_000, "en", "s")).withColumn("word", F.lit(1))
     got = {r["doc_id"]: r for r in langid.identify(docs.unionByName(docs.where("doc_id = 1"))).collect()}
