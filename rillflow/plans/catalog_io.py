@@ -150,9 +150,9 @@ def generated_semantic_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _generated(False))
 def stream_generated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as a stream, some thousand steps a micro-batch."""
+    """The same as a stream, some thousand steps a micro-batch, or a twentieth of all where that is more: their number doesn't grow with the records."""
     folder, profile = scratch(spark, "generated"), _numbers(spark, sf_dir, malformed_kind="structural")[0]
-    query_ = generate_stream(spark, profile, most=4_000).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").start()
+    query_ = generate_stream(spark, profile, most=max(4_000, -(-profile.records // 20))).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").start()
     query_.processAllAvailable()
     query_.stop()
     return _fields(spark.read.parquet(f"{folder}/out"))

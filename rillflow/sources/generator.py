@@ -41,6 +41,7 @@ DROPPABLE = ("merchant_id", "amount", "currency", "event_time")
 RESENT_FROM = 10_000  # a repeat is of one of so many records sent before
 ZIPF_BUCKETS = 4096
 MOST_BROADCAST_USERS = 100_000
+MOST_STEPS = 100_000  # of a task of the stream source
 
 
 @dataclass(frozen=True)
@@ -196,15 +197,18 @@ class Sender:
 
     def steps(self, start: int, end: int, bursts: int) -> Iterator[tuple[int, int, int]]:
         """seq, n, bursts of steps start to end - 1; ``bursts`` is of the waits before step ``start``."""
-        p, known = self.p, {start: bursts}
+        p, known, low, high = self.p, {start: bursts}, start, start  # known without gaps from low to high
 
         def before(n: int) -> int:
-            if n not in known:
-                near = min(known, key=lambda k: abs(k - n))
-                step = 1 if n > near else -1
-                while near != n:
-                    known[near + step] = known[near] + (self.burst(near) if step > 0 else -self.burst(near - 1))
-                    near += step
+            nonlocal low, high
+            if not p.burst:
+                return bursts
+            while high < n:
+                known[high + 1] = known[high] + self.burst(high)
+                high += 1
+            while low > n:
+                known[low - 1] = known[low] - self.burst(low - 1)
+                low -= 1
             return known[n]
 
         for step in range(max(start, 1), end):
@@ -225,7 +229,7 @@ class TickReader(DataSourceStreamReader):
 
     def __init__(self, options: dict):
         self.p = Profile(**json.loads(options["profile"]))
-        self.sender, self.most, self.parts = Sender(self.p), int(options.get("most", 100_000)), int(options.get("parts", 4))
+        self.sender, self.most, self.parts = Sender(self.p), int(options.get("most", 100_000)), int(options.get("parts", 4))  # parts: at least, of a micro-batch
         self.clocked = options.get("clocked", "false").lower() == "true"
         self.began, self.at = None, {"step": 0, "bursts": 0}
 
@@ -245,7 +249,7 @@ class TickReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         self.at = max(self.at, end, key=lambda o: o["step"])  # after a restart it goes on from what was planned
-        size = max(1, -(-(end["step"] - start["step"]) // self.parts))
+        size = min(MOST_STEPS, max(1, -(-(end["step"] - start["step"]) // self.parts)))
         found, bursts = [], start["bursts"]
         for first in range(start["step"], end["step"], size):
             last = min(first + size, end["step"])
@@ -275,7 +279,7 @@ def ticks(spark: SparkSession, profile: Profile, most: int = 100_000, clocked: b
     """A stream of what goes out, replayable from any step."""
     importable(spark)
     spark.dataSource.register(Ticks)
-    return spark.readStream.format("rillflow_ticks").options(profile=json.dumps(asdict(profile)), most=most, clocked=clocked).load()
+    return spark.readStream.format("rillflow_ticks").options(profile=json.dumps(asdict(profile)), most=most, clocked=clocked, parts=max(4, spark.sparkContext.defaultParallelism)).load()
 
 
 def generate_stream(spark: SparkSession, profile: Profile, most: int = 100_000, clocked: bool = False) -> DataFrame:

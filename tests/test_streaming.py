@@ -1,5 +1,6 @@
 import json
 import re
+import time
 from dataclasses import replace
 from datetime import UTC, datetime
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillflow.operators import dedup, eventtime, quality, validate, windows
-from rillflow.plans import batch
+from rillflow.plans import batch, catalog_io
 from rillflow.plans.http_api import respond
 from rillflow.sources.events import json_lines, kafka_records, offset_range, offset_totals, offsets_table, raw_stream, with_partition
 from rillflow.sources import generator
@@ -84,6 +85,29 @@ def test_a_stream_of_records_stopped_and_started_equals_the_batch(spark, tmp_pat
     assert clocked.latestOffset()["step"] <= 2
 
 
+def test_a_task_of_the_sender_takes_time_by_its_steps():
+    p = Profile(records=10**6, out_of_order=0.3, duplicate=0.1, burst=0.5, seed=7)
+    sender, began = generator.Sender(p), time.process_time()
+    got = list(sender.steps(50_000, 70_000, 11))
+    assert time.process_time() - began < 8  # was 20 s: each record looked through all that were counted
+    assert got[:500] == [x for x in sender.steps(50_000, 50_600, 11)][:500]
+    waits = {n: b for _, n, b in got}
+    some = sorted(waits)
+    assert all(waits[b] - waits[a] == sum(map(sender.burst, range(a, b))) for a, b in zip(some, some[1:]))
+    parts = generator.TickReader({"profile": json.dumps(Profile(records=10**7).__dict__)}).partitions({"step": 0, "bursts": 0}, {"step": 10**6, "bursts": 0})
+    assert max(s.end - s.start for s in parts) <= generator.MOST_STEPS and sum(s.end - s.start for s in parts) == 10**6
+
+
+def test_micro_batches_of_generated_records_dont_grow_in_number(spark, tmp_path, monkeypatch):
+    asked = []
+    monkeypatch.setattr(catalog_io, "generate_stream", lambda spark, p, most: asked.append((p.records, most)) or spark.range(0))
+    for n in (1000, 500_000):
+        spark.range(n).select(F.col("id").alias("event_id")).write.parquet(f"{tmp_path}/{n}/events.parquet")
+        with pytest.raises(Exception):  # noqa: B017  what is given here is no stream
+            catalog_io.stream_generated_records(spark, f"{tmp_path}/{n}")
+    assert [n / most <= 20 for n, most in asked] == [True, True] and asked[0][1] == 4_000
+
+
 def test_no_code_of_the_generator_is_too_large(spark):
     plain = spark.newSession()
     plain.conf.set("spark.sql.adaptive.enabled", "false")  # shows all stages before they run
