@@ -74,6 +74,37 @@ def test_scores_for_the_threshold_are_of_forests_without_the_row():
     assert len(quality.held_out(x[:3], np.array([True, False, False]))) == 3
 
 
+def test_every_labelled_row_counts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TREES", 16)
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(0.3, 0.05, (18_000, 4)), rng.normal(0.6, 0.1, (2_000, 4))]).clip(0.01, 0.99)
+    x[17, 0], x[18_500, 1] = 0.0, 1.0  # a single row each spans the box
+    good = np.arange(len(x)) < 18_000
+    rows = spark.createDataFrame([(i, bool(g), r.tolist()) for i, (g, r) in enumerate(zip(good, x, strict=True))], "doc_id long, good boolean, features array<double>")
+    seen = {}
+    fit, told = quality.IsolationForest.fit_draws, quality.scores_without_own_fold
+    monkeypatch.setattr(quality.IsolationForest, "fit_draws", lambda self, drawn, low, high: seen.setdefault("fits", []).append((drawn, low, high)) or fit(self, drawn, low, high))
+    monkeypatch.setattr(quality, "scores_without_own_fold", lambda rows, forests: seen.setdefault("scores", told(rows, forests)))
+    limit = quality.fitted(rows)[1]
+    assert (np.min([f[1] for f in seen["fits"]], axis=0) == x.min(axis=0)).all() and (np.max([f[2] for f in seen["fits"]], axis=0) == x.max(axis=0)).all()
+    assert len(seen["fits"]) == 1 + quality.FOLDS and all(len(d) == quality.DRAW for f in seen["fits"] for d in f[0])
+    scores = seen["scores"].toPandas()
+    assert len(scores) == len(x)  # was 6,000 at most
+    assert limit == quality.calibrate(scores["score"].to_numpy(), scores["good"].to_numpy()) < 1
+    again = quality.fitted(rows.repartition(5))
+    assert again[1] == limit
+
+
+def test_groups_of_scores_have_the_threshold_of_all_rows(spark):
+    rng = np.random.default_rng(10)
+    for n, step in ((3, 4), (60, 7), (3_000, 50), (3_000, 10_000)):
+        scores, good = np.floor(rng.random(n) * step) / step, rng.random(n) < 0.8
+        good[:2] = True, False
+        scored = spark.createDataFrame(list(zip(map(bool, good), map(float, scores), strict=True)), "good boolean, score double")
+        for most in (0.002, 0.1, 0.5):
+            assert quality.threshold(scored, int(good.sum()), int((~good).sum()), most) == quality.calibrate(scores, good, most)
+
+
 def plain_path(tree, row, at=0):
     """Cuts down to a leaf, one by one, with what the leaf's rows would still take."""
     feature, value, child, path = tree
