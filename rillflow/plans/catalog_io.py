@@ -13,7 +13,7 @@ from ..folders import scratch
 from ..functions.expressions import epoch_ms, iso_ms, last_match, padded_id
 from ..operators import anomaly, dedup, eventtime, quality, windows
 from ..sinks.tables import KeyedTable, TopicWriter, append_batch, bootstrap, kafka_rows, lines_of, publish, read_appended, with_ids
-from ..sources.events import json_lines, kafka_records, offset_totals, offsets_table, stressed, table, transactions, with_partition
+from ..sources.events import json_lines, kafka_records, offset_totals, offsets_table, spread, stressed, table, transactions, with_partition
 from ..sources.generator import BAD_CURRENCIES, BAD_TYPES, CURRENCIES, TYPES, Profile, generate, generate_stream
 from ..sources.topics import manifest_topics
 from ..streaming import metrics
@@ -491,7 +491,7 @@ _DF_ANOMALIES = f"""WITH {_SO}, a AS (SELECT anomaly_type, {_ID.format('event_id
 
 def _raw_records(tx: DataFrame, faulty: bool = True, doubled: bool = True) -> DataFrame:
     """seq and raw of transactions: one record in 23 faulty in each of three ways, one in 17 sent again later."""
-    n = F.col("event_id")
+    n, tx = F.col("event_id"), spread(tx, "seq")
     iso = iso_ms(F.timestamp_millis("ts_ms"))
     record = F.to_json(F.struct(
         F.expr(_ID.format("event_id").replace("VARCHAR", "STRING")).alias("event_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"), "merchant_id", "amount", "currency", "transaction_type",
@@ -536,12 +536,12 @@ def dataflow_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ran(spark: SparkSession, sf_dir: str, disorder: bool = True) -> StreamJob:
-    """The streaming job over the records as a stream of one file a micro-batch; the second batch brings the repeats."""
+    """The streaming job over the records as a stream of one folder a micro-batch; the second batch brings the repeats."""
     folder = scratch(spark, "job")
     tx = _stressed(spark, sf_dir, disorder)
     raw = _raw_records(tx, faulty=disorder)
     for k in range(2):
-        raw.where((F.col("seq") >= 10**9) == (k == 1)).coalesce(1).write.json(f"{folder}/in/{k}")
+        raw.where((F.col("seq") >= 10**9) == (k == 1)).write.json(f"{folder}/in/{k}")
         stream = spark.readStream.schema("seq long, raw string").json(f"{folder}/in/*")
         job = StreamJob(spark, f"{folder}/out")
         job.start(stream, f"{folder}/checkpoint").awaitTermination()

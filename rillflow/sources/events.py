@@ -43,6 +43,11 @@ def stressed(transactions_: DataFrame, disorder: bool = True) -> DataFrame:
     return transactions_.withColumn("user_id", F.col("user_id") % 10).withColumn("ts_ms", F.lit(1_704_067_200_000) + F.col("event_id") * 600 - late)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by a key over four tasks a core, where what follows costs more a row than to move it: the row groups of a file may be fewer than the cores."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def raw_stream(spark: SparkSession, location: str, kind: str = "text", most: int | None = None, **options: str) -> DataFrame:
     """A stream of ``raw`` records: Kafka (earliest offsets, values as text, with partition, offset and timestamp) or files of a line each.
 
