@@ -7,7 +7,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str = "run") -> str:
@@ -19,6 +19,13 @@ def scratch(spark: SparkSession, name: str = "run") -> str:
     return path
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The same rows, computed once and read from files in the shared folder."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 _made: list[str] = []
 
 

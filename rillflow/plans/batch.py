@@ -1,21 +1,45 @@
-"""The whole dataflow over a bounded set of raw records, as DataFrames that nothing forces yet."""
+"""The whole dataflow over a bounded set of raw records, as outputs that are computed as they are asked for."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..folders import stored
 from ..operators import anomaly, dedup, eventtime, validate, windows
 
 
-@dataclass(frozen=True)
 class Outputs:
-    dead_letters: DataFrame
-    events: DataFrame
-    late: DataFrame
-    aggregates: DataFrame
-    anomalies: DataFrame
+    """dead_letters, events, late, aggregates, anomalies.  What none of those asked for needs is not run.
+
+    Classes of lateness read the events more than once, so these are kept in
+    files: records are parsed and de-duplicated once for all three.
+    """
+
+    def __init__(self, judged: DataFrame, order: str):
+        self._valid, self.dead_letters = validate.split(judged)
+        self._order = order
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return dedup.first_arrivals(self._valid, order=self._order).withColumn("ts_ms", F.unix_millis("event_time"))
+
+    @cached_property
+    def _classes(self) -> DataFrame:
+        return eventtime.classified(stored(self.events, "events"), order=self._order)
+
+    @cached_property
+    def late(self) -> DataFrame:
+        return self._classes.where("lateness = 'late'")
+
+    @cached_property
+    def aggregates(self) -> DataFrame:
+        return windows.aggregates(self._classes.where("lateness = 'on_time'"))
+
+    @cached_property
+    def anomalies(self) -> DataFrame:
+        return anomaly.in_arrival_order(self._classes.where("lateness <> 'late'"), order=self._order)
 
 
 def run(records: DataFrame, raw: str = "raw", order: str = "seq", strict: bool = True) -> Outputs:
@@ -23,14 +47,4 @@ def run(records: DataFrame, raw: str = "raw", order: str = "seq", strict: bool =
 
     Anomalies see what isn't late, in order of arrival.
     """
-    valid, dead = validate.split(validate.judged(records, raw, strict))
-    events = dedup.first_arrivals(valid, order=order).withColumn("ts_ms", F.unix_millis("event_time"))
-    classes = eventtime.classified(events, order=order)
-    not_late = classes.where("lateness <> 'late'")
-    return Outputs(
-        dead_letters=dead,
-        events=events,
-        late=classes.where("lateness = 'late'"),
-        aggregates=windows.aggregates(not_late.where("lateness = 'on_time'")),
-        anomalies=anomaly.in_arrival_order(not_late, order=order),
-    )
+    return Outputs(validate.judged(records, raw, strict), order)

@@ -7,7 +7,8 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from rillflow.operators import dedup, eventtime, quality, validate, windows
+from rillflow import folders
+from rillflow.operators import anomaly, dedup, eventtime, quality, validate, windows
 from rillflow.plans import batch, catalog_io
 from rillflow.plans.http_api import respond
 from rillflow.sources.events import json_lines, kafka_records, offset_range, offset_totals, offsets_table, raw_stream, with_partition
@@ -116,6 +117,32 @@ def test_no_code_of_the_generator_is_too_large(spark):
     assert sizes and all(0 < int(n) < 60_000 for n in sizes)
 
 
+def test_outputs_of_the_dataflow_run_nothing_that_isnt_asked_for(spark, records):
+    made, plan = len(folders._made), lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    found = batch.run(records)
+    assert found.dead_letters.count() > 0 and found.events.count() > 0
+    assert len(folders._made) == made  # anomalies had been computed for each
+    found.late, found.aggregates
+    assert len(folders._made) == made + 1
+    assert "reason_code" in plan(found.events) and not any("reason_code" in plan(rows) for rows in (found.late, found.aggregates))  # parsed once, not for each side of the join
+
+
+def test_runs_are_taken_from_rows_that_are_placed_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(anomaly, "stored", lambda rows, name: kept.append(name) or folders.stored(rows, name), raising=False)
+    events = spark.range(500).select(F.col("id").alias("event_id"), F.col("id").alias("seq"), F.lit("u").alias("user_id"), (F.col("id") * 10_000).alias("ts_ms"), (F.col("id") % 97).alias("amount"))
+    found = anomaly.in_arrival_order(events)
+    assert kept == ["placed"] and "Range" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_raw_records_are_made_and_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog_io, "scratch", lambda spark, name: f"file://{tmp_path}/{name}")
+    spark.range(3000).select(F.col("id").alias("event_id"), (F.col("id") % 5).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.5).alias("value"), F.lit('{"k": 1}').alias("props"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id")).alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/sf/events.parquet")
+    assert catalog_io._raw_records(catalog_io._stressed(spark, f"{tmp_path}/sf")).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert catalog_io.stream_dataflow_dead_letters(spark, f"{tmp_path}/sf").count() == sum(n % 23 in (1, 2, 3) for n in range(3000))
+    assert all(len(list((tmp_path / "job/in" / k).glob("part-*.json"))) >= 4 for k in "01")  # was one task's file
+
+
 def stream(spark, folder):
     """One file a micro-batch."""
     return spark.readStream.schema("raw string, seq long").option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(f"{folder}/in/*")
