@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..folders import scratch
+from ..folders import scratch, stored
 from ..schema import HISTORY_LEAST, HISTORY_ROWS, QUANTILE, VELOCITY_THRESHOLD, VELOCITY_WINDOW_MS
 from ..workers import importable
 
@@ -318,7 +318,8 @@ def in_arrival_order(events: DataFrame, user: str = "user_id", time_ms: str = "t
     """
     importable(events.sparkSession)
     rows = events.select(F.col("event_id").cast("string").alias("event_id"), F.col(user).cast("string").alias("user_id"), F.col(time_ms).cast("long").alias("ts"), F.col("amount").cast("long").alias("amount"), F.col(order).alias("o"))
-    dealt = numbered(rows, "user_id", "o").withColumn("_run", F.floor(F.col("_at") / RUN)).repartition("user_id", "_run")
+    placed = numbered(rows, "user_id", "o").withColumn("_run", F.floor(F.col("_at") / RUN)).select("user_id", "_run", "_at", "ts", "amount", "event_id")
+    dealt = stored(placed, "placed").repartition("user_id", "_run")  # gone through twice, and what is before it may cost much
     path = scratch(events.sparkSession, "runs")
     dealt.select("user_id", "_run", "_at", "ts", "amount").sortWithinPartitions("user_id", "_run", "_at").mapInArrow(_run_ends, _schema(ENDS)).write.parquet(path)
     begun = _starts(events.sparkSession.read.schema(_schema(ENDS)).parquet(path)).where("_run > 0").select(F.col("user_id").alias("_user"), F.col("_run").alias("_nth"), "times", "amounts")
