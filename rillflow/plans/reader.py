@@ -67,7 +67,10 @@ def pages(rows: DataFrame, requests: DataFrame, time: str, id_: str | None, id_k
     start_time and end_time; null or empty ones are not given.  items are the
     rows of the page in order, null where the cursor is none of this kind.  A
     row goes no further than the requests that it fits, and ranks are limited
-    before the exchange, so a user may hold any share of the rows.
+    before the exchange, so a user may hold any share of the rows.  What is
+    ranked is first held to about the page: a request's rows fall into parts,
+    and as many parts as the page has rows bring a latest time each, so at
+    least so many rows are no earlier than the least of those times.
     """
     own = [c for c in requests.columns if c not in ASKED]
     asked = requests.withColumns({c: F.lit(None).cast(kind) for c, kind in ASKED.items() if c not in requests.columns})
@@ -84,8 +87,14 @@ def pages(rows: DataFrame, requests: DataFrame, time: str, id_: str | None, id_k
     earlier: Column = F.col(f"r.{time}") < F.col("q._at")
     if id_ is not None:
         earlier = earlier | ((F.col(f"r.{time}") == F.col("q._at")) & (F.col(f"r.{id_}") < F.col("q._at_id")))
-    found = asked.where("problem is null").alias("q").join(rows.alias("r"), fits & (F.col("q._at").isNull() | earlier))
+    fits = fits & (F.col("q._at").isNull() | earlier)
     keys = [time] if id_ is None else [time, id_]
+    # the requests are what is hashed, so that rows needn't be sorted to be joined
+    hashed = lambda some: some.hint("shuffle_hash").alias("q")
+    told = hashed(asked.where("problem is null")).join(rows.alias("r"), fits).select("q.request_id", F.col(f"r.{time}").alias("_time"), F.pmod(F.xxhash64(*[f"r.{k}" for k in keys]), F.lit(2 * limit)).alias("_part"))
+    tops = told.groupBy("request_id", "_part").agg(F.max("_time").alias("_top")).groupBy("request_id").agg(F.get(F.sort_array(F.collect_list("_top"), asc=False), F.lit(limit - 1)).alias("_least"))  # 2 * limit tops a request
+    fits = fits & (F.col("q._least").isNull() | (F.col(f"r.{time}") >= F.col("q._least")))
+    found = hashed(asked.where("problem is null").join(tops, "request_id", "left")).join(rows.alias("r"), fits)
     found = found.select("q.request_id", F.struct(*[F.col(f"r.{c}").alias(c) for c in rows.columns]).alias("item"))
     rank = F.row_number().over(W.partitionBy("request_id").orderBy(*[F.desc(f"item.{k}") for k in keys]))
     listed = found.withColumn("_rank", rank).where(F.col("_rank") <= limit).groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("_rank", "item"))).alias("_page"))  # a page a request

@@ -121,3 +121,17 @@ def test_pages_of_aggregates_and_anomalies(spark, reader):
             asked = spark.createDataFrame(more, "request_id long, user_id string, cursor string") if more else None
         assert {u: len(v) for u, v in seen.items()} == {u: len(walk(lambda cursor, u=u: one(u, 4, cursor=cursor))) for u in seen}
         assert seen["u" if many == reader.user_aggregates_pages else "u0"] == [r.asDict() for r in walk(lambda cursor: one("u" if many == reader.user_aggregates_pages else "u0", 4, cursor=cursor))]
+
+
+def test_only_about_a_page_of_rows_is_ranked(spark):
+    from rillflow.plans.reader import pages
+
+    rows = spark.range(40_000).select((F.col("id") % 4).alias("user_id"), F.timestamp_seconds(F.floor(F.col("id") / 8)).alias("event_time"), F.col("id").alias("event_id"))
+    asked = spark.createDataFrame([(1, 0), (2, 1), (3, 9)], "request_id long, user_id long")
+    found = pages(rows, asked, "event_time", "event_id", "bigint", 5).persist()
+    got = {r["request_id"]: [i["event_id"] for i in r["items"]] for r in found.collect()}
+    assert got == {1: [39996, 39992, 39988, 39984, 39980], 2: [39997, 39993, 39989, 39985, 39981], 3: []}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "_least" in plan and "SortMergeJoin [user_id" not in plan  # all rows were sorted to be joined and ranked
+    few = pages(rows.where("event_id < 12"), asked, "event_time", "event_id", "bigint", 5).where("request_id = 1").first()  # fewer than a page
+    assert [i["event_id"] for i in few["items"]] == [8, 4, 0] and few["next_cursor"] is None
