@@ -18,7 +18,7 @@ from dataclasses import replace
 from datetime import UTC, datetime, timedelta
 
 import pandas as pd
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -106,7 +106,9 @@ class StreamJob:
         """One micro-batch of records with column raw, and seq or partition and offset if there are any."""
         now = time.time()
         at = F.timestamp_micros(F.lit(int(now * 1e6)))
-        judged = validate.judged(records.drop(*[f for f in (*REQUIRED_FIELDS, "received_at") if f in records.columns]), strict=self.strict).persist()
+        judged = validate.judged(records.drop(*[f for f in (*REQUIRED_FIELDS, "received_at") if f in records.columns]), strict=self.strict)
+        # texts are kept where they are told of; on disk, a batch of any size takes no memory to keep
+        judged = judged.withColumn("raw_record", F.when(F.col("reason_code").isNotNull(), F.col("raw_record"))).persist(StorageLevel.DISK_ONLY)
         try:
             before = json.loads(self.ledger.get(below=batch) or "{}")
             clock = eventtime.PartitionClock.of(before.get("clock"))

@@ -148,6 +148,26 @@ def stream(spark, folder):
     return spark.readStream.schema("raw string, seq long").option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(f"{folder}/in/*")
 
 
+def test_a_batch_is_kept_on_disk_without_the_texts_of_valid_records(spark, records, tmp_path, monkeypatch):
+    want, kept, held, texts = batch.run(records), [], [], []
+    records.count()
+    stored = lambda: {i.id(): (i.memSize(), i.diskSize()) for i in spark.sparkContext._jsc.sc().getRDDStorageInfo()}
+    persist, remember, before = type(records).persist, StreamJob._remember, set(stored())
+    monkeypatch.setattr(type(records), "persist", lambda self, *level: kept.append(persist(self, *level)) or kept[-1])
+
+    def looked_at(self, rows_, number):
+        held.extend(sizes for i, sizes in stored().items() if i not in before)
+        texts.append(kept[0].where("reason_code is null and raw_record is not null").count())
+        remember(self, rows_, number)
+
+    monkeypatch.setattr(StreamJob, "_remember", looked_at)
+    job = StreamJob(spark, f"{tmp_path}/out")
+    job.process(records, 0)
+    assert held and all(disk and not memory for memory, disk in held) and texts == [0]  # was in memory, with all texts
+    assert rows(job.events.read(), "event_id", "amount") == rows(want.events, "event_id", "amount")
+    assert rows(spark.read.parquet(f"{tmp_path}/out/dead_letters"), "reason_code", "raw_record") == rows(want.dead_letters, "reason_code", "raw_record")
+
+
 def test_stream_equals_batch_and_survives_a_restart(spark, records, tmp_path):
     folder, parts = str(tmp_path), 3
     want = batch.run(records)
