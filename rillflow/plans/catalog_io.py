@@ -543,7 +543,7 @@ def _ran(spark: SparkSession, sf_dir: str, disorder: bool = True) -> StreamJob:
     for k in range(2):
         raw.where((F.col("seq") >= 10**9) == (k == 1)).write.json(f"{folder}/in/{k}")
         stream = spark.readStream.schema("seq long, raw string").json(f"{folder}/in/*")
-        job = StreamJob(spark, f"{folder}/out")
+        job = StreamJob(spark, f"{folder}/out", remember=None)  # a repeat is one, however long the first batch takes
         job.start(stream, f"{folder}/checkpoint").awaitTermination()
     if not disorder:
         job.start_anomalies(f"{folder}/checkpoint_anomalies").awaitTermination()

@@ -24,6 +24,7 @@ from .files import Ledger, children, exists, move, read_text, remove, write_text
 FAN = 8  # segments of one level that are merged into one of the next
 BUCKETS = 16
 FILE_ROWS = 2_000_000  # of a file of a merged segment, about
+BATCH_ROWS = 1_000_000  # of a file of a batch's segment at most, about, if all rows fall into one bucket
 GRACE_S = 600.0
 
 
@@ -168,7 +169,8 @@ class KeyedTable:
             rows.write.mode("overwrite").parquet(target)
             return segment
         bucket = (F.conv(F.substring(F.md5(F.col(self.stable[0]).cast("string")), 1, 8), 16, 10).cast("long") % self.buckets).cast("int")
-        files = 1 + known // (self.buckets * FILE_ROWS)  # of a bucket; a value that many rows have is in all of its bucket's
+        # of a bucket; a value that many rows have is in all of its bucket's.  Of a batch nobody knows how its rows fall into buckets
+        files = 1 + known // (self.buckets * FILE_ROWS if level else BATCH_ROWS)
         dealt = rows.withColumn("_bucket", F.coalesce(bucket, F.lit(0))).withColumn("_file", F.pmod(F.xxhash64(*self.keys), F.lit(files)))
         seen = Observation()
         stats = [F.count(F.lit(1)).alias("rows"), F.expr("bit_or(shiftleft(1L, _bucket))").alias("held")]
@@ -180,11 +182,16 @@ class KeyedTable:
         told = seen.get
         return segment | {"rows": told["rows"], "held": told["held"] or 0, "ranges": {c: [told[f"low_{c}"], told[f"high_{c}"]] for c in ranges}}
 
-    def upsert(self, rows: DataFrame, batch: int, order: str | None = None) -> None:
-        """Adds a batch; of several rows of a key the one of largest ``order`` holds."""
+    def upsert(self, rows: DataFrame, batch: int, order: str | None = None, known: int = 0) -> None:
+        """Adds a batch; of several rows of a key the one of largest ``order`` holds.
+
+        ``known`` is how many rows it may have, as far as that is known: a
+        large batch is written by more tasks, so that none sorts more rows
+        than a task of a smaller one.
+        """
         before = self._manifest(below=batch)
         marked = rows.withColumn("_batch", F.lit(batch).cast("long")).withColumn("_order", F.col(order).cast("long") if order else F.lit(0).cast("long")).withColumn("_since", F.col("_batch"))
-        segments = [*before["segments"], self._write(marked, f"v={batch}", 0)]
+        segments = [*before["segments"], self._write(marked, f"v={batch}", 0, known)]
         columns = list(dict.fromkeys([*before["columns"], *rows.columns]))
         self.ledger.put(batch, json.dumps({"segments": segments, "columns": columns}))
 

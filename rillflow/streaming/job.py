@@ -116,13 +116,14 @@ class StreamJob:
             accepting = lambda: self._accept(with_seq(events), judged, before, clock, batch, now)
             (reached, _) = _together(self.spark, accepting, lambda: append_batch(dead, f"{self.out}/dead_letters", batch))
             top, mark = (_most(before.get(k), reached[k]) for k in ("top", "mark"))
+            taken = reached["taken"]
             stored = self.spark.read.schema(ACCEPTED).parquet(f"{self.out}/accepted/batch_id={batch}")  # computed once, for all that follows
             late = stored.where("lateness = 'late'")
             sums = windows.aggregates(stored.where("lateness = 'on_time'")).select("user_id", "window_start_ms", "transaction_count", "total_volume", at.alias("updated_at"))
             landed = require(stored.drop(*PASSING), not_null=["event_id", "user_id", "event_time"])
             _together(
-                self.spark, lambda: self._remember(stored, batch), lambda: append_batch(late, f"{self.out}/late", batch), lambda: self.windows.upsert(sums, batch),
-                lambda: self._close(sums, batch, mark), lambda: self.events.upsert(landed, batch),
+                self.spark, lambda: self._remember(stored, batch), lambda: append_batch(late, f"{self.out}/late", batch), lambda: self.windows.upsert(sums, batch, known=taken),
+                lambda: self._close(sums, batch, mark), lambda: self.events.upsert(landed, batch, known=taken),
             )
             for name, rows in zip(OUTPUTS, (dead, late.drop("watermark_ms", "lateness", "partition", "arrival_ms"), self._changed(sums)), strict=True):
                 if name in self.topics:
@@ -136,9 +137,9 @@ class StreamJob:
             judged.unpersist()
 
     def _accept(self, events: DataFrame, judged: DataFrame, before: dict, clock: eventtime.PartitionClock, batch: int, now: float) -> dict:
-        """Publishes what the batch takes in, unless that is there already; the largest time and watermark in it."""
+        """Publishes what the batch takes in, unless that is there already; the largest time and watermark in it, and its number of rows."""
         target, reached = f"{self.out}/accepted", Observation()
-        ends = F.max("ts_ms").alias("top"), F.max("watermark_ms").alias("mark")
+        ends = F.max("ts_ms").alias("top"), F.max("watermark_ms").alias("mark"), F.count(F.lit(1)).alias("taken")
         if not exists(self.spark, f"{target}/batch_id={batch}"):
             seen = self._seen(batch, int(now))
             fresh = dedup.first_arrivals(events) if seen is None else dedup.new_arrivals(events, seen)
@@ -209,7 +210,7 @@ class StreamJob:
         stored = self.spark.read.parquet(f"{path}/batch_id={batch}")
         n = counted.get["n"] if new else stored.count()
         numbered = with_ids(stored, "anomaly_id", ["event_id", "anomaly_type"], first=first, parts=8)
-        self.found.upsert(_typed(require(numbered, not_null=["event_id", "user_id"], one_of={"anomaly_type": ANOMALY_TYPES}), FOUND), batch)
+        self.found.upsert(_typed(require(numbered, not_null=["event_id", "user_id"], one_of={"anomaly_type": ANOMALY_TYPES}), FOUND), batch, known=n)
         self.anomaly_ledger.put(batch, str(first + n))
         remove(self.spark, f"{self.out}/_found/batch_id={batch - 1}")
 

@@ -3,6 +3,7 @@ import re
 import time
 from dataclasses import replace
 from datetime import UTC, datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from rillflow.sources import generator
 from rillflow.sources.generator import FAULTY, Profile, generate
 from rillflow.sinks import tables
 from rillflow.sinks.tables import TopicWriter, bootstrap, read_appended
-from rillflow.streaming import metrics, stateful
+from rillflow.streaming import job as streaming_job, metrics, stateful
 from rillflow.streaming.job import StreamJob, supervised, window_updates, with_seq
 
 PROFILE = Profile(records=900, users=5, duplicate=0.1, late=0.1, out_of_order=0.1, malformed=0.1, seed=4)
@@ -168,6 +169,28 @@ def test_a_batch_is_kept_on_disk_without_the_texts_of_valid_records(spark, recor
     assert rows(spark.read.parquet(f"{tmp_path}/out/dead_letters"), "reason_code", "raw_record") == rows(want.dead_letters, "reason_code", "raw_record")
 
 
+def test_a_large_batch_is_written_by_more_tasks(spark, records, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "BATCH_ROWS", 100)
+    want = batch.run(records)
+    job = StreamJob(spark, f"{tmp_path}/out")
+    job.process(records, 0)
+    for table, least in (("events", 4), ("aggregates", 1.1)):  # was one file a bucket, so five users were five tasks at most
+        buckets = list((tmp_path / "out" / table / "data/v=0").glob("_bucket=*"))
+        assert buckets and sum(len(list(b.glob("part-*"))) for b in buckets) >= least * len(buckets)
+    columns = ("user_id", "window_start_ms", "transaction_count", "total_volume", "average_transaction_value")
+    assert rows(job.events.read(), "event_id", "amount") == rows(want.events, "event_id", "amount") and rows(job.aggregates(), *columns) == rows(want.aggregates, *columns)
+    user = "usr_00001"
+    assert rows(job.aggregates(user), *columns) == rows(want.aggregates.where(F.col("user_id") == user), *columns)
+
+
+def test_repeats_that_come_after_a_long_batch_count_once(spark, tmp_path, monkeypatch):
+    source = "/root/testdata/sf0.001"
+    columns = ("user_id", "window_start_ms", "transaction_count", "total_volume")
+    want, now = rows(catalog_io.dataflow_aggregates(spark, source), *columns), iter(range(2_000_000_000, 2_100_000_000, 700))
+    monkeypatch.setattr(streaming_job, "time", SimpleNamespace(time=lambda: next(now)))  # each batch over ten minutes after the one before
+    assert rows(catalog_io.stream_dataflow_aggregates(spark, source), *columns) == want
+
+
 def test_stream_equals_batch_and_survives_a_restart(spark, records, tmp_path):
     folder, parts = str(tmp_path), 3
     want = batch.run(records)
